@@ -87,12 +87,10 @@ def pick(blended: DataFrame) -> DataFrame:
 
 def name_picks(picks: DataFrame, vocab: DataFrame | Dimension, model: int) -> DataFrame:
     """Add ``next_token``: the picked id's token in the first model's own spelling."""
-    if isinstance(vocab, Dimension):
-        table, small = vocab.table, vocab.small
-    else:
-        table, small = vocab, None
-    own = table.filter(F.col("model") == model).select(
-        F.col("token_id").alias(f"token_id_{model}"), F.col("token").alias("next_token")
-    )
-    dim = own if small is None else Dimension(own, small)
-    return join_dimension(picks, dim, [f"token_id_{model}"], "left", spread_by=STEP_KEYS)
+    def own(table: DataFrame) -> DataFrame:
+        return table.filter(F.col("model") == model).select(
+            F.col("token_id").alias(f"token_id_{model}"), F.col("token").alias("next_token")
+        )
+
+    names = vocab.reduced(own) if isinstance(vocab, Dimension) else own(vocab)
+    return join_dimension(picks, names, [f"token_id_{model}"], "left", spread_by=STEP_KEYS)

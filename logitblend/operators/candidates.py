@@ -25,9 +25,17 @@ def top_k_rows(logits: DataFrame, k: int = 10) -> DataFrame:
     return logits.select(*MODEL_KEYS, vectors.top_k(F.col("logits"), k).alias("top"))
 
 
+def unpack(rows: DataFrame) -> DataFrame:
+    """One row per entry of ``top``.
+
+    The outer form keeps Catalyst from adding a filter on the array's size,
+    which would move below and compute the whole top k a second time."""
+    return rows.select(*MODEL_KEYS, F.inline_outer("top")).filter(F.col("pos").isNotNull())
+
+
 def top_k(logits: DataFrame, k: int = 10) -> DataFrame:
     """The k highest logits of each vector, one row each."""
-    return top_k_rows(logits, k).selectExpr(*MODEL_KEYS, "inline(top)")
+    return unpack(top_k_rows(logits, k))
 
 
 def top_k_long(logits: DataFrame, k: int = 10) -> DataFrame:
@@ -48,7 +56,7 @@ def top_k_softmax(logits: DataFrame, k: int = 10) -> DataFrame:
     zipped = F.zip_with(
         "top", probabilities, lambda e, p: e.withField("p", p)
     )
-    return rows.select(*MODEL_KEYS, zipped.alias("top")).selectExpr(*MODEL_KEYS, "inline(top)")
+    return unpack(rows.select(*MODEL_KEYS, zipped.alias("top")))
 
 
 def confidence_trace(logits: DataFrame, k: int = 10) -> DataFrame:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,19 +24,32 @@ class Dimension:
     table: DataFrame
     small: bool
 
+    def reduced(self, change: Callable[[DataFrame], DataFrame]) -> Dimension:
+        """A table derived from this one that cannot be larger; not measured again."""
+        return Dimension(change(self.table), self.small)
 
-def stored_bytes(table: DataFrame) -> int:
-    """Size of the values of a table, from one aggregate over it."""
+
+def _stored_bytes(table: DataFrame) -> Column:
     widths = [
         F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0))
         for c in table.columns
     ]
     total = sum(widths, F.lit(_ROW_OVERHEAD)).cast("bigint")
-    return table.agg(F.coalesce(F.sum(total), F.lit(0)).alias("bytes")).first()["bytes"]
+    return F.coalesce(F.sum(total), F.lit(0))
+
+
+def dimensions(*tables: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> list[Dimension]:
+    """Measure lookup tables, all in one job of one row per table."""
+    sizes = [
+        t.agg(_stored_bytes(t).alias("bytes")).select(F.lit(i).alias("i"), "bytes")
+        for i, t in enumerate(tables)
+    ]
+    measured = {r["i"]: r["bytes"] for r in reduce(DataFrame.union, sizes).collect()}
+    return [Dimension(t, measured[i] <= max_bytes) for i, t in enumerate(tables)]
 
 
 def dimension(table: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> Dimension:
-    return Dimension(table, stored_bytes(table) <= max_bytes)
+    return dimensions(table, max_bytes=max_bytes)[0]
 
 
 def join_dimension(

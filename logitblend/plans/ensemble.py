@@ -13,11 +13,17 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 from logitblend.operators import blending, candidates, filling, sequences
-from logitblend.operators.dimensions import Dimension, dimension
+from logitblend.operators.dimensions import Dimension, dimensions
 from logitblend.profiles import ModelProfile
 from logitblend.schemas import STEP_KEYS
 
 
+def _measured(*tables: DataFrame | Dimension) -> list[Dimension]:
+    if all(isinstance(t, Dimension) for t in tables):
+        return list(tables)
+    return dimensions(*[t.table if isinstance(t, Dimension) else t for t in tables])
+
+
 def own_candidates(
     logits: DataFrame, vocab: DataFrame | Dimension, k: int = 10, colocated: bool = False
 ) -> DataFrame:
@@ -27,7 +33,7 @@ def own_candidates(
         rows = candidates.top_k_rows(logits, k)
         if not colocated:
             rows = rows.repartition(*STEP_KEYS)
-        ranked = rows.selectExpr(*candidates.MODEL_KEYS, "inline(top)")
+        ranked = candidates.unpack(rows)
     else:
         ranked = candidates.top_k_long(logits, k)
         if not colocated:
@@ -38,17 +44,16 @@ def own_candidates(
 def filled_sets(
     logits: DataFrame,
     vocab: DataFrame | Dimension,
-    subtokens: DataFrame,
+    subtokens: DataFrame | Dimension,
     profiles: Sequence[ModelProfile],
     k: int = 10,
     colocated: bool = False,
     normalize_vocab: bool = False,
 ) -> DataFrame:
     """Every model's scores over the union of all models' candidates."""
-    vocab = vocab if isinstance(vocab, Dimension) else dimension(vocab)
-    vocab_ids, subtoken_ids = filling.lookup_dimensions(
-        vocab.table, subtokens, profiles, normalize_vocab
-    )
+    vocab, subtokens = _measured(vocab, subtokens)
+    vocab_ids = vocab.reduced(lambda t: filling.vocab_lookup(t, normalize_vocab))
+    subtoken_ids = subtokens.reduced(lambda t: filling.first_subtokens(t, profiles))
     own = own_candidates(logits, vocab, k, colocated)
     sets = candidates.complete_sets(own, [p.model for p in profiles])
     sets = filling.resolve_ids(sets, vocab_ids, subtoken_ids, profiles)
@@ -60,7 +65,7 @@ def filled_sets(
 def blended(
     logits: DataFrame,
     vocab: DataFrame | Dimension,
-    subtokens: DataFrame,
+    subtokens: DataFrame | Dimension,
     profiles: Sequence[ModelProfile],
     **options,
 ) -> DataFrame:
@@ -72,12 +77,12 @@ def blended(
 def picks(
     logits: DataFrame,
     vocab: DataFrame | Dimension,
-    subtokens: DataFrame,
+    subtokens: DataFrame | Dimension,
     profiles: Sequence[ModelProfile],
     **options,
 ) -> DataFrame:
     """The chosen token of every step, with its mean probability and ids."""
-    vocab = vocab if isinstance(vocab, Dimension) else dimension(vocab)
+    vocab, subtokens = _measured(vocab, subtokens)
     chosen = blending.pick(blended(logits, vocab, subtokens, profiles, **options))
     return blending.name_picks(chosen, vocab, profiles[0].model)
 
@@ -85,7 +90,7 @@ def picks(
 def generated_texts(
     logits: DataFrame,
     vocab: DataFrame | Dimension,
-    subtokens: DataFrame,
+    subtokens: DataFrame | Dimension,
     profiles: Sequence[ModelProfile],
     **options,
 ) -> DataFrame:

@@ -40,9 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def logits(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     turn = F.expr(f"vec_id div {n}")
+    example = F.expr(f"vec_id div {n * STEPS}")
     return table(spark, sf_dir, "embeddings").select(
-        F.lit("emb").alias("run"),
-        F.floor(turn / STEPS).cast("bigint").alias("example_id"),
+        F.concat(F.lit("run"), example % 3).alias("run"),
+        example.alias("example_id"),
         (turn % STEPS).cast("int").alias("step"),
         (F.col("vec_id") % n + 1).cast("int").alias("model"),
         F.transform("embedding", lambda x: x.cast("double") * 10).alias("logits"),
@@ -128,7 +129,7 @@ raw AS (
   SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS token_id, unnest(embedding) AS x
   FROM embeddings),
 logit AS (
-  SELECT 'emb' AS run, (vec_id // {n}) // {STEPS} AS example_id,
+  SELECT 'run' || (vec_id // {n * STEPS}) % 3 AS run, vec_id // {n * STEPS} AS example_id,
          ((vec_id // {n}) % {STEPS})::INTEGER AS step, (vec_id % {n} + 1)::INTEGER AS model,
          token_id::INTEGER AS token_id, x::DOUBLE * 10 AS logit
   FROM raw),

@@ -181,12 +181,16 @@ def _picks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     )
 
 
+def report_picks(picked: DataFrame, n: int) -> DataFrame:
+    return picked.select(
+        *STEP_KEYS, "token", F.coalesce("next_token", F.lit("-")).alias("next_token"),
+        _rounded("p"), "n_models", *[_id(f"token_id_{m}") for m in range(1, n + 1)],
+    )
+
+
 def _pick(n: int):
     def ensemble_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _picks(spark, sf_dir, n).select(
-            *STEP_KEYS, "token", F.coalesce("next_token", F.lit("-")).alias("next_token"),
-            _rounded("p"), "n_models", *[_id(f"token_id_{m}") for m in range(1, n + 1)],
-        )
+        return report_picks(_picks(spark, sf_dir, n), n)
 
     return ensemble_pick
 

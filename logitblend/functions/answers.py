@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from logitblend.functions.text import (
     WHITESPACE,
+    before_markers,
     clean_number,
     collapse_whitespace,
-    cut_at_markers,
     cut_trailers,
     keep_numeric_chars,
     strip,
@@ -53,7 +53,8 @@ def _last_number(text: Column, pattern: str) -> Column:
 
 def extract_number(text: Column, patterns: Sequence[str] = ANSWER_PATTERNS) -> Column:
     """The last match of the first pattern that matches at all, else the last
-    number in the text, else NaN."""
+    number in the text, else NaN.  Pass a column, not a long expression: each
+    pattern reads it again."""
     tries = [_last_number(text, p) for p in patterns]
     return _or_nan(F.coalesce(*tries, _last_number(text, _NUMBER)))
 
@@ -79,9 +80,15 @@ def _after_marker(text: Column) -> tuple[Column, Column]:
 def extract_choice(text: Column) -> Column:
     """A choice letter: the first behind a marker, or the last of the text."""
     tail, found = _after_marker(text)
-    first = F.regexp_extract(tail, CHOICE_LETTER, 1)
-    last = F.regexp_extract(tail, "(?s).*" + CHOICE_LETTER, 1)
-    return F.nullif(F.when(found, first).otherwise(last), F.lit(""))
+    first = _first(tail, CHOICE_LETTER)
+    last = _first(tail, "(?s).*" + CHOICE_LETTER)
+    return F.when(found, first).otherwise(last)
+
+
+def _first(text: Column, pattern: str) -> Column:
+    """First match or null.  Casting the empty string that means "no match" would
+    cost a caught exception per row."""
+    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
 
 
 def has_gold_answer(answer: Column) -> Column:
@@ -89,17 +96,16 @@ def has_gold_answer(answer: Column) -> Column:
 
 
 def gold_label(answer: Column) -> Column:
-    found = clean_number(F.regexp_extract(answer, GOLD_PATTERN, 1))
-    return _or_nan(found.try_cast("double"))
+    return _or_nan(clean_number(_first(answer, GOLD_PATTERN)).try_cast("double"))
 
 
 def strict_gold_label(answer: Column, on_error: str = "nan") -> Column:
-    number = F.regexp_extract(answer, STRICT_GOLD_PATTERN, 1).try_cast("double")
+    number = _first(answer, STRICT_GOLD_PATTERN).try_cast("double")
     return _or_nan(number) if on_error == "nan" else _or_raise(number, answer)
 
 
 def lenient_gold_label(answer: Column, on_error: str = "nan") -> Column:
-    stated = F.regexp_extract(answer, LENIENT_GOLD_PATTERN, 1).try_cast("double")
+    stated = _first(answer, LENIENT_GOLD_PATTERN).try_cast("double")
     number = F.coalesce(stated, _last_number(answer, r"(\d+)"))
     return _or_nan(number) if on_error == "nan" else _or_raise(number, answer)
 
@@ -118,4 +124,4 @@ def clean_solution(output: Column, clean: str = "markers") -> Column:
     output = collapse_whitespace(output)
     if clean == "whitelist":
         return keep_numeric_chars(cut_trailers(output))
-    return cut_at_markers(output, explanation=clean == "markers")
+    return before_markers(output, explanation=clean == "markers")

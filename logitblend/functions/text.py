@@ -12,16 +12,14 @@ WHITESPACE_CHARS = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-WHITESPACE = (
-    r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-)
-NON_WHITESPACE = "[^" + WHITESPACE[1:]
+WHITESPACE = r"(?U:[\s\x1c-\x1f])"
+NON_WHITESPACE = r"(?U:[^\s\x1c-\x1f])"
 
 # What ends an answer, and which characters a number may use.
 QUESTION_WORD, QUESTION_MARKER = "Question", "Question:"
-EXPLANATION_MARKER = "Explanation"
+EXPLANATION_WORD = "Explanation"
 TRAILER = r"(?iu)(Question|Explanation):[^\n]*"
-NOT_NUMERIC = r"[^\p{Nd}.,\-eE/]"
+NOT_NUMERIC = r"[^\p{Nd}.,\-eE/]+"
 
 # Vocabulary spellings of a leading space and of a newline.
 SPACE_MARKER = "\u0120"
@@ -37,18 +35,21 @@ def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, WHITESPACE + "+", " "))
 
 
-def _before(text: Column, word: str, marker: str) -> Column:
-    return F.when(
-        F.contains(text, F.lit(word)), strip(F.substring_index(text, marker, 1))
-    ).otherwise(text)
+def before_markers(text: Column, explanation: bool = True) -> Column:
+    """The text up to a new question or an explanation, stripped."""
+    text = F.substring_index(text, QUESTION_MARKER, 1)
+    if explanation:
+        text = F.substring_index(text, EXPLANATION_WORD, 1)
+    return strip(text)
 
 
 def cut_at_markers(text: Column, explanation: bool = True) -> Column:
-    """Drop what follows a new question or an explanation."""
-    text = _before(text, QUESTION_WORD, QUESTION_MARKER)
+    """As :func:`before_markers`, but a text with neither word stays as it is.
+    The bare word ``Question`` only strips the text."""
+    marked = F.contains(text, F.lit(QUESTION_WORD))
     if explanation:
-        text = _before(text, EXPLANATION_MARKER, EXPLANATION_MARKER)
-    return text
+        marked = marked | F.contains(text, F.lit(EXPLANATION_WORD))
+    return F.when(marked, before_markers(text, explanation)).otherwise(text)
 
 
 def cut_trailers(text: Column) -> Column:

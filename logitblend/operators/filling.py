@@ -100,16 +100,16 @@ def read_scores(sets: DataFrame, logits: DataFrame) -> DataFrame:
 
 
 def read_scores_long(sets: DataFrame, logits: DataFrame) -> DataFrame:
-    """As :func:`read_scores` for logits stored one row per token."""
+    """As :func:`read_scores` for logits stored one row per token.  A model that
+    logged a step has own candidates there."""
     stored = logits.select(*MODEL_KEYS, "token_id", F.col("logit").alias("stored"))
-    logged = stored.select(*MODEL_KEYS).distinct()
-    return (
-        sets.join(stored, [*MODEL_KEYS, "token_id"], "left")
-        .join(logged, MODEL_KEYS, "left_semi")
-        .select(
-            *MODEL_KEYS, "token", "pos",
-            F.coalesce("score", "stored").alias("score"), "token_id", "source",
-        )
+    whole = Window.partitionBy(*MODEL_KEYS)
+    logged = sets.withColumn(
+        "logged", F.max((F.col("source") == "own").cast("int")).over(whole)
+    ).filter("logged = 1")
+    return logged.join(stored, [*MODEL_KEYS, "token_id"], "left").select(
+        *MODEL_KEYS, "token", "pos",
+        F.coalesce("score", "stored").alias("score"), "token_id", "source",
     )
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from logitblend.functions.text import drop_last_char, strip
 from logitblend.operators.dedup import first_values
@@ -108,14 +109,19 @@ def qa_accuracy(
     )
 
 
+def _number(rows: DataFrame, column: str) -> Column:
+    value = F.col(column)
+    if isinstance(rows.schema[column].dataType, T.NumericType):
+        return F.coalesce(value.cast("double"), F.lit(float("nan")))
+    return to_number(value)
+
+
 def numeric_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rounded accuracy, mean absolute error and exact-match rate over all rows.
 
     A NaN is wrong in the two rates and left out of the error; ``n_nan`` counts
     the rows left out."""
-    numbers = rows.select(
-        *by, to_number(F.col("pred")).alias("pred"), to_number(F.col("label")).alias("label")
-    )
+    numbers = rows.select(*by, *[_number(rows, c).alias(c) for c in ("pred", "label")])
     pred, label = F.col("pred"), F.col("label")
     undefined = F.isnan(pred) | F.isnan(label)
     return numbers.groupBy(*by).agg(
@@ -177,17 +183,17 @@ def running_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str = "seq"
     earlier = (
         subjects.groupBy(*by, "initial")
         .agg(*[F.sum(c).alias(c) for c in counts])
-        .select(
-            *by, "initial",
-            *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in counts],
-        )
-    )
+        .select(*by, "initial", *[F.sum(c).over(before).alias(f"{c}_before") for c in counts])
+    )
+    # A left join adds no filter to one side only, so both sides share one
+    # aggregation of the rows.
+    shifted = [
+        (F.col(c) + F.coalesce(F.col(f"{c}_before"), F.lit(0))).alias(f"{c}_so_far")
+        for c in counts
+    ]
     return (
-        running.join(earlier, [*by, "initial"])
-        .select(
-            *by, "subject",
-            *[(F.col(c) + F.col(f"{c}_before")).alias(f"{c}_so_far") for c in counts],
-        )
+        running.join(earlier, [*by, "initial"], "left")
+        .select(*by, "subject", *shifted)
         .withColumn("acc_so_far", F.try_divide("correct_so_far", "num_q_so_far"))
     )
 

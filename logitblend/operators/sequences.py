@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logitblend.functions import vectors
 from logitblend.functions.text import collapse_whitespace, token_text
 from logitblend.operators.dimensions import dimension, join_dimension
+from logitblend.sources.shared import written
 
 
 def assemble(
@@ -44,8 +45,10 @@ def left_pad(
     """Pad every sequence of a batch on the left to the batch's longest, with a mask.
 
     The longest length is an aggregate per batch joined back: a window over the
-    batch would bring a large batch into one task."""
-    widths = sequences.groupBy(batch).agg(F.max(F.size(ids)).alias("width"))
+    batch would bring a large batch into one task.  The lengths are written
+    out, so that measuring them for the join is not another scan."""
+    lengths = sequences.groupBy(batch).agg(F.max(F.size(ids)).alias("width"))
+    widths = written(lengths, "widths")
     padded = join_dimension(sequences, dimension(widths), [batch], "inner", [ids])
     return padded.withColumn(
         "mask", vectors.left_pad_mask(F.col(ids), F.col("width"))

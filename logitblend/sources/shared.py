@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
@@ -19,3 +19,12 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="logitblend-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(table: DataFrame, purpose: str) -> DataFrame:
+    """The table written once below the shared folder and read back, so that
+    what uses it twice does not compute it twice."""
+    spark = table.sparkSession
+    folder = shared_folder(spark, purpose)
+    table.write.parquet(folder)
+    return spark.read.schema(table.schema).parquet(folder)

@@ -170,12 +170,16 @@ WITH solutions AS (
 
 def extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     solution = F.col("text")
-    cut = text.cut_at_markers(solution)
-    kept = answers.clean_solution(solution, "whitelist")
-    return _solutions(spark, sf_dir).select(
+    parts = _solutions(spark, sf_dir).withColumns(
+        {
+            "cut": text.cut_at_markers(solution),
+            "kept": answers.clean_solution(solution, "whitelist"),
+        }
+    )
+    return parts.select(
         "l_orderkey", "l_linenumber", "l_partkey",
-        defined(answers.extract_number(cut)).alias("number"),
-        defined(answers.extract_number(kept)).alias("whitelist_number"),
+        defined(answers.extract_number(F.col("cut"))).alias("number"),
+        defined(answers.extract_number(F.col("kept"))).alias("whitelist_number"),
         defined(answers.extract_number(solution, answers.NUMBER_PATTERNS)).alias("table_number"),
         defined(answers.extract_number_after_marker(solution)).alias("earlier_number"),
     )

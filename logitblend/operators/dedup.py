@@ -8,6 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Longer keys are shuffled as a digest.
+LONGEST_PLAIN_KEY = 64
+_KEY = ["_key_bytes", "_key"]
+
+
+def compact_key(text: Column) -> list[Column]:
+    """Stand-in for a question text as a grouping key: its length, with the text
+    itself where short, else its SHA-256.  A rendered few-shot prompt takes
+    kilobytes; shuffling it would move most of the result table."""
+    size = F.octet_length(text)
+    digest = F.when(size <= LONGEST_PLAIN_KEY, text).otherwise(F.sha2(text, 256))
+    return [size.alias(_KEY[0]), digest.alias(_KEY[1])]
+
+
 def first_rows(rows: DataFrame, key: Sequence[str], order: str = "seq") -> DataFrame:
     """The first whole row of each key.  The rank limit also runs before the
     shuffle, so at most one row per key and map task is moved."""
@@ -21,13 +35,20 @@ def first_rows(rows: DataFrame, key: Sequence[str], order: str = "seq") -> DataF
 
 def first_values(
     rows: DataFrame,
-    key: Sequence[str],
+    question: str,
     values: Mapping[str, Column],
+    by: Sequence[str] = (),
     order: str = "seq",
 ) -> DataFrame:
-    """For each key, the given values of its first row.  An aggregate with
-    partial results per map task: a key holding much of the table costs no more
-    than any other, and with fixed-width values it is hash-based."""
-    return rows.groupBy(*key).agg(
-        *[F.min_by(value, order).alias(name) for name, value in values.items()]
+    """For each question text (within the ``by`` columns) the given values of its
+    first row.  An aggregate with partial results per map task: a question
+    holding much of the table costs no more than any other, and with
+    fixed-width values it is hash-based."""
+    narrow = rows.select(
+        *by,
+        *compact_key(F.col(question)),
+        F.col(order).alias("_order"),
+        *[value.alias(name) for name, value in values.items()],
     )
+    firsts = [F.min_by(name, "_order").alias(name) for name in values]
+    return narrow.groupBy(*by, *_KEY).agg(*firsts).drop(*_KEY)

@@ -52,6 +52,14 @@ def dimension(table: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> Dimensi
     return dimensions(table, max_bytes=max_bytes)[0]
 
 
+def salt(spread_by: Sequence[str | Column]) -> Column:
+    """A repeatable salt for rows sharing a join key.  The row hash spreads
+    rows that differ, the partition number spreads copies of one row.  Both stay
+    the same when a lost task is run again, so no row is lost or doubled."""
+    mixed = F.xxhash64(*spread_by) + F.spark_partition_id()
+    return F.pmod(mixed, F.lit(SALTS)).cast("int")
+
+
 def join_dimension(
     facts: DataFrame,
     dim: DataFrame | Dimension,
@@ -63,17 +71,14 @@ def join_dimension(
 
     A table measured as small is broadcast, so the facts do not move.  A larger
     one is copied once per salt, and facts with the same key go to different
-    tasks by a hash of ``spread_by`` (by default all their other columns), which
-    gives the same salt when a lost task is run again.
-    """
+    tasks by a salt over ``spread_by`` (by default all their other columns)."""
     if isinstance(dim, DataFrame):
         dim = dimension(dim)
     on = list(on)
     if dim.small:
         return facts.join(F.broadcast(dim.table), on, how)
     spread = list(spread_by or [c for c in facts.columns if c not in on] or on)
-    salted = facts.withColumn(_SALT, F.pmod(F.xxhash64(*spread), F.lit(SALTS)).cast("int"))
     copies = dim.table.withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    return salted.join(copies, on + [_SALT], how).drop(_SALT)
+    return facts.withColumn(_SALT, salt(spread)).join(copies, on + [_SALT], how).drop(_SALT)

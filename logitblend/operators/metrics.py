@@ -44,7 +44,7 @@ def _accuracy(hits: DataFrame, by: Sequence[str]) -> DataFrame:
 def _first_hits(
     rows: DataFrame, key: str, hit: Column, by: Sequence[str], order: str
 ) -> DataFrame:
-    return first_values(rows, [*by, key], {"hit": hit.cast("int")}, order)
+    return first_values(rows, key, {"hit": hit.cast("int")}, by, order)
 
 
 def math_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str = "seq") -> DataFrame:
@@ -148,12 +148,8 @@ def text_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def subject_hits(rows: DataFrame, by: Sequence[str] = (), order: str = "seq") -> DataFrame:
     """Counts per subject after removing repeated questions over all subjects.
     A repeated question counts for the subject it is first seen in."""
-    first = first_values(
-        rows,
-        [*by, "question"],
-        {"subject": F.col("subject"), "hit": _choice_hit().cast("int")},
-        order,
-    )
+    values = {"subject": F.col("subject"), "hit": _choice_hit().cast("int")}
+    first = first_values(rows, "question", values, by, order)
     return _accuracy(first, [*by, "subject"])
 
 

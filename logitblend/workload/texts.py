@@ -93,13 +93,12 @@ outputs AS (
 
 
 def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    output = F.col("text")
-    cleaned = text.collapse_whitespace(output)
-    return _outputs(spark, sf_dir).select(
-        "kind", "id", "turn",
-        cleaned.alias("collapsed"),
+    output, collapsed = F.col("text"), F.col("collapsed")
+    rows = _outputs(spark, sf_dir).withColumn("collapsed", text.collapse_whitespace(output))
+    return rows.select(
+        "kind", "id", "turn", "collapsed",
         text.strip(output).alias("stripped"),
-        text.cut_at_markers(cleaned, explanation=False).alias("before_question"),
+        text.cut_at_markers(collapsed, explanation=False).alias("before_question"),
         text.cut_at_markers(output).alias("before_markers"),
         text.cut_trailers(output).alias("without_trailers"),
         text.keep_numeric_chars(output).alias("numeric_chars"),

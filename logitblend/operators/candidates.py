@@ -7,6 +7,7 @@ here grows with the data.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -20,9 +21,20 @@ from logitblend.schemas import STEP_KEYS
 MODEL_KEYS = [*STEP_KEYS, "model"]
 
 
+def stored_top(logits: DataFrame, k: int) -> str | None:
+    """The narrowest column ``top_<n>`` holding at least k ranked entries."""
+    sizes = [int(c[4:]) for c in logits.columns if re.fullmatch(r"top_\d+", c)]
+    return f"top_{min(n for n in sizes if n >= k)}" if any(n >= k for n in sizes) else None
+
+
 def top_k_rows(logits: DataFrame, k: int = 10) -> DataFrame:
-    """One row per (step, model) with its ranked entries; a projection of the scan."""
-    return logits.select(*MODEL_KEYS, vectors.top_k(F.col("logits"), k).alias("top"))
+    """One row per (step, model) with its ranked entries; a projection of the scan.
+
+    Where the table was written with ranked entries, only those are read, not
+    the vectors."""
+    stored = stored_top(logits, k)
+    top = F.slice(stored, 1, k) if stored else vectors.top_k(F.col("logits"), k)
+    return logits.select(*MODEL_KEYS, top.alias("top"))
 
 
 def unpack(rows: DataFrame) -> DataFrame:

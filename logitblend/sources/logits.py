@@ -1,25 +1,31 @@
 """Storage of logged logits.
 
-A blend reads each vector twice: for its top k, and for the tokens other models
-propose.  With the table bucketed by the step keys all vectors of a step lie in
-the same bucket, and neither the vectors nor the candidates are shuffled.
+A blend needs each vector twice: for its top k, and for the tokens other models
+propose.  In a table written here all vectors of a step lie in the same bucket,
+so neither vectors nor candidates are shuffled, and the top k is a narrow column
+of its own, so the vectors are read once.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logitblend.functions import vectors
 from logitblend.schemas import STEP_KEYS
 
 
 def write_bucketed(
-    logits: DataFrame, table: str, buckets: int, path: str | None = None
+    logits: DataFrame, table: str, buckets: int, path: str | None = None, k: int = 10
 ) -> None:
-    """Write dense logits bucketed by step.  The one shuffle of the wide rows
-    happens here, once, instead of in every query.  Size buckets so that one
-    holds about 1 GB: 100 TB is some 100,000 buckets."""
+    """Write dense logits bucketed by step, with the ranked top k of each vector
+    in ``top_<k>``.
+
+    The one shuffle of the wide rows happens here, once, instead of in every
+    query.  Size buckets so that one holds about 1 GB."""
+    ranked = logits.withColumn(f"top_{k}", vectors.top_k(F.col("logits"), k))
     writer = (
-        logits.repartition(buckets, *STEP_KEYS)
+        ranked.repartition(buckets, *STEP_KEYS)
         .write.mode("overwrite")
         .format("parquet")
         .bucketBy(buckets, *STEP_KEYS)

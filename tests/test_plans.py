@@ -1,5 +1,6 @@
 """What the plans look like, and joins under skew."""
 
+import re
 from dataclasses import replace
 
 import pytest
@@ -56,11 +57,25 @@ def test_blend_of_bucketed_logits_shuffles_nothing(spark, case, tmp_path):
     logit_tables.write_bucketed(logits, "bucketed_logits", 4, str(tmp_path / "t"))
     stored = logit_tables.read_bucketed(spark, "bucketed_logits")
     blended = ensemble.picks(stored, vocab, subtokens, profiles, colocated=True)
-    assert not [s for s in shuffles(plan_of(blended)) if "example_id" in s]
+    plan = plan_of(blended)
+    assert not [s for s in shuffles(plan) if "example_id" in s]
+    scans = re.findall(r"FileScan parquet \S*bucketed_logits\[([^\]]*)\]", plan)
+    assert len(scans) == 2 and sum("logits#" in columns for columns in scans) == 1
     plain = ensemble.picks(logits, vocab, subtokens, profiles)
     assert sorted(map(str, blended.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_stored_top_k_serves_smaller_k_only(spark, case, tmp_path):
+    logits = case[0]
+    logit_tables.write_bucketed(logits, "ranked_logits", 2, str(tmp_path / "t"), k=6)
+    stored = logit_tables.read_bucketed(spark, "ranked_logits")
+    assert [candidates.stored_top(stored, k) for k in (3, 6, 7)] == ["top_6", "top_6", None]
+    for k in (3, 7):
+        got = candidates.top_k(stored, k)
+        assert sorted(map(str, got.collect())) == sorted(
+            map(str, candidates.top_k(logits, k).collect()))
+
+
 def test_first_values_is_hash_based(spark):
     rows = spark.createDataFrame([(1, "a", 1)], "seq int, question string, hit int")
     plan = plan_of(dedup.first_values(rows, "question", {"hit": F.col("hit")}))

@@ -17,9 +17,19 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
 }
 
+# For scanning vocabulary-sized vectors from files with large row groups: rows are
+# decoded in batches, and a batch of the usual 4,096 takes gigabytes per task.
+# Tables written by ``sources.logits`` do not need it.
+WIDE_VECTOR_SETTINGS = {
+    "spark.sql.parquet.columnarReaderBatchSize": "64",
+    "spark.sql.files.maxPartitionBytes": "1g",
+}
+
 
-def apply_settings(builder: SparkSession.Builder) -> SparkSession.Builder:
+def apply_settings(
+    builder: SparkSession.Builder, wide_vectors: bool = False
+) -> SparkSession.Builder:
     """Add the settings to a session builder; later ``config`` calls win."""
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | (WIDE_VECTOR_SETTINGS if wide_vectors else {})).items():
         builder = builder.config(key, value)
     return builder

@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from logitblend.functions import vectors
 from logitblend.schemas import STEP_KEYS
 
+#: A scan decodes up to 4,096 rows of a row group at a time, which for vectors of
+#: 128,000 floats is 2 GB per task.  Small row groups bound it for any reader.
+ROW_GROUP_BYTES = 32 << 20
+
 
 def write_bucketed(
     logits: DataFrame, table: str, buckets: int, path: str | None = None, k: int = 10
@@ -29,8 +33,7 @@ def write_bucketed(
         .write.mode("overwrite")
         .format("parquet")
         .bucketBy(buckets, *STEP_KEYS)
-        # Rows are large: bound the row groups by bytes, not by row count.
-        .option("parquet.block.size", str(128 << 20))
+        .option("parquet.block.size", str(ROW_GROUP_BYTES))
     )
     if path:
         writer = writer.option("path", path)

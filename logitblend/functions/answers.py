@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from logitblend.functions.text import (
-    WHITESPACE,
     before_markers,
     clean_number,
     collapse_whitespace,
@@ -17,27 +16,28 @@ from logitblend.functions.text import (
     strip,
 )
 
-# Spellings of a final answer, most trusted first.
-_NUMBER = r"(-?\d+[.,]?\d*)"
+# A number, and the spellings of a final answer, most trusted first.
+NUMBER = r"(-?\d+[.,]?\d*)"
 ANSWER_PATTERNS = (
-    r"####" + WHITESPACE + "*" + _NUMBER,
-    r"\\boxed\{" + _NUMBER + r"\}",
+    r"####(?U:[\s\x1c-\x1f])*(-?\d+[.,]?\d*)",
+    r"\\boxed\{(-?\d+[.,]?\d*)\}",
     r"the answer is (\d+)",
 )
 # The wider table, with currency amounts.
 NUMBER_PATTERNS = (
-    r"\\boxed\{" + _NUMBER + r"\}",
-    r"####" + WHITESPACE + "*" + _NUMBER,
+    r"\\boxed\{(-?\d+[.,]?\d*)\}",
+    r"####(?U:[\s\x1c-\x1f])*(-?\d+[.,]?\d*)",
     r"answer is (\d+)",
-    r"[$\u20ac\u00a3]?" + _NUMBER,
+    r"[$€£]?(-?\d+[.,]?\d*)",
 )
+# The earlier rule's number.
+EARLIER_NUMBER = r"(-?\d*[.,]?\d+)"
 # Gold labels, choice markers and choice letters.
 GOLD_PATTERN = r"(?iu)answer is (-?\d+)"
 STRICT_GOLD_PATTERN = r"#### (-?\d+)"
 LENIENT_GOLD_PATTERN = r"answer is (\d+)"
 CHOICE_MARKERS = ("boxed", "the answer is ", "The answer is ")
 CHOICE_LETTER = r"([A-D])"
-EARLIER_NUMBER = r"(-?\d*[.,]?\d+)"
 
 _NAN = float("nan")
 
@@ -56,7 +56,7 @@ def extract_number(text: Column, patterns: Sequence[str] = ANSWER_PATTERNS) -> C
     number in the text, else NaN.  Pass a column, not a long expression: each
     pattern reads it again."""
     tries = [_last_number(text, p) for p in patterns]
-    return _or_nan(F.coalesce(*tries, _last_number(text, _NUMBER)))
+    return _or_nan(F.coalesce(*tries, _last_number(text, NUMBER)))
 
 
 def extract_number_after_marker(text: Column) -> Column:

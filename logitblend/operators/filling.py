@@ -15,15 +15,12 @@ from logitblend.schemas import STEP_KEYS
 
 
 def vocab_lookup(vocab: DataFrame, normalize_vocab: bool = False) -> DataFrame:
-    """Token to id.  Id 0 stands for an unknown token and is no hit."""
+    """Token to id, by the vocabulary's own spelling (``lookup``) or by the common
+    one (``token``).  Id 0 stands for an unknown token and is no hit."""
     token = F.col("token")
-    return (
-        vocab.filter(F.col("token_id") != 0)
-        .select("model", (normalize_token(token) if normalize_vocab else token).alias("lookup"),
-                "token_id")
-        .groupBy("model", "lookup")
-        .agg(F.min("token_id").alias("vocab_id"))
-    )
+    key = normalize_token(token).alias("token") if normalize_vocab else token.alias("lookup")
+    known = vocab.filter(F.col("token_id") != 0).select("model", key, "token_id")
+    return known.groupBy(*known.columns[:2]).agg(F.min("token_id").alias("vocab_id"))
 
 
 def first_subtokens(subtokens: DataFrame, profiles: Sequence[ModelProfile]) -> DataFrame:
@@ -51,20 +48,24 @@ def resolve_ids(
     lookup = F.when(
         marker.isNotNull(), F.replace(F.col("token"), F.lit(SPACE_MARKER), marker)
     ).otherwise(F.col("token"))
-    own = F.col("token_id").isNotNull()
-    # Own tokens need no lookup; a null key matches nothing.
-    keyed = sets.withColumn("lookup", F.when(~own & (F.col("token") != ""), lookup)).withColumn(
-        "blank_id",
-        F.when(~own & (F.col("token") == ""), per_model(profiles, "blank_id", "int")),
+    own, empty = F.col("token_id").isNotNull(), F.col("token") == ""
+    # Own and empty tokens need no lookup; a null key matches nothing.
+    keyed = sets.withColumn("lookup", F.when(~own & ~empty, lookup))
+    for ids in (vocab_ids, subtoken_ids):
+        columns = ids.table.columns if isinstance(ids, Dimension) else ids.columns
+        key = "lookup" if "lookup" in columns else "token"
+        keyed = join_dimension(keyed, ids, ["model", key], "left", [*STEP_KEYS, "token"])
+    blank_id = per_model(profiles, "blank_id", "int")
+    found = (
+        F.when(own, F.col("token_id"))
+        .when(empty, blank_id)
+        .otherwise(F.coalesce("vocab_id", "subtoken_id"))
     )
-    for table in (vocab_ids, subtoken_ids):
-        keyed = join_dimension(keyed, table, ["model", "lookup"], "left", [*STEP_KEYS, "token"])
-    found = F.coalesce("token_id", "vocab_id", "subtoken_id", "blank_id")
     source = (
         F.when(own, "own")
-        .when(F.col("vocab_id").isNotNull(), "vocab")
-        .when(F.col("subtoken_id").isNotNull(), "subtoken")
-        .when(F.col("blank_id").isNotNull(), "blank")
+        .when(empty & blank_id.isNotNull(), "blank")
+        .when(~empty & F.col("vocab_id").isNotNull(), "vocab")
+        .when(~empty & F.col("subtoken_id").isNotNull(), "subtoken")
         .otherwise("unresolved")
     )
     return keyed.select(

@@ -13,7 +13,10 @@ MAX_PROMPT_BYTES = 16 << 20
 
 def file_order() -> Column:
     """Sorts rows of a scan as they lie in their files, in order of file name.
-    Ids grow along a split, and splits are told apart by where they start."""
+    Ids grow along a split, and splits are told apart by where they start.
+
+    Filters set above a numbered scan cannot move below it; the readers take
+    theirs as ``where``, so that folders are still pruned."""
     return F.struct(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -27,17 +30,24 @@ def subject_of_file() -> Column:
     return F.url_decode(F.regexp_replace(name, r"\.[^.]*$", ""))
 
 
-def read_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def _scan(spark: SparkSession, path: str, schema: str, where: str | Column | None) -> DataFrame:
+    rows = spark.read.schema(schema).json(path)
+    return rows if where is None else rows.filter(where)
+
+
+def read_items(
+    spark: SparkSession, path: str, schema: str, where: str | Column | None = None
+) -> DataFrame:
     """Rows of a question set with their file order in ``seq``."""
-    return spark.read.schema(schema).json(path).select("*", file_order().alias("seq"))
+    return _scan(spark, path, schema, where).select("*", file_order().alias("seq"))
 
 
-def read_subjects(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+def read_subjects(
+    spark: SparkSession, folder: str, schema: str, where: str | Column | None = None
+) -> DataFrame:
     """Rows of all files of a folder; the subject of a row is its file's name."""
-    return (
-        spark.read.schema(schema)
-        .json(folder)
-        .select("*", subject_of_file().alias("subject"), file_order().alias("seq"))
+    return _scan(spark, folder, schema, where).select(
+        "*", subject_of_file().alias("subject"), file_order().alias("seq")
     )
 
 
@@ -57,9 +67,17 @@ def write_results(
     records.write.mode(mode).partitionBy(*partition_by).json(path)
 
 
-def read_results(spark: SparkSession, path: str, task: str) -> DataFrame:
-    """Result records of a task (math, choice or qa).  ``order`` is the written
-    ``seq`` where there is one and the file order for the rest."""
-    rows = spark.read.schema(RESULTS[task]).json(path)
+def read_results(
+    spark: SparkSession,
+    path: str,
+    task: str,
+    where: str | Column | None = None,
+    numbered: bool = False,
+) -> DataFrame:
+    """Result records of a task (math, choice or qa).  Files written elsewhere may
+    lack ``seq``; ``numbered`` adds ``order``, by ``seq`` and then by file order."""
+    rows = _scan(spark, path, RESULTS[task], where)
+    if not numbered:
+        return rows
     order = F.struct(F.col("seq").alias("seq"), file_order().alias("at"))
     return rows.select("*", order.alias("order"))

@@ -102,12 +102,15 @@ def _union_sql(n: int) -> str:
     return ensemble_sql(n) + "SELECT run, example_id, step, token FROM joint"
 
 
-def _sets(spark: SparkSession, sf_dir: str, n: int, literal_skip: bool = False) -> DataFrame:
+def _sets(
+    spark: SparkSession, sf_dir: str, n: int, literal_skip: bool = False, **options
+) -> DataFrame:
     return ensemble.filled_sets(
         inputs.logits(spark, sf_dir, n),
         inputs.vocab(spark, sf_dir, n),
         inputs.subtokens(spark, sf_dir, n),
         inputs.profiles(n, literal_skip),
+        **options,
     )
 
 
@@ -119,10 +122,10 @@ FROM sets
 """
 
 
-def _fill(n: int, literal_skip: bool):
+def _fill(n: int, literal_skip: bool = False, **options):
     def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
         score = F.coalesce(F.round("score", 6), F.lit(-99.0)).alias("score")
-        return _sets(spark, sf_dir, n, literal_skip).select(
+        return _sets(spark, sf_dir, n, literal_skip, **options).select(
             *MODEL_KEYS, "token", "pos", _id("token_id"), "source", "repeated", score
         )
 
@@ -309,8 +312,9 @@ QUERIES = {
     "token_normalize_collapse": token_normalize_collapse,
     "union_vocab_2": _union(2),
     "union_vocab_3": _union(3),
-    "fill_missing": _fill(3, False),
-    "fill_missing_literal": _fill(2, True),
+    "fill_missing": _fill(3),
+    "fill_missing_literal": _fill(2, literal_skip=True),
+    "fill_missing_normalized": _fill(3, normalize_vocab=True),
     "union_softmax": union_softmax,
     "vector_softmax": vector_softmax,
     "drop_token": drop_token,
@@ -331,7 +335,8 @@ ORACLES = {
     "union_vocab_2": _union_sql(2),
     "union_vocab_3": _union_sql(3),
     "fill_missing": ensemble_sql(3) + _SET_SQL,
-    "fill_missing_literal": ensemble_sql(2, True) + _SET_SQL,
+    "fill_missing_literal": ensemble_sql(2, literal_skip=True) + _SET_SQL,
+    "fill_missing_normalized": ensemble_sql(3, normalize=True) + _SET_SQL,
     "union_softmax": UNION_SOFTMAX,
     "vector_softmax": VECTOR_SOFTMAX,
     "drop_token": DROP_TOKEN,

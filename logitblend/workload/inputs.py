@@ -106,7 +106,7 @@ def subtokens(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     )
 
 
-def ensemble_sql(n: int, literal_skip: bool = False) -> str:
+def ensemble_sql(n: int, literal_skip: bool = False, normalize: bool = False) -> str:
     """The whole computation as common table expressions, from logits to picks."""
     models = ", ".join(f"({m}, {FACTORS[m]})" for m in range(1, n + 1))
     profile_rows = ", ".join(
@@ -121,6 +121,9 @@ def ensemble_sql(n: int, literal_skip: bool = False) -> str:
         for p in profiles(n, literal_skip)
     )
     keys = "run, example_id, step"
+    spelled = (
+        f"replace(replace(replace(token, '{UNDERSCORE}', '{SPACE}'), '<0x0A>', '/n'), 'Ċ', '/n')"
+    )
     return f"""
 WITH models(model, factor) AS (VALUES {models}),
 profile(model, marker, blank_id, dedup_ids, blank_skip, weight) AS (VALUES {profile_rows}),
@@ -158,6 +161,9 @@ pieces AS (
   FROM words JOIN profile USING (model) WHERE number % 7 = 1
   UNION ALL SELECT model, token, 1, number % width FROM words
   UNION ALL SELECT model, token, 2, (number + 1) % width FROM words),
+known AS (
+  SELECT model, {spelled if normalize else "token"} AS key, min(token_id) AS token_id
+  FROM vocab WHERE token_id <> 0 GROUP BY ALL),
 fallback AS (
   SELECT model, token, arg_min(token_id, pos) AS subtoken_id
   FROM pieces JOIN profile USING (model)
@@ -168,8 +174,7 @@ ranked AS (
   FROM logit),
 top AS (SELECT * FROM ranked WHERE pos <= 10),
 spelled AS (
-  SELECT t.*, replace(replace(replace(v.token, '{UNDERSCORE}', '{SPACE}'),
-                      '<0x0A>', '/n'), 'Ċ', '/n') AS token
+  SELECT t.*, {spelled} AS token
   FROM top t JOIN vocab v USING (model, token_id)),
 own AS (
   SELECT {keys}, model, token, min(pos) AS pos, arg_max(logit, pos) AS logit,
@@ -196,7 +201,7 @@ resolved AS (
               WHEN f.subtoken_id IS NOT NULL THEN 'subtoken'
               ELSE 'unresolved' END AS source
   FROM missing m
-  LEFT JOIN vocab v ON v.model = m.model AND v.token = m.lookup AND v.token_id <> 0
+  LEFT JOIN known v ON v.model = m.model AND v.key = m.{"token" if normalize else "lookup"}
   LEFT JOIN fallback f ON f.model = m.model AND f.token = m.lookup),
 filled AS (
   SELECT r.*, l.logit FROM resolved r LEFT JOIN logit l USING ({keys}, model, token_id)),

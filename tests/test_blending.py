@@ -256,7 +256,7 @@ def test_merged_spellings_keep_first_place_and_last_score(spark):
 def test_normalised_vocabulary_finds_newline(spark):
     vocab = spark.createDataFrame([(1, 1, "Ċ"), (1, 2, "<0x0A>"), (1, 0, "zero")], VOCAB)
     plain = {r["lookup"]: r["vocab_id"] for r in filling.vocab_lookup(vocab).collect()}
-    common = {r["lookup"]: r["vocab_id"] for r in filling.vocab_lookup(vocab, True).collect()}
+    common = {r["token"]: r["vocab_id"] for r in filling.vocab_lookup(vocab, True).collect()}
     assert plain == {"Ċ": 1, "<0x0A>": 2} and common == {"/n": 1}
 
 

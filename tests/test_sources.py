@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logitblend.operators import dedup, fewshot, metrics
-from logitblend.plans import subjects
+from logitblend.plans import evaluation, subjects
 from logitblend.schemas import MATH_ITEM, QA_ITEM
 from logitblend.sources import jsonl, runs, shared
 
@@ -85,7 +85,7 @@ def test_results_with_nan_literals(spark, tmp_path):
         '{"question": "q", "original_sln": "a", "pred_solution": "", "pred": NaN, "label": NaN}\n'
         '{"question": "q", "original_sln": "a", "pred_solution": "", "pred": 1.0, "label": 1.0}\n'
         '{"question": "q", "original_sln": "b", "pred_solution": "", "pred": 2, "label": 2.0}\n')
-    rows = jsonl.read_results(spark, str(path.parent), "math")
+    rows = jsonl.read_results(spark, str(path.parent), "math", numbered=True)
     assert math.isnan(rows.orderBy("order").first()["pred"])
     got = metrics.math_accuracy(rows, order="order").first()
     assert (got["num_q"], got["correct"]) == (2, 1)
@@ -106,6 +106,25 @@ def test_append_and_partitioned_results(spark, tmp_path):
     assert "é" in "".join(p.read_text("utf-8") for p in tmp_path.glob("out/*/*.json"))
 
 
+def test_results_by_dataset(spark, tmp_path):
+    items = spark.createDataFrame(
+        [(1, "gsm", "p1", "#### 4", "#### 4"), (2, "gsm", "p2", "#### 5", "none"),
+         (3, "other", "p1", "#### 4", "4.")],
+        "seq bigint, dataset string, prompt string, answer string, output string")
+    records = evaluation.records(items, "math", "strict", extra=["seq", "dataset"])
+    jsonl.write_results(records, str(tmp_path / "r"), "append", partition_by=("dataset",))
+    back = jsonl.read_results(spark, str(tmp_path / "r"), "math")
+    got = evaluation.score(back, "math", by=["dataset"]).collect()
+    assert {r["dataset"]: (r["num_q"], r["correct"]) for r in got} == {"gsm": (2, 1), "other": (1, 1)}
+    for part in (
+        back.filter("dataset = 'gsm'"),
+        jsonl.read_results(spark, str(tmp_path / "r"), "math", "dataset = 'gsm'", numbered=True),
+    ):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(dataset" in plan
+        assert part.count() == 2
+
+
 @pytest.mark.parametrize(
     "path, task, scorers, baseline",
     [

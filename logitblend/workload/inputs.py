@@ -71,7 +71,7 @@ def vocab(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     plain = F.concat(F.lit("t"), number)
     token = (
         F.when((number == 13) & (F.col("model") == 1), "")
-        .when(number == 20, F.when(odd, "Ċ").otherwise("<0x0A>"))
+        .when(number == 14, F.when(odd, "Ċ").otherwise("<0x0A>"))
         .when((number == 15) & ~odd, f"{SPACE}t8")
         .when(number % 7 == 1, F.concat(marker, plain))
         .otherwise(plain)
@@ -90,7 +90,7 @@ def subtokens(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     marked = number % 7 == 1
     marker = F.when(F.col("model") == 2, UNDERSCORE).otherwise(SPACE)
     token = (
-        F.when(number == 20, "/n")
+        F.when(number == 14, "/n")
         .when(marked, F.concat(marker, F.lit("t"), number))
         .otherwise(F.concat(F.lit("t"), number))
     )
@@ -142,7 +142,7 @@ vocab0 AS (
 vocab AS (
   SELECT model, token_id,
          CASE WHEN number = 13 AND model = 1 THEN ''
-              WHEN number = 20 THEN CASE WHEN model % 2 = 1 THEN 'Ċ' ELSE '<0x0A>' END
+              WHEN number = 14 THEN CASE WHEN model % 2 = 1 THEN 'Ċ' ELSE '<0x0A>' END
               WHEN number = 15 AND model % 2 = 0 THEN '{SPACE}t8'
               WHEN number % 7 = 1
               THEN CASE WHEN model % 2 = 1 THEN '{SPACE}' ELSE '{UNDERSCORE}' END || 't' || number
@@ -150,7 +150,7 @@ vocab AS (
   FROM vocab0),
 words AS (
   SELECT model, number, width,
-         CASE WHEN number = 20 THEN '/n'
+         CASE WHEN number = 14 THEN '/n'
               WHEN number % 7 = 1
               THEN CASE WHEN model = 2 THEN '{UNDERSCORE}' ELSE '{SPACE}' END || 't' || number
               ELSE 't' || number END AS token

@@ -52,12 +52,17 @@ def dimension(table: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> Dimensi
     return dimensions(table, max_bytes=max_bytes)[0]
 
 
-def salt(spread_by: Sequence[str | Column]) -> Column:
+def salt(spread_by: Sequence[str | Column], keys: Sequence[str] = ()) -> Column:
     """A repeatable salt for rows sharing a join key.  The row hash spreads
     rows that differ, the partition number spreads copies of one row.  Both stay
-    the same when a lost task is run again, so no row is lost or doubled."""
+    the same when a lost task is run again, so no row is lost or doubled.
+
+    Rows with a null key match nothing; they get salts outside the range of the
+    copies, and many more of them, so that they are spread as well."""
     mixed = F.xxhash64(*spread_by) + F.spark_partition_id()
-    return F.pmod(mixed, F.lit(SALTS)).cast("int")
+    matching = F.pmod(mixed, F.lit(SALTS)).cast("int")
+    unmatched = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys], F.lit(False))
+    return F.when(unmatched, -1 - F.pmod(mixed, F.lit(1 << 20)).cast("int")).otherwise(matching)
 
 
 def join_dimension(
@@ -81,4 +86,4 @@ def join_dimension(
     copies = dim.table.withColumn(
         _SALT, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
     )
-    return facts.withColumn(_SALT, salt(spread)).join(copies, on + [_SALT], how).drop(_SALT)
+    return facts.withColumn(_SALT, salt(spread, on)).join(copies, on + [_SALT], how).drop(_SALT)

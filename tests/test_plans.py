@@ -108,6 +108,18 @@ def test_salts_spread_a_hot_key_and_even_its_copies(spark):
     assert first == sorted(r["s"] for r in copies.collect()), "the same when run again"
 
 
+def test_rows_without_a_key_are_spread_and_kept(spark):
+    facts = spark.range(5000).select(
+        F.col("id").alias("n"), F.when(F.col("id") < 10, F.col("id")).alias("k"))
+    table = spark.range(20).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+    large = dimensions.Dimension(table, False)
+    joined = dimensions.join_dimension(facts, large, ["k"], "left")
+    assert joined.count() == 5000 and joined.filter("v IS NOT NULL").count() == 10
+    assert dimensions.join_dimension(facts, large, ["k"], "inner").count() == 10
+    salts = facts.filter("k IS NULL").select(dimensions.salt(["n"], ["k"]).alias("s"))
+    assert salts.distinct().count() > 4900 and salts.agg(F.max("s")).first()[0] < 0
+
+
 def test_blend_with_large_lookup_tables(spark, case):
     logits, vocab, subtokens = case
     profiles = uniform_weights(PROFILES[:2])

@@ -2,7 +2,8 @@
 
 Candidate tables are long: one row per (step, model, token).  Steps are told
 apart by ``STEP_KEYS``; a step has at most (models x k) candidates, so no group
-here grows with the data.
+here grows with the data.  That rests on one vector per step and model, which
+:func:`faulty_keys` checks.
 """
 
 from __future__ import annotations
@@ -21,6 +22,15 @@ from logitblend.schemas import STEP_KEYS
 MODEL_KEYS = [*STEP_KEYS, "model"]
 
 
+def faulty_keys(logits: DataFrame) -> DataFrame:
+    """Steps at which a model has more than one vector, and keys with nulls, which
+    no join would find again.  Reads the key columns only, and counts before it
+    shuffles."""
+    missing = F.greatest(*[F.col(c).isNull() for c in MODEL_KEYS])
+    counted = logits.groupBy(*MODEL_KEYS).agg(F.count(F.lit(1)).alias("vectors"))
+    return counted.filter((F.col("vectors") > 1) | missing)
+
+
 def stored_top(logits: DataFrame, k: int) -> str | None:
     """The narrowest column ``top_<n>`` holding at least k ranked entries."""
     sizes = [int(c[4:]) for c in logits.columns if re.fullmatch(r"top_\d+", c)]

@@ -12,6 +12,9 @@ from logitblend.functions.text import collapse_whitespace, token_text
 from logitblend.operators.dimensions import dimension, join_dimension
 from logitblend.sources.shared import written
 
+#: More decode steps than any model generates for one example.
+MAX_STEPS = 1 << 20
+
 
 def assemble(
     picks: DataFrame,
@@ -22,8 +25,12 @@ def assemble(
 ) -> DataFrame:
     """One row per example with its ids in step order and the readable text.
 
-    A group has one entry per decode step, bounded by the generation length."""
-    entry = [F.col(step).alias("step"), F.col(token).alias("token")]
+    Picks have one row per step, so with steps below ``MAX_STEPS``, which every
+    row is checked for, no group is longer than that."""
+    number = F.col(step)
+    too_far = F.raise_error(F.concat(F.lit("step out of range: "), number.cast("string")))
+    checked = F.when(number.between(0, MAX_STEPS - 1), number).otherwise(too_far.cast("bigint"))
+    entry = [checked.alias("step"), F.col(token).alias("token")]
     if token_id is not None:
         entry.append(F.col(token_id).alias("id"))
     steps = F.array_sort(F.collect_list(F.struct(*entry)))

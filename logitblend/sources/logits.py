@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logitblend.functions import vectors
+from logitblend.operators.candidates import faulty_keys
 from logitblend.schemas import STEP_KEYS
 
 #: A scan decodes up to 4,096 rows of a row group at a time, which for vectors of
@@ -26,7 +27,11 @@ def write_bucketed(
     in ``top_<k>``.
 
     The one shuffle of the wide rows happens here, once, instead of in every
-    query.  Size buckets so that one holds about 1 GB."""
+    query.  Size buckets so that one holds about 1 GB.  A step logged twice by one
+    model is refused: which vector counts is not ours to say."""
+    fault = faulty_keys(logits).first()
+    if fault is not None:
+        raise ValueError(f"not one vector per step and model: {fault.asDict()}")
     ranked = logits.withColumn(f"top_{k}", vectors.top_k(F.col("logits"), k))
     writer = (
         ranked.repartition(buckets, *STEP_KEYS)

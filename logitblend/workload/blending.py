@@ -91,7 +91,7 @@ def _union(n: int):
     def union_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
         return candidates.union_tokens(
             ensemble.own_candidates(
-                inputs.logits(spark, sf_dir, n), inputs.vocab(spark, sf_dir, n)
+                inputs.logits(spark, sf_dir, n), inputs.vocab(spark, n)
             )
         )
 
@@ -107,8 +107,8 @@ def _sets(
 ) -> DataFrame:
     return ensemble.filled_sets(
         inputs.logits(spark, sf_dir, n),
-        inputs.vocab(spark, sf_dir, n),
-        inputs.subtokens(spark, sf_dir, n),
+        inputs.vocab(spark, n),
+        inputs.subtokens(spark, n),
         inputs.profiles(n, literal_skip),
         **options,
     )
@@ -178,8 +178,8 @@ SELECT vec_id, i, round(e / sum(e) OVER (PARTITION BY vec_id), 9) AS p FROM exps
 def _picks(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
     return ensemble.picks(
         inputs.logits(spark, sf_dir, n),
-        inputs.vocab(spark, sf_dir, n),
-        inputs.subtokens(spark, sf_dir, n),
+        inputs.vocab(spark, n),
+        inputs.subtokens(spark, n),
         inputs.profiles(n),
     )
 
@@ -213,8 +213,8 @@ def _mean(n: int):
     def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
         return ensemble.blended(
             inputs.logits(spark, sf_dir, n),
-            inputs.vocab(spark, sf_dir, n),
-            inputs.subtokens(spark, sf_dir, n),
+            inputs.vocab(spark, n),
+            inputs.subtokens(spark, n),
             inputs.profiles(n),
         ).select(*STEP_KEYS, "token", _rounded("p"), "n_models")
 

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from logitblend.profiles import UNDERSCORE_MARKER, ModelProfile, uniform_weights
 
 STEPS = 4
+#: Entries of a vector, and so of a vocabulary.
+WIDTH = 64
 MODULUS = 97
 FACTORS = {1: 1, 2: 7, 3: 11}
 SPACE, UNDERSCORE = "Ġ", UNDERSCORE_MARKER
@@ -60,11 +62,11 @@ def _models(n: int) -> Column:
     return F.explode(F.array(*[F.lit(m) for m in range(1, n + 1)])).alias("model")
 
 
-def _width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").agg(F.max(F.size("embedding")).alias("width"))
+def _numbers(spark: SparkSession, n: int, name: str, models: int) -> DataFrame:
+    return spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias(name), _models(models))
 
 
-def vocab(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+def vocab(spark: SparkSession, n: int) -> DataFrame:
     number = F.col("number")
     odd = F.col("model") % 2 == 1
     marker = F.when(odd, SPACE).otherwise(UNDERSCORE)
@@ -77,16 +79,14 @@ def vocab(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
         .otherwise(plain)
     )
     return (
-        _width(spark, sf_dir)
-        .select(F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("token_id"))
-        .select("token_id", _models(n))
+        _numbers(spark, WIDTH, "token_id", n)
         .withColumn("number", F.col("token_id") * _by_model(FACTORS) % MODULUS)
         .select("model", "token_id", token.alias("token"))
     )
 
 
-def subtokens(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    number, width = F.col("number"), F.col("width")
+def subtokens(spark: SparkSession, n: int) -> DataFrame:
+    number = F.col("number")
     marked = number % 7 == 1
     marker = F.when(F.col("model") == 2, UNDERSCORE).otherwise(SPACE)
     token = (
@@ -95,13 +95,11 @@ def subtokens(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
         .otherwise(F.concat(F.lit("t"), number))
     )
     lead = _by_model({p.model: 1 if p.blank_id is None else p.blank_id for p in PROFILES})
-    pieces = F.array(number % width, (number + 1) % width)
+    pieces = F.array(number % WIDTH, (number + 1) % WIDTH)
     ids = F.when(marked, F.concat(F.array(lead), pieces)).otherwise(pieces)
     return (
-        _width(spark, sf_dir)
-        .select("width", F.explode(F.sequence(F.lit(0), F.lit(MODULUS - 1))).alias("number"))
+        _numbers(spark, MODULUS, "number", n)
         .filter(~number.isin(13, 95))
-        .select("width", "number", _models(n))
         .select("model", token.alias("token"), F.posexplode(ids).alias("pos", "token_id"))
     )
 
@@ -127,7 +125,7 @@ def ensemble_sql(n: int, literal_skip: bool = False, normalize: bool = False) ->
     return f"""
 WITH models(model, factor) AS (VALUES {models}),
 profile(model, marker, blank_id, dedup_ids, blank_skip, weight) AS (VALUES {profile_rows}),
-width AS (SELECT max(len(embedding)) AS width FROM embeddings),
+width AS (SELECT {WIDTH} AS width),
 raw AS (
   SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS token_id, unnest(embedding) AS x
   FROM embeddings),

@@ -169,8 +169,8 @@ def ensemble_pick_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     picked = ensemble.picks(
         logit_tables.read_bucketed(spark, name),
-        inputs.vocab(spark, sf_dir, 2),
-        inputs.subtokens(spark, sf_dir, 2),
+        inputs.vocab(spark, 2),
+        inputs.subtokens(spark, 2),
         inputs.profiles(2),
         colocated=True,
     )

@@ -319,3 +319,12 @@ def test_assembled_text_and_padding(spark):
                   for r in sequences.left_pad(batches, pad_id=9).collect())
     assert rows == [(1, [1, 2, 3], [1, 1, 1]), (1, [9, 9, 4], [0, 0, 1]),
                     (1, [9, 9, 9], [0, 0, 0]), (2, [5], [1])]
+
+
+@pytest.mark.parametrize("step", [-1, sequences.MAX_STEPS])
+def test_steps_out_of_range_are_refused(spark, step):
+    picks = spark.createDataFrame(
+        [("r", 1, step, "a", 8)],
+        "run string, example_id bigint, step int, next_token string, token_id_1 int")
+    with pytest.raises(Exception, match="step out of range"):
+        sequences.assemble(picks).collect()

@@ -65,6 +65,19 @@ def test_blend_of_bucketed_logits_shuffles_nothing(spark, case, tmp_path):
     assert sorted(map(str, blended.collect())) == sorted(map(str, plain.collect()))
 
 
+def test_faulty_keys_are_refused(spark, case, tmp_path):
+    logits = case[0]
+    assert candidates.faulty_keys(logits).isEmpty()
+    twice = logits.unionByName(logits.filter("step = 1 AND model = 2"))
+    nameless = logits.withColumn("run", F.when(F.col("step") > 0, F.col("run")))
+    assert candidates.faulty_keys(twice).select("step", "model").distinct().collect() == [(1, 2)]
+    assert not candidates.faulty_keys(nameless).isEmpty()
+    plan = plan_of(candidates.faulty_keys(spark.read.schema(logits.schema).parquet(str(tmp_path))))
+    assert "logits" not in re.search(r"ReadSchema: (.*)", plan).group(1)
+    with pytest.raises(ValueError, match="one vector per step"):
+        logit_tables.write_bucketed(twice, "never_written", 2, str(tmp_path / "t"))
+
+
 def test_stored_top_k_serves_smaller_k_only(spark, case, tmp_path):
     logits = case[0]
     logit_tables.write_bucketed(logits, "ranked_logits", 2, str(tmp_path / "t"), k=6)

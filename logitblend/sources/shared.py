@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# The folder of a local session that names none.
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name below the one the cluster names in
     ``spark.checkpoint.dir``.  Only local mode may fall back to a temporary
     folder of the machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="logitblend-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own.get(context.applicationId)
+        if root is None:
+            root = _own[context.applicationId] = tempfile.mkdtemp(prefix="logitblend-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logitblend.sources.shared import written
 
-__all__ = ["fold", "fresh", "integer", "table", "text_of", "written"]
+__all__ = ["field_names", "fold", "fresh", "integer", "over_texts", "table", "text_of", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,3 +44,41 @@ def fold(column: str, modulus: int) -> Column:
 def integer(value: object, default: int = 0) -> int:
     """A number that an aggregate over no rows leaves null."""
     return default if value is None else int(value)
+
+
+def over_texts(
+    docs: DataFrame,
+    text: str,
+    keep: tuple[str, ...] | None,
+    fields: str,
+    prepare: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+) -> DataFrame:
+    """A struct ``row`` of the columns to keep (all, if None) and, for each row, the
+    ``fields`` computed from its text.  ``prepare`` runs once in each task and gives the
+    function from a batch of texts to the arrays of the fields."""
+    columns = docs.columns if keep is None else list(keep)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    inside = columns.index(text) if text in columns and dict(docs.dtypes)[text] == "string" else None
+    rows = docs.select(row) if inside is not None else docs.select(row, F.col(text).cast("string"))
+    names = ["row", *field_names(fields)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compute = prepare()
+        for batch in batches:
+            kept = batch.column(0)
+            texts = batch.column(1) if inside is None else kept.flatten()[inside]
+            yield pa.RecordBatch.from_arrays([kept, *compute(texts)], names=names)
+
+    return rows.mapInArrow(scan, f"row {rows.schema['row'].dataType.simpleString()}, {fields}")
+
+
+def field_names(ddl: str) -> list[str]:
+    """Names of the fields in a list like ``a int, b struct<c: int, d: int>``."""
+    parts, depth = [""], 0
+    for c in ddl:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return [part.split()[0] for part in parts]

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logitblend.llm.common import fresh, integer
+from logitblend.llm.common import fresh, integer, over_texts
 
 WINDOW = 10
 BLOCK_BYTES = 16 << 20
@@ -126,31 +126,27 @@ _FOUND = "words long, spans array<struct<start: int, stop: int>>, items array<st
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def _searched(docs: DataFrame, rest: str, text: str, items: list) -> DataFrame:
-    """``rest`` (a struct of what to keep) and what one block of items hits."""
-    spark = docs.sparkSession
+def _searched(docs: DataFrame, text: str, keep: tuple[str, ...] | None, items: list) -> DataFrame:
+    """What one block of items hits."""
     names = [name for name, _ in items]
-    block = spark.sparkContext.broadcast([(i, t) for i, (_, t) in enumerate(items)])
+    block = docs.sparkSession.sparkContext.broadcast([(i, t) for i, (_, t) in enumerate(items)])
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prepare():
         tables = compiled(block.value)
-        for batch in batches:
-            rows = [search(tables, t) for t in batch.column("text").to_pylist()]
+
+        def find(texts: pa.Array) -> list[pa.Array]:
+            rows = [search(tables, t) for t in texts.to_pylist()]
             listed = [sorted({names[i] for i in f} - {None}) for _, _, f in rows]
             spans = [[{"start": a, "stop": b} for a, b in s] for _, s, _ in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("row"),
-                    pa.array([n for n, _, _ in rows], pa.int64()),
-                    pa.array(spans, _SPANS),
-                    pa.array(listed, pa.list_(pa.string())),
-                ],
-                names=["row", "words", "spans", "items"],
-            )
+            return [
+                pa.array([n for n, _, _ in rows], pa.int64()),
+                pa.array(spans, _SPANS),
+                pa.array(listed, pa.list_(pa.string())),
+            ]
+
+        return find
 
-    kept = docs.select(F.col(rest).alias("row"), F.col(text).cast("string").alias("text"))
-    row_type = kept.schema["row"].dataType.simpleString()
-    return kept.mapInArrow(scan, f"row {row_type}, {_FOUND}")
+    return over_texts(docs, text, keep, _FOUND, prepare)
 
 
 def _union(spans: Column) -> Column:
@@ -191,24 +187,23 @@ def hits(
     weight = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
     total = integer(items.agg(F.sum(weight)).first()[0])
     n_blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    row, number = fresh(docs, "row", "number")
-    whole = docs.withColumn(row, F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]))
+    if n_blocks == 1:
+        return _searched(docs, text, keep, [tuple(r) for r in items.collect()])
+    (number,) = fresh(docs, "number")
+    columns = docs.columns if keep is None else list(keep)
+    numbered = docs.withColumn(number, F.monotonically_increasing_id())
     parts = []
-    if n_blocks > 1:
-        whole = whole.withColumn(number, F.monotonically_increasing_id())
-        whole = whole.withColumn(row, F.struct(F.col(number).alias("n"), F.col(row).alias("row")))
     for k in range(n_blocks):
         mine = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k)
-        parts.append(_searched(whole, row, text, [tuple(r) for r in mine.collect()]))
-    if n_blocks == 1:
-        return parts[0]
+        block = [tuple(r) for r in mine.collect()]
+        parts.append(_searched(numbered, text, (*columns, number), block))
     found = parts[0]
     for part in parts[1:]:
         found = found.unionAll(part)
     return (
-        found.groupBy(F.col("row.n").alias("number"))
+        found.groupBy(F.col(f"row.`{number}`").alias("number"))
         .agg(
-            F.first("row.row").alias("row"),
+            F.struct(*[F.first(f"row.`{c}`").alias(c) for c in columns]).alias("row"),
             F.first("words").alias("words"),
             F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),

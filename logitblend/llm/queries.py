@@ -6,8 +6,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logitblend.llm import decontam, mixing, sharding, simhash
-from logitblend.llm.common import table
+from logitblend.llm import (
+    decontam,
+    mixing,
+    quality,
+    sharding,
+    simhash,
+    substring,
+    suffixes,
+    toxicity,
+)
+from logitblend.llm.common import table, written
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +34,18 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), *decontam.contamination(found))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    stats = written(quality.statistics(docs, keep=("doc_id",)), "statistics")
+    model = quality.fit(quality.labelled(stats, labels, allowed=~quality.held_out()))
+    return quality.scored(stats, model).select(
+        F.col("row.doc_id").alias("doc_id"),
+        quality.held_out("row.doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sharding.into_shards(docs).select(
@@ -43,8 +64,50 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    field = toxicity.fit(toxicity.sample(docs, labels, allowed=~toxicity.held_out()))
+    return toxicity.scored(docs, field, keep=("doc_id",)).select(
+        F.col("row.doc_id").alias("doc_id"),
+        toxicity.held_out("row.doc_id").alias("held_out"),
+        "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        F.transform("spans", lambda s: s["start"]).alias("span_starts"),
+    )
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.deduplicated(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("words").alias("n_words"),
+        F.col("removed").alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.deduplicated(table(spark, sf_dir, "documents"), keep=("doc_id",))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        F.col("bytes").alias("n_bytes"),
+        F.col("removed").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_decontamination, op4_sharding, op5_mixing)
+    for f in (
+        op1_simhash,
+        op2_decontamination,
+        op3_quality,
+        op4_sharding,
+        op5_mixing,
+        op6_toxicity,
+        op8_substring_dedup,
+        op9_suffix_array_dedup,
+    )
 }
 ORACLES: dict[str, str] = {}

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logitblend.llm.common import written
+from logitblend.llm.common import over_texts, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -70,22 +70,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), shingle: int = SHINGLE
+    docs: DataFrame, text: str = "text", keep: tuple[str, ...] | None = None, shingle: int = SHINGLE
 ) -> DataFrame:
-    """The columns to keep, in a struct ``row``, and ``fp``, the fingerprint as a long."""
+    """The columns to keep (all, if None) in a struct ``row``, and ``fp``, the fingerprint
+    as a long."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [fingerprint(t, shingle) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("row"), pa.array(prints, pa.int64())], names=["row", "fp"]
-            )
+    def prepare():
+        return lambda texts: [
+            pa.array([fingerprint(t, shingle) for t in texts.to_pylist()], pa.int64())
+        ]
 
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"),
-        F.col(text).cast("string").alias("text"),
-    )
-    return rows.mapInArrow(scan, f"row {rows.schema['row'].dataType.simpleString()}, fp long")
+    return over_texts(docs, text, keep, "fp long", prepare)
 
 
 class Tree:
@@ -291,8 +286,7 @@ def near_duplicates(
     """For every row: the columns to keep (all, if None) in a struct ``row``; ``fp``;
     ``component``, the smallest key that links reach; ``first``, true for one row of each
     component, one with that key."""
-    columns = tuple(docs.columns) if keep is None else keep
-    prints = fingerprints(docs, text, columns, shingle)
+    prints = fingerprints(docs, text, keep, shingle)
     prints = written(prints.withColumn("n", F.monotonically_increasing_id()), "prints")
     id_ = F.col(f"row.`{key}`")
     order = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.col("n"))

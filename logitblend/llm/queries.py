@@ -3,12 +3,16 @@ parameters for production, and SQL where SQL can say it."""
 
 from __future__ import annotations
 
+import importlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logitblend.llm import (
     decontam,
+    licences,
     mixing,
+    neighbours,
     quality,
     sharding,
     simhash,
@@ -76,6 +80,25 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as files: the path is host and path of the URL, the lines are the runs of text
+    between tags, and a page with a notice for its title is a licence file."""
+    pages = table(spark, sf_dir, "pages").select(
+        "page_id",
+        F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"),
+        F.regexp_replace("html", "<[^>]*>", "\n").alias("text"),
+        F.col("html").rlike("(?i)<title>[^<]*licen[cs]e").alias("speaks"),
+    )
+    found = licences.scan(pages, "path", "text", "speaks", keep=("page_id", "path"))
+    return found.select(
+        F.col("row.page_id").alias("page_id"),
+        F.col("row.path").alias("path"),
+        "licence",
+        F.round("cosine", 9).alias("cosine"),
+        "inherited_from",
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.deduplicated(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return found.select(
@@ -97,6 +120,16 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.neighbours(rows, F.col("vec_id") % 100 == 0)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of ``corpus_pipeline.py``, beside the package."""
+    return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,8 +139,11 @@ QUERIES = {
         op4_sharding,
         op5_mixing,
         op6_toxicity,
+        op7_licences,
         op8_substring_dedup,
         op9_suffix_array_dedup,
+        op10_neighbours,
+        pipeline,
     )
 }
 ORACLES: dict[str, str] = {}

@@ -23,7 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logitblend.llm import windows
+from logitblend.llm.windows import (
+    BLOCK,
+    SPANS_TYPE,
+    Words,
+    common_prefixes,
+    joined,
+    repeats,
+    suffix_array,
+    without,
+)
 
 WINDOW = 50
 GRAM = 10
@@ -76,7 +85,7 @@ class FMIndex:
     """Backward search over texts of numbers."""
 
     def __init__(self, whole: np.ndarray, depth: int):
-        self.order, self.ranks = windows.suffix_array(whole, depth)
+        self.order, self.ranks = suffix_array(whole, depth)
         alphabet = int(whole.max()) + 1
         self.smaller = np.cumsum(np.bincount(whole, minlength=alphabet + 1)) - np.bincount(
             whole, minlength=alphabet + 1
@@ -93,7 +102,7 @@ class FMIndex:
     def intervals(self, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Number of the interval that each suffix is in, by its first ``length``
         symbols, and where the intervals begin (and the last one ends)."""
-        shared = windows.common_prefixes(self.order, self.ranks)
+        shared = common_prefixes(self.order, self.ranks)
         new = shared < length
         return np.cumsum(new) - 1, np.r_[np.flatnonzero(new), len(new)]
 
@@ -107,7 +116,7 @@ def earlier_windows(
     lengths = np.array([len(t) for t in texts])
     if len(texts) < 2:
         return
-    whole, begins = windows.joined(texts, len(numbers))
+    whole, begins = joined(texts, len(numbers))
     index = FMIndex(whole, int(lengths.max()) + 1)
     number, edges = index.intervals(window)
     doc_of = np.repeat(docs, lengths + 1)[index.order]
@@ -168,18 +177,18 @@ def deduplicated(
     keep: tuple[str, ...] | None = None,
     window: int = WINDOW,
     gram: int = GRAM,
-    block: int = windows.BLOCK,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``row`` (the columns to keep, all if None); ``words``, how many the text has;
     ``removed``, how many of them an earlier document has in a window, too; their ``spans``; and
     the ``kept`` words joined by a space, as UTF-8."""
     finder = lambda data, ids, starts: earlier_windows(data, ids, starts, window)
-    found = windows.repeats(
-        docs, key, text, windows.Words, window, gram, in_text=False, find=finder, block=block
+    found = repeats(
+        docs, key, text, Words, window, gram, in_text=False, find=finder, block=block
     )
 
     def compute(texts: list[str | None], all_spans: list[list[dict] | None]) -> list[pa.Array]:
-        symbols = windows.Words()
+        symbols = Words()
         words, removed, joined, kept = [], [], [], []
         for value, spans in zip(texts, all_spans, strict=True):
             own, merged = symbols.split(value), union(spans)
@@ -190,8 +199,8 @@ def deduplicated(
         return [
             pa.array(words, pa.int64()),
             pa.array(removed, pa.int64()),
-            pa.array(joined, windows.SPANS_TYPE),
+            pa.array(joined, SPANS_TYPE),
             pa.array(kept, pa.binary()),
         ]
 
-    return windows.without(docs, found, key, text, keep, FIELDS, compute)
+    return without(docs, found, key, text, keep, FIELDS, compute)

@@ -23,7 +23,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logitblend.llm import windows
+from logitblend.llm.windows import (
+    BLOCK,
+    Bytes,
+    SPANS_TYPE,
+    common_prefixes,
+    joined,
+    repeats,
+    suffix_array,
+    without,
+)
 from logitblend.llm.substring import remaining, union
 
 LENGTH = 100
@@ -91,10 +100,10 @@ def repeated_bytes(
 ) -> Iterator[tuple[int, int, int]]:
     """(segment, from, to): bytes of maximal repeats, at all places but the first."""
     texts = [np.frombuffer(d, np.uint8) for d in data]
-    whole, begins = windows.joined(texts, 256)
+    whole, begins = joined(texts, 256)
     sizes = np.array([len(t) for t in texts])
-    order, ranks = windows.suffix_array(whole, int(sizes.max()) + 1)
-    shared = windows.common_prefixes(order, ranks)
+    order, ranks = suffix_array(whole, int(sizes.max()) + 1)
+    shared = common_prefixes(order, ranks)
     del ranks
     # Suffixes that share `length` bytes with a neighbour, in groups.
     new = shared < length
@@ -140,18 +149,18 @@ def deduplicated(
     keep: tuple[str, ...] | None = None,
     length: int = LENGTH,
     gram: int = GRAM,
-    block: int = windows.BLOCK,
+    block: int = BLOCK,
 ) -> DataFrame:
     """``row`` (the columns to keep, all if None); ``bytes`` of the text; how many are
     ``removed``, as part of a string of ``length`` bytes that occurs earlier; their
     ``spans``, maximal runs; and the bytes ``kept``."""
     finder = lambda data, ids, starts: repeated_bytes(data, ids, starts, length)
-    found = windows.repeats(
-        docs, key, text, windows.Bytes, length, gram, in_text=True, find=finder, block=block
+    found = repeats(
+        docs, key, text, Bytes, length, gram, in_text=True, find=finder, block=block
     )
 
     def compute(texts: list[str | None], all_spans: list[list[dict] | None]) -> list[pa.Array]:
-        symbols = windows.Bytes()
+        symbols = Bytes()
         sizes, removed, joined, kept = [], [], [], []
         for value, spans in zip(texts, all_spans, strict=True):
             own, merged = symbols.split(value), union(spans)
@@ -162,8 +171,8 @@ def deduplicated(
         return [
             pa.array(sizes, pa.int64()),
             pa.array(removed, pa.int64()),
-            pa.array(joined, windows.SPANS_TYPE),
+            pa.array(joined, SPANS_TYPE),
             pa.array(kept, pa.binary()),
         ]
 
-    return windows.without(docs, found, key, text, keep, FIELDS, compute)
+    return without(docs, found, key, text, keep, FIELDS, compute)

@@ -7,8 +7,9 @@
    of the labelled tokens climbs the log-likelihood from the shared weights, and
    the weights of the partitions are averaged.
 3. Forward-backward over every whole text gives each word's probability of the toxic
-   tag.  A document's score is the probability that any word is toxic, calibrated by a
-   logistic curve; its spans are the words above one half.
+   tag.  A document's score is the probability that any of the words above one half (of all,
+   if there are none: the highest) is toxic, calibrated by a logistic curve; its spans are
+   the words above one half.
 
 Training uses at most about ``SAMPLE`` labelled documents, drawn by a hash of the key;
 everything else covers all documents.
@@ -128,8 +129,12 @@ def probabilities(emissions: list[np.ndarray], pairs: np.ndarray) -> list[np.nda
 
 
 def evidence(p: np.ndarray) -> float:
-    """Log odds that any word is toxic, within bounds."""
-    none = float(np.log1p(-np.minimum(p, 1 - 1e-12)).sum()) if len(p) else 0.0
+    """Log odds, within bounds, that any of the tagged words is toxic; of the most suspect
+    word, if none is tagged.  Words that aren't suspect add nothing, however many."""
+    if not len(p):
+        return -15.0
+    tagged = np.minimum(p[p >= 0.5] if p.max() >= 0.5 else p.max(), 1 - 1e-12)
+    none = float(np.log1p(-tagged).sum())
     return min(15.0, max(-15.0, math.log(max(-math.expm1(none), 1e-12)) - none))
 
 

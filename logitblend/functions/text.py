@@ -21,9 +21,10 @@ EXPLANATION_WORD = "Explanation"
 TRAILER = r"(?iu)(Question|Explanation):[^\n]*"
 NOT_NUMERIC = r"[^\p{Nd}.,\-eE/]+"
 
-# Vocabulary spellings of a leading space and of a newline.
-SPACE_MARKER = "\u0120"
-TOKEN_SPELLINGS = (("\u2581", SPACE_MARKER), ("<0x0A>", "/n"), ("\u010a", "/n"))
+# Vocabulary spellings of a leading space and of a newline, and the key
+# under which all vocabularies share them.
+SPACE_MARKER, UNDERSCORE_MARKER = "Ġ", "▁"
+NEWLINES, NEWLINE_KEY = ("<0x0A>", "Ċ"), "/n"
 
 
 def strip(text: Column) -> Column:
@@ -62,7 +63,7 @@ def keep_numeric_chars(text: Column) -> Column:
 
 
 def clean_number(text: Column) -> Column:
-    return strip(F.translate(text, ", ", ""))
+    return strip(F.replace(F.replace(text, F.lit(",")), F.lit(" ")))
 
 
 def word_count(text: Column) -> Column:
@@ -71,15 +72,20 @@ def word_count(text: Column) -> Column:
 
 def normalize_token(token: Column) -> Column:
     """One spelling per token across vocabularies."""
-    for spelling, common in TOKEN_SPELLINGS:
-        token = F.replace(token, F.lit(spelling), F.lit(common))
+    token = F.replace(token, F.lit(UNDERSCORE_MARKER), F.lit(SPACE_MARKER))
+    for newline in NEWLINES:
+        token = F.replace(token, F.lit(newline), F.lit(NEWLINE_KEY))
     return token
 
 
 def token_text(token: Column) -> Column:
-    """Readable text of a vocabulary token."""
-    token = F.replace(normalize_token(token), F.lit(SPACE_MARKER), F.lit(" "))
-    return F.replace(token, F.lit("/n"), F.lit("\n"))
+    """Readable text of a vocabulary token, in its vocabulary's own spelling.  The shared
+    newline key is no spelling: a token like ``/news`` is text as it stands."""
+    for marker in (SPACE_MARKER, UNDERSCORE_MARKER):
+        token = F.replace(token, F.lit(marker), F.lit(" "))
+    for newline in NEWLINES:
+        token = F.replace(token, F.lit(newline), F.lit("\n"))
+    return token
 
 
 def drop_last_char(text: Column) -> Column:

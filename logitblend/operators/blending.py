@@ -86,10 +86,13 @@ def pick(blended: DataFrame) -> DataFrame:
 
 
 def name_picks(picks: DataFrame, vocab: DataFrame | Dimension, model: int) -> DataFrame:
-    """Add ``next_token``: the picked id's token in the first model's own spelling."""
+    """Add ``next_token``: the picked id's token in the first model's own spelling, and
+    ``special`` where the vocabulary marks special tokens."""
+
     def own(table: DataFrame) -> DataFrame:
+        marks = ["special"] if "special" in table.columns else []
         return table.filter(F.col("model") == model).select(
-            F.col("token_id").alias(f"token_id_{model}"), F.col("token").alias("next_token")
+            F.col("token_id").alias(f"token_id_{model}"), F.col("token").alias("next_token"), *marks
         )
 
     names = vocab.reduced(own) if isinstance(vocab, Dimension) else own(vocab)

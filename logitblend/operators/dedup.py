@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
 
 #: Longer keys are shuffled as a digest.
 LONGEST_PLAIN_KEY = 64
@@ -22,10 +22,28 @@ def compact_key(text: Column) -> list[Column]:
     return [size.alias(_KEY[0]), digest.alias(_KEY[1])]
 
 
-def first_rows(rows: DataFrame, key: Sequence[str], order: str = "seq") -> DataFrame:
+def order_column(rows: DataFrame, order: str | None) -> str:
+    """The column that says which row comes first: the one named, else ``order`` as
+    :func:`logitblend.sources.jsonl.read_results` adds it, else ``seq``."""
+    if order is None:
+        order = "order" if "order" in rows.columns else "seq"
+    return order
+
+
+def _never_null(rows: DataFrame, order: str) -> Column:
+    """The order with rows that have none behind the others: an aggregate by order would
+    pass over them, and a question of theirs alone would have no first row."""
+    value, kind = F.col(order), rows.schema[order].dataType
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(value.cast("long"), F.lit((1 << 63) - 1))
+    return F.struct(value.isNull().alias("none"), value.alias("value"))
+
+
+def first_rows(rows: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
     """The first whole row of each key.  The rank limit also runs before the
     shuffle, so at most one row per key and map task is moved."""
-    place = Window.partitionBy(*key).orderBy(order)
+    order = order_column(rows, order)
+    place = Window.partitionBy(*key).orderBy(F.col(order).asc_nulls_last())
     return (
         rows.withColumn("_place", F.row_number().over(place))
         .filter(F.col("_place") == 1)
@@ -38,7 +56,7 @@ def first_values(
     question: str,
     values: Mapping[str, Column],
     by: Sequence[str] = (),
-    order: str = "seq",
+    order: str | None = None,
 ) -> DataFrame:
     """For each question text (within the ``by`` columns) the given values of its
     first row.  An aggregate with partial results per map task: a question
@@ -47,7 +65,7 @@ def first_values(
     narrow = rows.select(
         *by,
         *compact_key(F.col(question)),
-        F.col(order).alias("_order"),
+        _never_null(rows, order_column(rows, order)).alias("_order"),
         *[value.alias(name) for name, value in values.items()],
     )
     firsts = [F.min_by(name, "_order").alias(name) for name in values]

@@ -7,22 +7,13 @@ from pyspark.sql import functions as F
 
 from logitblend.functions import prompts
 from logitblend.functions.answers import has_gold_answer
-from logitblend.operators.dimensions import dimension, join_dimension
-
-#: More worked examples than any prompt can hold; beyond it the input is wrong.
-MAX_SHOTS = 10_000
 
 
 def few_shot_blocks(shots: DataFrame, order: str = "seq") -> DataFrame:
     """One text per subject: its worked examples in file order.
 
-    A block becomes part of every prompt of its subject, so the examples of a
-    subject must be few.  That is checked, not assumed."""
-    largest = (
-        shots.groupBy("subject").count().agg(F.max("count").alias("largest")).first()["largest"]
-    )
-    if largest is not None and largest > MAX_SHOTS:
-        raise ValueError(f"a subject has {largest} worked examples, more than {MAX_SHOTS}")
+    A block holds every example of its subject, as a prompt does.  :func:`shot_counts`
+    tells how many those are."""
     examples = F.struct(F.col(order).alias("seq"), prompts.worked_example().alias("text"))
     return shots.groupBy("subject").agg(
         F.array_join(
@@ -31,12 +22,19 @@ def few_shot_blocks(shots: DataFrame, order: str = "seq") -> DataFrame:
     )
 
 
+def shot_counts(shots: DataFrame) -> DataFrame:
+    """Worked examples of each subject, and the bytes of their block."""
+    return shots.groupBy("subject").agg(
+        F.count(F.lit(1)).alias("shots"),
+        F.sum(F.octet_length(prompts.worked_example())).alias("bytes"),
+    )
+
+
 def few_shot_prompts(items: DataFrame, shots: DataFrame, order: str = "seq") -> DataFrame:
     """Test items with their rendered few-shot prompt.  Subjects without test
     items or without worked examples drop out."""
-    blocks = dimension(few_shot_blocks(shots, order))
     return (
-        join_dimension(items, blocks, ["subject"], "inner")
+        items.join(few_shot_blocks(shots, order), "subject")
         .withColumn("prompt", prompts.few_shot_four_choice(F.col("few_shot")))
         .drop("few_shot")
     )

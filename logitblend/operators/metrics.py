@@ -9,6 +9,8 @@ shuffled, so the long text columns stay behind.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,12 +44,12 @@ def _accuracy(hits: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def _first_hits(
-    rows: DataFrame, key: str, hit: Column, by: Sequence[str], order: str
+    rows: DataFrame, key: str, hit: Column, by: Sequence[str], order: str | None
 ) -> DataFrame:
     return first_values(rows, key, {"hit": hit.cast("int")}, by, order)
 
 
-def math_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str = "seq") -> DataFrame:
+def math_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """Numeric accuracy, each gold solution counted once."""
     hit = same_number(F.col("pred"), F.col("label"))
     return _accuracy(_first_hits(rows, "original_sln", hit, by, order), by)
@@ -57,7 +59,7 @@ def _choice_hit() -> Column:
     return F.coalesce(strip(F.col("pred")) == strip(F.col("label")), F.lit(False))
 
 
-def choice_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str = "seq") -> DataFrame:
+def choice_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """Choice accuracy, each rendered question counted once."""
     return _accuracy(_first_hits(rows, "question", _choice_hit(), by, order), by)
 
@@ -134,8 +136,14 @@ def numeric_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def text_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Rates of predictions equal to the gold text, and containing it."""
+    """Rates of predictions equal to the gold text, and containing it.
+
+    In result files of open questions the gold text may also be a list of aliases; its
+    text is then its JSON, which a prediction hardly equals (:func:`qa_accuracy` looks at the
+    aliases)."""
     pred, gold = F.col("pred"), F.col("original_sln")
+    if rows.schema["original_sln"].dataType.simpleString() == "variant":
+        gold = F.try_variant_get(gold, "$", "string")
     exact = F.coalesce(pred == gold, F.lit(False)).cast("int")
     partial = F.coalesce(F.contains(pred, gold), F.lit(False)).cast("int")
     return rows.groupBy(*by).agg(
@@ -145,7 +153,7 @@ def text_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def subject_hits(rows: DataFrame, by: Sequence[str] = (), order: str = "seq") -> DataFrame:
+def subject_hits(rows: DataFrame, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """Counts per subject after removing repeated questions over all subjects.
     A repeated question counts for the subject it is first seen in."""
     values = {"subject": F.col("subject"), "hit": _choice_hit().cast("int")}
@@ -153,11 +161,11 @@ def subject_hits(rows: DataFrame, by: Sequence[str] = (), order: str = "seq") ->
     return _accuracy(first, [*by, "subject"])
 
 
-def subject_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str = "seq") -> DataFrame:
+def subject_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
     return subject_hits(rows, by, order)
 
 
-def running_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str = "seq") -> DataFrame:
+def running_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """Accuracy over all subjects up to and including each one, in name order.
 
     Running totals are taken within groups of subjects sharing a first letter,
@@ -182,20 +190,23 @@ def running_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str = "seq"
         .select(*by, "initial", *[F.sum(c).over(before).alias(f"{c}_before") for c in counts])
     )
     # A left join adds no filter to one side only, so both sides share one
-    # aggregation of the rows.
+    # aggregation of the rows.  A missing run or subject is a group like any other.
     shifted = [
         (F.col(c) + F.coalesce(F.col(f"{c}_before"), F.lit(0))).alias(f"{c}_so_far")
         for c in counts
     ]
+    keys = [*by, "initial"]
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+    earlier = earlier.withColumnsRenamed({k: f"{k}_" for k in keys})
     return (
-        running.join(earlier, [*by, "initial"], "left")
+        running.join(earlier, same, "left")
         .select(*by, "subject", *shifted)
         .withColumn("acc_so_far", F.try_divide("correct_so_far", "num_q_so_far"))
     )
 
 
 def average_running_accuracy(
-    rows: DataFrame, by: Sequence[str] = (), order: str = "seq"
+    rows: DataFrame, by: Sequence[str] = (), order: str | None = None
 ) -> DataFrame:
     """Mean of the running accuracies: depends on the order of subjects."""
     return running_accuracy(rows, by, order).groupBy(*by).agg(
@@ -204,7 +215,7 @@ def average_running_accuracy(
 
 
 def macro_micro_accuracy(
-    rows: DataFrame, by: Sequence[str] = (), order: str = "seq"
+    rows: DataFrame, by: Sequence[str] = (), order: str | None = None
 ) -> DataFrame:
     """Mean of the subject accuracies, and pooled accuracy."""
     return (

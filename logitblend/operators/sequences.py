@@ -9,11 +9,6 @@ from pyspark.sql import functions as F
 
 from logitblend.functions import vectors
 from logitblend.functions.text import collapse_whitespace, token_text
-from logitblend.operators.dimensions import dimension, join_dimension
-from logitblend.sources.shared import written
-
-#: More decode steps than any model generates for one example.
-MAX_STEPS = 1 << 20
 
 
 def assemble(
@@ -25,17 +20,17 @@ def assemble(
 ) -> DataFrame:
     """One row per example with its ids in step order and the readable text.
 
-    Picks have one row per step, so with steps below ``MAX_STEPS``, which every
-    row is checked for, no group is longer than that."""
-    number = F.col(step)
-    too_far = F.raise_error(F.concat(F.lit("step out of range: "), number.cast("string")))
-    checked = F.when(number.between(0, MAX_STEPS - 1), number).otherwise(too_far.cast("bigint"))
-    entry = [checked.alias("step"), F.col(token).alias("token")]
+    Picks have one row per step, so a group is as long as its example.  Where the
+    picks have a ``special`` column, special tokens keep their ids but are no text."""
+    readable = token_text(F.col(token))
+    if "special" in picks.columns:
+        readable = F.when(F.col("special"), F.lit("")).otherwise(readable)
+    entry = [F.col(step).alias("step"), readable.alias("token")]
     if token_id is not None:
         entry.append(F.col(token_id).alias("id"))
     steps = F.array_sort(F.collect_list(F.struct(*entry)))
     grouped = picks.groupBy(*by).agg(steps.alias("steps"))
-    text = F.array_join(F.transform("steps", lambda s: token_text(s["token"])), "")
+    text = F.array_join(F.transform("steps", lambda s: s["token"]), "")
     ids = (
         [F.transform("steps", lambda s: s["id"]).alias("token_ids")]
         if token_id is not None
@@ -52,11 +47,10 @@ def left_pad(
     """Pad every sequence of a batch on the left to the batch's longest, with a mask.
 
     The longest length is an aggregate per batch joined back: a window over the
-    batch would bring a large batch into one task.  The lengths are written
-    out, so that measuring them for the join is not another scan."""
+    batch would bring a large batch into one task.  The planner picks the join by the
+    size of the lengths, and splits a hot batch."""
     lengths = sequences.groupBy(batch).agg(F.max(F.size(ids)).alias("width"))
-    widths = written(lengths, "widths")
-    padded = join_dimension(sequences, dimension(widths), [batch], "inner", [ids])
+    padded = sequences.join(lengths, batch)
     return padded.withColumn(
         "mask", vectors.left_pad_mask(F.col(ids), F.col("width"))
     ).withColumn("padded", vectors.left_pad(F.col(ids), F.col("width"), pad_id))

@@ -51,7 +51,7 @@ def records(
     return rows.withColumn("pred", pred).withColumn("label", label)
 
 
-def score(rows: DataFrame, task: str, by: Sequence[str] = (), order: str = "seq") -> DataFrame:
+def score(rows: DataFrame, task: str, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """Accuracy of result records by the rule of their task."""
     if task == "math":
         return metrics.math_accuracy(rows, by, order)

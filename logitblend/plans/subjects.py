@@ -16,7 +16,7 @@ def prompts(spark: SparkSession, test_folder: str, shot_folder: str) -> DataFram
     return fewshot.few_shot_prompts(items, shots)
 
 
-def report(rows: DataFrame, order: str = "seq") -> dict[str, DataFrame]:
+def report(rows: DataFrame, order: str | None = None) -> dict[str, DataFrame]:
     """Accuracy per subject, running over subjects, their mean, and overall."""
     return {
         "subject": metrics.subject_accuracy(rows, order=order),

@@ -9,6 +9,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from logitblend.functions.text import UNDERSCORE_MARKER
+
 # The id each model family uses for an empty (blank) token.
 BLANK_IDS = {
     "llama3": 220,
@@ -21,7 +23,6 @@ BLANK_IDS = {
 }
 # Families whose vocabulary marks a leading space with U+2581.
 UNDERSCORE_MARKER_KINDS = ("llama2", "mistral", "deepseek", "openchat")
-UNDERSCORE_MARKER = "\u2581"
 
 
 @dataclass(frozen=True)

@@ -20,6 +20,7 @@ DENSE_LOGITS = (
 LONG_LOGITS = (
     "run string, example_id bigint, step int, model int, token_id int, logit float"
 )
+# `special` (boolean) may be added: tokens that are never part of a text.
 VOCAB = ("model int, token_id int, token string")
 SUBTOKENS = ("model int, token string, pos int, token_id int")
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logitblend.schemas import RESULTS
 
-#: A prompt is put in front of every question, so it cannot be long.
-MAX_PROMPT_BYTES = 16 << 20
+#: Field that tells appended result records apart.
+BATCH = "batch"
 
 
 def file_order() -> Column:
@@ -53,9 +55,6 @@ def read_subjects(
 
 def read_prompt(spark: SparkSession, path: str) -> str:
     """A prompt file as one string, which enters plans as a literal."""
-    size = spark.read.format("binaryFile").load(path).select("length").first()["length"]
-    if size > MAX_PROMPT_BYTES:
-        raise ValueError(f"prompt file of {size} bytes: {path}")
     return spark.read.text(path, wholetext=True).first()["value"]
 
 
@@ -63,8 +62,12 @@ def write_results(
     records: DataFrame, path: str, mode: str = "overwrite", partition_by: tuple[str, ...] = ()
 ) -> None:
     """Result records as JSON Lines.  Tasks write their own rows; a large
-    dataset becomes more files, not a longer task."""
-    records.write.mode(mode).partitionBy(*partition_by).json(path)
+    dataset becomes more files, not a longer task.
+
+    Every record has the number of its call, the time in nanoseconds: what was appended
+    later comes later, whatever its files are called."""
+    numbered = records.drop(BATCH).withColumn(BATCH, F.lit(time.time_ns()))
+    numbered.write.mode(mode).partitionBy(*partition_by).json(path)
 
 
 def read_results(
@@ -72,12 +75,32 @@ def read_results(
     path: str,
     task: str,
     where: str | Column | None = None,
-    numbered: bool = False,
+    numbered: bool = True,
 ) -> DataFrame:
-    """Result records of a task (math, choice or qa).  Files written elsewhere may
-    lack ``seq``; ``numbered`` adds ``order``, by ``seq`` and then by file order."""
-    rows = _scan(spark, path, RESULTS[task], where)
+    """Result records of a task (math, choice or qa).  ``order``, never null, tells which
+    comes first: by call of :func:`write_results`, then by ``seq``, then by place in the files.
+    Files written elsewhere may lack numbers; they come first, in order of file name."""
+    rows = _scan(spark, path, f"{RESULTS[task]}, {BATCH} bigint", where)
     if not numbered:
-        return rows
-    order = F.struct(F.col("seq").alias("seq"), file_order().alias("at"))
-    return rows.select("*", order.alias("order"))
+        return rows.drop(BATCH)
+    order = F.struct(
+        F.coalesce(BATCH, F.lit(0)).alias("batch"), F.col("seq").alias("seq"), file_order().alias("at")
+    )
+    return rows.select("*", order.alias("order")).drop(BATCH)
+
+
+def write_subjects(items: DataFrame, folder: str) -> None:
+    """Items in one file per subject, ``<subject>.jsonl``, as :func:`read_subjects` wants
+    them.  Each subject is written by one task, a file being one piece; then the files are
+    renamed, which moves names only.  Characters that folders can't hold, like a slash,
+    stay escaped (``%2F``) in the subject."""
+    spark = items.sparkSession
+    items.repartition("subject").write.partitionBy("subject").json(folder)
+    path_class = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = path_class(folder)
+    store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for part in store.globStatus(path_class(f"{folder}/subject=*/part-*")):
+        subject = part.getPath().getParent()
+        name = subject.getName().removeprefix("subject=")
+        store.rename(part.getPath(), path_class(root, f"{name}.jsonl"))
+        store.delete(subject, True)

@@ -250,8 +250,9 @@ def ensemble_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 ENSEMBLE_TEXTS = ensemble_sql(2) + f"""
 SELECT run, example_id, count(*)::INTEGER AS n_steps,
        trim(regexp_replace(coalesce(string_agg(
-         replace(replace(replace(replace(replace(next_token, '{UNDERSCORE}', ' '), '{SPACE}', ' '),
-                 'Ċ', chr(10)), '<0x0A>', chr(10)), '/n', chr(10)),
+         CASE WHEN special THEN '' ELSE
+           replace(replace(replace(replace(next_token, '{UNDERSCORE}', ' '), '{SPACE}', ' '),
+                   'Ċ', chr(10)), '<0x0A>', chr(10)) END,
          '' ORDER BY step), ''), '\\s+', ' ', 'g')) AS text,
        string_agg(coalesce(token_id_1::VARCHAR, '-'), ' ' ORDER BY step) AS ids
 FROM picks GROUP BY run, example_id
@@ -259,17 +260,23 @@ FROM picks GROUP BY run, example_id
 
 
 def assemble_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of a conversation as a step."""
     words = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("example_id"),
-        F.col("turn").alias("step"),
-        F.concat(F.lit(SPACE), F.split_part("text", F.lit(" "), F.lit(1))).alias("next_token"),
+        "turn",
+        F.posexplode(F.split("text", " ")).alias("nth", "word"),
+    )
+    steps = words.select(
+        "example_id",
+        F.struct("turn", "nth").alias("step"),
+        F.concat(F.lit(SPACE), "word").alias("next_token"),
     )
-    return sequences.assemble(words, by=["example_id"], token_id=None)
+    return sequences.assemble(steps, by=["example_id"], token_id=None)
 
 
 ASSEMBLE_SEQUENCE = r"""
-SELECT conv_id AS example_id, count(*)::INTEGER AS n_steps,
-       trim(regexp_replace(string_agg(' ' || split_part(text, ' ', 1), '' ORDER BY turn),
+SELECT conv_id AS example_id, sum(len(string_split(text, ' ')))::INTEGER AS n_steps,
+       trim(regexp_replace(string_agg(' ' || text, '' ORDER BY turn),
             '[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+',
             ' ', 'g')) AS text
 FROM conversations GROUP BY conv_id

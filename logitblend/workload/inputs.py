@@ -5,7 +5,8 @@ Logits: the vectors of ``embeddings`` in order of ``vec_id`` are taken as those
 of n models in turn, and four steps in a row as one example.
 Vocabularies: model m calls id i by the number i*c mod 97, with c = 1, 7, 11, so
 vocabularies overlap in part.  Some tokens carry the model's space marker, one is
-a newline, model 1 has an empty token, and model 2 spells one token in two ways.
+a newline, one begins like the newline's shared key, one is a special token, model 1 has an
+empty token, and model 2 spells one token in two ways.
 """
 
 from __future__ import annotations
@@ -15,14 +16,15 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logitblend.profiles import UNDERSCORE_MARKER, ModelProfile, uniform_weights
+from logitblend.functions.text import SPACE_MARKER, UNDERSCORE_MARKER
+from logitblend.profiles import ModelProfile, uniform_weights
 
 STEPS = 4
 #: Entries of a vector, and so of a vocabulary.
 WIDTH = 64
 MODULUS = 97
 FACTORS = {1: 1, 2: 7, 3: 11}
-SPACE, UNDERSCORE = "Ġ", UNDERSCORE_MARKER
+SPACE, UNDERSCORE = SPACE_MARKER, UNDERSCORE_MARKER
 
 PROFILES = [
     ModelProfile(1, "qwen2", marker=None, blank_id=5, dedup_ids=True),
@@ -75,13 +77,15 @@ def vocab(spark: SparkSession, n: int) -> DataFrame:
         F.when((number == 13) & (F.col("model") == 1), "")
         .when(number == 14, F.when(odd, "Ċ").otherwise("<0x0A>"))
         .when((number == 15) & ~odd, f"{SPACE}t8")
+        .when(number == 16, F.when(odd, "/news").otherwise(f"{UNDERSCORE}/news"))
+        .when(number == 17, "</s>")
         .when(number % 7 == 1, F.concat(marker, plain))
         .otherwise(plain)
     )
     return (
         _numbers(spark, WIDTH, "token_id", n)
         .withColumn("number", F.col("token_id") * _by_model(FACTORS) % MODULUS)
-        .select("model", "token_id", token.alias("token"))
+        .select("model", "token_id", token.alias("token"), (number == 17).alias("special"))
     )
 
 
@@ -142,9 +146,12 @@ vocab AS (
          CASE WHEN number = 13 AND model = 1 THEN ''
               WHEN number = 14 THEN CASE WHEN model % 2 = 1 THEN 'Ċ' ELSE '<0x0A>' END
               WHEN number = 15 AND model % 2 = 0 THEN '{SPACE}t8'
+              WHEN number = 16 THEN CASE WHEN model % 2 = 1 THEN '/news' ELSE '{UNDERSCORE}/news' END
+              WHEN number = 17 THEN '</s>'
               WHEN number % 7 = 1
               THEN CASE WHEN model % 2 = 1 THEN '{SPACE}' ELSE '{UNDERSCORE}' END || 't' || number
-              ELSE 't' || number END AS token
+              ELSE 't' || number END AS token,
+         number = 17 AS special
   FROM vocab0),
 words AS (
   SELECT model, number, width,
@@ -236,7 +243,7 @@ places AS (
                                ORDER BY p DESC, pos NULLS LAST, token) AS place
   FROM blended),
 picks AS (
-  SELECT b.*, v.token AS next_token
+  SELECT b.*, v.token AS next_token, coalesce(v.special, false) AS special
   FROM places b LEFT JOIN vocab v ON v.model = 1 AND v.token_id = b.token_id_1
   WHERE place = 1)
 """

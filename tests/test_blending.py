@@ -321,10 +321,26 @@ def test_assembled_text_and_padding(spark):
                     (1, [9, 9, 9], [0, 0, 0]), (2, [5], [1])]
 
 
-@pytest.mark.parametrize("step", [-1, sequences.MAX_STEPS])
-def test_steps_out_of_range_are_refused(spark, step):
+def test_any_steps_are_assembled(spark):
     picks = spark.createDataFrame(
-        [("r", 1, step, "a", 8)],
-        "run string, example_id bigint, step int, next_token string, token_id_1 int")
-    with pytest.raises(Exception, match="step out of range"):
-        sequences.assemble(picks).collect()
+        [("r", 1, s, t, i) for i, (s, t) in enumerate([(1 << 40, "c"), (-1, "a"), (0, "b")])],
+        "run string, example_id bigint, step bigint, next_token string, token_id_1 int")
+    row = sequences.assemble(picks).first()
+    assert (row["text"], row["token_ids"]) == ("abc", [1, 2, 0])
+
+
+def test_tokens_are_text_in_their_own_spelling(spark):
+    tokens = ["See", "Ġ/node", "/news", "Ċ", "▁x", "<0x0A>", "</s>"]
+    picks = spark.createDataFrame(
+        [("r", 1, i, t, i, t == "</s>") for i, t in enumerate(tokens)],
+        "run string, example_id bigint, step int, next_token string, token_id_1 int, special boolean")
+    row = sequences.assemble(picks).first()
+    assert row["text"] == "See /node/news x" and row["token_ids"] == list(range(7))
+
+
+def test_padding_starts_no_job(spark):
+    batches = spark.createDataFrame([(1, [1]), (1, [1, 2])], "batch_id int, ids array<int>")
+    spark.sparkContext.setJobGroup("pad", "pad")
+    sequences.left_pad(batches)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("pad")
+    spark.sparkContext._jsc.clearJobGroup()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from logitblend.operators import dedup, fewshot, metrics
 from logitblend.plans import evaluation, subjects
-from logitblend.schemas import MATH_ITEM, QA_ITEM
+from logitblend.schemas import CHOICE4_ITEM, MATH_ITEM, QA_ITEM
 from logitblend.sources import jsonl, runs, shared
 
 ITEM = {"question": "q", "A": "1", "B": "2", "C": "3", "D": "4", "answer": "A", "domain": "d"}
@@ -52,22 +52,118 @@ def test_subject_folders(spark, tmp_path):
     assert block + asked in {r["prompt"] for r in rows}
 
 
-def test_too_many_worked_examples_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(fewshot, "MAX_SHOTS", 4)
+def jobs(spark, group, make):
+    """Jobs that building a table starts."""
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        made = make()
+        return made, list(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_any_number_of_worked_examples(spark):
     shots = spark.createDataFrame(
-        [(i, "s", *"qABCDa") for i in range(5)],
+        [(i, "s", *"qABCDa") for i in range(12_000)],
         "seq int, subject string, question string, A string, B string, C string, D string, answer string")
-    with pytest.raises(ValueError, match="5 worked examples"):
-        fewshot.few_shot_blocks(shots)
+    items = shots.limit(1)
+    made, started = jobs(spark, "shots", lambda: fewshot.few_shot_prompts(items, shots))
+    assert not started
+    assert made.first()["prompt"].count("Answer: a\n\n") == 12_000
+    count = fewshot.shot_counts(shots).first()
+    block = fewshot.few_shot_blocks(shots).first()["few_shot"]
+    assert (count["shots"], count["bytes"]) == (12_000, len(block))
 
 
-def test_prompt_is_one_string(spark, tmp_path, monkeypatch):
+def test_prompt_is_one_string(spark, tmp_path):
     path = tmp_path / "p.txt"
     path.write_text("one\n\ntwo 文\n", "utf-8")
     assert jsonl.read_prompt(spark, str(path)) == "one\n\ntwo 文\n"
-    monkeypatch.setattr(jsonl, "MAX_PROMPT_BYTES", 3)
-    with pytest.raises(ValueError, match="prompt file of"):
-        jsonl.read_prompt(spark, str(path))
+    path.write_text("x" * (17 << 20), "utf-8")
+    assert len(jsonl.read_prompt(spark, str(path))) == 17 << 20
+
+
+def test_records_without_seq_are_scored(spark, tmp_path):
+    """The record format of files that were written elsewhere."""
+    write(tmp_path / "r" / "out.jsonl", [
+        {"question": f"q{i}", "original_sln": f"s{i}", "pred_solution": "", "pred": i, "label": i}
+        for i in range(4)] + [
+        {"question": "q0", "original_sln": "s0", "pred_solution": "", "pred": 9, "label": 0}])
+    rows = jsonl.read_results(spark, str(tmp_path / "r"), "math")
+    got = evaluation.score(rows, "math").first()
+    assert (got["num_q"], got["correct"]) == (4, 4)
+
+
+def test_rows_without_order_keep_their_value(spark):
+    rows = spark.createDataFrame(
+        [(None, "a", 1.0, 1.0), (None, "b", 2.0, 2.0), (5, "b", 2.0, 3.0)],
+        "seq bigint, original_sln string, pred double, label double")
+    got = metrics.math_accuracy(rows).first()
+    assert (got["num_q"], got["correct"]) == (2, 1)  # a row with a place comes first
+    assert dedup.first_rows(rows, ["original_sln"]).filter("seq = 5").count() == 1
+
+
+def test_what_was_appended_later_comes_later(spark, tmp_path):
+    schema = ("seq bigint, question string, original_sln string, pred_solution string, "
+              "pred double, label double")
+    folder = str(tmp_path / "r")
+    # The first run's record is wrong and has the higher number; equal numbers, too.
+    first = [(7, "q", "s", "", 1.0, 2.0), (3, "q", "t", "", 1.0, 2.0)]
+    later = [(3, "q", "s", "", 2.0, 2.0), (3, "q", "t", "", 2.0, 2.0)]
+    for rows in (first, later, later):
+        jsonl.write_results(spark.createDataFrame(rows, schema), folder, "append")
+    got = evaluation.score(jsonl.read_results(spark, folder, "math"), "math").first()
+    assert (got["num_q"], got["correct"]) == (2, 0)
+
+
+def test_subjects_are_files(spark, tmp_path):
+    items = spark.createDataFrame(
+        [(f"q{i}", *"1234", "A", "d", s) for i, s in enumerate(["high art", "a-b", "x.y"] * 30)],
+        "question string, A string, B string, C string, D string, answer string, domain string, "
+        "subject string")
+    folder = str(tmp_path / "s")
+    jsonl.write_subjects(items, folder)
+    assert len(list((tmp_path / "s").glob("*.jsonl"))) == 3
+    back = jsonl.read_subjects(spark, folder, CHOICE4_ITEM)
+    assert {(r["subject"], r["count"]) for r in back.groupBy("subject").count().collect()} == {
+        ("high art", 30), ("a-b", 30), ("x.y", 30)}
+
+
+def test_shared_folder_without_a_setting(monkeypatch):
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Context:
+        master, applicationId = "local[4]", "app"
+
+    class Session:
+        conf, sparkContext = Conf(), Context()
+
+    one, two = (shared.shared_folder(Session(), "x") for _ in range(2))
+    assert one != two and one.rsplit("/", 1)[0] == two.rsplit("/", 1)[0]
+    Context.master = "local-cluster[2,1,1024]"
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Session(), "x")
+
+
+def test_text_metrics_of_open_questions(spark, tmp_path):
+    write(tmp_path / "r" / "qa.jsonl", [
+        {"question": "a", "original_sln": "Prince", "pred_solution": "", "pred": "Prince", "label": "Prince"},
+        {"question": "b", "original_sln": "x", "pred_solution": "", "pred": "an x.", "label": ["x"]},
+        {"question": "c", "original_sln": ["x", "y"], "pred_solution": "", "pred": "x", "label": ["x"]}])
+    rows = jsonl.read_results(spark, str(tmp_path / "r"), "qa")
+    got = evaluation.offline_metrics(rows, "qa").first()
+    assert (got["n"], round(got["exact_match"], 6), round(got["partial_match"], 6)) == (3, 0.333333, 0.666667)
+
+
+def test_running_accuracy_of_a_run_without_name(spark):
+    rows = spark.createDataFrame(
+        [(1, None, "a", "q1", "A", "A"), (2, None, "b", "q2", "B", "A"), (3, None, None, "q3", "A", "A")],
+        "seq bigint, run string, subject string, question string, pred string, label string")
+    got = {r["subject"]: (r["num_q_so_far"], r["correct_so_far"])
+           for r in metrics.running_accuracy(rows, ["run"]).collect()}
+    assert got == {None: (1, 1), "a": (2, 2), "b": (3, 2)}
 
 
 def test_question_answers_of_either_shape(spark, tmp_path):
@@ -85,7 +181,7 @@ def test_results_with_nan_literals(spark, tmp_path):
         '{"question": "q", "original_sln": "a", "pred_solution": "", "pred": NaN, "label": NaN}\n'
         '{"question": "q", "original_sln": "a", "pred_solution": "", "pred": 1.0, "label": 1.0}\n'
         '{"question": "q", "original_sln": "b", "pred_solution": "", "pred": 2, "label": 2.0}\n')
-    rows = jsonl.read_results(spark, str(path.parent), "math", numbered=True)
+    rows = jsonl.read_results(spark, str(path.parent), "math")
     assert math.isnan(rows.orderBy("order").first()["pred"])
     got = metrics.math_accuracy(rows, order="order").first()
     assert (got["num_q"], got["correct"]) == (2, 1)
@@ -116,9 +212,10 @@ def test_results_by_dataset(spark, tmp_path):
     back = jsonl.read_results(spark, str(tmp_path / "r"), "math")
     got = evaluation.score(back, "math", by=["dataset"]).collect()
     assert {r["dataset"]: (r["num_q"], r["correct"]) for r in got} == {"gsm": (2, 1), "other": (1, 1)}
+    plain = jsonl.read_results(spark, str(tmp_path / "r"), "math", numbered=False)
     for part in (
-        back.filter("dataset = 'gsm'"),
-        jsonl.read_results(spark, str(tmp_path / "r"), "math", "dataset = 'gsm'", numbered=True),
+        plain.filter("dataset = 'gsm'"),
+        jsonl.read_results(spark, str(tmp_path / "r"), "math", "dataset = 'gsm'"),
     ):
         plan = part._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(dataset" in plan

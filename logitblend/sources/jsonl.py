@@ -89,13 +89,14 @@ def read_results(
     return rows.select("*", order.alias("order")).drop(BATCH)
 
 
-def write_subjects(items: DataFrame, folder: str) -> None:
+def write_subjects(items: DataFrame, folder: str, order: str) -> None:
     """Items in one file per subject, ``<subject>.jsonl``, as :func:`read_subjects` wants
-    them.  Each subject is written by one task, a file being one piece; then the files are
+    them, in order of a column that isn't written.  Each subject is written by one task, a file being one piece; then the files are
     renamed, which moves names only.  Characters that folders can't hold, like a slash,
     stay escaped (``%2F``) in the subject."""
     spark = items.sparkSession
-    items.repartition("subject").write.partitionBy("subject").json(folder)
+    sorted_items = items.repartition("subject").sortWithinPartitions("subject", order).drop(order)
+    sorted_items.write.mode("overwrite").partitionBy("subject").json(folder)
     path_class = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     root = path_class(folder)
     store = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

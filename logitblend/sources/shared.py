@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 _own: dict[str, str] = {}
 
 
-def shared_folder(spark: SparkSession, purpose: str) -> str:
+def shared_folder(spark: SparkSession, purpose: str, key: str | None = None) -> str:
     """A new folder name below the one the cluster names in
-    ``spark.checkpoint.dir``.  Only local mode may fall back to a temporary
+    ``spark.checkpoint.dir``; with a ``key``, the same name for it all through the
+    application, to be written over.  Only local mode may fall back to a temporary
     folder of the machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -25,7 +26,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         root = _own.get(context.applicationId)
         if root is None:
             root = _own[context.applicationId] = tempfile.mkdtemp(prefix="logitblend-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if key is None:
+        return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    digest = uuid.uuid5(uuid.NAMESPACE_URL, f"{spark.sparkContext.applicationId} {key}").hex
+    return f"{root.rstrip('/')}/{purpose}-{digest}"
 
 
 def written(table: DataFrame, purpose: str) -> DataFrame:

@@ -209,20 +209,20 @@ FROM picks
 """
 
 
-def _mean(n: int):
+def _mean(n: int, lam: float | None = None):
     def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
         return ensemble.blended(
             inputs.logits(spark, sf_dir, n),
             inputs.vocab(spark, n),
             inputs.subtokens(spark, n),
-            inputs.profiles(n),
+            inputs.profiles(n, lam=lam),
         ).select(*STEP_KEYS, "token", _rounded("p"), "n_models")
 
     return ensemble_mean
 
 
-def _mean_sql(n: int) -> str:
-    return ensemble_sql(n) + """
+def _mean_sql(n: int, lam: float | None = None) -> str:
+    return ensemble_sql(n, lam=lam) + """
 SELECT run, example_id, step, token, round(p, 6) AS p, n_models FROM blended
 """
 
@@ -327,6 +327,7 @@ QUERIES = {
     "drop_token": drop_token,
     "ensemble_mean_2": _mean(2),
     "ensemble_mean_3": _mean(3),
+    "ensemble_mean_weighted": _mean(2, lam=0.3),
     "ensemble_pick_2": _pick(2),
     "ensemble_pick_3": _pick(3),
     "confidence_trace": confidence_trace,
@@ -349,6 +350,7 @@ ORACLES = {
     "drop_token": DROP_TOKEN,
     "ensemble_mean_2": _mean_sql(2),
     "ensemble_mean_3": _mean_sql(3),
+    "ensemble_mean_weighted": _mean_sql(2, lam=0.3),
     "ensemble_pick_2": _pick_sql(2),
     "ensemble_pick_3": _pick_sql(3),
     "confidence_trace": CONFIDENCE_TRACE,

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logitblend.functions.text import SPACE_MARKER, UNDERSCORE_MARKER
-from logitblend.profiles import ModelProfile, uniform_weights
+from logitblend.profiles import ModelProfile, two_model_weights, uniform_weights
 
 STEPS = 4
 #: Entries of a vector, and so of a vocabulary.
@@ -33,8 +33,8 @@ PROFILES = [
 ]
 
 
-def profiles(n: int, literal_skip: bool = False) -> list[ModelProfile]:
-    chosen = uniform_weights(PROFILES[:n])
+def profiles(n: int, literal_skip: bool = False, lam: float | None = None) -> list[ModelProfile]:
+    chosen = uniform_weights(PROFILES[:n]) if lam is None else two_model_weights(PROFILES[:n], lam)
     return [replace(p, blank_skip=False) for p in chosen] if literal_skip else chosen
 
 
@@ -108,7 +108,9 @@ def subtokens(spark: SparkSession, n: int) -> DataFrame:
     )
 
 
-def ensemble_sql(n: int, literal_skip: bool = False, normalize: bool = False) -> str:
+def ensemble_sql(
+    n: int, literal_skip: bool = False, normalize: bool = False, lam: float | None = None
+) -> str:
     """The whole computation as common table expressions, from logits to picks."""
     models = ", ".join(f"({m}, {FACTORS[m]})" for m in range(1, n + 1))
     profile_rows = ", ".join(
@@ -120,7 +122,7 @@ def ensemble_sql(n: int, literal_skip: bool = False, normalize: bool = False) ->
             str(p.blank_skip).lower(),
             p.weight,
         )
-        for p in profiles(n, literal_skip)
+        for p in profiles(n, literal_skip, lam)
     )
     keys = "run, example_id, step"
     spelled = (

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from logitblend.operators import dedup, metrics
 from logitblend.plans import evaluation
+from logitblend.sources import jsonl
+from logitblend.sources.shared import shared_folder
 from logitblend.workload.inputs import table
 
 NAN = float("nan")
@@ -350,6 +352,133 @@ SELECT {SQL_ACCURACY} FROM first
 """
 
 
+def evaluation_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a choice task: the label is the answer as it stands."""
+    items = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("seq"),
+        F.concat(F.lit("Order of "), "o_custkey", F.lit("?")).alias("question"),
+        F.col("o_orderpriority").alias("A"),
+        F.col("o_orderstatus").alias("B"),
+        _letter(2).alias("answer"),
+        F.concat(F.lit(" "), _letter(3), F.lit(" \nQuestion: A?")).alias("output"),
+    )
+    records = evaluation.records(evaluation.render(items, "choice2"), "choice")
+    return records.select("seq", "question", "original_sln", "pred", "label")
+
+
+EVALUATION_CHOICE = """
+SELECT o_orderkey AS seq,
+       'Answer the question by replying A or B.' || chr(10) || 'Question: Order of ' || o_custkey
+       || '?' || chr(10) || 'A: ' || o_orderpriority || chr(10) || 'B: ' || o_orderstatus
+       || chr(10) || 'Answer:' AS question,
+       chr(65 + (o_orderkey % 2)::INTEGER) AS original_sln,
+       chr(65 + (o_orderkey % 3)::INTEGER) AS pred, chr(65 + (o_orderkey % 2)::INTEGER) AS label
+FROM orders
+"""
+
+
+def _qa_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("seq"),
+        F.concat(F.lit("What is part "), "p_partkey", F.lit("?")).alias("question"),
+        F.split("p_name", " ").alias("answer"),
+        F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(".\nQuestion: no")).alias("output"),
+    )
+    return evaluation.records(evaluation.render(items, "qa", "Name it."), "qa")
+
+
+def evaluation_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of an open question: the label is the list of aliases as it stands."""
+    return _qa_records(spark, sf_dir).select(
+        "seq", "question", "pred", F.array_join("label", "+").alias("label")
+    )
+
+
+EVALUATION_QA = """
+SELECT p_partkey AS seq,
+       'Name it.' || chr(10) || chr(10) || 'Question: What is part ' || p_partkey || '?'
+       || chr(10) || 'Answer:' AS question,
+       split_part(p_name, ' ', 1) || '.' AS pred, replace(p_name, ' ', '+') AS label
+FROM part
+"""
+
+
+def evaluation_qa_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = evaluation.score(_qa_records(spark, sf_dir), "qa")
+    return scored.select("num_q", "correct", "n_empty", _rounded("ratio"))
+
+
+EVALUATION_QA_SCORE = """
+SELECT count(*) AS num_q, count(*) AS correct, 0::BIGINT AS n_empty, 1.0::DOUBLE AS ratio FROM part
+"""
+
+
+def text_metrics_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text metrics of a result file of open questions, whose gold text may be a list."""
+    folder = shared_folder(spark, "qa_results", sf_dir)
+    key = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(
+        key.alias("seq"),
+        "p_name",
+        F.lit("").alias("question"),
+        F.lit("").alias("pred_solution"),
+        F.when(key % 4 < 2, F.col("p_name"))
+        .when(key % 4 == 2, F.concat(F.lit("a "), "p_name", F.lit("!")))
+        .otherwise(F.lit("none"))
+        .alias("pred"),
+        F.split("p_name", " ").alias("label"),
+    )
+    text = rows.filter(key % 3 > 0).withColumnRenamed("p_name", "original_sln")
+    listed = rows.filter(key % 3 == 0).withColumn("original_sln", F.split("p_name", " ")).drop("p_name")
+    jsonl.write_results(text, folder)
+    jsonl.write_results(listed, folder, "append")
+    return evaluation.offline_metrics(jsonl.read_results(spark, folder, "qa"), "qa").select(
+        "n", _rounded("exact_match"), _rounded("partial_match")
+    )
+
+
+TEXT_METRICS_QA = """
+SELECT count(*) AS n,
+       round(avg((p_partkey % 3 > 0 AND p_partkey % 4 < 2)::INTEGER), 6) AS exact_match,
+       round(avg((p_partkey % 3 > 0 AND p_partkey % 4 < 3)::INTEGER), 6) AS partial_match
+FROM part
+"""
+
+
+def running_accuracy_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs apart, one of them without a name."""
+    rows = choice_results(spark, sf_dir).join(
+        table(spark, sf_dir, "orders").select(
+            F.col("o_orderkey").alias("seq"),
+            F.when(F.col("o_orderstatus") != "F", F.col("o_orderstatus")).alias("run"),
+        ),
+        "seq",
+    )
+    return metrics.running_accuracy(rows, ["run"]).select(
+        F.coalesce("run", F.lit("-")).alias("run"),
+        "subject", "num_q_so_far", "correct_so_far", _rounded("acc_so_far"),
+    )
+
+
+RUNNING_ACCURACY_BY_RUN = """
+WITH results AS (
+  SELECT o_orderkey AS seq, 'Q' || o_custkey AS question, o_orderpriority AS subject,
+         CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus ELSE '-' END AS run,
+         o_orderkey % 3 = o_orderkey % 4 AS hit
+  FROM orders),
+first AS (
+  SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY run, question ORDER BY seq) = 1),
+subjects AS (
+  SELECT run, subject, count(*) AS n, count(*) FILTER (WHERE hit) AS c FROM first GROUP BY ALL),
+running AS (
+  SELECT run, subject,
+         (sum(n) OVER (PARTITION BY run ORDER BY subject))::BIGINT AS num_q_so_far,
+         (sum(c) OVER (PARTITION BY run ORDER BY subject))::BIGINT AS correct_so_far
+  FROM subjects)
+SELECT *, round(correct_so_far / num_q_so_far, 6) AS acc_so_far FROM running
+"""
+
+
 QUERIES = {
     "math_accuracy": math_accuracy,
     "math_accuracy_by_run": math_accuracy_by_run,
@@ -365,6 +494,11 @@ QUERIES = {
     "macro_micro_accuracy": macro_micro_accuracy,
     "evaluation_math": evaluation_math,
     "evaluation_score": evaluation_score,
+    "evaluation_choice": evaluation_choice,
+    "evaluation_qa": evaluation_qa,
+    "evaluation_qa_score": evaluation_qa_score,
+    "text_metrics_qa": text_metrics_qa,
+    "running_accuracy_by_run": running_accuracy_by_run,
 }
 
 ORACLES = {
@@ -382,4 +516,9 @@ ORACLES = {
     "macro_micro_accuracy": MACRO_MICRO_ACCURACY,
     "evaluation_math": EVALUATION_MATH,
     "evaluation_score": EVALUATION_SCORE,
+    "evaluation_choice": EVALUATION_CHOICE,
+    "evaluation_qa": EVALUATION_QA,
+    "evaluation_qa_score": EVALUATION_QA_SCORE,
+    "text_metrics_qa": TEXT_METRICS_QA,
+    "running_accuracy_by_run": RUNNING_ACCURACY_BY_RUN,
 }

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logitblend.operators import fewshot, metrics
-from logitblend.plans import ensemble
-from logitblend.schemas import CHOICE4_ITEM
+from logitblend.operators import dedup, metrics
+from logitblend.plans import ensemble, evaluation, subjects
+from logitblend.schemas import MATH_ITEM
 from logitblend.sources import jsonl, runs
 from logitblend.sources import logits as logit_tables
 from logitblend.sources.shared import shared_folder
@@ -102,7 +102,7 @@ FROM paths
 
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels written as JSON Lines and read back, NaN and text included."""
-    folder = shared_folder(spark, "labels")
+    folder = shared_folder(spark, "labels", sf_dir)
     toxic = F.col("toxic").cast("double")
     rows = table(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("seq"),
@@ -113,7 +113,7 @@ def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("quality").cast("double").alias("label"),
     )
     jsonl.write_results(rows, folder)
-    return jsonl.read_results(spark, folder, "math").select(
+    return jsonl.read_results(spark, folder, "math", numbered=False).select(
         "seq", "question", "original_sln", "pred_solution",
         F.isnan("pred").alias("pred_is_nan"),
         F.nanvl("pred", F.lit(-1.0)).alias("pred"),
@@ -131,12 +131,13 @@ FROM labels
 
 
 def results_file_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Result records, then those of a repeated run appended, read back and
-    scored: the first record of each question counts."""
-    folder = shared_folder(spark, "results")
+    """Result records, then those of two later runs appended, with other answers and lower or
+    equal numbers, read back and scored: the first run's record of a question counts."""
+    folder = shared_folder(spark, "results", sf_dir)
     rows = scoring.choice_results(spark, sf_dir).withColumn("original_sln", F.col("label"))
-    again = rows.withColumn("seq", F.col("seq") + (1 << 40)).withColumn("pred", F.col("label"))
+    again = rows.withColumn("pred", F.col("label"))
     jsonl.write_results(rows, folder, "overwrite")
+    jsonl.write_results(again.withColumn("seq", F.col("seq") - 7), folder, "append")
     jsonl.write_results(again, folder, "append")
     back = jsonl.read_results(spark, folder, "choice")
     return metrics.subject_accuracy(back).select(
@@ -144,29 +145,87 @@ def results_file_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def results_without_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records in the format of files written elsewhere, without numbers: of a repeated
+    question, the record that lies first in the files counts."""
+    folder = shared_folder(spark, "unnumbered", sf_dir)
+    rows = scoring.math_results(spark, sf_dir).select(
+        "seq",
+        F.lit("").alias("question"),
+        "original_sln",
+        F.lit("").alias("pred_solution"),
+        "pred",
+        "label",
+    )
+    rows.orderBy("seq").drop("seq").write.mode("overwrite").json(folder)
+    back = jsonl.read_results(spark, folder, "math")
+    return evaluation.score(back, "math").select(
+        "num_q", "correct", F.round("ratio", 6).alias("ratio")
+    )
+
+
+def question_file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question set written in falling order of its keys; of a repeated question, the
+    item that comes first in the files."""
+    folder = shared_folder(spark, "questions", sf_dir)
+    items = table(spark, sf_dir, "orders").select(
+        "o_orderkey",
+        F.concat(F.lit("Question of customer "), "o_custkey").alias("question"),
+        F.concat(F.lit("#### "), "o_orderkey").alias("answer"),
+    )
+    items.orderBy(F.desc("o_orderkey")).drop("o_orderkey").write.mode("overwrite").json(folder)
+    back = jsonl.read_items(spark, folder, MATH_ITEM)
+    return dedup.first_rows(back, ["question"]).select("question", "answer")
+
+
+QUESTION_FILE_ORDER = """
+SELECT 'Question of customer ' || o_custkey AS question, '#### ' || max(o_orderkey) AS answer
+FROM orders GROUP BY o_custkey
+"""
+
+
+def prompt_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt file, written from a table, in front of the questions of another."""
+    folder = shared_folder(spark, "prompt", sf_dir)
+    names = F.array_join(F.array_sort(F.collect_list("r_name")), ", ")
+    text = F.concat(F.lit("Question: which regions are there?\nAnswer: "), names)
+    regions = table(spark, sf_dir, "region").agg(text.alias("value"))
+    regions.coalesce(1).write.mode("overwrite").text(folder)
+    prompt = jsonl.read_prompt(spark, folder).rstrip("\n")
+    items = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", F.col("text").alias("question")
+    )
+    return evaluation.render(items, "qa", prompt).select("conv_id", "turn", "prompt")
+
+
+PROMPT_FILE = """
+WITH prompt AS (
+  SELECT 'Question: which regions are there?' || chr(10) || 'Answer: '
+         || string_agg(r_name, ', ' ORDER BY r_name) AS prompt
+  FROM region)
+SELECT conv_id, turn, prompt || chr(10) || chr(10) || 'Question: ' || text || chr(10)
+       || 'Answer:' AS prompt
+FROM conversations, prompt
+"""
+
+
 def subject_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items and worked examples in one folder per subject, read back and joined."""
-    folders = {}
+    """Items and worked examples in one file per subject, read back as a benchmark."""
+    folders = []
     for name, items in {
         "test": prompting._customer_items(spark, sf_dir),
         "shots": prompting._nation_shots(spark, sf_dir),
     }.items():
-        folders[name] = shared_folder(spark, name)
-        items.write.partitionBy("subject").json(folders[name])
-
-    def read(name: str) -> DataFrame:
-        schema = CHOICE4_ITEM + ", seq bigint, subject string"
-        return spark.read.schema(schema).json(folders[name])
-
-    return fewshot.few_shot_prompts(read("test"), read("shots")).select("seq", "subject", "prompt")
+        folders.append(shared_folder(spark, name, sf_dir))
+        jsonl.write_subjects(items, folders[-1], "seq")
+    return subjects.prompts(spark, *folders).select("subject", "prompt")
 
 
 def ensemble_pick_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-model blend over a logits table bucketed by step."""
-    name = f"logits_{shared_folder(spark, 'x').rsplit('-', 1)[-1]}"
-    logit_tables.write_bucketed(
-        inputs.logits(spark, sf_dir, 2), name, 8, shared_folder(spark, "logits")
-    )
+    folder = shared_folder(spark, "logits", sf_dir)
+    name = f"logits_{folder.rsplit('-', 1)[-1]}"
+    logit_tables.write_bucketed(inputs.logits(spark, sf_dir, 2), name, 8, folder)
     picked = ensemble.picks(
         logit_tables.read_bucketed(spark, name),
         inputs.vocab(spark, 2),
@@ -182,6 +241,9 @@ QUERIES = {
     "run_naming": run_naming,
     "jsonl_round_trip": jsonl_round_trip,
     "results_file_accuracy": results_file_accuracy,
+    "results_without_seq": results_without_seq,
+    "question_file_order": question_file_order,
+    "prompt_file": prompt_file,
     "subject_folder": subject_folder,
     "ensemble_pick_bucketed": ensemble_pick_bucketed,
 }
@@ -191,6 +253,9 @@ ORACLES = {
     "run_naming": RUN_NAMING,
     "jsonl_round_trip": JSONL_ROUND_TRIP,
     "results_file_accuracy": scoring.SUBJECT_ACCURACY,
-    "subject_folder": prompting.PROMPT_FEW_SHOT,
+    "results_without_seq": scoring.MATH_ACCURACY,
+    "question_file_order": QUESTION_FILE_ORDER,
+    "prompt_file": PROMPT_FILE,
+    "subject_folder": f"SELECT subject, prompt FROM ({prompting.PROMPT_FEW_SHOT})",
     "ensemble_pick_bucketed": blending.ORACLES["ensemble_pick_2"],
 }

@@ -118,15 +118,19 @@ def test_what_was_appended_later_comes_later(spark, tmp_path):
 
 def test_subjects_are_files(spark, tmp_path):
     items = spark.createDataFrame(
-        [(f"q{i}", *"1234", "A", "d", s) for i, s in enumerate(["high art", "a-b", "x.y"] * 30)],
-        "question string, A string, B string, C string, D string, answer string, domain string, "
-        "subject string")
+        [(-i, f"q{i:02d}", *"1234", "A", "d", s)
+         for i, s in enumerate(["high art", "a-b", "x.y"] * 30)],
+        "nth int, question string, A string, B string, C string, D string, answer string, "
+        "domain string, subject string")
     folder = str(tmp_path / "s")
-    jsonl.write_subjects(items, folder)
+    for _ in range(2):
+        jsonl.write_subjects(items, folder, "nth")
     assert len(list((tmp_path / "s").glob("*.jsonl"))) == 3
     back = jsonl.read_subjects(spark, folder, CHOICE4_ITEM)
     assert {(r["subject"], r["count"]) for r in back.groupBy("subject").count().collect()} == {
         ("high art", 30), ("a-b", 30), ("x.y", 30)}
+    got = [r["question"] for r in back.filter("subject = 'a-b'").orderBy("seq").collect()]
+    assert got == sorted(got, reverse=True)
 
 
 def test_shared_folder_without_a_setting(monkeypatch):

@@ -4,31 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logitblend.operators.candidates import MODEL_KEYS
+from logitblend.functions.vectors import bind
 from logitblend.operators.dimensions import Dimension, join_dimension
 from logitblend.profiles import ModelProfile
 from logitblend.schemas import STEP_KEYS
 
 
-def softmax_sets(sets: DataFrame) -> DataFrame:
-    """Probability ``p`` of each token within its (step, model) set.  A token
-    without a score has probability 0.  Sums run in set order, so the result
-    does not depend on how rows arrive."""
-    whole = (
-        Window.partitionBy(*MODEL_KEYS)
-        .orderBy("pos")
-        .rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    )
-    score = F.col("score").cast("double")
-    weight = F.coalesce(F.exp(score - F.max(score).over(whole)), F.lit(0.0))
-    return (
-        sets.withColumn("weight", weight)
-        .withColumn("p", F.col("weight") / F.sum("weight").over(whole))
-        .drop("weight")
+def with_probabilities(entries: Column) -> Column:
+    """The entries of a set with their probability ``p`` in it.  A token without a score has
+    probability 0, and so has every token of a set without any; ``scored`` tells whether
+    there is one.  Sums run in the order of the entries."""
+
+    def normalised(weights: Column) -> Column:
+        total = F.aggregate(weights, F.lit(0.0), lambda sum_, w: sum_ + w)
+        return bind(
+            total,
+            lambda t: F.zip_with(
+                entries,
+                weights,
+                lambda e, w: e.withField(
+                    "p", F.coalesce(F.try_divide(w, t), F.lit(0.0))
+                ).withField("scored", t > 0),
+            ),
+        )
+
+    scores = F.transform(entries, lambda e: e["score"].cast("double"))
+    weights = bind(
+        F.array_max(scores),
+        lambda top: F.transform(
+            entries, lambda e: F.coalesce(F.exp(e["score"].cast("double") - top), F.lit(0.0))
+        ),
     )
+    return bind(weights, normalised)
 
 
 def drop_tokens(sets: DataFrame, threshold: float, model: int = 1) -> DataFrame:
@@ -44,14 +54,22 @@ def drop_tokens(sets: DataFrame, threshold: float, model: int = 1) -> DataFrame:
 
 def blend(sets: DataFrame, profiles: Sequence[ModelProfile]) -> DataFrame:
     """Weighted mean distribution.  One row per union token with the mean ``p``,
-    the position in the first model's set, the id in each model, and how many
-    models scored it (fewer than all of them marks an incomplete log)."""
+    the position in the first model's set, the id in each model, how many models
+    scored the step (fewer than all of them marks an incomplete log), and whether it is an
+    id that its model's vocabulary doesn't list."""
 
     def of(profile: ModelProfile, column: str):
         return F.max(F.when(F.col("model") == profile.model, F.col(column)))
 
     first = profiles[0]
-    aggregates = [of(first, "pos").alias("pos"), F.count("p").alias("n_models")]
+    # Sets from elsewhere may have probabilities alone.
+    scored = F.col("scored") if "scored" in sets.columns else F.col("p").isNotNull()
+    unnamed = F.col("source") == "unnamed" if "source" in sets.columns else F.lit(False)
+    aggregates = [
+        of(first, "pos").alias("pos"),
+        F.count_if(scored).alias("n_models"),
+        F.bool_or(unnamed).alias("unnamed"),
+    ]
     for m in profiles:
         aggregates += [
             of(m, "p").alias(f"p_{m.model}"),
@@ -66,7 +84,7 @@ def blend(sets: DataFrame, profiles: Sequence[ModelProfile]) -> DataFrame:
         sets.groupBy(*STEP_KEYS, "token")
         .agg(*aggregates)
         .select(
-            *STEP_KEYS, "token", "pos", mean.alias("p"), "n_models",
+            *STEP_KEYS, "token", "pos", mean.alias("p"), "n_models", "unnamed",
             *[f"token_id_{m.model}" for m in profiles],
         )
     )

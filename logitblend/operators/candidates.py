@@ -3,7 +3,7 @@
 Candidate tables are long: one row per (step, model, token).  Steps are told
 apart by ``STEP_KEYS``; a step has at most (models x k) candidates, so no group
 here grows with the data.  That rests on one vector per step and model, which
-:func:`faulty_keys` checks.
+:func:`faulty_keys` checks beforehand, and every blend where it reads the scores.
 """
 
 from __future__ import annotations
@@ -21,6 +21,9 @@ from logitblend.schemas import STEP_KEYS
 
 MODEL_KEYS = [*STEP_KEYS, "model"]
 
+#: What stands in for the token of an id that the vocabulary doesn't list.
+UNNAMED = "<unnamed "
+
 
 def faulty_keys(logits: DataFrame) -> DataFrame:
     """Steps at which a model has more than one vector, and keys with nulls, which
@@ -90,20 +93,30 @@ def confidence_trace(logits: DataFrame, k: int = 10) -> DataFrame:
 
 
 def name_tokens(candidates: DataFrame, vocab: DataFrame | Dimension) -> DataFrame:
-    """Add each candidate's token, in the spelling common to all models."""
-    named = join_dimension(
-        candidates, vocab, ["model", "token_id"], "inner", spread_by=STEP_KEYS
+    """Add each candidate's token, in the spelling common to all models.
+
+    Output layers are often wider than the vocabulary.  An id without a token stays a candidate, under a
+    name that no other model has, and ``named`` tells."""
+    listed = join_dimension(
+        candidates, vocab, ["model", "token_id"], "left", spread_by=STEP_KEYS
+    )
+    stand_in = F.concat(F.lit(UNNAMED), "model", F.lit(":"), "token_id", F.lit(">"))
+    return listed.withColumn("named", F.col("token").isNotNull()).withColumn(
+        "token", F.coalesce(normalize_token(F.col("token")), stand_in)
     )
-    return named.withColumn("token", normalize_token(F.col("token")))
 
 
 def merge_spellings(candidates: DataFrame) -> DataFrame:
     """Candidates whose spellings became equal are one: the best position, with
-    the score and id of the last of them."""
+    the score and id of the last of them.  ``vectors`` counts first places: over the
+    tokens of a step, how many vectors the model has there."""
+    named = F.bool_and("named") if "named" in candidates.columns else F.lit(True)
     return candidates.groupBy(*MODEL_KEYS, "token").agg(
         F.min("pos").alias("pos"),
         F.max_by("score", "pos").alias("score"),
         F.max_by("token_id", "pos").alias("token_id"),
+        F.count_if(F.col("pos") == 1).cast("int").alias("vectors"),
+        named.alias("named"),
     )
 
 
@@ -116,17 +129,24 @@ def complete_sets(candidates: DataFrame, models: Sequence[int]) -> DataFrame:
     """One row per union token and model.  Where the model did not propose the
     token, ``pos``, ``score`` and ``token_id`` are null.
 
-    Candidates meet by one aggregate on the token; neither an anti join nor a
-    product of tokens and models is needed.
+    Candidates meet by one aggregate on the token, with a column for each model; neither
+    an anti join nor a product of tokens and models is needed.
     """
-
-    def slot(model: int) -> Column:
-        proposed = F.filter("own", lambda o: o["model"] == model)
-        return F.struct(F.lit(model).alias("model"), F.get(proposed, F.lit(0)).alias("own"))
-
-    own = F.struct("model", "pos", "score", "token_id")
-    per_token = candidates.groupBy(*STEP_KEYS, "token").agg(F.collect_list(own).alias("own"))
-    slots = F.array(*[slot(m) for m in models])
-    return per_token.select(*STEP_KEYS, "token", F.inline(slots)).select(
-        *MODEL_KEYS, "token", "own.pos", "own.score", "own.token_id"
+    columns = ("pos", "score", "token_id", "vectors")
+    of_model = [
+        F.max(F.when(F.col("model") == m, F.col(c))).alias(f"{c}_{m}")
+        for m in models
+        for c in columns
+    ]
+    per_token = candidates.groupBy(*STEP_KEYS, "token").agg(
+        F.bool_and("named").alias("named"), *of_model
+    )
+    slots = F.array(
+        *[
+            F.struct(F.lit(m).alias("model"), *[F.col(f"{c}_{m}").alias(c) for c in columns])
+            for m in models
+        ]
+    )
+    return per_token.select(*STEP_KEYS, "token", "named", F.inline(slots)).select(
+        *MODEL_KEYS, "token", "named", *columns
     )

@@ -1,12 +1,17 @@
-"""Scores for the tokens a model did not propose itself."""
+"""Scores for the tokens a model did not propose itself.
+
+A model's tokens at a step are few (models x k), and are read, put in order and normalised
+as one array; only the result has a row for each token.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logitblend.functions.vectors import bind
 from logitblend.functions.text import SPACE_MARKER, normalize_token
 from logitblend.operators.candidates import MODEL_KEYS
 from logitblend.operators.dimensions import Dimension, join_dimension
@@ -43,18 +48,21 @@ def resolve_ids(
     profiles: Sequence[ModelProfile],
 ) -> DataFrame:
     """Give every missing token an id in its model.  ``source`` says how it was
-    found: own, vocab, subtoken, blank or unresolved."""
+    found: own, unnamed (own, but not in the vocabulary), vocab, subtoken, blank or
+    unresolved."""
     marker = per_model(profiles, "marker", "string")
     lookup = F.when(
         marker.isNotNull(), F.replace(F.col("token"), F.lit(SPACE_MARKER), marker)
     ).otherwise(F.col("token"))
     own, empty = F.col("token_id").isNotNull(), F.col("token") == ""
-    # Own and empty tokens need no lookup; a null key matches nothing.
-    keyed = sets.withColumn("lookup", F.when(~own & ~empty, lookup))
+    # Own, unnamed and empty tokens need no lookup; a null key matches nothing.
+    keyed = sets.withColumn("lookup", F.when(~own & ~empty & F.col("named"), lookup)).withColumn(
+        "plain", F.col("token")
+    ).withColumn("token", F.when(F.col("named"), F.col("token")))
     for ids in (vocab_ids, subtoken_ids):
         columns = ids.table.columns if isinstance(ids, Dimension) else ids.columns
         key = "lookup" if "lookup" in columns else "token"
-        keyed = join_dimension(keyed, ids, ["model", key], "left", [*STEP_KEYS, "token"])
+        keyed = join_dimension(keyed, ids, ["model", key], "left", [*STEP_KEYS, "plain"])
     blank_id = per_model(profiles, "blank_id", "int")
     found = (
         F.when(own, F.col("token_id"))
@@ -62,19 +70,48 @@ def resolve_ids(
         .otherwise(F.coalesce("vocab_id", "subtoken_id"))
     )
     source = (
-        F.when(own, "own")
+        F.when(own & F.col("named"), "own")
+        .when(own, "unnamed")
         .when(empty & blank_id.isNotNull(), "blank")
         .when(~empty & F.col("vocab_id").isNotNull(), "vocab")
         .when(~empty & F.col("subtoken_id").isNotNull(), "subtoken")
         .otherwise("unresolved")
     )
     return keyed.select(
-        *MODEL_KEYS, "token", "pos", "score", found.alias("token_id"), source.alias("source")
+        *MODEL_KEYS, F.col("plain").alias("token"), "pos", "score", found.alias("token_id"),
+        source.alias("source"), "vectors",
+    )
+
+
+_ENTRY = ("token", "pos", "score", "token_id", "source")
+_FAR = (1 << 31) - 1
+
+
+def _entry(e: Column, score: Column) -> Column:
+    """An entry with its score; an id for which the model has none is marked."""
+    beyond = score.isNull() & e["token_id"].isNotNull()
+    return F.struct(
+        e["token"].alias("token"),
+        e["pos"].alias("pos"),
+        score.alias("score"),
+        e["token_id"].alias("token_id"),
+        F.when(beyond, "out_of_range").otherwise(e["source"]).alias("source"),
     )
 
 
+def _checked(entries: Column, faulty: Column) -> Column:
+    """The entries, or an error where a model has more than one vector at a step: which of
+    them counts is not ours to say."""
+    where = F.concat_ws(" ", *[F.col(c).cast("string") for c in MODEL_KEYS])
+    message = F.concat(F.lit("more than one vector per step and model: "), where)
+    kind = "array<struct<token: string>>"
+    refused = F.transform(F.raise_error(message).cast(kind), lambda e: entries[0])
+    return F.when(faulty, refused).otherwise(entries)
+
+
 def read_scores(sets: DataFrame, logits: DataFrame) -> DataFrame:
-    """Read the missing scores out of the logit vectors.
+    """Read the missing scores out of the logit vectors: one row per step and model, with
+    its tokens in ``entries``.
 
     The ids wanted at a step travel as one short array (at most models x union
     size), and the vectors stream past a hash table of those arrays.  The
@@ -82,62 +119,79 @@ def read_scores(sets: DataFrame, logits: DataFrame) -> DataFrame:
     unless the table is already bucketed by the step keys, see
     ``sources.logits``.  A model without a logged vector at a step drops out there.
     """
-    entry = F.struct("model", "token", "pos", "score", "token_id", "source")
-    wanted = sets.groupBy(*STEP_KEYS).agg(F.collect_list(entry).alias("entries"))
+    entry = F.struct("model", *_ENTRY, "vectors")
+    wanted = sets.groupBy(*STEP_KEYS).agg(F.collect_list(entry).alias("wanted"))
     joined = wanted.hint("shuffle_hash").join(
         logits.select(*MODEL_KEYS, "logits"), STEP_KEYS, "inner"
     )
+    own = F.filter("wanted", lambda e: e["model"] == F.col("model"))
+    vectors = F.aggregate(own, F.lit(0), lambda n, e: n + F.coalesce(e["vectors"], F.lit(0)))
     read = F.transform(
-        F.filter("entries", lambda e: e["model"] == F.col("model")),
-        lambda e: F.struct(
-            e["token"].alias("token"),
-            e["pos"].alias("pos"),
-            F.coalesce(e["score"], F.get("logits", e["token_id"])).alias("score"),
-            e["token_id"].alias("token_id"),
-            e["source"].alias("source"),
-        ),
+        own,
+        lambda e: _entry(e, F.coalesce(e["score"], F.get("logits", e["token_id"]))),
     )
-    return joined.select(*MODEL_KEYS, F.inline(read))
+    return joined.select(*MODEL_KEYS, _checked(read, vectors > 1).alias("entries"))
 
 
 def read_scores_long(sets: DataFrame, logits: DataFrame) -> DataFrame:
-    """As :func:`read_scores` for logits stored one row per token.  A model that
-    logged a step has own candidates there."""
-    stored = logits.select(*MODEL_KEYS, "token_id", F.col("logit").alias("stored"))
-    whole = Window.partitionBy(*MODEL_KEYS)
-    logged = sets.withColumn(
-        "logged", F.max((F.col("source") == "own").cast("int")).over(whole)
-    ).filter("logged = 1")
-    return logged.join(stored, [*MODEL_KEYS, "token_id"], "left").select(
-        *MODEL_KEYS, "token", "pos",
-        F.coalesce("score", "stored").alias("score"), "token_id", "source",
+    """As :func:`read_scores` for logits stored one row per token.  The rows stream past
+    a hash table of the ids wanted at their step, and only those found go on.  A model
+    that logged a step has own candidates there, so it has a row."""
+    wanted = sets.groupBy(*MODEL_KEYS).agg(F.collect_list(F.struct(*_ENTRY)).alias("wanted"))
+    wanted = wanted.withColumn("ids", F.transform("wanted", lambda e: e["token_id"]))
+    hits = (
+        wanted.hint("shuffle_hash")
+        .join(logits.select(*MODEL_KEYS, "token_id", "logit"), MODEL_KEYS)
+        .filter(F.array_contains("ids", F.col("token_id")))
+        .groupBy(*MODEL_KEYS)
+        .agg(
+            F.first("wanted").alias("wanted"),
+            F.collect_list(F.struct("token_id", "logit")).alias("found"),
+        )
+    )
+    ids = F.transform("found", lambda f: f["token_id"])
+    repeated = F.size(ids) > F.size(F.array_distinct(ids))
+    read = F.transform(
+        "wanted",
+        lambda e: _entry(
+            e,
+            F.coalesce(
+                e["score"],
+                F.get(F.filter("found", lambda f: f["token_id"] == e["token_id"]), F.lit(0))["logit"],
+            ),
+        ),
     )
+    return hits.select(*MODEL_KEYS, _checked(read, repeated).alias("entries"))
 
 
-def order_sets(sets: DataFrame) -> DataFrame:
-    """Number the tokens of each set: own tokens by rank, then filled tokens by
-    token.  This total order settles ties everywhere below."""
-    order = Window.partitionBy(*MODEL_KEYS).orderBy(F.asc_nulls_last("pos"), F.asc("token"))
-    return sets.withColumn("pos", F.row_number().over(order))
+def ordered(entries: Column) -> Column:
+    """Entries in the order that settles ties everywhere below: own tokens by rank, then
+    filled tokens by token."""
+    keyed = F.transform(
+        entries,
+        lambda e: F.struct(
+            F.coalesce(e["pos"], F.lit(_FAR)).alias("rank"),
+            *[e[c].alias(c) for c in ("token", "score", "token_id", "source")],
+        ),
+    )
+    return F.sort_array(keyed)
 
 
-def suppress_repeats(sets: DataFrame, profiles: Sequence[ModelProfile]) -> DataFrame:
-    """Set the logit of a filled-in token to 0 when an own token or an earlier
-    filled-in one has the same id, for models that ask for it."""
-    is_own = F.col("source") == "own"
-    same_id = Window.partitionBy(*MODEL_KEYS, "token_id").orderBy(F.desc("is_own"), F.asc("pos"))
-    repeated = (
-        per_model(profiles, "dedup_ids", "boolean")
-        & ~is_own
-        & F.col("token_id").isNotNull()
-        & (F.col("nth") > 1)
-    )
-    return (
-        sets.withColumn("is_own", is_own)
-        .withColumn("nth", F.row_number().over(same_id))
-        .withColumn("repeated", repeated)
-        .withColumn(
-            "score", F.when(F.col("repeated"), F.lit(0)).otherwise(F.col("score"))
-        )
-        .drop("is_own", "nth")
-    )
+def suppressed(entries: Column, wanted: Column) -> Column:
+    """Ordered entries, numbered.  Where ``wanted``, a filled-in token's score is 0 if an
+    own token or an earlier filled-in one has the same id; ``repeated`` tells."""
+
+    def with_ids(ids: Column) -> Column:
+        def entry(e: Column, i: Column) -> Column:
+            again = F.coalesce(F.array_position(ids, e["token_id"]) <= i, F.lit(False))
+            again = wanted & ~e["source"].isin("own", "unnamed") & again
+            return F.struct(
+                (i + 1).alias("pos"),
+                F.when(again, F.lit(0).cast("double")).otherwise(e["score"]).alias("score"),
+                *[e[c].alias(c) for c in ("token", "token_id", "source")],
+                again.alias("repeated"),
+            )
+
+        return F.transform(entries, entry)
+
+    return bind(F.transform(entries, lambda e: e["token_id"]), with_ids)

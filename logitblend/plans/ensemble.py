@@ -3,7 +3,9 @@
 Shuffles: the k candidates of each vector by step (narrow), and the vectors
 themselves by step (wide).  Everything after the first, from union to pick,
 groups by the step keys or more, so it stays in place.  Over a table written by
-``sources.logits`` there is no shuffle, and one scan of the vectors instead of two.
+``sources.logits`` there is no shuffle, and one scan of the vectors instead of two; that
+is the form for large tables.  Logits stored one row per token move by step once, for
+ranking and reading alike.
 """
 
 from __future__ import annotations
@@ -11,10 +13,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from logitblend.operators import blending, candidates, filling, sequences
+from logitblend.operators.candidates import MODEL_KEYS
 from logitblend.operators.dimensions import Dimension, dimensions
-from logitblend.profiles import ModelProfile
+from logitblend.profiles import ModelProfile, per_model
 from logitblend.schemas import STEP_KEYS
 
 
@@ -24,6 +28,14 @@ def _measured(*tables: DataFrame | Dimension) -> list[Dimension]:
     return dimensions(*[t.table if isinstance(t, Dimension) else t for t in tables])
 
 
+def _long_by_step(logits: DataFrame, colocated: bool) -> DataFrame:
+    """Long rows, moved by step: one shuffle for ranking and for reading scores.  The join
+    would drop rows without a key on its side only, and make it two; here both sides do."""
+    keys = [*MODEL_KEYS, "token_id"]
+    whole = logits.select(*keys, "logit").filter(" AND ".join(f"{k} IS NOT NULL" for k in keys))
+    return whole if colocated else whole.repartition(*STEP_KEYS)
+
+
 def own_candidates(
     logits: DataFrame, vocab: DataFrame | Dimension, k: int = 10, colocated: bool = False
 ) -> DataFrame:
@@ -35,9 +47,7 @@ def own_candidates(
             rows = rows.repartition(*STEP_KEYS)
         ranked = candidates.unpack(rows)
     else:
-        ranked = candidates.top_k_long(logits, k)
-        if not colocated:
-            ranked = ranked.repartition(*STEP_KEYS)
+        ranked = candidates.top_k_long(_long_by_step(logits, colocated), k)
     return candidates.merge_spellings(candidates.name_tokens(ranked, vocab))
 
 
@@ -50,16 +60,25 @@ def filled_sets(
     colocated: bool = False,
     normalize_vocab: bool = False,
 ) -> DataFrame:
-    """Every model's scores over the union of all models' candidates."""
+    """Every model's scores and probabilities over the union of all models' candidates."""
     vocab, subtokens = _measured(vocab, subtokens)
     vocab_ids = vocab.reduced(lambda t: filling.vocab_lookup(t, normalize_vocab))
     subtoken_ids = subtokens.reduced(lambda t: filling.first_subtokens(t, profiles))
     own = own_candidates(logits, vocab, k, colocated)
     sets = candidates.complete_sets(own, [p.model for p in profiles])
     sets = filling.resolve_ids(sets, vocab_ids, subtoken_ids, profiles)
-    dense = "logits" in logits.columns
-    read = filling.read_scores if dense else filling.read_scores_long
-    return filling.suppress_repeats(filling.order_sets(read(sets, logits)), profiles)
+    if "logits" in logits.columns:
+        rows = filling.read_scores(sets, logits)
+    else:
+        rows = filling.read_scores_long(sets, _long_by_step(logits, colocated))
+    entries = filling.suppressed(
+        filling.ordered(F.col("entries")), per_model(profiles, "dedup_ids", "boolean")
+    )
+    # The arrays are built once a row; the select below only unpacks them.
+    built = rows.select(*MODEL_KEYS, entries.alias("entries")).select(
+        *MODEL_KEYS, blending.with_probabilities(F.col("entries")).alias("entries")
+    )
+    return built.select(*MODEL_KEYS, F.inline("entries"))
 
 
 def blended(
@@ -71,7 +90,7 @@ def blended(
 ) -> DataFrame:
     """Mean distribution over the union, for any number of models."""
     sets = filled_sets(logits, vocab, subtokens, profiles, **options)
-    return blending.blend(blending.softmax_sets(sets), profiles)
+    return blending.blend(sets, profiles)
 
 
 def picks(

@@ -133,7 +133,7 @@ def _fill(n: int, literal_skip: bool = False, **options):
 
 
 def union_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blending.softmax_sets(_sets(spark, sf_dir, 2)).select(
+    return _sets(spark, sf_dir, 2).select(
         *MODEL_KEYS, "token", "pos", _rounded("p")
     )
 
@@ -144,9 +144,7 @@ SELECT run, example_id, step, model, token, pos::INTEGER AS pos, round(p, 6) AS
 
 
 def drop_token(spark: SparkSession, sf_dir: str) -> DataFrame:
-    probabilities = blending.softmax_sets(_sets(spark, sf_dir, 2)).withColumn(
-        "score", F.col("p")
-    )
+    probabilities = _sets(spark, sf_dir, 2).withColumn("score", F.col("p"))
     return blending.drop_tokens(probabilities, 0.05).select(*MODEL_KEYS, "token", _rounded("p"))
 
 
@@ -198,17 +196,57 @@ def _pick(n: int):
     return ensemble_pick
 
 
-def _pick_sql(n: int) -> str:
+def _pick_sql(n: int, extra: str = "", **options) -> str:
     ids = ", ".join(
         f"coalesce(token_id_{m}, -1)::INTEGER AS token_id_{m}" for m in range(1, n + 1)
     )
-    return ensemble_sql(n) + f"""
+    return ensemble_sql(n, **options) + f"""
 SELECT run, example_id, step, token, coalesce(next_token, '-') AS next_token,
-       round(p, 6) AS p, n_models, {ids}
+       round(p, 6) AS p, n_models, {ids}{extra}
 FROM picks
 """
 
 
+def ensemble_pick_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-model blend over logits stored one row per token."""
+    picked = ensemble.picks(
+        inputs.long_logits(spark, sf_dir, 2),
+        inputs.vocab(spark, 2),
+        inputs.subtokens(spark, 2),
+        inputs.profiles(2),
+    )
+    return report_picks(picked, 2)
+
+
+# Entries of a vector that the vocabularies of the variants list; every how many vectors
+# one is empty.
+LISTED, GAP = 56, 5
+
+
+def fill_missing_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors wider than the vocabularies, and models without a score at some steps."""
+    sets = ensemble.filled_sets(
+        inputs.logits(spark, sf_dir, 2, GAP),
+        inputs.vocab(spark, 2, LISTED),
+        inputs.subtokens(spark, 2),
+        inputs.profiles(2),
+    )
+    score = F.coalesce(F.round("score", 6), F.lit(-99.0)).alias("score")
+    return sets.select(*MODEL_KEYS, "token", "pos", _id("token_id"), "source", "repeated", score)
+
+
+def ensemble_pick_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picked = ensemble.picks(
+        inputs.logits(spark, sf_dir, 2, GAP),
+        inputs.vocab(spark, 2, LISTED),
+        inputs.subtokens(spark, 2),
+        inputs.profiles(2),
+    )
+    return report_picks(picked, 2).join(
+        picked.select(*STEP_KEYS, F.col("unnamed").cast("int").alias("unnamed")), STEP_KEYS
+    )
+
+
 def _mean(n: int, lam: float | None = None):
     def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
         return ensemble.blended(
@@ -330,6 +368,9 @@ QUERIES = {
     "ensemble_mean_weighted": _mean(2, lam=0.3),
     "ensemble_pick_2": _pick(2),
     "ensemble_pick_3": _pick(3),
+    "ensemble_pick_long": ensemble_pick_long,
+    "ensemble_pick_padded": ensemble_pick_padded,
+    "fill_missing_padded": fill_missing_padded,
     "confidence_trace": confidence_trace,
     "ensemble_texts": ensemble_texts,
     "assemble_sequence": assemble_sequence,
@@ -353,6 +394,9 @@ ORACLES = {
     "ensemble_mean_weighted": _mean_sql(2, lam=0.3),
     "ensemble_pick_2": _pick_sql(2),
     "ensemble_pick_3": _pick_sql(3),
+    "ensemble_pick_long": _pick_sql(2),
+    "ensemble_pick_padded": _pick_sql(2, ", unnamed::INTEGER AS unnamed", gap=GAP, listed=LISTED),
+    "fill_missing_padded": ensemble_sql(2, gap=GAP, listed=LISTED) + _SET_SQL,
     "confidence_trace": CONFIDENCE_TRACE,
     "ensemble_texts": ENSEMBLE_TEXTS,
     "assemble_sequence": ASSEMBLE_SEQUENCE,

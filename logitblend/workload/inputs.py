@@ -42,7 +42,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def logits(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+def logits(spark: SparkSession, sf_dir: str, n: int, gap: int = 0) -> DataFrame:
+    """With ``gap``, every so many vectors one is empty: a model without a score there."""
     turn = F.expr(f"vec_id div {n}")
     example = F.expr(f"vec_id div {n * STEPS}")
     return table(spark, sf_dir, "embeddings").select(
@@ -50,7 +51,21 @@ def logits(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
         example.alias("example_id"),
         (turn % STEPS).cast("int").alias("step"),
         (F.col("vec_id") % n + 1).cast("int").alias("model"),
-        F.transform("embedding", lambda x: x.cast("double") * 10).alias("logits"),
+        F.transform(
+            F.when(F.col("vec_id") % gap == 0, F.array().cast("array<float>")).otherwise(
+                F.col("embedding")
+            )
+            if gap
+            else F.col("embedding"),
+            lambda x: x.cast("double") * 10,
+        ).alias("logits"),
+    )
+
+
+def long_logits(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The same with one row per token."""
+    return logits(spark, sf_dir, n).select(
+        "run", "example_id", "step", "model", F.posexplode("logits").alias("token_id", "logit")
     )
 
 
@@ -68,7 +83,8 @@ def _numbers(spark: SparkSession, n: int, name: str, models: int) -> DataFrame:
     return spark.range(0, n, 1, 1).select(F.col("id").cast("int").alias(name), _models(models))
 
 
-def vocab(spark: SparkSession, n: int) -> DataFrame:
+def vocab(spark: SparkSession, n: int, width: int = WIDTH) -> DataFrame:
+    """With a smaller ``width``, vectors are wider than the vocabulary."""
     number = F.col("number")
     odd = F.col("model") % 2 == 1
     marker = F.when(odd, SPACE).otherwise(UNDERSCORE)
@@ -83,7 +99,7 @@ def vocab(spark: SparkSession, n: int) -> DataFrame:
         .otherwise(plain)
     )
     return (
-        _numbers(spark, WIDTH, "token_id", n)
+        _numbers(spark, width, "token_id", n)
         .withColumn("number", F.col("token_id") * _by_model(FACTORS) % MODULUS)
         .select("model", "token_id", token.alias("token"), (number == 17).alias("special"))
     )
@@ -109,7 +125,12 @@ def subtokens(spark: SparkSession, n: int) -> DataFrame:
 
 
 def ensemble_sql(
-    n: int, literal_skip: bool = False, normalize: bool = False, lam: float | None = None
+    n: int,
+    literal_skip: bool = False,
+    normalize: bool = False,
+    lam: float | None = None,
+    gap: int = 0,
+    listed: int = WIDTH,
 ) -> str:
     """The whole computation as common table expressions, from logits to picks."""
     models = ", ".join(f"({m}, {FACTORS[m]})" for m in range(1, n + 1))
@@ -134,7 +155,7 @@ profile(model, marker, blank_id, dedup_ids, blank_skip, weight) AS (VALUES {prof
 width AS (SELECT {WIDTH} AS width),
 raw AS (
   SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS token_id, unnest(embedding) AS x
-  FROM embeddings),
+  FROM embeddings {f"WHERE vec_id % {gap} <> 0" if gap else ""}),
 logit AS (
   SELECT 'run' || (vec_id // {n * STEPS}) % 3 AS run, vec_id // {n * STEPS} AS example_id,
          ((vec_id // {n}) % {STEPS})::INTEGER AS step, (vec_id % {n} + 1)::INTEGER AS model,
@@ -142,7 +163,7 @@ logit AS (
   FROM raw),
 vocab0 AS (
   SELECT model, token_id::INTEGER AS token_id, (token_id * factor) % {MODULUS} AS number
-  FROM models, (SELECT unnest(range(0, width)) AS token_id FROM width)),
+  FROM models, (SELECT unnest(range(0, {listed})) AS token_id)),
 vocab AS (
   SELECT model, token_id,
          CASE WHEN number = 13 AND model = 1 THEN ''
@@ -181,17 +202,21 @@ ranked AS (
   FROM logit),
 top AS (SELECT * FROM ranked WHERE pos <= 10),
 spelled AS (
-  SELECT t.*, {spelled} AS token
-  FROM top t JOIN vocab v USING (model, token_id)),
+  SELECT t.*, coalesce({spelled}, '<unnamed ' || model || ':' || token_id || '>') AS token
+  FROM top t LEFT JOIN vocab v USING (model, token_id)),
 own AS (
   SELECT {keys}, model, token, min(pos) AS pos, arg_max(logit, pos) AS logit,
          arg_max(token_id, pos) AS token_id
   FROM spelled GROUP BY {keys}, model, token),
 joint AS (SELECT DISTINCT {keys}, token FROM own),
-logged AS (SELECT DISTINCT {keys}, model FROM logit),
+logged AS (
+  SELECT 'run' || (vec_id // {n * STEPS}) % 3 AS run, vec_id // {n * STEPS} AS example_id,
+         ((vec_id // {n}) % {STEPS})::INTEGER AS step, (vec_id % {n} + 1)::INTEGER AS model
+  FROM embeddings),
 missing AS (
   SELECT j.run, j.example_id, j.step, l.model, j.token,
-         CASE WHEN p.marker IS NULL THEN j.token
+         CASE WHEN starts_with(j.token, '<unnamed ') THEN NULL
+              WHEN p.marker IS NULL THEN j.token
               ELSE replace(j.token, '{SPACE}', p.marker) END AS lookup,
          p.blank_id
   FROM joint j
@@ -211,9 +236,13 @@ resolved AS (
   LEFT JOIN known v ON v.model = m.model AND v.key = m.{"token" if normalize else "lookup"}
   LEFT JOIN fallback f ON f.model = m.model AND f.token = m.lookup),
 filled AS (
-  SELECT r.*, l.logit FROM resolved r LEFT JOIN logit l USING ({keys}, model, token_id)),
+  SELECT r.* REPLACE (CASE WHEN r.token_id IS NOT NULL AND l.logit IS NULL THEN 'out_of_range'
+                           ELSE source END AS source), l.logit
+  FROM resolved r LEFT JOIN logit l USING ({keys}, model, token_id)),
 entries AS (
-  SELECT {keys}, model, token, pos AS rank, logit, token_id, 'own' AS source FROM own
+  SELECT {keys}, model, token, pos AS rank, logit, token_id,
+         CASE WHEN starts_with(token, '<unnamed ') THEN 'unnamed' ELSE 'own' END AS source
+  FROM own
   UNION ALL SELECT {keys}, model, token, NULL, logit, token_id, source FROM filled),
 placed AS (
   SELECT *, row_number() OVER (
@@ -221,21 +250,23 @@ placed AS (
   FROM entries),
 seen AS (
   SELECT *, row_number() OVER (
-              PARTITION BY {keys}, model, token_id ORDER BY source <> 'own', pos) AS nth
+              PARTITION BY {keys}, model, token_id ORDER BY rank IS NULL, pos) AS nth
   FROM placed),
 sets AS (
   SELECT s.run, s.example_id, s.step, s.model, s.token, s.pos, s.token_id, s.source,
-         p.dedup_ids AND s.source <> 'own' AND s.token_id IS NOT NULL AND s.nth > 1 AS repeated,
-         CASE WHEN p.dedup_ids AND s.source <> 'own' AND s.token_id IS NOT NULL AND s.nth > 1
+         p.dedup_ids AND s.rank IS NULL AND s.token_id IS NOT NULL AND s.nth > 1 AS repeated,
+         CASE WHEN p.dedup_ids AND s.rank IS NULL AND s.token_id IS NOT NULL AND s.nth > 1
               THEN 0 ELSE s.logit END AS score,
          p.weight
   FROM seen s JOIN profile p USING (model)),
 exps AS (
   SELECT *, coalesce(exp(score - max(score) OVER (PARTITION BY {keys}, model)), 0) AS e
   FROM sets),
-probs AS (SELECT *, e / sum(e) OVER (PARTITION BY {keys}, model) AS p FROM exps),
+totals AS (SELECT *, sum(e) OVER (PARTITION BY {keys}, model) AS total FROM exps),
+probs AS (SELECT *, CASE WHEN total > 0 THEN e / total ELSE 0 END AS p FROM totals),
 blended AS (
-  SELECT {keys}, token, sum(weight * p) AS p, count(p) AS n_models,
+  SELECT {keys}, token, sum(weight * p) AS p, count(*) FILTER (WHERE total > 0) AS n_models,
+         bool_or(source = 'unnamed') AS unnamed,
          max(CASE WHEN model = 1 THEN pos END) AS pos,
          {", ".join(f"max(CASE WHEN model = {m} THEN token_id END) AS token_id_{m}"
                     for m in range(1, n + 1))}

@@ -190,6 +190,43 @@ def test_dense_and_long_logits_agree(spark):
     )
 
 
+def test_repeated_vectors_are_refused(spark):
+    data, vocab, subtokens = make_case(6, 2, 30, steps=4)
+    logits, v, s = tables(spark, data, vocab, subtokens)
+    again = logits.unionAll(logits.filter("step = 1 and model = 2"))
+    for table in (again, as_long(again)):
+        with pytest.raises(Exception, match="more than one vector per step and model: r 0 1 2"):
+            ensemble.picks(table, v, s, uniform_weights(PROFILES[:2])).collect()
+
+
+def test_ids_without_a_token_stay_candidates(spark):
+    data, vocab, subtokens = make_case(6, 2, 30, steps=4)
+    data = {k: [*x, 9.0 if k[3] == 1 else -9.0] for k, x in data.items()}  # id 30 is not listed
+    logits, v, s = tables(spark, data, vocab, subtokens)
+    for table in (logits, as_long(logits)):
+        sets = ensemble.filled_sets(table, v, s, uniform_weights(PROFILES[:2]), k=5).collect()
+        first = [r for r in sets if r["model"] == 1 and r["pos"] == 1]
+        assert {(r["token"], r["token_id"], r["source"]) for r in first} == {
+            ("<unnamed 1:30>", 30, "unnamed")}
+        other = [r for r in sets if r["model"] == 2 and r["token"] == "<unnamed 1:30>"]
+        assert {(r["source"], r["score"], r["p"]) for r in other} == {("unresolved", None, 0.0)}
+        picked = ensemble.picks(table, v, s, uniform_weights(PROFILES[:2])).collect()
+        assert {(r["token"], r["next_token"], r["unnamed"]) for r in picked} == {
+            ("<unnamed 1:30>", None, True)}
+
+
+def test_a_step_without_any_score_of_a_model(spark):
+    data, vocab, subtokens = make_case(6, 2, 30, steps=4)
+    data[("r", 0, 2, 2)] = []
+    logits, v, s = tables(spark, data, vocab, subtokens)
+    profiles = uniform_weights(PROFILES[:2])
+    sets = ensemble.filled_sets(logits, v, s, profiles).filter("step = 2 and model = 2").collect()
+    assert {r["p"] for r in sets} == {0.0} and not any(r["scored"] for r in sets)
+    assert {r["source"] for r in sets} <= {"out_of_range", "unresolved"}
+    rows = ensemble.picks(logits, v, s, profiles).collect()
+    assert {r["step"]: r["n_models"] for r in rows} == {0: 2, 1: 2, 2: 1, 3: 2}
+
+
 def test_a_model_without_a_logged_vector_is_left_out(spark):
     data, vocab, subtokens = make_case(6, 2, 30, steps=4)
     del data[("r", 0, 2, 2)]

@@ -51,6 +51,29 @@ def test_blend_shuffles_candidates_and_vectors_once(case):
     assert "BroadcastNestedLoopJoin" not in plan
 
 
+def test_blend_orders_and_normalises_without_windows(case):
+    plan = plan_of(ensemble.blended(*case, uniform_weights(PROFILES[:2])))
+    assert "Window" not in plan
+    picks = plan_of(ensemble.picks(*case, uniform_weights(PROFILES[:2])))
+    assert len(re.findall(r"\bWindow \[", picks)) == 1
+
+
+def test_long_blend_moves_its_rows_once_and_never_sorts_them_for_a_join(spark, case, tmp_path):
+    logits, vocab, subtokens = case
+    long = logits.select(
+        "run", "example_id", "step", "model", F.posexplode("logits").alias("token_id", "logit"))
+    long.write.parquet(str(tmp_path / "long"))
+    stored = spark.read.parquet(str(tmp_path / "long"))
+    picks = ensemble.picks(stored, vocab, subtokens, uniform_weights(PROFILES[:2]))
+    assert "SortMergeJoin" not in plan_of(picks)
+    rows = picks.collect()
+    final = plan_of(picks).split("Initial Plan")[0]
+    moved = [s for s in shuffles(final) if "REPARTITION_BY_COL" in s and "ReusedExchange" not in s]
+    assert len(moved) == 1 and "ReusedExchange" in final
+    dense = ensemble.picks(logits, vocab, subtokens, uniform_weights(PROFILES[:2])).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, dense))
+
+
 def test_blend_of_bucketed_logits_shuffles_nothing(spark, case, tmp_path):
     logits, vocab, subtokens = case
     profiles = uniform_weights(PROFILES[:2])

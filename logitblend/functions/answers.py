@@ -54,7 +54,8 @@ def _last_number(text: Column, pattern: str) -> Column:
 def extract_number(text: Column, patterns: Sequence[str] = ANSWER_PATTERNS) -> Column:
     """The last match of the first pattern that matches at all, else the last
     number in the text, else NaN.  Pass a column, not a long expression: each
-    pattern reads it again."""
+    pattern reads it again.  Text cleaned by the whitelist has no marker left, so for it
+    the last number alone will do: no patterns."""
     tries = [_last_number(text, p) for p in patterns]
     return _or_nan(F.coalesce(*tries, _last_number(text, NUMBER)))
 

@@ -44,7 +44,8 @@ def records(
         solution.alias("pred_solution"),
     )
     if task == "math":
-        pred = answers.extract_number(F.col("pred_solution"))
+        patterns = () if clean == "whitelist" else answers.ANSWER_PATTERNS
+        pred = answers.extract_number(F.col("pred_solution"), patterns)
         label = GOLD_RULES[gold](F.col("original_sln"))
     else:
         pred, label = F.col("pred_solution"), F.col("original_sln")

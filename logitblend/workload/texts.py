@@ -178,7 +178,7 @@ def extract_number(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(
         "l_orderkey", "l_linenumber", "l_partkey",
         defined(answers.extract_number(F.col("cut"))).alias("number"),
-        defined(answers.extract_number(F.col("kept"))).alias("whitelist_number"),
+        defined(answers.extract_number(F.col("kept"), ())).alias("whitelist_number"),
         defined(answers.extract_number(solution, answers.NUMBER_PATTERNS)).alias("table_number"),
         defined(answers.extract_number_after_marker(solution)).alias("earlier_number"),
     )

@@ -224,7 +224,7 @@ def subject_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ensemble_pick_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two-model blend over a logits table bucketed by step."""
     folder = shared_folder(spark, "logits", sf_dir)
-    name = f"logits_{folder.rsplit('-', 1)[-1]}"
+    name = f"logits_{folder.rsplit('-', 1)[-1]}"  # written over by the next call
     logit_tables.write_bucketed(inputs.logits(spark, sf_dir, 2), name, 8, folder)
     picked = ensemble.picks(
         logit_tables.read_bucketed(spark, name),

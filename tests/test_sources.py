@@ -151,6 +151,25 @@ def test_shared_folder_without_a_setting(monkeypatch):
         shared.shared_folder(Session(), "x")
 
 
+def test_shared_tables_can_be_cleared(tmp_path):
+    class Part:  # a session with a folder of its own
+        pass
+
+    from pyspark.sql import SparkSession
+
+    real = SparkSession.getActiveSession()
+    session = Part()
+    session.conf = Part()
+    session.sparkContext = real.sparkContext
+    session.conf.get = lambda name, default: str(tmp_path)
+    folder = shared.shared_folder(session, "x", "key")
+    assert folder == shared.shared_folder(session, "x", "key")
+    real.range(3).write.parquet(folder)
+    assert list(tmp_path.rglob("*.parquet"))
+    shared.clear(session)
+    assert not list(tmp_path.iterdir())
+
+
 def test_text_metrics_of_open_questions(spark, tmp_path):
     write(tmp_path / "r" / "qa.jsonl", [
         {"question": "a", "original_sln": "Prince", "pred_solution": "", "pred": "Prince", "label": "Prince"},

@@ -29,9 +29,8 @@ from logitblend.llm.windows import (
     Words,
     common_prefixes,
     joined,
-    repeats,
     suffix_array,
-    without,
+    without_repeats,
 )
 
 WINDOW = 50
@@ -182,11 +181,6 @@ def deduplicated(
     """``row`` (the columns to keep, all if None); ``words``, how many the text has;
     ``removed``, how many of them an earlier document has in a window, too; their ``spans``; and
     the ``kept`` words joined by a space, as UTF-8."""
-    finder = lambda data, ids, starts: earlier_windows(data, ids, starts, window)
-    found = repeats(
-        docs, key, text, Words, window, gram, in_text=False, find=finder, block=block
-    )
-
     def compute(texts: list[str | None], all_spans: list[list[dict] | None]) -> list[pa.Array]:
         symbols = Words()
         words, removed, joined, kept = [], [], [], []
@@ -203,4 +197,8 @@ def deduplicated(
             pa.array(kept, pa.binary()),
         ]
 
-    return without(docs, found, key, text, keep, FIELDS, compute)
+    return without_repeats(
+        docs, key, text, keep, Words, window, gram, False,
+        lambda data, ids, starts: earlier_windows(data, ids, starts, window),
+        FIELDS, compute, block,
+    )

@@ -25,18 +25,16 @@ from pyspark.sql import DataFrame
 
 from logitblend.llm.windows import (
     BLOCK,
+    BYTE_HASHES,
     Bytes,
     SPANS_TYPE,
-    common_prefixes,
-    joined,
-    repeats,
-    suffix_array,
-    without,
+    rolling,
+    without_repeats,
 )
 from logitblend.llm.substring import remaining, union
 
 LENGTH = 100
-GRAM = 16
+GRAM = 24
 
 FIELDS = "bytes long, removed long, spans array<struct<start: int, stop: int>>, kept binary"
 
@@ -95,51 +93,67 @@ def maximal_repeats(
     return (x for x in intervals(shared, left, keys, least) if x.left is None)
 
 
+def shared_prefix(a: bytes, b: bytes) -> int:
+    n = min(len(a), len(b))
+    differ = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return n - (differ.bit_length() + 7) // 8
+
+
+def starts_of_repeats(whole: np.ndarray, begins: np.ndarray, sizes: np.ndarray, length: int) -> np.ndarray:
+    """Places of strings of ``length`` bytes that occur several times, with different bytes
+    before (the beginning of a segment differs from all).  A repeat that is always
+    preceded by one byte is part of a longer one."""
+    place = np.arange(len(whole)) - np.repeat(begins, sizes)
+    at = np.flatnonzero(place + length <= np.repeat(sizes, sizes))
+    hashes = rolling(BYTE_HASHES[whole], length)[at]
+    order = np.argsort(hashes)
+    at, hashes = at[order], hashes[order]
+    new = np.r_[True, hashes[1:] != hashes[:-1]]
+    alone = new & np.r_[new[1:], True]
+    at, new = at[~alone], new[~alone]
+    if not len(at):
+        return at
+    left = np.where(place[at] == 0, -1 - at, whole[at - 1])
+    first = np.flatnonzero(new)
+    differ = np.minimum.reduceat(left, first) != np.maximum.reduceat(left, first)
+    return at[np.repeat(differ, np.diff(np.r_[first, len(at)]))]
+
+
 def repeated_bytes(
     data: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH
 ) -> Iterator[tuple[int, int, int]]:
-    """(segment, from, to): bytes of maximal repeats, at all places but the first."""
-    texts = [np.frombuffer(d, np.uint8) for d in data]
-    whole, begins = joined(texts, 256)
-    sizes = np.array([len(t) for t in texts])
-    order, ranks = suffix_array(whole, int(sizes.max()) + 1)
-    shared = common_prefixes(order, ranks)
-    del ranks
+    """(segment, from, to): bytes of maximal repeats, at all places but the first.
+
+    The suffix array has only suffixes at which a maximal repeat may start."""
+    whole = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
+    sizes = np.array([len(d) for d in data])
+    begins = np.cumsum(sizes) - sizes
+    at = starts_of_repeats(whole, begins, sizes, length)
+    segment = np.searchsorted(begins, at, side="right") - 1
+    place = at - begins[segment]
+    suffixes = [data[k][p:] for k, p in zip(segment.tolist(), place.tolist(), strict=True)]
+    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+    shared = np.array(
+        [0, *(shared_prefix(suffixes[i], suffixes[j]) for i, j in zip(order, order[1:], strict=False))]
+    )
+    shared[shared < length] = 0
     # Suffixes that share `length` bytes with a neighbour, in groups.
-    new = shared < length
-    group = np.cumsum(new) - 1
-    counts = np.bincount(group)
-    inside = np.flatnonzero(counts[group] > 1)
-    if not len(inside):
+    counts = np.diff(np.r_[np.flatnonzero(shared == 0), len(shared)])
+    inside = np.repeat(counts > 1, counts)
+    order, shared = np.array(order, np.int64)[inside[: len(order)]], shared[inside]
+    if not len(order):
         return
-    order, shared, group = order[inside], shared[inside], group[inside]
-    shared[np.r_[True, group[1:] != group[:-1]]] = 0
-    left = whole[order - 1]
-    # Groups with one symbol before all are part of longer repeats.
-    begin = np.flatnonzero(shared == 0)
-    differ = np.minimum.reduceat(left, begin) != np.maximum.reduceat(left, begin)
-    useful = np.repeat(differ, np.diff(np.r_[begin, len(order)]))
-    order, shared, left = order[useful], shared[useful], left[useful]
-    segment = np.searchsorted(begins, order, side="right") - 1
-    place = order - begins[segment]
+    segment, place = segment[order], place[order]
+    left = np.where(place == 0, -1 - segment, whole[at[order] - 1])
     doc_rank = np.unique(docs, return_inverse=True)[1].astype(np.int64)
     keys = (doc_rank[segment] << 32) + starts[segment] + place
     edges = np.r_[np.flatnonzero(shared == 0), len(order)]
-    size = np.diff(edges)
-
-    # Two occurrences: the later one goes.
-    pair = edges[:-1][size == 2]
-    gone = np.where(keys[pair] > keys[pair + 1], pair, pair + 1)[keys[pair] != keys[pair + 1]]
-    span = shared[pair + 1][keys[pair] != keys[pair + 1]]
-    yield from zip(
-        segment[gone].tolist(), place[gone].tolist(), (place[gone] + span).tolist(), strict=True
-    )
-    for a, b in zip(edges[:-1][size > 2].tolist(), edges[1:][size > 2].tolist(), strict=True):
+    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         lists = (x[a:b].tolist() for x in (shared, left, keys))
         for repeat in maximal_repeats(*lists, length):
             for i in repeat.later:
-                at = int(place[a + i])
-                yield int(segment[a + i]), at, at + repeat.length
+                p = int(place[a + i])
+                yield int(segment[a + i]), p, p + repeat.length
 
 
 def deduplicated(
@@ -154,11 +168,6 @@ def deduplicated(
     """``row`` (the columns to keep, all if None); ``bytes`` of the text; how many are
     ``removed``, as part of a string of ``length`` bytes that occurs earlier; their
     ``spans``, maximal runs; and the bytes ``kept``."""
-    finder = lambda data, ids, starts: repeated_bytes(data, ids, starts, length)
-    found = repeats(
-        docs, key, text, Bytes, length, gram, in_text=True, find=finder, block=block
-    )
-
     def compute(texts: list[str | None], all_spans: list[list[dict] | None]) -> list[pa.Array]:
         symbols = Bytes()
         sizes, removed, joined, kept = [], [], [], []
@@ -175,4 +184,8 @@ def deduplicated(
             pa.array(kept, pa.binary()),
         ]
 
-    return without(docs, found, key, text, keep, FIELDS, compute)
+    return without_repeats(
+        docs, key, text, keep, Bytes, length, gram, True,
+        lambda data, ids, starts: repeated_bytes(data, ids, starts, length),
+        FIELDS, compute, block,
+    )

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logitblend.llm.common import field_names, fresh, written
+from logitblend.llm.common import field_names, written
 
 BLOCK = 1 << 20  # symbols of an index
 STRETCH = 1 << 18  # symbols hashed at a time
@@ -34,7 +34,7 @@ REMEMBERED = 300_000  # words
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTES = np.random.default_rng(20_240_605).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BYTE_HASHES = np.random.default_rng(20_240_605).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 SPANS_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
@@ -46,6 +46,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the factor of polynomial hashes, modulo 2^64, and of its inverse."""
+    with np.errstate(over="ignore"):
+        return tuple(
+            np.cumprod(np.r_[np.uint64(1), np.full(n, x)], dtype=np.uint64) for x in (_FACTOR, _INVERSE)
+        )
+
+
+def rolling(hashes: np.ndarray, length: int) -> np.ndarray:
+    """A hash of the ``length`` symbols from each place on; of fewer, and of no use, at the end."""
+    power, back = powers(len(hashes))
+    with np.errstate(over="ignore"):
+        sums = np.zeros(len(hashes) + length + 1, np.uint64)
+        np.cumsum(hashes * power[:-1], out=sums[1 : len(hashes) + 1])
+        sums[len(hashes) + 1 :] = sums[len(hashes)]
+        return mixed((sums[length : len(hashes) + length] - sums[: len(hashes)]) * back[:-1])
+
+
 # --- symbols -------------------------------------------------------------------------
 
 
@@ -56,7 +74,7 @@ class Bytes:
         return text.encode("utf-8", "replace") if text else b""
 
     def hashes(self, symbols: bytes) -> np.ndarray:
-        return _BYTES[np.frombuffer(symbols, np.uint8)]
+        return BYTE_HASHES[np.frombuffer(symbols, np.uint8)]
 
     def join(self, symbols: bytes) -> bytes:
         return symbols
@@ -92,10 +110,7 @@ class Segments:
     def __init__(self, length: int, gram: int):
         self.length, self.gram = length, gram
         self.wide = length - gram + 1  # grams of a window
-        n = STRETCH + length
-        with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.r_[np.uint64(1), np.full(n, _FACTOR)], dtype=np.uint64)
-            self.back = np.cumprod(np.r_[np.uint64(1), np.full(n, _INVERSE)], dtype=np.uint64)
+        self.power, self.back = powers(STRETCH + length)
 
     def of(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """anchor, content (hashes), start, windows, folded: whether the anchor occurs
@@ -238,28 +253,60 @@ def _sifted(batches: Iterator[pa.RecordBatch], in_text: bool) -> Iterator[pa.Rec
 Finder = Callable[[list[bytes], np.ndarray, np.ndarray], Iterator[tuple[int, int, int]]]
 
 
-def repeats(
+def without_repeats(
     docs: DataFrame,
     key: str,
     text: str,
+    keep: tuple[str, ...] | None,
     kind: type,
     length: int,
     gram: int,
     in_text: bool,
     find: Finder,
+    fields: str,
+    compute: Callable[[list[str | None], list[list[dict] | None]], list[pa.Array]],
     block: int = BLOCK,
 ) -> DataFrame:
-    """``doc, version, spans`` of texts with symbols to remove: those in a window that also
-    starts in a smaller doc or, with ``in_text``, earlier in the same one.  ``version`` is the
-    hash of the text, in case of several texts with one key.
+    """``row`` (the columns to keep, all if None) and ``fields``, computed from each text and
+    the spans of symbols to remove: those in a window that also starts in a smaller key or,
+    with ``in_text``, earlier in the same one.
 
-    ``find`` gets the symbols of a block's segments (joined), their docs and starts, and yields
-    (segment, from, to) of symbols to remove."""
-    own = docs.select(
+    The texts are shuffled once: both what is cut out of them and what is left of them comes
+    from the same exchange.  It is by key and by the hash of the text, in case
+    of several texts with one key."""
+    columns = docs.columns if keep is None else list(keep)
+    base = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
+        F.col(text).cast("string").alias("text"),
         F.col(key).cast("long").alias("doc"),
         F.xxhash64(F.col(text).cast("string")).alias("version"),
-        F.col(text).cast("string").alias("text"),
-    ).filter("doc is not null and text is not null")
+    )
+    names = ["row", *field_names(fields)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                own = compute(part.column("text").to_pylist(), part.column("spans").to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column("row"), *own], names=names)
+
+    spans = _repeats(base, kind, length, gram, in_text, find, block)
+    row = base.schema["row"].dataType.simpleString()
+    return (
+        base.join(spans.hint("shuffle_hash"), ["doc", "version"], "left")
+        .select("row", "text", "spans")
+        .mapInArrow(scan, f"row {row}, {fields}")
+    )
+
+
+def _repeats(
+    base: DataFrame, kind: type, length: int, gram: int, in_text: bool, find: Finder, block: int
+) -> DataFrame:
+    """``doc, version, spans`` of texts with symbols to remove.
+
+    ``find`` gets the symbols of a block's segments (joined), their docs and starts, and yields
+    (segment, from, to) of symbols to remove."""
+    own = base.select("doc", "version", "text").filter("doc is not null and text is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols, segments = kind(), Segments(length, gram)
@@ -288,7 +335,8 @@ def repeats(
     settled = sifted.filter("anchor is null").select(
         "doc", "version", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop")
     )
-    found = _indexed(own, _celled(sifted.filter("anchor is not null"), length, block), kind, length, find, block)
+    open_ = _celled(sifted.filter("anchor is not null"), length, block)
+    found = _indexed(base, open_, kind, length, find, block)
     return (
         settled.unionAll(found)
         .groupBy("doc", "version")
@@ -321,7 +369,7 @@ def _celled(open_: DataFrame, length: int, block: int) -> DataFrame:
 
 
 def _indexed(
-    own: DataFrame, open_: DataFrame, kind: type, length: int, find: Finder, block: int
+    base: DataFrame, open_: DataFrame, kind: type, length: int, find: Finder, block: int
 ) -> DataFrame:
     """``doc, version, start, stop`` that an index of each block of segments finds."""
     lists = open_.groupBy("doc", "version").agg(
@@ -331,8 +379,10 @@ def _indexed(
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = kind()
         for batch in batches:
+            batch = batch.filter(batch.column("segments").is_valid())
             rows, size = [], 0
-            for doc, version, text, segments in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            columns = (batch.column(c).to_pylist() for c in ("doc", "version", "text", "segments"))
+            for doc, version, text, segments in zip(*columns, strict=True):
                 split = symbols.split(text)
                 for x in segments:
                     a, b = x["start"], x["start"] + x["windows"] + length - 1
@@ -345,9 +395,11 @@ def _indexed(
             if rows:
                 yield _cuts(rows)
 
+    # The join has the form of the one in `without_repeats`, down to the columns, so that
+    # both read one exchange.
     cuts = (
-        own.join(lists.hint("shuffle_hash"), ["doc", "version"])
-        .select("doc", "version", "text", "segments")
+        base.join(lists.hint("shuffle_hash"), ["doc", "version"], "left")
+        .select("row", "text", "doc", "version", "segments")
         .mapInArrow(cut_out, _CUT_DDL)
         .repartition("anchor", "cell")
         .sortWithinPartitions("anchor", "cell", "doc", "start", "version")
@@ -444,35 +496,3 @@ def common_prefixes(order: np.ndarray, ranks: list[np.ndarray]) -> np.ndarray:
         b += step
     return np.r_[0, shared]
 
-
-def without(
-    docs: DataFrame,
-    found: DataFrame,
-    key: str,
-    text: str,
-    keep: tuple[str, ...] | None,
-    fields: str,
-    compute: Callable[[list[str | None], list[list[dict] | None]], list[pa.Array]],
-) -> DataFrame:
-    """``row`` (the columns to keep, all if None) and ``fields`` computed from each
-    text and its spans."""
-    doc, version = fresh(docs, "doc_of_span", "version_of_span")
-    columns = docs.columns if keep is None else list(keep)
-    spans = found.select(F.col("doc").alias(doc), F.col("version").alias(version), "spans")
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"),
-        F.col(text).cast("string").alias("text"),
-        F.col(key).cast("long").alias(doc),
-        F.xxhash64(F.col(text).cast("string")).alias(version),
-    ).join(spans.hint("shuffle_hash"), [doc, version], "left")
-    names = ["row", *field_names(fields)]
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                own = compute(part.column("text").to_pylist(), part.column("spans").to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column("row"), *own], names=names)
-
-    row = rows.schema["row"].dataType.simpleString()
-    return rows.select("row", "text", "spans").mapInArrow(scan, f"row {row}, {fields}")

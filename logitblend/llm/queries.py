@@ -13,6 +13,7 @@ from logitblend.llm import (
     licences,
     mixing,
     neighbours,
+    oracles,
     quality,
     sharding,
     simhash,
@@ -146,4 +147,9 @@ QUERIES = {
         pipeline,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_decontamination": oracles.DECONTAMINATION,
+    "op7_licences": oracles.LICENCES,
+    "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op9_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
+}

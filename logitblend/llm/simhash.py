@@ -29,10 +29,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logitblend.llm.common import over_texts, written
+from logitblend.llm.common import fresh, over_texts, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -273,6 +273,18 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(mark)
 
 
+def _leads(prints: DataFrame, radius: int, blocks: int, shard_rows: int) -> tuple[DataFrame, ...]:
+    """Of rows ``fp, id, tie``: the first row of each component (``root, lead``; a row with
+    an id before one without), and each fingerprint's ``root``."""
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
+    classes = written(prints.groupBy("fp").agg(F.min(order).alias("lead")), "classes")
+    found = components(links(classes, radius, blocks, shard_rows))
+    linked = classes.join(found, F.col("fp") == F.col("node"), "left").select(
+        "fp", "lead", F.coalesce("component", "fp").alias("root")
+    )
+    return linked.groupBy("root").agg(F.min("lead").alias("lead")), linked.select("fp", "root")
+
+
 def near_duplicates(
     docs: DataFrame,
     key: str = "doc_id",
@@ -287,24 +299,46 @@ def near_duplicates(
     ``component``, the smallest key that links reach; ``first``, true for one row of each
     component, one with that key."""
     prints = fingerprints(docs, text, keep, shingle)
-    prints = written(prints.withColumn("n", F.monotonically_increasing_id()), "prints")
-    id_ = F.col(f"row.`{key}`")
-    order = F.struct(id_.isNull().alias("none"), id_.alias("id"), F.col("n"))
-    classes = written(prints.groupBy("fp").agg(F.min(order).alias("lead")), "classes")
-    found = components(links(classes, radius, blocks, shard_rows))
-    linked = classes.join(found, F.col("fp") == F.col("node"), "left").select(
-        "fp", "lead", F.coalesce("component", "fp").alias("root")
-    )
-    leads = linked.groupBy("root").agg(F.min("lead").alias("lead"))
-    labels = linked.drop("lead").join(leads, "root").select("fp", "lead")
+    prints = written(prints.withColumn("tie", F.monotonically_increasing_id()), "prints")
+    narrow = prints.select("fp", F.col(f"row.`{key}`").alias("id"), "tie")
+    leads, roots = _leads(narrow, radius, blocks, shard_rows)
+    labels = roots.join(leads, "root").select("fp", "lead")
     return prints.join(labels, "fp").select(
         "row",
         "fp",
         F.col("lead.id").alias("component"),
-        (F.col("n") == F.col("lead.n")).alias("first"),
+        (F.col("tie") == F.col("lead.tie")).alias("first"),
     )
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """One document of each component, as it is."""
-    return near_duplicates(docs, **options).filter("first").select("row.*")
+def deduplicated(
+    docs: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    radius: int = RADIUS,
+    blocks: int = BLOCKS,
+    shard_rows: int = SHARD_ROWS,
+) -> DataFrame:
+    """One document of each component, as it is.
+
+    Only keys, hashes of the texts and fingerprints are stored; the documents move once, to
+    meet the keys and hashes of those that stay."""
+    id_, version, tie, number = fresh(docs, "chosen_id", "version", "tie", "number")
+    marked = docs.withColumn(version, F.xxhash64(F.col(text).cast("string")))
+    prints = written(fingerprints(marked, text, (key, version), shingle), "prints")
+    narrow = prints.select(
+        "fp", F.col(f"row.`{key}`").alias("id"), F.col(f"row.{version}").alias("tie")
+    )
+    leads, _ = _leads(narrow, radius, blocks, shard_rows)
+    chosen = leads.select(F.col("lead.id").alias(id_), F.col("lead.tie").alias(tie))
+    staying = marked.join(
+        chosen, (F.col(version) == F.col(tie)) & F.col(f"`{key}`").eqNullSafe(F.col(id_)), "left_semi"
+    )
+    # Of rows that agree in key and text, one.
+    same = Window.partitionBy(version, f"`{key}`").orderBy(F.lit(1))
+    return (
+        staying.withColumn(number, F.row_number().over(same))
+        .filter(F.col(number) == 1)
+        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    )

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from logitblend.llm.common import fresh, integer, over_texts
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 
 # Lower-case A to Z; every other ASCII character but digits and letters is a space.
 _FOLD = bytes(

@@ -239,10 +239,11 @@ def neighbours(
     """``query_id, rank, vec_id, score``: for every row that ``queries`` selects, the nearest
     other rows found, by Euclidean distance, ties to the smaller id."""
     part = table.filter(F.col(key).isNotNull() & usable(F.col(vector)))
-    rows = part.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
-    asked = part.filter(queries).select(
-        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")
+    columns = (
+        F.col(key).cast("long").alias("id"),
+        F.col(vector).cast("array<double>").alias("vector"),
     )
+    rows, asked = part.select(*columns), part.filter(queries).select(*columns)
     shards = max(1, -(-integer(rows.count()) // shard_rows))
     blocks = max(1, -(-integer(asked.count()) // query_rows))
     index = written(graphs(rows, shards, nearest), "graphs")
@@ -260,11 +261,12 @@ def neighbours(
                 for q, v, near in zip(wanted[at : at + BATCH], part, found, strict=True):
                     near = near[near >= 0]
                     score = np.sqrt(((points[near] - v) ** 2).sum(axis=1))
+                    copies = zip(score.tolist(), ids[near].tolist(), valid[near].tolist(), strict=True)
                     pairs = [
                         (s, i)
-                        for s, i_, ok in zip(score.tolist(), ids[near].tolist(), valid[near].tolist(), strict=True)
-                        for i, there in zip(i_, ok, strict=True)
-                        if there and i != q
+                        for s, own_ids, there in copies
+                        for i, known in zip(own_ids, there, strict=True)
+                        if known and i != q
                     ]
                     out += [(q, i, s) for s, i in sorted(pairs)[:nearest]]
         types = (pa.int64(), pa.int64(), pa.float64())

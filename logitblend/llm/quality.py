@@ -144,7 +144,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def labelled(
-    stats: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", allowed: Column | None = None
+    stats: DataFrame,
+    labels: DataFrame,
+    key: str = "doc_id",
+    label: str = "quality",
+    allowed: Column | None = None,
 ) -> DataFrame:
     """``stats`` and ``y`` of rows with a label; ``allowed`` selects among the labels."""
     usable = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())

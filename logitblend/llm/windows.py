@@ -9,7 +9,7 @@ Segments of equal content are settled by order alone: every one but the first
 repeats the first as a whole.  This happens inside each task, before the shuffle, and
 again after it, so a passage in a third of all documents is one row from each task.  What is left
 are different segments under one anchor.  Their symbols are cut out of the texts, dealt by anchor, and
-an index over each block of them (see ``fmindex`` and ``suffixes``) finds their common windows.
+an index over each block of them (``substring``, ``suffixes``) finds their common windows.
 Anchors beyond ``block`` symbols are cut into parts, and every pair of parts is a
 block of its own; nothing is capped, and no block is larger.
 """
@@ -34,7 +34,8 @@ REMEMBERED = 300_000  # words
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-BYTE_HASHES = np.random.default_rng(20_240_605).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_DRAWN = np.random.default_rng(20_240_605).integers(1, 1 << 63, 256, dtype=np.uint64)
+BYTE_HASHES = _DRAWN * np.uint64(2) + np.uint64(1)
 
 SPANS_TYPE = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 

@@ -25,7 +25,7 @@ def documents():
     return rows
 
 
-@pytest.mark.parametrize("block_bytes", [16 << 20, 400])
+@pytest.mark.parametrize("block_bytes", [decontam.BLOCK_BYTES, 400])
 def test_hits_equal_plain_search(spark, frame, block_bytes):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     found = decontam.hits(frame(documents()), items, keep=("doc_id",), block_bytes=block_bytes)

@@ -5,12 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logitblend.sources.shared import written
 
-__all__ = ["field_names", "fold", "fresh", "integer", "over_texts", "table", "text_of", "written"]
+STRETCH = 4096
+
+__all__ = [
+    "field_names",
+    "fold",
+    "fresh",
+    "integer",
+    "over_texts",
+    "table",
+    "text_of",
+    "with_total_before",
+    "written",
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +58,38 @@ def integer(value: object, default: int = 0) -> int:
     return default if value is None else int(value)
 
 
+def with_total_before(
+    frame: DataFrame, place: str, amount: str, name: str, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """``frame`` with the sum of ``amount`` over the rows of the same ``by`` at a smaller
+    ``place``, a number that no two of them share.
+
+    Sums within stretches of places, and sums of whole stretches: one task gets one row
+    for every ``STRETCH`` places, not one for each."""
+    stretch, whole, ahead, own = fresh(frame, "stretch", "whole", "ahead", "own")
+    other = dict(zip(by, fresh(frame, *(f"other_{b}" for b in by)), strict=True))
+    cut = frame.withColumn(stretch, F.floor(F.col(place) / STRETCH))
+    earlier = Window.partitionBy(*by).orderBy(stretch).rowsBetween(Window.unboundedPreceding, -1)
+    stretches = (
+        cut.groupBy(*by, stretch)
+        .agg(F.sum(amount).alias(whole))
+        .withColumn(ahead, F.coalesce(F.sum(whole).over(earlier), F.lit(0)))
+        .select(*[F.col(b).alias(o) for b, o in other.items()], F.col(stretch).alias(own), ahead)
+    )
+    same = F.col(stretch) == F.col(own)
+    for b, o in other.items():
+        same = same & F.col(b).eqNullSafe(F.col(o))
+    within = (
+        Window.partitionBy(*by, stretch).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    before = F.coalesce(F.sum(amount).over(within), F.lit(0)) + F.col(ahead)
+    return (
+        cut.join(stretches, same)
+        .withColumn(name, before)
+        .select(*[F.col(f"`{c}`") for c in frame.columns], name)
+    )
+
+
 def over_texts(
     docs: DataFrame,
     text: str,

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logitblend.llm.common import fresh, integer, written
+from logitblend.llm.common import fresh, integer, with_total_before, written
 
 BUCKET_BYTES = 8 << 20
 SHARDS = 8
@@ -56,19 +56,12 @@ def into_shards(
     n, n_buckets = total["n"], max(1, -(-integer(total["b"]) // bucket_bytes))
     scattered = scattered.withColumn(bucket, F.pmod(F.col(dealt), F.lit(n_buckets)))
 
-    # One row for each bucket: its permutation and where it starts in the sequence.
-    plan = (
-        scattered.groupBy(bucket)
-        .agg(F.count(F.lit(1)).alias(rows))
-        .withColumn(
-            start,
-            F.sum(rows).over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)),
-        )
-        .select(
-            bucket,
-            F.coalesce(start, F.lit(0)).alias(start),
-            F.shuffle(F.sequence(F.lit(1), F.col(rows).cast("int")), seed).alias(moved),
-        )
+    # One row for each bucket: where it starts in the sequence, and its permutation.
+    counts = scattered.groupBy(bucket).agg(F.count(F.lit(1)).alias(rows))
+    plan = with_total_before(counts, bucket, rows, start).select(
+        bucket,
+        start,
+        F.shuffle(F.sequence(F.lit(1), F.col(rows).cast("int")), seed).alias(moved),
     )
     numbered = scattered.withColumn(
         number, F.row_number().over(Window.partitionBy(bucket).orderBy(dealt))

@@ -24,11 +24,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logitblend.llm.common import fresh, integer, text_of, written
+from logitblend.llm.common import fresh, integer, text_of, with_total_before, written
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
-ROWS_PER_SLICE = 4096
+ROWS_PER_SLICE = 1024
+SPANS_PER_SLICE = 4
 SEED = 20_240_602
 RESULT = ("size", "source_size", "target", "taken", "copies")
 
@@ -160,12 +161,9 @@ def mixed(
     shares = targets(
         narrow.groupBy(F.col(n.source).alias("source")).agg(F.sum(n.size).alias("size")), weights
     )
-    earlier = (
-        Window.partitionBy(n.source).orderBy(n.slice).rowsBetween(Window.unboundedPreceding, -1)
-    )
     slices = written(
-        summed.withColumn(n.ahead, F.coalesce(F.sum("words").over(earlier), F.lit(0)))
-        .join(shares, summed[n.source].eqNullSafe(shares["source"]))
+        with_total_before(summed, n.slice, "words", n.ahead, (n.source,))
+        .join(shares, F.col(n.source).eqNullSafe(F.col("source")))
         .select(
             F.col(n.source).alias(n.slice_source),
             F.col(n.slice).alias(n.slice_number),
@@ -177,7 +175,8 @@ def mixed(
         "slices",
     )
 
-    last = _last_taken(_queued(narrow, n, slices, n_slices), n, budget, n_slices)
+    queued_narrow = _queued(narrow, n, slices, n_slices)
+    last = _last_taken(queued_narrow, n, budget, SPANS_PER_SLICE * n_slices)
     queued = _queued(sized, n, slices, n_slices)
     copies = F.lit(0)
     for epoch in range(MAX_EPOCHS):
@@ -201,11 +200,8 @@ def _last_taken(queued: DataFrame, n: _Names, budget: int, n_spans: int):
         ).alias("copy"),
     ).select(n.size, n.rank, n.dealt, n.id, "copy.epoch", "copy.time")
     copies = written(copies.withColumn("span", F.floor(F.col("time") * n_spans)), "copies")
-    earlier = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    spans = (
-        copies.groupBy("span")
-        .agg(F.sum(n.size).alias("words"))
-        .withColumn("before", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
+    spans = with_total_before(
+        copies.groupBy("span").agg(F.sum(n.size).alias("words")), "span", "words", "before"
     )
     # Copies of spans that lie wholly behind the budget can't be the last one taken.
     spans = spans.filter(F.col("before") <= budget).select("span", "before")
@@ -229,9 +225,15 @@ def _not_after(n: _Names, epoch: int, last) -> Column:
     return condition
 
 
-def repeated(mix: DataFrame, columns: list[str]) -> DataFrame:
-    """The mix itself: each document as often as it is taken."""
+def mixture(
+    docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", **options
+) -> DataFrame:
+    """The mix itself: each document, with the columns it has, as often as it is taken."""
+    clashing = [c for c in docs.columns if c.lower() in RESULT and c not in (key, source, text)]
+    spare = dict(zip(clashing, fresh(docs, *(f"kept_{c}" for c in clashing)), strict=True))
+    mix = mixed(docs.withColumnsRenamed(spare), key, source, text, **options)
     (times,) = fresh(mix, "times")
-    return mix.filter("copies > 0").withColumn(
+    taken = mix.filter("copies > 0").withColumn(
         times, F.explode(F.sequence(F.lit(1), F.col("copies")))
-    ).select(*[F.col(f"`{c}`") for c in columns])
+    )
+    return taken.select(*[F.col(f"`{spare.get(c, c)}`").alias(c) for c in docs.columns])

@@ -60,7 +60,7 @@ def plain_targets(sizes, weights=(1, 2, 3)):
     return target
 
 
-@pytest.mark.parametrize("rows_per_slice", [4096, 5])
+@pytest.mark.parametrize("rows_per_slice", [mixing.ROWS_PER_SLICE, 5])
 def test_mix_meets_targets(frame, rows_per_slice):
     rows = [(i, brute.prose(i, 1 + i * 7 % 40), f"s{min(i % 9, 4)}") for i in range(900)]
     rows += [(1000 + i, brute.prose(i, 3), None) for i in range(30)]
@@ -89,8 +89,9 @@ def test_mix_meets_targets(frame, rows_per_slice):
 def test_mix_repeats_documents(frame):
     docs = frame([(i, brute.prose(i, 10), "big" if i < 90 else "small") for i in range(100)])
     mix = mixing.mixed(docs)
-    out = mixing.repeated(mix, docs.columns)
+    out = mixing.mixture(docs)
     assert out.columns == docs.columns
+    assert {r["size"] for r in out.collect()} == {"kept"}
     assert Counter(r.doc_id for r in out.collect()) == Counter(
         {r.doc_id: r.copies for r in mix.collect() if r.copies}
     )
@@ -100,3 +101,27 @@ def test_mix_of_nothing(frame):
     assert mixing.mixed(frame([])).count() == 0
     got = mixing.mixed(frame([(1, "", None), (2, None, None)])).collect()
     assert [(r.taken, r.target) for r in got] == [(0, 0.0)] * 2
+
+
+def test_totals_before_each_place(spark):
+    import random
+
+    from logitblend.llm.common import with_total_before
+
+    r = random.Random(4)
+    data = [(g, p, r.randrange(9)) for g in (None, "a", "b") for p in r.sample(range(-9000, 20_000), 150)]
+    frame = spark.createDataFrame(data, "g string, p long, w long")
+    got = {(x.g, x.p): x.t for x in with_total_before(frame, "p", "w", "t", ("g",)).collect()}
+    assert got == {(g, p): sum(w for h, q, w in data if h == g and q < p) for g, p, _ in data}
+    alone = frame.filter("g = 'a'").drop("g")
+    got = {x.p: x.t for x in with_total_before(alone, "p", "w", "t").collect()}
+    assert got == {p: sum(w for h, q, w in data if h == "a" and q < p) for g, p, _ in data if g == "a"}
+
+
+def test_mix_does_not_depend_on_slices(frame):
+    docs = frame([(i, brute.prose(i, 1 + i % 30), f"s{i % 4}") for i in range(300)])
+    results = [
+        sorted((r.doc_id, r.copies) for r in mixing.mixed(docs, rows_per_slice=n).collect())
+        for n in (3, 50, 10_000)
+    ]
+    assert results[0] == results[1] == results[2]

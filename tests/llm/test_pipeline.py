@@ -107,3 +107,25 @@ def test_queries_are_registered():
     assert queries.QUERIES.keys() <= entry.queries().keys()
     numbers = {n.split("_")[0] for n in queries.QUERIES}
     assert numbers == {f"op{i}" for i in range(1, 11)} | {"pipeline"}
+
+
+def test_odd_documents_go_through_all_stages(spark, frame):
+    """Nulls in every column, empty and long texts, repeated rows, columns with names that
+    operators use."""
+    odd = brute.corpus(6, 40) + [(None, None, None), (None, "no key", None), (None, "no key", None)]
+    odd += [(i, text, source) for i, text, source in brute.corpus(6, 10)]
+    docs = frame(odd).drop("shard")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = stage(spark, before, SF_DIR)
+        got = Counter(rows(after.select(before.columns)))
+        have = Counter(rows(before))
+        if name == "source_mixing":
+            assert set(got) <= set(have) and all(n <= 3 * have[r] for r, n in got.items())
+        elif name == "sharding":
+            assert got == have
+        else:
+            assert not got - have
+            assert after.columns == before.columns
+        before = spark.createDataFrame(after.collect(), after.schema)
+    assert {r["size"] for r in before.collect()} == {"kept"}

@@ -23,9 +23,9 @@ others, every score is 0; no documents give no rows.
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,8 @@ FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.5
 SEED = 20_240_604
 
-HASHED = 1 << 16  # weights of hashed features; one more for the constant
+HASHED = 1 << 16  # weights of hashed features, a power of two; one more for the constant
+_MASK = HASHED - 1
 CHUNK = 128  # words of a training sequence
 PARTS, ROUNDS, STEPS = 6, 3, 40
 DECAY = 1e-6
@@ -56,13 +57,16 @@ def bare(token: bytes) -> bytes:
 
 
 def features(token: bytes) -> list[int]:
-    """Hashed features of a token as it stands in the text."""
+    """Hashed features of a token as it stands in the text: its length, the word, its end, and
+    its beginnings; each kind starts the hash with a number of its own."""
     word = bare(token)
-    parts = [b"l%d" % min(len(word), 20), b"w" + word]
-    if len(word) > 2:
-        parts += [b"%d" % k + word[:k] for k in (3, 4, 5, 6) if len(word) >= k]
-        parts.append(b"e" + word[-3:])
-    return [zlib.crc32(p) % HASHED for p in parts]
+    n = len(word)
+    found = [crc32(b"", min(n, 20)) & _MASK, crc32(word, 100) & _MASK]
+    if n > 2:
+        found.append(crc32(word[-3:], 101) & _MASK)
+        for k in range(3, min(n, 6) + 1):
+            found.append(crc32(word[:k], k) & _MASK)
+    return found
 
 
 def clues(word: bytes) -> list[bytes]:
@@ -79,8 +83,11 @@ class Field:
     slope: float = 1.0
     shift: float = 0.0
 
-    def emission(self, token: bytes) -> float:
-        return float(self.weights[features(token)].sum() + self.weights[HASHED])
+    def emissions(self):
+        """The function from a token to its log odds of tag 1 by itself."""
+        weights = self.weights.tolist()
+        constant = weights.pop()
+        return lambda token: sum(map(weights.__getitem__, features(token)), constant)
 
 
 def sweeps(
@@ -141,13 +148,14 @@ def evidence(p: np.ndarray) -> float:
 def _tagger(field: Field):
     """The function from texts to tokens and probabilities, with a memory of words."""
     memory: dict[bytes, float] = {}
+    emission = field.emissions()
 
     def tag(texts: list[str | None]) -> tuple[list[list[bytes]], list[np.ndarray]]:
         tokens = [(t or "").encode("utf-8", "replace").split() for t in texts]
         emissions = []
         for own in tokens:
             for token in set(own).difference(memory):
-                memory[token] = field.emission(token)
+                memory[token] = emission(token)
             emissions.append(np.fromiter(map(memory.__getitem__, own), np.float64, len(own)))
             if len(memory) > CACHED:
                 memory.clear()
@@ -379,7 +387,8 @@ def scored(
 
         return run
 
-    return over_texts(docs, text, keep, "score double, spans array<struct<start: int, stop: int, p: double>>", prepare)
+    fields = "score double, spans array<struct<start: int, stop: int, p: double>>"
+    return over_texts(docs, text, keep, fields, prepare)
 
 
 def offsets(text: str | None, words: list[bytes], p: np.ndarray) -> list[dict]:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from logitblend.llm.decontam import WINDOW
 from logitblend.llm.licences import TEMPLATES, THRESHOLD
+from logitblend.llm.products import SCALE, TOP
+from logitblend.llm.ranking import TOP as RANKED
 from logitblend.llm.substring import WINDOW as STRETCH
 from logitblend.llm.suffixes import LENGTH
 
@@ -76,10 +78,10 @@ WITH docs AS (
   SELECT row_number() OVER () AS n, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
 -- Pieces, as a substring of a long text takes time by the text's length.
 pieces AS (
-  SELECT n, doc_id, c * {LENGTH} AS at, substr(h, {2 * LENGTH} * c + 1, {4 * LENGTH}) AS piece
+  SELECT n, doc_id, c * {LENGTH} AS start, substr(h, {2 * LENGTH} * c + 1, {4 * LENGTH}) AS piece
   FROM docs, unnest(range(0, (length(h) // 2 + {LENGTH - 1}) // {LENGTH})) AS t(c)),
 bytes AS (
-  SELECT n, doc_id, at + j AS p, substr(piece, 2 * j + 1, 2) AS b,
+  SELECT n, doc_id, start + j AS p, substr(piece, 2 * j + 1, 2) AS b,
          CASE WHEN 2 * (j + {LENGTH}) <= length(piece)
               THEN md5(substr(piece, 2 * j + 1, {2 * LENGTH})) END AS gram
   FROM pieces, unnest(range(0, least({LENGTH}, length(piece) // 2))) AS t(j)),
@@ -172,3 +174,53 @@ SELECT page_id, path, coalesce(licence, theirs) AS licence, round(cosine, 9) AS
        directory AS inherited_from
 FROM own LEFT JOIN nearest USING (n)
 """
+
+PRODUCTS = f"""
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda c: floor({SCALE} * c::DOUBLE)) AS x
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, max(list_dot_product(q.x, v.x))::BIGINT AS score
+  FROM v AS q JOIN v ON v.vec_id <> q.vec_id AND len(v.x) = len(q.x)
+  WHERE q.vec_id % 20 = 0 GROUP BY ALL)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank,
+       vec_id, score
+FROM scored
+QUALIFY rank <= {TOP}
+"""
+
+_TERMS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
+RANKING = f"""
+WITH items AS (
+  SELECT row_number() OVER () AS i, item_id, list_distinct({_TERMS}) AS terms
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+item_terms AS (SELECT i, unnest(terms) AS term FROM items),
+docs AS (SELECT row_number() OVER () AS d, doc_id, {_TERMS} AS terms FROM documents),
+whole AS (
+  SELECT count(*) AS documents, sum(len(terms))::BIGINT AS length FROM docs WHERE len(terms) > 0),
+tf AS (
+  SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(terms) AS term FROM docs)
+  SEMI JOIN item_terms USING (term) GROUP BY d, term),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM tf, whole GROUP BY term, documents),
+damping AS (
+  SELECT d, doc_id, 100 - 90 + (90 * len(terms) * documents) // length AS m
+  FROM docs, whole WHERE len(terms) > 0),
+scored AS (
+  SELECT i, d, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM item_terms JOIN tf USING (term) JOIN weights USING (term) JOIN damping USING (d)
+  GROUP BY i, d),
+best AS (
+  SELECT i, doc_id, score,
+         row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS rank
+  FROM scored JOIN docs USING (d) WHERE score > 0
+  QUALIFY rank <= {RANKED})
+SELECT item_id, rank, doc_id, score FROM best JOIN items USING (i)
+"""

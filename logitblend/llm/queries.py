@@ -14,12 +14,15 @@ from logitblend.llm import (
     mixing,
     neighbours,
     oracles,
+    products,
     quality,
+    ranking,
     sharding,
     simhash,
     substring,
     suffixes,
     toxicity,
+    whitening,
 )
 from logitblend.llm.common import table, written
 
@@ -126,6 +129,20 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.neighbours(rows, F.col("vec_id") % 100 == 0)
 
 
+def op11_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return products.highest(rows, F.col("vec_id") % 20 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), keep=("vec_id",))
+
+
+def op13_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ranking.ranked(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline.py``, beside the package."""
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
@@ -144,6 +161,9 @@ QUERIES = {
         op8_substring_dedup,
         op9_suffix_array_dedup,
         op10_neighbours,
+        op11_products,
+        op12_whitening,
+        op13_ranking,
         pipeline,
     )
 }
@@ -152,4 +172,6 @@ ORACLES: dict[str, str] = {
     "op7_licences": oracles.LICENCES,
     "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op9_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
+    "op11_products": oracles.PRODUCTS,
+    "op13_ranking": oracles.RANKING,
 }

@@ -16,7 +16,9 @@ from logitblend.schemas import STEP_KEYS
 def with_probabilities(entries: Column) -> Column:
     """The entries of a set with their probability ``p`` in it.  A token without a score has
     probability 0, and so has every token of a set without any; ``scored`` tells whether
-    there is one.  Sums run in the order of the entries."""
+    there is one.  A set with a score that is NaN or infinite has no probabilities either, as an overflow makes all of
+    them NaN: it is not ``scored``, and ``faulty``.  Minus infinity is a score, that of a token that was
+    masked, unless all are.  Sums run in the order of the entries."""
 
     def normalised(weights: Column) -> Column:
         total = F.aggregate(weights, F.lit(0.0), lambda sum_, w: sum_ + w)
@@ -25,12 +27,14 @@ def with_probabilities(entries: Column) -> Column:
             lambda t: F.zip_with(
                 entries,
                 weights,
-                lambda e, w: e.withField(
-                    "p", F.coalesce(F.try_divide(w, t), F.lit(0.0))
-                ).withField("scored", t > 0),
+                lambda e, w: e.withField("p", F.coalesce(F.try_divide(w, F.nanvl(t, F.lit(0.0))), F.lit(0.0)))
+                .withField("scored", ~F.isnan(t) & (t > 0))
+                .withField("faulty", F.isnan(t)),
             ),
         )
 
+    # The largest score is NaN if there is one; with it, or an infinite one, some weight is NaN, and
+    # so is the total.
     scores = F.transform(entries, lambda e: e["score"].cast("double"))
     weights = bind(
         F.array_max(scores),
@@ -55,8 +59,8 @@ def drop_tokens(sets: DataFrame, threshold: float, model: int = 1) -> DataFrame:
 def blend(sets: DataFrame, profiles: Sequence[ModelProfile]) -> DataFrame:
     """Weighted mean distribution.  One row per union token with the mean ``p``,
     the position in the first model's set, the id in each model, how many models
-    scored the step (fewer than all of them marks an incomplete log), and whether it is an
-    id that its model's vocabulary doesn't list."""
+    scored the step (fewer than all of them marks an incomplete log), how many have a NaN or
+    infinite score there (``n_faulty``), and whether it is an id that its model's vocabulary doesn't list."""
 
     def of(profile: ModelProfile, column: str):
         return F.max(F.when(F.col("model") == profile.model, F.col(column)))
@@ -64,10 +68,12 @@ def blend(sets: DataFrame, profiles: Sequence[ModelProfile]) -> DataFrame:
     first = profiles[0]
     # Sets from elsewhere may have probabilities alone.
     scored = F.col("scored") if "scored" in sets.columns else F.col("p").isNotNull()
+    faulty = F.col("faulty") if "faulty" in sets.columns else F.isnan("p")
     unnamed = F.col("source") == "unnamed" if "source" in sets.columns else F.lit(False)
     aggregates = [
         of(first, "pos").alias("pos"),
         F.count_if(scored).alias("n_models"),
+        F.count_if(faulty).alias("n_faulty"),
         F.bool_or(unnamed).alias("unnamed"),
     ]
     for m in profiles:
@@ -84,7 +90,7 @@ def blend(sets: DataFrame, profiles: Sequence[ModelProfile]) -> DataFrame:
         sets.groupBy(*STEP_KEYS, "token")
         .agg(*aggregates)
         .select(
-            *STEP_KEYS, "token", "pos", mean.alias("p"), "n_models", "unnamed",
+            *STEP_KEYS, "token", "pos", mean.alias("p"), "n_models", "n_faulty", "unnamed",
             *[f"token_id_{m.model}" for m in profiles],
         )
     )

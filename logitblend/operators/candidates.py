@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from logitblend.functions import vectors
+from logitblend.functions import half, vectors
 from logitblend.functions.text import normalize_token
 from logitblend.operators.dimensions import Dimension, join_dimension
 from logitblend.schemas import STEP_KEYS
@@ -46,7 +46,7 @@ def top_k_rows(logits: DataFrame, k: int = 10) -> DataFrame:
     Where the table was written with ranked entries, only those are read, not
     the vectors."""
     stored = stored_top(logits, k)
-    top = F.slice(stored, 1, k) if stored else vectors.top_k(F.col("logits"), k)
+    top = F.slice(stored, 1, k) if stored else half.over_vector(logits, lambda v: vectors.top_k(v, k))
     return logits.select(*MODEL_KEYS, top.alias("top"))
 
 

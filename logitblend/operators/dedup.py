@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 
 #: Longer keys are shuffled as a digest.
 LONGEST_PLAIN_KEY = 64
-_KEY = ["_key_bytes", "_key"]
+#: Columns of a compact key.
+KEY = ["_key_bytes", "_key"]
 
 
 def compact_key(text: Column) -> list[Column]:
@@ -19,7 +20,7 @@ def compact_key(text: Column) -> list[Column]:
     kilobytes; shuffling it would move most of the result table."""
     size = F.octet_length(text)
     digest = F.when(size <= LONGEST_PLAIN_KEY, text).otherwise(F.sha2(text, 256))
-    return [size.alias(_KEY[0]), digest.alias(_KEY[1])]
+    return [size.alias(KEY[0]), digest.alias(KEY[1])]
 
 
 def order_column(rows: DataFrame, order: str | None) -> str:
@@ -57,11 +58,13 @@ def first_values(
     values: Mapping[str, Column],
     by: Sequence[str] = (),
     order: str | None = None,
+    keep_order: bool = False,
 ) -> DataFrame:
     """For each question text (within the ``by`` columns) the given values of its
     first row.  An aggregate with partial results per map task: a question
     holding much of the table costs no more than any other, and with
-    fixed-width values it is hash-based."""
+    fixed-width values it is hash-based.  ``keep_order`` keeps the question's compact key and the place of
+    that row (``_order``), to go on with."""
     narrow = rows.select(
         *by,
         *compact_key(F.col(question)),
@@ -69,4 +72,6 @@ def first_values(
         *[value.alias(name) for name, value in values.items()],
     )
     firsts = [F.min_by(name, "_order").alias(name) for name in values]
-    return narrow.groupBy(*by, *_KEY).agg(*firsts).drop(*_KEY)
+    if keep_order:
+        return narrow.groupBy(*by, *KEY).agg(*firsts, F.min("_order").alias("_order"))
+    return narrow.groupBy(*by, *KEY).agg(*firsts).drop(*KEY)

@@ -11,8 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logitblend.functions.vectors import bind
+from logitblend.functions import half
 from logitblend.functions.text import SPACE_MARKER, normalize_token
+from logitblend.functions.vectors import bind
 from logitblend.operators.candidates import MODEL_KEYS
 from logitblend.operators.dimensions import Dimension, join_dimension
 from logitblend.profiles import ModelProfile, per_model
@@ -126,10 +127,8 @@ def read_scores(sets: DataFrame, logits: DataFrame) -> DataFrame:
     )
     own = F.filter("wanted", lambda e: e["model"] == F.col("model"))
     vectors = F.aggregate(own, F.lit(0), lambda n, e: n + F.coalesce(e["vectors"], F.lit(0)))
-    read = F.transform(
-        own,
-        lambda e: _entry(e, F.coalesce(e["score"], F.get("logits", e["token_id"]))),
-    )
+    at = half.reader(logits)
+    read = F.transform(own, lambda e: _entry(e, F.coalesce(e["score"], at(e["token_id"]))))
     return joined.select(*MODEL_KEYS, _checked(read, vectors > 1).alias("entries"))
 
 

@@ -8,7 +8,7 @@ shuffled, so the long text columns stay behind.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from operator import and_
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logitblend.functions.text import drop_last_char, strip
+from logitblend.operators.dedup import KEY as _KEY
 from logitblend.operators.dedup import first_values
 
 
@@ -32,7 +33,7 @@ def to_number(value: Column) -> Column:
     return F.coalesce(F.when(~suffixed, text.try_cast("double")), F.lit(float("nan")))
 
 
-def _accuracy(hits: DataFrame, by: Sequence[str]) -> DataFrame:
+def count_hits(hits: DataFrame, by: Sequence[str]) -> DataFrame:
     return (
         hits.groupBy(*by)
         .agg(
@@ -51,17 +52,20 @@ def _first_hits(
 
 def math_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """Numeric accuracy, each gold solution counted once."""
-    hit = same_number(F.col("pred"), F.col("label"))
-    return _accuracy(_first_hits(rows, "original_sln", hit, by, order), by)
+    return count_hits(_first_hits(rows, "original_sln", number_hit(), by, order), by)
 
 
-def _choice_hit() -> Column:
+def number_hit() -> Column:
+    return same_number(F.col("pred"), F.col("label"))
+
+
+def choice_hit() -> Column:
     return F.coalesce(strip(F.col("pred")) == strip(F.col("label")), F.lit(False))
 
 
 def choice_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """Choice accuracy, each rendered question counted once."""
-    return _accuracy(_first_hits(rows, "question", _choice_hit(), by, order), by)
+    return count_hits(_first_hits(rows, "question", choice_hit(), by, order), by)
 
 
 def label_aliases(label: Column, type_: str, char_labels: bool = False) -> Column:
@@ -156,9 +160,9 @@ def text_metrics(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def subject_hits(rows: DataFrame, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
     """Counts per subject after removing repeated questions over all subjects.
     A repeated question counts for the subject it is first seen in."""
-    values = {"subject": F.col("subject"), "hit": _choice_hit().cast("int")}
+    values = {"subject": F.col("subject"), "hit": choice_hit().cast("int")}
     first = first_values(rows, "question", values, by, order)
-    return _accuracy(first, [*by, "subject"])
+    return count_hits(first, [*by, "subject"])
 
 
 def subject_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
@@ -166,14 +170,17 @@ def subject_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str | None
 
 
 def running_accuracy(rows: DataFrame, by: Sequence[str] = (), order: str | None = None) -> DataFrame:
-    """Accuracy over all subjects up to and including each one, in name order.
+    """Accuracy over all subjects up to and including each one, in name order."""
+    return running_totals(subject_hits(rows, by, order), by)
+
+
+def running_totals(counts_by_subject: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Running accuracy from rows with ``num_q`` and ``correct`` of each subject.
 
     Running totals are taken within groups of subjects sharing a first letter,
     then shifted by the totals of the earlier groups, so that many subjects do
     not meet in one task; only one row per first letter does."""
-    subjects = subject_hits(rows, by, order).withColumn(
-        "initial", F.substring("subject", 1, 1)
-    )
+    subjects = counts_by_subject.withColumn("initial", F.substring("subject", 1, 1))
     within = Window.partitionBy(*by, "initial").orderBy("subject").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -229,3 +236,54 @@ def macro_micro_accuracy(
         )
         .withColumn("micro_acc", F.try_divide("correct", "num_q"))
     )
+
+
+def levels_accuracy(
+    rows: DataFrame,
+    levels: Sequence[Sequence[str]],
+    task: str = "choice",
+    order: str | None = None,
+) -> DataFrame:
+    """Accuracy at several levels at once, in one pass over the rows.  A level is a list of columns;
+    the result has the columns of all levels, null where a level hasn't one, and ``level``, its columns' names.
+
+    Which record of a question comes first is decided at each level: two runs may both have
+    answered it.  The first of each question within all columns together is found first, with partial results
+    in every task; only these rows are copied, once for each level."""
+    key, hit = {
+        "math": ("original_sln", number_hit()),
+        "choice": ("question", choice_hit()),
+    }[task]
+    names = list(dict.fromkeys(c for level in levels for c in level))
+    values = {"hit": hit.cast("int")}
+    first = first_values(rows, key, values, names, order, keep_order=True)
+    by = ["level", *names]
+    own = _copied(first, levels, names).groupBy(*by, *_KEY).agg(F.min_by("hit", "_order").alias("hit"))
+    return count_hits(own, by)
+
+
+def levels_metrics(
+    rows: DataFrame, levels: Sequence[Sequence[str]], metric: Callable[..., DataFrame], **options
+) -> DataFrame:
+    """A metric in which each record counts by itself (open questions, numbers, texts) at several
+    levels at once, as :func:`levels_accuracy` has them.  The rows are read once, and copied once
+    for each level before the partial results of their task are computed."""
+    names = list(dict.fromkeys(c for level in levels for c in level))
+    marked = _copied(rows, levels, names)
+    return metric(marked, by=["level", *names], **options)
+
+
+def _copied(rows: DataFrame, levels: Sequence[Sequence[str]], names: Sequence[str]) -> DataFrame:
+    """Each row once for each level, with null in the columns that the level hasn't."""
+    each = F.array(
+        *[
+            F.struct(
+                F.lit(",".join(level)).alias("level"),
+                *[(F.col(c) if c in level else F.lit(None).cast(rows.schema[c].dataType)).alias(c) for c in names],
+            )
+            for level in levels
+        ]
+    )
+    rest = [c for c in rows.columns if c not in names]
+    return rows.select(*rest, F.inline(each))
+

@@ -9,9 +9,8 @@ of its own, so the vectors are read once.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from logitblend.functions import vectors
+from logitblend.functions import half, vectors
 from logitblend.operators.candidates import faulty_keys
 from logitblend.schemas import STEP_KEYS
 
@@ -23,8 +22,8 @@ ROW_GROUP_BYTES = 32 << 20
 def write_bucketed(
     logits: DataFrame, table: str, buckets: int, path: str | None = None, k: int = 10
 ) -> None:
-    """Write dense logits bucketed by step, with the ranked top k of each vector
-    in ``top_<k>``.
+    """Write dense logits (arrays, or packed by ``functions.half``) bucketed by step, with the ranked top k of
+    each vector in ``top_<k>``.
 
     The one shuffle of the wide rows happens here, once, instead of in every
     query.  Size buckets so that one holds about 1 GB.  A step logged twice by one
@@ -32,7 +31,7 @@ def write_bucketed(
     fault = faulty_keys(logits).first()
     if fault is not None:
         raise ValueError(f"not one vector per step and model: {fault.asDict()}")
-    ranked = logits.withColumn(f"top_{k}", vectors.top_k(F.col("logits"), k))
+    ranked = logits.withColumn(f"top_{k}", half.over_vector(logits, lambda v: vectors.top_k(v, k)))
     writer = (
         ranked.repartition(buckets, *STEP_KEYS)
         .write.mode("overwrite")

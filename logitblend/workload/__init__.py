@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from logitblend.workload import blending, prompting, scoring, storage, texts
+from logitblend.workload import blending, prompting, records, scoring, storage, texts
 
-_MODULES = (blending, texts, prompting, scoring, storage)
+_MODULES = (blending, texts, prompting, scoring, storage, records)
 
 QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

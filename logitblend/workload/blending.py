@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logitblend.functions import vectors
+from logitblend.functions import half, vectors
 from logitblend.functions.text import normalize_token
 from logitblend.operators import blending, candidates, sequences
 from logitblend.plans import ensemble
 from logitblend.schemas import STEP_KEYS
+from logitblend.sources.shared import written
 from logitblend.workload import inputs
 from logitblend.workload.inputs import SPACE, UNDERSCORE, ensemble_sql, table
 
@@ -247,6 +248,51 @@ def ensemble_pick_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ensemble_pick_faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors with NaN and infinite entries: the pick is that of the models that have scores."""
+    picked = ensemble.picks(
+        inputs.logits(spark, sf_dir, 3, faulty=True),
+        inputs.vocab(spark, 3),
+        inputs.subtokens(spark, 3),
+        inputs.profiles(3),
+    )
+    faulty = picked.select(*STEP_KEYS, "n_faulty")
+    return report_picks(picked, 3).join(faulty, STEP_KEYS)
+
+
+def _packed(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """A table of packed vectors, as a run in half precision would leave it."""
+    rows = inputs.logits(spark, sf_dir, n).withColumn("logits", half.packed(F.col("logits")))
+    return written(rows, "half")
+
+
+def topk_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top k of vectors in packed half precision."""
+    return candidates.top_k(_packed(spark, sf_dir, 2)).select(*MODEL_KEYS, "pos", "token_id", _rounded("score"))
+
+
+def ensemble_pick_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-model blend over logits in packed half precision."""
+    picked = ensemble.picks(
+        _packed(spark, sf_dir, 2),
+        inputs.vocab(spark, 2),
+        inputs.subtokens(spark, 2),
+        inputs.profiles(2),
+    )
+    return report_picks(picked, 2)
+
+
+# A number rounded to half precision: to a multiple of a power of two, 1,024 of which make the
+# power of two at or below it.
+SQL_HALF = """(CASE WHEN abs(x::DOUBLE * 10) < 2.0::DOUBLE ** -14
+               THEN round_even(x::DOUBLE * 10 * 2.0::DOUBLE ** 24, 0) / 2.0::DOUBLE ** 24
+               ELSE round_even(x::DOUBLE * 10 / 2.0::DOUBLE ** (floor(log2(abs(x::DOUBLE * 10))) - 10), 0)
+                    * 2.0::DOUBLE ** (floor(log2(abs(x::DOUBLE * 10))) - 10) END / 10)"""
+TOPK_HALF = ensemble_sql(2, value=SQL_HALF) + """
+SELECT run, example_id, step, model, pos::INTEGER AS pos, token_id, round(logit, 6) AS score FROM top
+"""
+
+
 def _mean(n: int, lam: float | None = None):
     def ensemble_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
         return ensemble.blended(
@@ -321,6 +367,49 @@ FROM conversations GROUP BY conv_id
 """
 
 
+def assemble_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as steps, some of them missing and some logged twice."""
+    step = F.col("l_linenumber") - 1
+    lines = table(spark, sf_dir, "lineitem").filter((F.col("l_partkey") + step) % 3 > 0)
+    twice = F.when(F.col("l_partkey") % 5 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))
+    steps = lines.select(
+        F.col("l_orderkey").alias("example_id"),
+        step.cast("int").alias("step"),
+        F.explode(twice).alias("nth"),
+        "l_partkey",
+    ).withColumn("next_token", F.concat(F.lit(SPACE), "l_partkey", "nth"))
+    found = sequences.assemble(steps.drop("nth"), ["example_id"], token_id=None, expected=7)
+    runs = F.transform("missing_steps", lambda g: F.concat(g["start"].cast("string"), F.lit("-"), g["stop"].cast("string")))
+    return found.select(
+        "example_id", "n_steps", "text", "n_missing", F.array_join(runs, " ").alias("missing"),
+        F.array_join(F.col("repeated_steps").cast("array<string>"), " ").alias("repeated"),
+    )
+
+
+ASSEMBLE_GAPS = """
+WITH lines AS (
+  SELECT l_orderkey AS o, l_linenumber - 1 AS s, l_partkey AS p, l_partkey % 5 = 0 AS twice
+  FROM lineitem WHERE (l_partkey + l_linenumber - 1) % 3 > 0),
+steps AS (
+  SELECT o, s, p || 'a' AS t FROM lines UNION ALL SELECT o, s, p || 'b' FROM lines WHERE twice),
+texts AS (
+  SELECT o, count(*)::INTEGER AS n_steps, string_agg(t, ' ' ORDER BY s, t) AS text FROM steps GROUP BY o),
+repeated AS (
+  SELECT o, string_agg(s, ' ' ORDER BY s) AS repeated
+  FROM (SELECT o, s FROM steps GROUP BY o, s HAVING count(*) > 1) GROUP BY o),
+lacking AS (
+  SELECT o, s, s - row_number() OVER (PARTITION BY o ORDER BY s) AS island
+  FROM (SELECT o, unnest(range(0, 7)) AS s FROM texts) ANTI JOIN lines USING (o, s)),
+islands AS (
+  SELECT o, min(s) AS a, max(s) AS b FROM lacking GROUP BY o, island),
+missing AS (
+  SELECT o, sum(b - a + 1)::BIGINT AS n, string_agg(a || '-' || b, ' ' ORDER BY a) AS runs FROM islands GROUP BY o)
+SELECT o AS example_id, n_steps, text, coalesce(n, 0)::BIGINT AS n_missing, coalesce(runs, '') AS missing,
+       coalesce(repeated, '') AS repeated
+FROM texts LEFT JOIN missing USING (o) LEFT JOIN repeated USING (o)
+"""
+
+
 def left_pad_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("batch_id"),
@@ -375,6 +464,10 @@ QUERIES = {
     "ensemble_texts": ensemble_texts,
     "assemble_sequence": assemble_sequence,
     "left_pad_batches": left_pad_batches,
+    "assemble_gaps": assemble_gaps,
+    "ensemble_pick_faulty": ensemble_pick_faulty,
+    "topk_half": topk_half,
+    "ensemble_pick_half": ensemble_pick_half,
 }
 
 ORACLES = {
@@ -401,4 +494,8 @@ ORACLES = {
     "ensemble_texts": ENSEMBLE_TEXTS,
     "assemble_sequence": ASSEMBLE_SEQUENCE,
     "left_pad_batches": LEFT_PAD_BATCHES,
+    "assemble_gaps": ASSEMBLE_GAPS,
+    "ensemble_pick_faulty": _pick_sql(3, ", n_faulty", faulty=True),
+    "topk_half": TOPK_HALF,
+    "ensemble_pick_half": _pick_sql(2, value=SQL_HALF),
 }

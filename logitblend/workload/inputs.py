@@ -42,7 +42,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def logits(spark: SparkSession, sf_dir: str, n: int, gap: int = 0) -> DataFrame:
+def faults(number: Column, x: Column, i: Column) -> Column:
+    """Entries of vectors from a run that overflowed: some vectors have a NaN, some an infinite entry, some
+    only entries of minus infinity, some a few of them."""
+    endless = F.lit(float("inf"))
+    return (
+        F.when((number % 7 == 1) & (i == 3), F.lit(float("nan")))
+        .when((number % 7 == 2) & (i == 4), endless)
+        .when(number % 7 == 3, -endless)
+        .when((number % 7 == 4) & (i % 3 == 0), -endless)
+        .otherwise(x)
+    )
+
+
+SQL_FAULTS = """CASE WHEN vec_id % 7 = 1 AND token_id = 3 THEN 'nan'::DOUBLE
+              WHEN vec_id % 7 = 2 AND token_id = 4 THEN 'inf'::DOUBLE
+              WHEN vec_id % 7 = 3 OR (vec_id % 7 = 4 AND token_id % 3 = 0) THEN '-inf'::DOUBLE
+              ELSE x END"""
+
+
+def logits(spark: SparkSession, sf_dir: str, n: int, gap: int = 0, faulty: bool = False) -> DataFrame:
     """With ``gap``, every so many vectors one is empty: a model without a score there."""
     turn = F.expr(f"vec_id div {n}")
     example = F.expr(f"vec_id div {n * STEPS}")
@@ -57,7 +76,7 @@ def logits(spark: SparkSession, sf_dir: str, n: int, gap: int = 0) -> DataFrame:
             )
             if gap
             else F.col("embedding"),
-            lambda x: x.cast("double") * 10,
+            lambda x, i: faults(F.col("vec_id"), x.cast("double") * 10, i) if faulty else x.cast("double") * 10,
         ).alias("logits"),
     )
 
@@ -131,6 +150,8 @@ def ensemble_sql(
     lam: float | None = None,
     gap: int = 0,
     listed: int = WIDTH,
+    faulty: bool = False,
+    value: str = "x",
 ) -> str:
     """The whole computation as common table expressions, from logits to picks."""
     models = ", ".join(f"({m}, {FACTORS[m]})" for m in range(1, n + 1))
@@ -159,8 +180,8 @@ raw AS (
 logit AS (
   SELECT 'run' || (vec_id // {n * STEPS}) % 3 AS run, vec_id // {n * STEPS} AS example_id,
          ((vec_id // {n}) % {STEPS})::INTEGER AS step, (vec_id % {n} + 1)::INTEGER AS model,
-         token_id::INTEGER AS token_id, x::DOUBLE * 10 AS logit
-  FROM raw),
+         token_id::INTEGER AS token_id, {value}::DOUBLE * 10 AS logit
+  FROM (SELECT vec_id, token_id, {SQL_FAULTS if faulty else "x"} AS x FROM raw)),
 vocab0 AS (
   SELECT model, token_id::INTEGER AS token_id, (token_id * factor) % {MODULUS} AS number
   FROM models, (SELECT unnest(range(0, {listed})) AS token_id)),
@@ -263,9 +284,11 @@ exps AS (
   SELECT *, coalesce(exp(score - max(score) OVER (PARTITION BY {keys}, model)), 0) AS e
   FROM sets),
 totals AS (SELECT *, sum(e) OVER (PARTITION BY {keys}, model) AS total FROM exps),
-probs AS (SELECT *, CASE WHEN total > 0 THEN e / total ELSE 0 END AS p FROM totals),
+probs AS (
+  SELECT *, CASE WHEN total > 0 AND NOT isnan(total) THEN e / total ELSE 0 END AS p FROM totals),
 blended AS (
-  SELECT {keys}, token, sum(weight * p) AS p, count(*) FILTER (WHERE total > 0) AS n_models,
+  SELECT {keys}, token, sum(weight * p) AS p, count(*) FILTER (WHERE total > 0 AND NOT isnan(total)) AS n_models,
+         count(*) FILTER (WHERE isnan(total)) AS n_faulty,
          bool_or(source = 'unnamed') AS unnamed,
          max(CASE WHEN model = 1 THEN pos END) AS pos,
          {", ".join(f"max(CASE WHEN model = {m} THEN token_id END) AS token_id_{m}"

@@ -6,11 +6,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from logitblend.functions import vectors
+from logitblend.functions import half, vectors
 from logitblend.operators import blending, candidates, filling, sequences
 from logitblend.plans import ensemble
 from logitblend.profiles import ModelProfile, profile_for_kind, two_model_weights, uniform_weights
 from logitblend.schemas import DENSE_LOGITS, SUBTOKENS, VOCAB
+from logitblend.sources import logits as logit_tables
 
 SPACE, UNDER = "Ġ", "▁"
 
@@ -381,3 +382,60 @@ def test_padding_starts_no_job(spark):
     sequences.left_pad(batches)
     assert not spark.sparkContext.statusTracker().getJobIdsForGroup("pad")
     spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_vectors_that_overflowed_have_no_say(spark):
+    endless, nan = float("inf"), float("nan")
+    sets = [
+        (1, "a", 1, 2.0), (1, "b", 2, 1.0), (2, "a", 1, nan), (2, "b", 2, 5.0),
+        (3, "a", 1, endless), (3, "b", 2, 5.0), (4, "a", 1, -endless), (4, "b", 2, -endless),
+        (5, "a", 1, -endless), (5, "b", 2, 3.0),
+    ]
+    rows = spark.createDataFrame(sets, "model int, token string, pos int, score double")
+    entries = rows.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("token", "pos", "score"))).alias("e"))
+    got = {r.model: r.e for r in entries.select("model", blending.with_probabilities(F.col("e")).alias("e")).collect()}
+    assert {m: (e[0].scored, e[0].faulty) for m, e in got.items()} == {
+        1: (True, False), 2: (False, True), 3: (False, True), 4: (False, True), 5: (True, False)}
+    assert [x.p for m in (2, 3, 4) for x in got[m]] == [0.0] * 6
+    assert [x.p for x in got[5]] == [0.0, 1.0]
+
+
+def test_half_precision_equals_numpy(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    every = np.arange(1 << 16, dtype=np.uint16).view(np.float16)
+    numbers = [
+        every.astype(np.float64), r.standard_normal(3000) * 10.0 ** r.integers(-9, 6, 3000),
+        np.array([0.0, -0.0, 65519.9, 65520.0, -1e30, 2.0**-24, 2.0**-25, 1.5 * 2.0**-24, 2048.5, 2049.5, 2.0**-14]),
+        np.array([]),
+    ]
+    rows = spark.createDataFrame([(i, n.tolist()) for i, n in enumerate(numbers)], "i int, x array<double>")
+    got = rows.withColumn("packed", half.packed(F.col("x"))).withColumn("back", half.decoded(F.col("packed")))
+    for row in got.collect():
+        with np.errstate(over="ignore"):
+            want = numbers[row.i].astype(np.float16)
+        back = np.array(row.back, np.float32)
+        assert len(row.packed) == 2 * len(want)
+        assert np.array_equal(back, want.astype(np.float32), equal_nan=True)
+    one = got.filter("i = 1").select(
+        "back", F.transform(F.sequence(F.lit(-1), F.lit(3001)), lambda k: half.entry(F.col("packed"), k)).alias("each")
+    ).first()
+    assert one.each == [None, *one.back, None, None]
+    assert got.select(half.entry(F.lit(None).cast("binary"), F.lit(0)).alias("x")).first().x is None
+
+
+@pytest.mark.parametrize("bucketed", [False, True])
+def test_packed_vectors_give_the_same_picks(spark, tmp_path, bucketed):
+    # Numbers that half precision holds.
+    data, vocab, subtokens = make_case(5, 2, 40, levels=[x / 8 for x in range(-40, 40)])
+    logits, *lookups = tables(spark, data, vocab, subtokens)
+    profiles = uniform_weights(PROFILES[:2])
+    short = logits.withColumn("logits", half.packed(F.col("logits")))
+    if bucketed:
+        logit_tables.write_bucketed(short, "packed_logits", 2, str(tmp_path / "packed"))
+        short = spark.table("packed_logits")
+    got, want = (
+        {tuple(r) for r in ensemble.picks(t, *lookups, profiles, k=5).collect()} for t in (short, logits)
+    )
+    assert got == want and len(got) == 12

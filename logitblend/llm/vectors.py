@@ -52,7 +52,9 @@ def summed(parts: DataFrame, height: int, width: int) -> np.ndarray:
         yield from _stripes(totals)
 
     whole = np.zeros((height, width))
-    for stripe, cells in parts.repartition("stripe").mapInArrow(add, "stripe int, cells binary").collect():
+    n = -(-height // STRIPE)
+    met = parts.repartition(1) if n <= 1 else parts.repartition(n, "stripe")
+    for stripe, cells in met.mapInArrow(add, "stripe int, cells binary").collect():
         at = stripe * STRIPE
         whole[at : at + STRIPE] = np.frombuffer(bytes(cells), np.float64).reshape(-1, width)
     return whole

@@ -41,6 +41,7 @@ DEGREE = 10
 TOLERANCE = 1e-13
 ROUNDS = 500
 SLICE = 4096
+TASK_BYTES = 64 << 20
 SEED = 20_240_612
 RESULT = ("component", "n", "deviation", "whitened", "explained", "identity_error")
 
@@ -83,7 +84,10 @@ def fitted(x: DataFrame, width: int) -> Fit:
         .collect()
     )
     total = dict.fromkeys(range(width), 0) | {row["pos"]: int(row["s"]) for row in sums}
-    return Fit(vectors, max(vectors.count(), 1), [total[k] for k in range(width)])
+    n = vectors.count()
+    # Every pass reads the list; no more tasks than it has work for.
+    tasks = max(x.sparkSession.sparkContext.defaultParallelism, 8 * n * width // TASK_BYTES)
+    return Fit(vectors.coalesce(tasks), max(n, 1), [total[k] for k in range(width)])
 
 
 def _added(fit: Fit, width: int, part: Callable[[np.ndarray], np.ndarray], height: int, columns: int) -> np.ndarray:

@@ -96,10 +96,12 @@ def over_texts(
     keep: tuple[str, ...] | None,
     fields: str,
     prepare: Callable[[], Callable[[pa.Array], list[pa.Array]]],
+    at_once: int | None = None,
 ) -> DataFrame:
     """A struct ``row`` of the columns to keep (all, if None) and, for each row, the
     ``fields`` computed from its text.  ``prepare`` runs once in each task and gives the
-    function from a batch of texts to the arrays of the fields."""
+    function from a batch of texts to the arrays of the fields.  ``at_once`` texts at most are given to
+    it together, where what it computes is large."""
     columns = docs.columns if keep is None else list(keep)
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
     inside = columns.index(text) if text in columns and dict(docs.dtypes)[text] == "string" else None
@@ -109,9 +111,11 @@ def over_texts(
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = prepare()
         for batch in batches:
-            kept = batch.column(0)
-            texts = batch.column(1) if inside is None else kept.flatten()[inside]
-            yield pa.RecordBatch.from_arrays([kept, *compute(texts)], names=names)
+            size = at_once or max(batch.num_rows, 1)
+            for at in range(0, max(batch.num_rows, 1), size):
+                kept, *more = batch.slice(at, size).columns
+                texts = more[0] if inside is None else kept.flatten()[inside]
+                yield pa.RecordBatch.from_arrays([kept, *compute(texts)], names=names)
 
     return rows.mapInArrow(scan, f"row {rows.schema['row'].dataType.simpleString()}, {fields}")
 

@@ -37,6 +37,7 @@ SEED = 20_240_603
 BINS = 2048
 LOTS = 256
 THRESHOLD = 0.7
+SLICE = 1000
 FOLDS, HELD_OUT = 4, 2
 
 _CLASSES = np.zeros((256, 7))
@@ -263,8 +264,19 @@ def held_out(key: str = "doc_id") -> Column:
 
 def good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents the classifier accepts, as they are; all, if nothing is labelled."""
-    rows = labelled(statistics(docs, text, (key,)), labels, key, allowed=~held_out(key))
-    model = fit(rows)
+    allowed = ~held_out(key)
+    known = labels.filter(allowed).select(F.col(key).alias("label_key")).distinct()
+    own = docs.join(known, F.col(f"`{key}`") == F.col("label_key"), "left_semi")
+    model = fit(labelled(statistics(own, text, (key,)), labels, key, allowed=allowed))
     if not len(model.at):
         return docs
-    return scored(statistics(docs, text), model).filter(F.col("score") >= THRESHOLD).select("row.*")
+
+    def prepare():
+        def judge(texts: pa.Array) -> list[pa.Array]:
+            stats = np.array([statistics_of(t) for t in texts.to_pylist()]).reshape(-1, len(NAMES))
+            return [pa.array(model.score(stats), pa.float64())]
+
+        return judge
+
+    judged = over_texts(docs, text, None, "score double", prepare, SLICE)
+    return judged.filter(F.col("score") >= THRESHOLD).select("row.*")

@@ -1,18 +1,22 @@
-"""Near copies by Jaccard similarity of word shingles, found by several SimHashes.
+"""Near copies by Jaccard similarity of word shingles, found by SimHash in BK-trees.
 
-1. A text becomes the set of XXH64 hashes of its 5-word shingles.  Rows with equal sets are one
+1. A text becomes the set of XXH64 hashes of its 5-word shingles.  Rows whose sets have the same 128-bit hash are one
    *class* before anything is compared, so exact copies are one entry, whatever their number.
-2. A class has ``SEEDS`` independent 64-bit SimHashes of its set.  Of each, every choice of
-   ``AGREE`` of ``BLOCKS`` blocks of bits names a bucket; a bucket's members within ``RADIUS`` bits
-   are candidates.  At a similarity of 0.8 two SimHashes differ in 9.7 of 64 bits on average and
-   share a bucket in 28 % of cases, so that all 16 miss a pair in about 0.6 %.
-3. Candidates that differ in more than ``FAR`` of all bits are dropped (a pair at 0.8 differs in 155
-   of 1,024), and the others confirmed by the exact similarity of their whole sets.
-4. First each class is linked to the first near member of its buckets by one SimHash, which
-   joins dense groups at the cost of their size; then all candidates of all SimHashes are taken whose
-   members aren't joined yet.  Components are those of all confirmed pairs.
-5. Buckets beyond ``CELL_ROWS`` members, as estimated from one class in ``SAMPLE``, are cut into
-   parts, and each pair of parts is compared in one cell; the estimate only sizes the parts.
+2. A class has a SimHash of 1,024 bits.  At a similarity of 0.8 two of them differ in 155 bits on average, with a standard
+   deviation of 11.5, at 0.6 in 236; those within ``RADIUS`` bits are candidates.  No choice of agreeing blocks of bits is selective at such a
+   distance, so *shards* are named by min-hashes: ``BANDS`` bands of ``BAND`` min-hashes each.  Two sets at 0.8 share
+   none of them in 0.04 % of cases; sets at 0.5 share one in 47 % and are then told apart by the SimHash.
+3. Dense groups first: a shard's members are searched for in the BK-tree of its *leaders*, those that no earlier leader is
+   near to.  Each class proposes one link, to the nearest leader that any of its shards has.  Confirmed links join
+   groups; then the groups' first members do the same among themselves.
+4. Then the rest, exactly: the members of a shard that aren't in its largest group are a BK-tree, and all members are
+   searched for in it.  Those within the radius that aren't in one group yet are candidates, all of them.
+5. A candidate is confirmed by the similarity of the whole sets, an intersection of arrays in Spark.  Components are those of
+   all confirmed pairs.
+
+Shards of more than ``SHARD_ROWS`` members, as estimated from one class in ``SAMPLE``, are cut into parts: in step 3 each
+part has leaders of its own, which meet in the next round; in step 4 the members outside the largest
+group are cut, and all members stream past each part.  The estimate only sizes the parts.
 
 Edge cases: null or empty texts are copies of each other; a text of fewer words than a shingle is
 one shingle; a row without a key is linked by its text; no rows give no rows.
@@ -20,6 +24,7 @@ one shingle; a row without a key is linked by its text; no rows give no rows.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,21 +34,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logitblend.llm.common import fresh, over_texts, written
-from logitblend.llm.simhash import _BITS, _shards, components
+from logitblend.llm.simhash import _BITS, components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-SEEDS = 16
-BLOCKS = 6
-AGREE = 2
-RADIUS = 13
-FAR = 256
-CELL_ROWS = 32_768
+SEEDS = 16  # of 64 bits each
+RADIUS = 200
+BANDS = 20
+BAND = 5
+LEADERS = 1024
+SHARD_ROWS = 32_768
 SAMPLE = 16
+ROUNDS = 2
+SLICE = 500
 
-_MASKS = np.array([m for _, m in _shards(BLOCKS - AGREE, BLOCKS)], np.int64)
 _OFFSETS = np.arange(1, SEEDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _CELLS = (np.arange(SEEDS * 8) * 256).reshape(SEEDS, 1, 8)
+_DRAWN = np.random.default_rng(20_240_613).integers(0, 1 << 63, (2, BANDS * BAND, 1), dtype=np.uint64)
+_SHIFTS, _FACTORS = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -61,12 +69,12 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(starts)))
 
 
-def sketch(hashes: np.ndarray) -> list[int]:
-    """``SEEDS`` signed 64-bit SimHashes of a set of shingle hashes."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """The SimHash of a set of shingle hashes, 64 bits for each seed."""
     counts = np.zeros(SEEDS * 2048, np.int64)
-    for at in range(0, len(hashes), 1 << 13):
+    for at in range(0, len(hashes), 1 << 12):
         # The finaliser of SplitMix64, once for each seed.
-        x = hashes[at : at + (1 << 13)][None, :] + _OFFSETS[:, None]
+        x = hashes[at : at + (1 << 12)][None, :] + _OFFSETS[:, None]
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
@@ -74,41 +82,88 @@ def sketch(hashes: np.ndarray) -> list[int]:
         counts += np.bincount(cells.ravel(), minlength=SEEDS * 2048)
     ones = counts.reshape(-1, 256).astype(np.float64) @ _BITS.astype(np.float64)
     bits = (2 * ones > len(hashes)).astype(np.uint8)
-    return np.packbits(bits.reshape(SEEDS, 64), axis=1, bitorder="little").view("<i8").ravel().tolist()
-
-
-def _name(hashes: np.ndarray) -> int:
-    """Signed 64-bit name of a set."""
-    n = xxhash.xxh64_intdigest(hashes.tobytes(), 7)
-    return n - (1 << 64) if n >> 63 else n
-
-
-def _sketches(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int) -> DataFrame:
+    return np.packbits(bits.reshape(-1), bitorder="little").tobytes()
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """A signed 64-bit hash of each band of min-hashes of a set."""
+    least = np.full(BANDS * BAND, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), 1 << 11):
+        turned = (hashes[None, at : at + (1 << 11)] ^ _SHIFTS) * _FACTORS
+        np.minimum(least, turned.min(axis=1), out=least)
+    mixed = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, BAND).T:
+        mixed = (mixed ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed.view(np.int64)
+
+
+class Tree:
+    """BK-tree: a node's children are keyed by their Hamming distance to it, and a search follows
+    only edges within the radius of its own distance."""
+
+    def __init__(self, radius: int):
+        self.radius = radius
+        self.prints: list[int] = []
+        self.children: list[dict[int, int]] = []
+
+    def add(self, fp: int) -> None:
+        new, node = len(self.prints), 0
+        self.prints.append(fp)
+        self.children.append({})
+        while new:
+            d = (self.prints[node] ^ fp).bit_count()
+            down = self.children[node].setdefault(d, new)
+            if down == new:
+                return
+            node = down
+
+    def search(self, fp: int) -> list[tuple[int, int]]:
+        """(distance, number) of all members within the radius."""
+        found, stack, radius = [], [0] if self.prints else [], self.radius
+        while stack:
+            node = stack.pop()
+            d = (self.prints[node] ^ fp).bit_count()
+            if d <= radius:
+                found.append((d, node))
+            stack.extend(c for e, c in self.children[node].items() if d - radius <= e <= d + radius)
+        return found
+
+
+def _number(fp: bytes) -> int:
+    return int.from_bytes(fp, "little")
+
+
+def _prints(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int) -> DataFrame:
     def prepare():
         def compute(texts: pa.Array) -> list[pa.Array]:
-            sets = [shingles(t, shingle) for t in texts.to_pylist()]
+            names, sketches, bands_ = [], [], []
+            for t in texts:
+                own = shingles(t.as_py(), shingle)
+                names.append(xxhash.xxh3_128_digest(own.tobytes(), 7))
+                sketches.append(sketch(own))
+                bands_.append(bands(own))
             return [
-                pa.array([_name(s) for s in sets], pa.int64()),
-                pa.array([sketch(s) for s in sets], pa.list_(pa.int64())),
+                pa.array(names, pa.binary()),
+                pa.array(sketches, pa.binary()),
+                pa.array(bands_, pa.list_(pa.int64())),
             ]
 
         return compute
 
-    return over_texts(docs, text, keep, "name long, sketch array<bigint>", prepare)
+    fields = "name binary, sketch binary, bands array<bigint>"
+    return over_texts(docs, text, keep, fields, prepare, SLICE)
 
 
 def _sets(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int) -> DataFrame:
     def prepare():
         def compute(texts: pa.Array) -> list[pa.Array]:
-            sets = [shingles(t, shingle) for t in texts.to_pylist()]
-            return [
-                pa.array([_name(s) for s in sets], pa.int64()),
-                pa.array([s.tobytes() for s in sets], pa.binary()),
-            ]
+            sets = [shingles(t.as_py(), shingle).view(np.int64) for t in texts]
+            return [pa.array(sets, pa.list_(pa.int64()))]
 
         return compute
 
-    return over_texts(docs, text, keep, "name long, hashes binary", prepare)
+    return over_texts(docs, text, keep, "hashes array<bigint>", prepare, SLICE)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
@@ -138,154 +193,208 @@ def _runs(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[d
         yield joined()
 
 
-def _first(run: dict[str, np.ndarray], radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each member with the first one before it within the radius."""
-    order = np.argsort(run["name"], kind="stable")
-    name, fp = run["name"][order], run["fp"][order]
-    left, right = [], []
-    for at in range(0, len(fp), 256):
-        part = np.arange(at, min(at + 256, len(fp)))
-        near = np.bitwise_count((fp[part][:, None] ^ fp[None, : part[-1] + 1]).view(np.uint64)) <= radius
-        first = near.argmax(axis=1)  # at most the member itself
-        found = first < part
-        left.append(name[part[found]])
-        right.append(name[first[found]])
-    return np.concatenate(left), np.concatenate(right)
-
-
-def _all_pairs(run: dict[str, np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs within the radius of members that aren't joined yet and share no
-    earlier choice of blocks."""
-    name, fp, group = run["name"], run["fp"], run["component"]
-    kinds, counts = np.unique(group, return_counts=True)
-    if len(kinds) == 1:
-        return
-    earlier = _MASKS[: int(run["choice"][0]) % len(_MASKS)]
-    # Members of the largest component needn't be compared with each other.
-    rest = np.flatnonzero(group != kinds[counts.argmax()])
-    for at in range(0, len(rest), 64):
-        part = rest[at : at + 64]
-        far = fp[part][:, None] ^ fp[None, :]
-        near = np.bitwise_count(far.view(np.uint64)) <= radius
-        near &= group[part][:, None] != group[None, :]
-        i, j = np.nonzero(near)
-        if len(earlier) and len(i):
-            new = ((far[i, j][:, None] & earlier[None, :]) != 0).all(axis=1)
-            i, j = i[new], j[new]
-        if len(i):
-            yield name[part[i]], name[j]
-
-
-def _candidates(classes: DataFrame, seeds: int, every: bool, cell_rows: int) -> DataFrame:
-    """Of rows ``name, sketch, component``: pairs ``a, b`` of names that meet in a bucket."""
-    masks = F.array(*[F.lit(int(m)).cast("long") for m in _MASKS])
-
-    def members(rows: DataFrame) -> DataFrame:
-        # The bits are those of the mask, so they needn't move.
-        return rows.select(
-            "name", "component", F.posexplode(F.slice("sketch", 1, seeds)).alias("seed", "fp")
-        ).select(
-            "name",
-            "component",
-            "fp",
-            F.explode(F.sequence(F.lit(0), F.lit(len(_MASKS) - 1))).alias("i"),
-            "seed",
-        ).select("name", "component", "fp", (F.col("seed") * len(_MASKS) + F.col("i")).alias("choice"))
-
-    def bits() -> Column:
-        return F.col("fp").bitwiseAND(F.element_at(masks, F.col("choice") % len(_MASKS) + 1))
-
-    sampled = members(classes.filter(F.pmod(F.xxhash64("name"), F.lit(SAMPLE)) == 0))
-    hot = written(
-        sampled.groupBy("choice", bits().alias("bits"))
+class _Out:
+    """Rows of longs, gathered into batches."""
+
+    def __init__(self, *names: str):
+        self.names, self.rows = names, []
+
+    def batch(self) -> pa.RecordBatch:
+        columns = zip(*self.rows, strict=True) if self.rows else [()] * len(self.names)
+        made = [pa.array(list(map(int, c)), pa.int64()) for c in columns]
+        self.rows = []
+        return pa.RecordBatch.from_arrays(made, names=list(self.names))
+
+
+def nearest_leaders(nodes: list[int], prints: list[int], radius: int = RADIUS) -> list[tuple[int, int, int]]:
+    """(member, leader, distance) of the members that a leader before them is near to."""
+    tree, leaders, out = Tree(radius), [], []
+    for node, fp in zip(nodes, prints, strict=True):
+        near = tree.search(fp)
+        if near:
+            d, k = min(near)
+            out.append((node, leaders[k], d))
+        elif len(leaders) < LEADERS:
+            tree.add(fp)
+            leaders.append(node)
+    return out
+
+
+def across(
+    nodes: list[int], prints: list[int], groups: list[int], radius: int = RADIUS
+) -> list[tuple[int, int]]:
+    """Pairs within the radius whose members aren't in one group."""
+    size: dict[int, int] = {}
+    for g in groups:
+        size[g] = size.get(g, 0) + 1
+    if len(size) == 1:
+        return []
+    largest = max(size, key=lambda g: (size[g], -g))
+    tree = Tree(radius)
+    held = [k for k, g in enumerate(groups) if g != largest]
+    for k in held:
+        tree.add(prints[k])
+    out = []
+    for i, fp in enumerate(prints):
+        for _, k in tree.search(fp):
+            j = held[k]
+            # A pair of two that are both in the tree is found from both sides.
+            if groups[i] != groups[j] and (groups[i] == largest or i < j):
+                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return out
+
+
+def _members(classes: DataFrame, *more: str) -> DataFrame:
+    return classes.select("node", *more, "sketch", F.posexplode("bands").alias("band", "bits"))
+
+
+def _hot(classes: DataFrame, shard_rows: int) -> DataFrame:
+    """Shards with more members than ``shard_rows``, by a sample, and the parts to cut them into."""
+    sampled = _members(classes.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0))
+    return written(
+        sampled.groupBy("band", "bits")
         .agg(F.count(F.lit(1)).alias("n"))
         .select(
-            F.col("choice").alias("hot_choice"),
+            F.col("band").alias("hot_band"),
             F.col("bits").alias("hot_bits"),
-            F.ceil(F.col("n") * SAMPLE / cell_rows).cast("int").alias("parts"),
+            F.ceil(F.col("n") * SAMPLE / shard_rows).cast("int").alias("parts"),
         )
         .filter("parts > 1"),
         "hot",
     )
-    placed = members(classes)
-    if hot.isEmpty():
-        placed = placed.withColumn("cell", F.lit(0))
-    else:
-        part = F.pmod(F.xxhash64("name"), F.col("parts")).cast("int")
-        pairs = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(
-            F.transform(
-                F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: o != part),
-                lambda o: F.least(o, part) * F.col("parts") + F.greatest(o, part),
-            )
-        )
-        same = (F.col("choice") == F.col("hot_choice")) & (bits() == F.col("hot_bits"))
-        placed = placed.join(hot, same, "left").select(
-            "name", "component", "fp", "choice", F.explode(pairs).alias("cell")
-        )
+
+
+def _same_shard() -> Column:
+    return (F.col("band") == F.col("hot_band")) & (F.col("bits") == F.col("hot_bits"))
+
+
+def _part(column: str = "parts") -> Column:
+    return F.pmod(F.xxhash64("node"), F.coalesce(F.col(column), F.lit(1))).cast("int")
+
+
+def _stars(classes: DataFrame, hot: DataFrame) -> DataFrame:
+    """For every class that a leader is near to, the nearest one: pairs ``a, b``."""
+    placed = _members(classes).join(hot, _same_shard(), "left").withColumn("part", _part())
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Out("b", "a", "far")
+        for run in _runs(batches, ("band", "bits", "part")):
+            out.rows += nearest_leaders(run["node"].tolist(), list(map(_number, run["sketch"])))
+            if len(out.rows) > 20_000:
+                yield out.batch()
+        yield out.batch()
+
+    return (
+        placed.select("band", "bits", "part", "node", "sketch")
+        .repartition("band", "bits", "part")
+        .sortWithinPartitions("band", "bits", "part", "node")
+        .mapInArrow(propose, "b long, a long, far long")
+        .groupBy("b")
+        .agg(F.min(F.struct("far", "a")).alias("best"))
+        .select(F.col("best.a").alias("a"), "b")
+    )
+
+
+def _rest(classes: DataFrame, hot: DataFrame, shard_rows: int) -> DataFrame:
+    """All pairs ``a, b`` within the radius whose classes aren't in one ``component`` yet."""
+    members = _members(classes, "component")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, ("choice", "bits", "cell")):
-            for a, b in _all_pairs(run, RADIUS) if every else [_first(run, RADIUS)]:
-                a, b = np.minimum(a, b), np.maximum(a, b)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        out = _Out("a", "b")
+        for run in _runs(batches, ("band", "bits")):
+            if (run["component"] != run["component"][0]).any():
+                prints = list(map(_number, run["sketch"]))
+                out.rows += across(run["node"].tolist(), prints, run["component"].tolist())
+            if len(out.rows) > 20_000:
+                yield out.batch()
+        yield out.batch()
+
+    plain = members.join(hot, _same_shard(), "left_anti")
+    found = (
+        plain.select("band", "bits", "node", "component", "sketch")
+        .repartition("band", "bits")
+        .sortWithinPartitions("band", "bits", "node")
+        .mapInArrow(compare, "a long, b long")
+    )
+    if not hot.isEmpty():
+        found = found.unionAll(_rest_of_hot(members.join(hot, _same_shard()), shard_rows))
+    return found.distinct()
+
+
+def _rest_of_hot(members: DataFrame, shard_rows: int) -> DataFrame:
+    shard = ["band", "bits"]
+    groups = members.groupBy(*shard, "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = groups.groupBy(*shard).agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"),
+        F.ceil((F.sum("n") - F.max("n")) / shard_rows).cast("int").alias("cells"),
+    )
+    inside = members.drop("parts").join(largest.filter("cells > 0"), shard)
+    outside = inside.filter("component != largest").withColumn("cell", _part("cells"))
+    passing = inside.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    columns = [*shard, "cell", "passes", "node", "component", "sketch"]
+    both = outside.withColumn("passes", F.lit(False)).select(*columns).unionAll(
+        passing.withColumn("passes", F.lit(True)).select(*columns)
+    )
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, tree, held = None, Tree(RADIUS), []
+        out = _Out("a", "b")
+        for batch in batches:
+            for band, bits, cell, passes, node, component, fp in zip(
+                *(batch.column(c).to_pylist() for c in columns), strict=True
+            ):
+                if (band, bits, cell) != key:
+                    key, tree, held = (band, bits, cell), Tree(RADIUS), []
+                if not passes:
+                    tree.add(_number(fp))
+                    held.append((node, component))
+                    continue
+                for _, k in tree.search(_number(fp)):
+                    other, group = held[k]
+                    if group != component:
+                        out.rows.append((min(node, other), max(node, other)))
+            if len(out.rows) > 20_000:
+                yield out.batch()
+        yield out.batch()
+
+    cells = [*shard, "cell"]
     return (
-        placed.repartition("choice", bits(), "cell")
-        .withColumn("bits", bits())
-        .sortWithinPartitions("choice", "bits", "cell")
+        both.repartition(*cells)
+        .sortWithinPartitions(*cells, "passes", "node")
         .mapInArrow(compare, "a long, b long")
-        .filter("a != b")
-        .distinct()
     )
 
 
 def _confirmed(
-    pairs: DataFrame, classes: DataFrame, marked: DataFrame, text: str, version: str,
+    pairs: DataFrame, classes: DataFrame, marked: DataFrame, text: str, names: tuple[str, str],
     similarity: float, shingle: int,
 ) -> DataFrame:
     """The pairs ``a, b`` whose shingle sets are as similar as asked."""
-
-    def side(name: str, value: str, rows: DataFrame) -> DataFrame:
-        return rows.select(F.col("name").alias(name), F.col(value).alias(f"{value}_{name}"))
-
-    apart = F.aggregate(
-        F.zip_with("sketch_a", "sketch_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-        F.lit(0),
-        lambda total, x: total + x,
-    )
-    close = written(
-        pairs.join(side("a", "sketch", classes), "a")
-        .join(side("b", "sketch", classes), "b")
-        .filter(apart <= FAR)
-        .select("a", "b"),
-        "close",
-    )
-    named = close.select(F.explode(F.array("a", "b")).alias("name")).distinct()
+    key, version = names
+    pairs = written(pairs, "candidates")
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     wanted = written(
-        classes.join(named, "name", "left_semi").select(F.col("lead.tie").alias("wanted")).distinct(),
+        classes.join(named, "node", "left_semi").select(
+            "node", F.col("lead.id").alias("wanted_id"), F.col("lead.tie").alias("wanted")
+        ),
         "wanted",
     )
-    texts = marked.join(wanted, F.col(version) == F.col("wanted"), "left_semi").select(version, text)
-    sets = written(
-        _sets(texts.dropDuplicates([version]), text, (version,), shingle).select("name", "hashes"),
-        "sets",
-    )
-    sets = sets.dropDuplicates(["name"])
+    # A class has the text of its first row.
+    same = (F.col(version) == F.col("wanted")) & F.col(f"`{key}`").eqNullSafe(F.col("wanted_id"))
+    texts = marked.join(wanted, same).select("node", text).dropDuplicates(["node"])
+    sets = written(_sets(texts, text, ("node",), shingle).select("row.node", "hashes"), "sets")
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(both >= similarity * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), F.col("hashes").alias(f"set_{name}"))
 
+    both = F.size(F.array_intersect("set_a", "set_b"))
+    union = F.size("set_a") + F.size("set_b") - F.col("both")
     return written(
-        close.join(side("a", "hashes", sets), "a")
-        .join(side("b", "hashes", sets), "b")
-        .select("a", "b", "hashes_a", "hashes_b")
-        .mapInArrow(measure, "a long, b long"),
+        pairs.join(side("a"), "a")
+        .join(side("b"), "b")
+        .withColumn("both", both)
+        .filter(F.col("both") >= F.lit(similarity) * union - 1e-9)
+        .select("a", "b"),
         "confirmed",
     )
 
@@ -296,35 +405,55 @@ def deduplicated(
     text: str = "text",
     similarity: float = SIMILARITY,
     shingle: int = SHINGLE,
-    cell_rows: int = CELL_ROWS,
+    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """One document of each component, as it is: that with the smallest key."""
     id_, version, tie, number = fresh(docs, "chosen_id", "version", "tie", "number")
-    marked = docs.withColumn(version, F.xxhash64(F.col(text).cast("string")))
-    prints = _sketches(marked, text, (key, version), shingle)
+    # Two hashes of the text: 128 bits.
+    content = F.col(text).cast("string")
+    marked = docs.withColumn(
+        version, F.struct(F.xxhash64(content).alias("h"), F.xxhash64(F.lit(1), content).alias("g"))
+    )
+    prints = _prints(marked, text, (key, version), shingle)
     order = F.struct(
         F.col(f"row.`{key}`").isNull().alias("none"),
         F.col(f"row.`{key}`").alias("id"),
         F.col(f"row.{version}").alias("tie"),
     )
     classes = written(
-        prints.groupBy("name").agg(F.min(order).alias("lead"), F.first("sketch").alias("sketch")),
+        prints.groupBy("name")
+        .agg(F.min(order).alias("lead"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
+        .drop("name")
+        .withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
 
-    def joined(edges: DataFrame) -> DataFrame:
-        found = components(edges)
-        return classes.join(found, F.col("name") == F.col("node"), "left").select(
-            *classes.columns, F.coalesce("component", "name").alias("component")
+    def grouped(edges: DataFrame | None) -> DataFrame:
+        if edges is None:
+            return classes.withColumn("component", F.col("node"))
+        found = components(edges).withColumnRenamed("node", "member")
+        return classes.join(found, F.col("node") == F.col("member"), "left").select(
+            *classes.columns, F.coalesce("component", "node").alias("component")
         )
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        return _confirmed(pairs, classes, marked, text, version, similarity, shingle)
-
-    single = classes.withColumn("component", F.col("name"))
-    dense = confirmed(_candidates(single, 1, False, cell_rows))
-    rest = confirmed(_candidates(joined(dense), SEEDS, True, cell_rows))
-    leads = joined(dense.unionAll(rest)).groupBy("component").agg(F.min("lead").alias("lead"))
+        return _confirmed(pairs, classes, marked, text, (key, version), similarity, shingle)
+
+    edges, groups = None, grouped(None)
+    for done in itertools.count():
+        firsts = groups.filter("node = component")
+        hot = _hot(firsts, shard_rows)
+        # Leaders of different parts of a shard haven't met yet.
+        if done >= ROUNDS and hot.isEmpty():
+            break
+        found = confirmed(_stars(firsts, hot))
+        if found.isEmpty():
+            break
+        edges = found if edges is None else edges.unionAll(found)
+        groups = grouped(edges)
+    rest = confirmed(_rest(groups, _hot(classes, shard_rows), shard_rows))
+    edges = rest if edges is None else edges.unionAll(rest)
+    leads = grouped(edges).groupBy("component").agg(F.min("lead").alias("lead"))
     chosen = leads.select(F.col("lead.id").alias(id_), F.col("lead.tie").alias(tie))
     staying = marked.join(
         chosen, (F.col(version) == F.col(tie)) & F.col(f"`{key}`").eqNullSafe(F.col(id_)), "left_semi"

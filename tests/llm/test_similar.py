@@ -55,29 +55,93 @@ def test_stage_links_all_near_copies(frame):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(set(groups))
 
 
-@pytest.mark.parametrize("cell_rows", [similar.CELL_ROWS, 8])
-def test_dense_group_of_near_copies(frame, cell_rows):
+@pytest.mark.parametrize("shard_rows", [similar.SHARD_ROWS, 8])
+def test_dense_group_of_near_copies(frame, shard_rows):
     base = brute.prose(1, 150, 5000)
     texts = [brute.mutated(base, k, 1 + k % 2) for k in range(150)] + families(3)
     docs = frame([(i, t, "s") for i, t in enumerate(texts)])
-    kept = similar.deduplicated(docs, cell_rows=cell_rows)
+    kept = similar.deduplicated(docs, shard_rows=shard_rows)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(components(texts)))
 
 
-def test_pairs_at_the_threshold_share_a_bucket():
-    """Of pairs just above 0.8, hardly any is missed by all SimHashes."""
+def test_pairs_at_the_threshold_share_a_shard():
+    """Of pairs just above 0.8, hardly any has no band in common, and none is beyond the radius."""
     r = np.random.default_rng(4)
     found = 0
     for _ in range(500):
         own = r.integers(0, 2**63, 210, dtype=np.uint64)
-        a, b = (similar.sketch(np.sort(x)) for x in (own[:190], own[20:]))  # 170 of 210: 0.81
-        assert sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b, strict=True)) <= similar.FAR
-        found += any(
-            ((x ^ y) & (1 << 64) - 1).bit_count() <= similar.RADIUS
-            and any((x ^ y) & int(m) == 0 for m in similar._MASKS)
-            for x, y in zip(a, b, strict=True)
-        )
-    assert found >= 490
+        sets = [np.sort(x) for x in (own[:190], own[20:])]  # 170 of 210: 0.81
+        a, b = (similar._number(similar.sketch(x)) for x in sets)
+        assert (a ^ b).bit_count() <= similar.RADIUS
+        found += bool((similar.bands(sets[0]) == similar.bands(sets[1])).any())
+    assert found >= 497
+
+
+def test_tree_finds_all_within_the_radius():
+    r = random.Random(5)
+    centres = [r.getrandbits(1024) for _ in range(12)]
+    prints = [c ^ sum(1 << r.randrange(1024) for _ in range(r.randrange(120))) for c in centres for _ in range(12)]
+    prints += prints[:5]
+    tree = similar.Tree(60)
+    for fp in prints:
+        tree.add(fp)
+    for fp in [*prints[::7], r.getrandbits(1024)]:
+        want = sorted(((fp ^ p).bit_count(), k) for k, p in enumerate(prints) if (fp ^ p).bit_count() <= 60)
+        assert sorted(tree.search(fp)) == want
+    assert similar.Tree(3).search(1) == []
+
+
+def test_leaders_and_the_rest():
+    r = random.Random(6)
+    centres = [r.getrandbits(1024) for _ in range(6)]
+    prints = [c ^ sum(1 << b for b in r.sample(range(1024), 30)) for c in centres for _ in range(9)]
+    nodes = list(range(100, 100 + len(prints)))
+    links = similar.nearest_leaders(nodes, prints, 112)
+    assert len(links) == len(prints) - len(centres)
+    assert all((prints[a - 100] ^ prints[b - 100]).bit_count() == d <= 112 and (a - 100) // 9 == (b - 100) // 9 for a, b, d in links)
+    groups = [r.randrange(4) for _ in prints]
+    want = {
+        (nodes[i], nodes[j])
+        for i in range(len(prints))
+        for j in range(i + 1, len(prints))
+        if groups[i] != groups[j] and (prints[i] ^ prints[j]).bit_count() <= 112
+    }
+    got = similar.across(nodes, prints, groups, 112)
+    assert set(got) == want and len(got) == len(want)
+    assert similar.across(nodes, prints, [1] * len(prints)) == []
+
+
+def test_candidates_of_one_template_grow_in_proportion(frame, monkeypatch):
+    """Texts of one template that are no copies by the rule are hardly ever compared."""
+    counts, plain = [], similar._confirmed
+
+    def counting(pairs, *rest):
+        counts[-1] += pairs.count()
+        return plain(pairs, *rest)
+
+    monkeypatch.setattr(similar, "_confirmed", counting)
+    base = brute.prose(1, 150, 5000)
+    for n in (200, 400):
+        counts.append(0)
+        texts = [brute.mutated(base, 50 + k, 5) for k in range(n)]
+        kept = similar.deduplicated(frame([(i, t, "s") for i, t in enumerate(texts)]))
+        assert sorted(r.doc_id for r in kept.collect()) == sorted(set(components(texts)))
+    # Of 19,900 pairs, and of 79,800.
+    assert counts[0] <= 200 and counts[1] <= 400
+
+
+@pytest.mark.parametrize("shard_rows", [similar.SHARD_ROWS, 4])
+def test_chains_and_related_groups(frame, shard_rows):
+    """Groups whose members are near, one after the other, while their ends aren't."""
+    texts = []
+    for f in range(3):
+        own = brute.prose(40 + f, 120, 5000).split(" ")
+        for k in range(24):
+            own = [*own[2:], f"n{f}x{k}", f"n{f}y{k}"]
+            texts.append(" ".join(own))
+    texts += [brute.mutated(t, k, 1) for k, t in enumerate(texts)]
+    kept = similar.deduplicated(frame([(i, t, "s") for i, t in enumerate(texts)]), shard_rows=shard_rows)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(components(texts)))
 
 
 def test_runs_over_batches():

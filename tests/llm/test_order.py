@@ -86,6 +86,74 @@ def test_mix_meets_targets(frame, rows_per_slice):
     assert Counter((r.doc_id, r.copies) for r in again) == Counter((r.doc_id, r.copies) for r in got)
 
 
+def plain_mix(rows, dealt):
+    """How often each row is taken, by a queue of every copy; rows (id, text, source)."""
+    size = [len(brute.SPACE.findall(t or "")) for _, t, _ in rows]
+    sizes = defaultdict(int)
+    for (_, _, s), n in zip(rows, size, strict=True):
+        sizes[s] += n
+    want = plain_targets(sizes)
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    queue = []
+    for rank, s in enumerate(names):
+        own = [i for i, r in enumerate(rows) if r[2] == s]
+        own.sort(key=lambda i: (dealt[i], str(rows[i][0]) if rows[i][0] is not None else "", size[i], i))
+        for epoch in range(3 if sizes[s] else 1):
+            at = epoch * sizes[s]
+            for place, i in enumerate(own):
+                at += size[i]
+                queue.append((at / want[s] if want[s] else 0.0, rank, epoch, place, i))
+    copies, used, budget = [0] * len(rows), 0, sum(sizes.values())
+    for *_, i in sorted(queue):
+        if used + size[i] > budget:
+            break
+        used += size[i]
+        copies[i] += 1
+    return copies
+
+
+@pytest.mark.parametrize("rows_per_slice, rows_per_span", [(1024, 4096), (5, 3)])
+@pytest.mark.parametrize("seed", [1, 2])
+def test_mix_equals_a_queue_of_every_copy(frame, spark, monkeypatch, seed, rows_per_slice, rows_per_span):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "ROWS_PER_SPAN", rows_per_span)
+    rows = [(i, brute.prose(i + seed, 1 + i * 7 % 40), f"s{min(i % 9, 4)}") for i in range(300)]
+    rows += [(1000 + i, brute.prose(i, 3 + seed), None) for i in range(30)]
+    rows += [(i, None if i % 2 else " ", "empty") for i in range(5)]
+    rows += [(7, "five words in this row", "hot")] * 150 + [(i, "one", "hot") for i in range(40)]
+    dealt = [
+        r.d
+        for r in spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, doc_id long, text string, source string")
+        .select("k", F.xxhash64(F.lit(mixing.SEED), "doc_id", "source", "text").alias("d"))
+        .orderBy("k")
+        .collect()
+    ]
+    got = Counter()
+    for r in mixing.mixed(frame(rows), rows_per_slice=rows_per_slice).collect():
+        got[r.doc_id, r.text, r.source] += r.copies
+    want = Counter()
+    for r, n in zip(rows, plain_mix(rows, dealt), strict=True):
+        want[r] += n
+    assert +got == +want
+
+
+def test_copies_of_one_row_are_taken_one_by_one(frame):
+    """A source of one row, many times over, comes near its target, too."""
+    rows = [(0, "one two three four five", "a")] * 400
+    rows += [(1 + i, brute.prose(i, 10), "b") for i in range(100)]
+    results = []
+    for docs in (frame(rows), frame(rows[::-1]).repartition(7)):
+        got = mixing.mixed(docs).collect()
+        taken = Counter()
+        for r in got:
+            taken[r.source] += r.taken
+            assert r.copies <= 3
+        assert taken == {"a": 1000, "b": 2000}
+        results.append(Counter((r.doc_id, r.taken) for r in got))
+    assert results[0] == results[1]
+
+
 def test_mix_repeats_documents(frame):
     docs = frame([(i, brute.prose(i, 10), "big" if i < 90 else "small") for i in range(100)])
     mix = mixing.mixed(docs)

@@ -17,6 +17,7 @@ __all__ = [
     "fold",
     "fresh",
     "integer",
+    "over_held_texts",
     "over_texts",
     "table",
     "text_of",
@@ -120,6 +121,39 @@ def over_texts(
     return rows.mapInArrow(scan, f"row {rows.schema['row'].dataType.simpleString()}, {fields}")
 
 
+def over_held_texts(
+    docs: DataFrame,
+    text: str,
+    keep: tuple[str, ...] | None,
+    fields: str,
+    compute: Callable[[list[pa.Array]], Iterator[list[pa.Array]]],
+    held_bytes: int,
+) -> DataFrame:
+    """As :func:`over_texts`, for work with a cost of its own beside that of the texts: ``compute`` gets the
+    texts of several batches at once, up to ``held_bytes``, and gives each batch's arrays."""
+    columns = docs.columns if keep is None else list(keep)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    rows = docs.select(row, F.col(text).cast("string").alias("text"))
+    names = ["row", *field_names(fields)]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            for batch, own in zip(held, compute([b.column(1) for b in held]), strict=True):
+                yield pa.RecordBatch.from_arrays([batch.column(0), *own], names=names)
+
+        for batch in batches:
+            held.append(batch)
+            if sum(b.column(1).nbytes for b in held) >= held_bytes:
+                yield from done()
+                held = []
+        if held:
+            yield from done()
+
+    return rows.mapInArrow(scan, f"row {rows.schema['row'].dataType.simpleString()}, {fields}")
+
+
 def field_names(ddl: str) -> list[str]:
     """Names of the fields in a list like ``a int, b struct<c: int, d: int>``."""
     parts, depth = [""], 0

@@ -7,9 +7,10 @@ window ends in that block, and patterns whose last block it is (shift zero) lie
 *bucket* under that block.  Only those are compared with the document, word for
 word.  Most document windows slide by nine words at once.
 
-Items are searched in blocks of bounded size, each a broadcast of at most
-``BLOCK_BYTES`` of item text; with more than one block, a document's hits meet in an
-aggregate over its blocks.
+Items are searched in blocks of at most ``BLOCK_BYTES`` of item text, as the tables of a block take some fifty times
+its size.  The documents are scanned once all the same: a task holds ``HELD_BYTES`` of documents, and builds
+and searches one block's tables after the other.  The blocks are broadcast, up to ``SCAN_BYTES`` of them; only
+larger sets of items take more scans, and then a document's hits meet in an aggregate.
 
 Edge cases: a missing text, of a document or an item, has no words; an item without an
 id marks words but isn't listed; repeated items count once; without items nothing is
@@ -21,13 +22,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logitblend.llm.common import fresh, integer, over_texts
+from logitblend.llm.common import fresh, integer, over_held_texts, over_texts
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
+SCAN_BYTES = 32 << 20
+HELD_BYTES = 32 << 20
 
 # Lower-case A to Z; every other ASCII character but digits and letters is a space.
 _FOLD = bytes(
@@ -126,27 +130,48 @@ _FOUND = "words long, spans array<struct<start: int, stop: int>>, items array<st
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
-def _searched(docs: DataFrame, text: str, keep: tuple[str, ...] | None, items: list) -> DataFrame:
-    """What one block of items hits."""
-    names = [name for name, _ in items]
-    block = docs.sparkSession.sparkContext.broadcast([(i, t) for i, (_, t) in enumerate(items)])
+def _searched(
+    docs: DataFrame, text: str, keep: tuple[str, ...] | None, blocks: list[list[tuple]]
+) -> DataFrame:
+    """What some blocks of items hit, in one scan."""
+    context = docs.sparkSession.sparkContext
+    sent = [context.broadcast(block) for block in blocks]
+
+    def built(block: Broadcast) -> tuple[list[Patterns], list[str | None]]:
+        return compiled([(i, t) for i, (_, t) in enumerate(block.value)]), [n for n, _ in block.value]
+
+    def arrays(rows: list[tuple[int, list, set]]) -> list[pa.Array]:
+        return [
+            pa.array([n for n, _, _ in rows], pa.int64()),
+            pa.array([[{"start": a, "stop": b} for a, b in s] for _, s, _ in rows], _SPANS),
+            pa.array([sorted(f - {None}) for _, _, f in rows], pa.list_(pa.string())),
+        ]
+
+    if len(blocks) == 1:
+
+        def prepare():
+            tables, names = built(sent[0])
+
+            def find(texts: pa.Array) -> list[pa.Array]:
+                rows = [search(tables, t) for t in texts.to_pylist()]
+                return arrays([(n, s, {names[i] for i in f}) for n, s, f in rows])
 
-    def prepare():
-        tables = compiled(block.value)
+            return find
 
-        def find(texts: pa.Array) -> list[pa.Array]:
-            rows = [search(tables, t) for t in texts.to_pylist()]
-            listed = [sorted({names[i] for i in f} - {None}) for _, _, f in rows]
-            spans = [[{"start": a, "stop": b} for a, b in s] for _, s, _ in rows]
-            return [
-                pa.array([n for n, _, _ in rows], pa.int64()),
-                pa.array(spans, _SPANS),
-                pa.array(listed, pa.list_(pa.string())),
-            ]
+        return over_texts(docs, text, keep, _FOUND, prepare)
 
-        return find
+    def find(parts: list[pa.Array]) -> Iterator[list[pa.Array]]:
+        found: list[list] = [[(0, [], set()) for _ in part] for part in parts]
+        for block in sent:
+            tables, names = built(block)
+            for rows, part in zip(found, parts, strict=True):
+                for k, value in enumerate(part):
+                    n, spans, items = search(tables, value.as_py())
+                    rows[k] = (n, rows[k][1] + spans, rows[k][2] | {names[i] for i in items})
+        for rows in found:
+            yield arrays([(n, merged(s), f) for n, s, f in rows])
 
-    return over_texts(docs, text, keep, _FOUND, prepare)
+    return over_held_texts(docs, text, keep, _FOUND, find, HELD_BYTES)
 
 
 def _union(spans: Column) -> Column:
@@ -187,15 +212,24 @@ def hits(
     weight = F.coalesce(F.octet_length("text"), F.lit(0)) + 16
     total = integer(items.agg(F.sum(weight)).first()[0])
     n_blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    if n_blocks == 1:
-        return _searched(docs, text, keep, [tuple(r) for r in items.collect()])
+    each = max(1, SCAN_BYTES // block_bytes)
+
+    def blocks(numbers: range) -> list[list[tuple]]:
+        number = F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)).cast("int")
+        some = items.withColumn("block", number).filter(F.col("block").between(numbers[0], numbers[-1]))
+        found: dict[int, list[tuple]] = {}
+        for row in some.collect():
+            found.setdefault(row["block"], []).append((row["id"], row["text"]))
+        return list(found.values()) or [[]]
+
+    if n_blocks <= each:
+        return _searched(docs, text, keep, blocks(range(n_blocks)))
     (number,) = fresh(docs, "number")
     columns = docs.columns if keep is None else list(keep)
     numbered = docs.withColumn(number, F.monotonically_increasing_id())
     parts = []
-    for k in range(n_blocks):
-        mine = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k)
-        block = [tuple(r) for r in mine.collect()]
+    for k in range(0, n_blocks, each):
+        block = blocks(range(k, min(k + each, n_blocks)))
         parts.append(_searched(numbered, text, (*columns, number), block))
     found = parts[0]
     for part in parts[1:]:

@@ -34,6 +34,26 @@ def test_hits_equal_plain_search(spark, frame, block_bytes):
     assert sorted(map(tuple, got)) == sorted(want)
 
 
+def test_ten_blocks_take_one_scan(spark, frame, capsys):
+    items = ITEMS + [(100 + k, brute.prose(5000 + k, 20)) for k in range(20)]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    docs = frame(documents())
+    found = decontam.hits(docs, table, keep=("doc_id",), block_bytes=500)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 1 and "HashAggregate" not in plan
+    got = found.select("row.doc_id", *decontam.contamination(found)).collect()
+    assert sorted(map(tuple, got)) == sorted((d, *brute.contaminated(t, items)) for d, t, _ in documents())
+
+
+def test_more_items_than_one_scan_takes(spark, frame, monkeypatch):
+    monkeypatch.setattr(decontam, "SCAN_BYTES", 900)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    found = decontam.hits(frame(documents()), items, keep=("doc_id",), block_bytes=400)
+    got = found.select("row.doc_id", *decontam.contamination(found)).collect()
+    assert sorted(map(tuple, got)) == sorted((d, *brute.contaminated(t, ITEMS)) for d, t, _ in documents())
+
+
 def test_no_items_and_no_documents(spark, frame):
     none = spark.createDataFrame([], "item_id long, text string")
     found = decontam.hits(frame(documents()), none)

@@ -8,13 +8,19 @@ robust rule keeps the nearest and drops every candidate that is ``ALPHA`` times
 one that was kept.  Edges are added the other way, too, and pruned again beyond ``DEGREE``.
 Points go in by batches, so a step of all searches of a batch is one numpy operation.
 
-Graphs are written to the shared folder.  Queries come in blocks of bounded size;
-each block meets each shard's graph in one task, which runs a beam search.
+Each shard is built in a task of its own, and written to the shared folder.  A query is sent to every shard, where
+queries stream past its graph, ``QUERY_ROWS`` beam searches at a time.
+
+Distances are in double precision.  Vectors whose largest entries are 2^``CLASS`` apart don't share a shard, and where
+squares would leave the range of doubles, a shard's points, or a query and the points it meets, are scaled by a power of two; so a
+vector far away spoils no search among others.
 
 Edge cases: vectors that are null, empty or zero, or hold a null, NaN or infinite component,
 and rows without an id, take no part; vectors of another length are never compared; a repeated
 row counts once; an id with several vectors counts with the nearest, and as a query finds what any of
-its vectors finds; fewer rows than neighbours give them all; no rows give no rows.
+its vectors finds; a shard of no more points than a search holds is compared as a whole, so fewer rows than
+neighbours give them all; a distance that a double can't hold is infinite; no rows give no rows.  The id must
+be of an integer type.
 """
 
 from __future__ import annotations
@@ -31,7 +37,9 @@ from logitblend.llm.common import integer, written
 
 NEAREST = 10
 SHARD_ROWS = 5000
-QUERY_ROWS = 2000
+QUERY_ROWS = 256
+TASKS = 20_000
+CLASS = 400
 DEGREE = 32
 ALPHA = 1.2
 BUILD_BEAM = 48
@@ -48,11 +56,29 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _exponents(rows: np.ndarray) -> np.ndarray:
+    """Of each row the power of two that none of its entries reaches."""
+    return np.frexp(np.abs(rows).max(axis=1, initial=0.0))[1]
+
+
+def distances(points: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Euclidean distances, also where squares would be too large or too small for doubles."""
+    with np.errstate(over="ignore"):
+        apart = points - vector
+        power = _exponents(apart)
+        far = np.sqrt((apart**2).sum(axis=1))
+        odd = np.flatnonzero((power > 500) | (power < -480))
+        scaled = np.sqrt((np.ldexp(apart[odd], -power[odd, None]) ** 2).sum(axis=1))
+        far[odd] = np.ldexp(scaled, power[odd])
+    far[np.isinf(apart).any(axis=1)] = np.inf
+    return far
+
+
 class Graph:
-    """Points and their out-edges; -1 where a point has fewer."""
+    """Points, scaled by 2^``power``, and their out-edges; -1 where a point has fewer."""
 
-    def __init__(self, points: np.ndarray, edges: np.ndarray, start: int):
-        self.points, self.edges, self.start = points, edges, start
+    def __init__(self, points: np.ndarray, edges: np.ndarray, start: int, power: int = 0):
+        self.points, self.edges, self.start, self.power = points, edges, start, power
 
     @classmethod
     def built(cls, points: np.ndarray, seed: int = SEED) -> Graph:
@@ -63,24 +89,46 @@ class Graph:
         if few:
             jumps = r.integers(1, n, (n, few))
             edges[:, :few] = (np.arange(n)[:, None] + jumps) % n
-        centre = points.mean(axis=0, dtype=np.float64)
-        graph = cls(points, edges, int(((points - centre) ** 2).sum(axis=1).argmin()))
+        top = int(_exponents(points).max())
+        power = -top if top > 400 or top < -400 else 0
+        points = np.ldexp(points, power)
+        centre = points.mean(axis=0)
+        graph = cls(points, edges, int(((points - centre) ** 2).sum(axis=1).argmin()), power)
         order = r.permutation(n)
         for at in range(0, n, BATCH):
             graph.insert(order[at : at + BATCH])
         return graph
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, vectors: np.ndarray, beam: int) -> np.ndarray:
+        """The points met for each vector, nearest first; -1 where fewer were met."""
+        far = np.maximum(_exponents(vectors) + self.power - 500, 0)
+        queries = np.ldexp(vectors, (self.power - far)[:, None])
+        return self.search(queries, beam, np.ldexp(1.0, -far) if far.any() else None)[0]
+
+    def search(
+        self, queries: np.ndarray, beam: int, shrink: np.ndarray | None = None
+    ) -> tuple[np.ndarray, np.ndarray]:
         """The best points met for each query, nearest first, with squared distances;
-        -1 and infinity where fewer were met."""
+        -1 and infinity where fewer were met.  Points are taken times ``shrink``, if given."""
+
+        def apart(found: np.ndarray, query: np.ndarray) -> np.ndarray:
+            points = self.points[found]
+            return (points if shrink is None else points * shrink[query, None]) - queries[query]
+
         n, q = len(self.points), len(queries)
         rows = np.arange(q)
-        met = np.zeros((q, n), bool)
         ids = np.full((q, beam), -1, np.int32)
-        far = np.full((q, beam), np.inf, np.float32)
+        far = np.full((q, beam), np.inf)
+        if n <= beam:
+            diff = apart(np.tile(np.arange(n), q), np.repeat(rows, n))
+            every = np.einsum("ij,ij->i", diff, diff).reshape(q, n)
+            ids[:, :n] = np.argsort(every, axis=1, kind="stable")
+            far[:, :n] = np.take_along_axis(every, ids[:, :n].astype(np.int64), axis=1)
+            return ids, far
+        met = np.zeros((q, n), bool)
         done = np.ones((q, beam), bool)
         ids[:, 0], done[:, 0], met[:, self.start] = self.start, False, True
-        far[:, 0] = ((queries - self.points[self.start]) ** 2).sum(axis=1)
+        far[:, 0] = (apart(np.full(q, self.start), rows) ** 2).sum(axis=1)
         while True:
             active = rows[~done.all(axis=1)]
             if not len(active):
@@ -96,8 +144,8 @@ class Graph:
             keep = np.unique(a.astype(np.int64) * n + found, return_index=True)[1]
             a, b, found = a[keep], b[keep], found[keep]
             met[active[a], found] = True
-            d = np.full(near.shape, np.inf, np.float32)
-            diff = self.points[found] - queries[active[a]]
+            d = np.full(near.shape, np.inf)
+            diff = apart(found, active[a])
             d[a, b] = np.einsum("ij,ij->i", diff, diff)
             both = np.concatenate([far[active], d], axis=1)
             best = np.argsort(both, axis=1, kind="stable")[:, :beam]
@@ -177,53 +225,117 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
+def _distinct(ids: np.ndarray, vectors: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct vectors of one length, and rows (number of the vector, id): each vector's
+    ``limit`` smallest ids."""
+    whole = np.ascontiguousarray(vectors).view([("", np.void, 8 * vectors.shape[1])]).ravel()
+    _, first, number = np.unique(whole, return_index=True, return_inverse=True)
+    order = np.lexsort((ids, number))
+    number, own = number[order], ids[order]
+    new = np.r_[True, (number[1:] != number[:-1]) | (own[1:] != own[:-1])]
+    number, own = number[new], own[new]
+    starts = np.searchsorted(number, np.arange(len(first)))
+    inside = np.arange(len(number)) - starts[number] < limit
+    return vectors[first], number[inside], own[inside]
+
+
 def _least_ids(limit: int):
     """Rows of a task, with at most ``limit`` ids for each vector: the smallest."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, vectors = (batch.column(c).to_pylist() for c in ("id", "vector"))
-            kept: dict[tuple, set[int]] = {}
-            for i, v in zip(ids, map(tuple, vectors), strict=True):
-                kept.setdefault(v, set()).add(i)
-            rows = [(i, v) for v, own in kept.items() for i in sorted(own)[:limit]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()),
-                 pa.array([r[1] for r in rows], pa.list_(pa.float64()))],
-                names=["id", "vector"],
-            )
+            lengths = np.asarray(batch.column("vector").value_lengths())
+            ids = np.asarray(batch.column("id"))
+            for size in np.unique(lengths).tolist():
+                own = np.flatnonzero(lengths == size)
+                vectors = _matrix(batch.column("vector").take(pa.array(own)))
+                points, number, kept = _distinct(ids[own], vectors, limit)
+                flat = pa.array(points[number].ravel())
+                ends = pa.array(np.arange(len(kept) + 1, dtype=np.int32) * size)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(kept), pa.ListArray.from_arrays(ends, flat)], names=["id", "vector"]
+                )
 
     return scan
 
 
+def _groups(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Rows sorted by ``key``, cut where it changes."""
+    for batch in batches:
+        columns = [np.asarray(batch.column(c)) for c in key]
+        edges = np.zeros(max(batch.num_rows - 1, 0), bool)
+        for c in columns:
+            edges |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(edges) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if a < b:
+                yield tuple(int(c[a]) for c in columns), batch.slice(a, b - a)
+
+
+def _class() -> Column:
+    """Number of the range that a vector's largest entry is in."""
+    top = F.array_max(F.transform("vector", lambda x: F.abs(x)))
+    return F.floor((F.log2(top) + CLASS / 2) / CLASS).cast("int")
+
+
 def graphs(rows: DataFrame, shards: int, nearest: int = NEAREST) -> DataFrame:
     """Of rows ``id, vector``: ``size`` (of the vectors), ``shard`` and ``graph``."""
 
-    def build(key: tuple, rows: pa.Table) -> pa.Table:
-        kept: dict[tuple, set[int]] = {}
-        for i, v in zip(rows["id"].to_pylist(), map(tuple, rows["vector"].to_pylist()), strict=True):
-            kept.setdefault(v, set()).add(i)
-        points = np.array(sorted(kept), np.float64)
-        ids = np.full((len(points), nearest + 1), -1, np.int64)
-        valid = np.zeros(ids.shape, bool)
-        for k, v in enumerate(sorted(kept)):
-            own = sorted(kept[v])[: nearest + 1]
-            ids[k, : len(own)], valid[k, : len(own)] = own, True
-        graph = Graph.built(points.astype(np.float32))
-        data = _packed(points=points, ids=ids, valid=valid, edges=graph.edges, start=np.array(graph.start))
-        return pa.table(
-            {
-                "size": pa.array([key[0].as_py()], pa.int32()),
-                "shard": pa.array([key[1].as_py()], pa.int32()),
-                "graph": pa.array([data], pa.binary()),
-            }
+    def built(key: tuple, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ids = np.concatenate([np.asarray(p.column("id")) for p in parts])
+        vectors = np.concatenate([_matrix(p.column("vector")) for p in parts])
+        points, number, own = _distinct(ids, vectors, nearest + 1)
+        graph = Graph.built(points)
+        data = _packed(
+            points=points, number=number, ids=own, edges=graph.edges, start=np.array([graph.start, graph.power])
         )
+        return pa.RecordBatch.from_arrays(
+            [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([data], pa.binary())],
+            names=["size", "shard", "graph"],
+        )
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last: tuple | None = None
+        for key, part in _groups(batches, ("size", "shard")):
+            if held and key != last:
+                yield built(last, held)
+                held = []
+            last = key
+            held.append(part)
+        if held:
+            yield built(last, held)
 
     few = rows.mapInArrow(_least_ids(nearest + 1), "id long, vector array<double>")
     dealt = few.withColumn("size", F.size("vector")).withColumn(
-        "shard", F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")
+        "shard", _class() * shards + F.pmod(F.xxhash64("vector"), F.lit(shards)).cast("int")
     )
-    return dealt.groupBy("size", "shard").applyInArrow(build, "size int, shard int, graph binary")
+    tasks = min(TASKS, shards)
+    return (
+        dealt.repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))
+        .sortWithinPartitions("size", "shard")
+        .mapInArrow(build, "size int, shard int, graph binary")
+    )
+
+
+class _Shard:
+    """A graph with the ids of its points."""
+
+    def __init__(self, data: bytes):
+        kept = np.load(io.BytesIO(data))
+        self.points, self.number, self.ids = kept["points"], kept["number"], kept["ids"]
+        start, power = kept["start"].tolist()
+        self.graph = Graph(np.ldexp(self.points, power), kept["edges"], start, power)
+        self.starts = np.searchsorted(self.number, np.arange(len(self.points) + 1))
+
+    def nearest(self, query: int, vector: np.ndarray, found: np.ndarray, nearest: int) -> list[tuple[int, int, float]]:
+        far = distances(self.points[found], vector)
+        counts = self.starts[found + 1] - self.starts[found]
+        at = np.repeat(self.starts[found], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        ids, far = self.ids[at], np.repeat(far, counts)
+        ids, far = ids[ids != query], far[ids != query]
+        order = np.lexsort((ids, far))[:nearest]
+        return [(query, i, d) for i, d in zip(ids[order].tolist(), far[order].tolist(), strict=True)]
 
 
 def neighbours(
@@ -238,57 +350,64 @@ def neighbours(
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: for every row that ``queries`` selects, the nearest
     other rows found, by Euclidean distance, ties to the smaller id."""
+    if table.schema[key].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{key} must be an integer column")
     part = table.filter(F.col(key).isNotNull() & usable(F.col(vector)))
     columns = (
         F.col(key).cast("long").alias("id"),
-        F.col(vector).cast("array<double>").alias("vector"),
+        # There is one zero.
+        F.transform(F.col(vector), lambda x: x.cast("double") + F.lit(0.0)).alias("vector"),
     )
     rows, asked = part.select(*columns), part.filter(queries).select(*columns)
     shards = max(1, -(-integer(rows.count()) // shard_rows))
-    blocks = max(1, -(-integer(asked.count()) // query_rows))
     index = written(graphs(rows, shards, nearest), "graphs")
-
-    def search(key: tuple, graph: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, float]] = []
-        if graph.num_rows and asked.num_rows:
-            data = np.load(io.BytesIO(graph["graph"][0].as_py()))
-            points, ids, valid = data["points"], data["ids"], data["valid"]
-            own = Graph(points.astype(np.float32), data["edges"], int(data["start"]))
-            wanted, vectors = asked["id"].to_pylist(), _matrix(asked["vector"])
-            for at in range(0, len(wanted), BATCH):
-                part = vectors[at : at + BATCH]
-                found, _ = own.search(part.astype(np.float32), max(beam, nearest + 1))
-                for q, v, near in zip(wanted[at : at + BATCH], part, found, strict=True):
-                    near = near[near >= 0]
-                    score = np.sqrt(((points[near] - v) ** 2).sum(axis=1))
-                    copies = zip(score.tolist(), ids[near].tolist(), valid[near].tolist(), strict=True)
-                    pairs = [
-                        (s, i)
-                        for s, own_ids, there in copies
-                        for i, known in zip(own_ids, there, strict=True)
-                        if known and i != q
-                    ]
-                    out += [(q, i, s) for s, i in sorted(pairs)[:nearest]]
-        types = (pa.int64(), pa.int64(), pa.float64())
-        names = ("query_id", "vec_id", "score")
-        columns = list(zip(*out, strict=True)) or [[], [], []]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(names, columns, types, strict=True)})
-
-    every_shard = F.sequence(F.lit(0), F.lit(shards - 1))
-    every_block = F.sequence(F.lit(0), F.lit(blocks - 1))
+    classes = [r["class"] for r in index.select(F.floor(F.col("shard") / shards).cast("int").alias("class")).distinct().collect()]
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by shard, its graph before its queries."""
+        last, own = None, None
+        for group, part in _groups(batches, ("size", "shard")):
+            if group != last:
+                last, own = group, None
+            asks = np.asarray(part.column("asks").to_numpy(zero_copy_only=False))
+            if not asks[0]:
+                own = _Shard(part.column("graph")[0].as_py())
+                part = part.slice(1)
+            if own is None or not part.num_rows:
+                continue
+            for at in range(0, part.num_rows, query_rows):
+                some = part.slice(at, query_rows)
+                ids, vectors = some.column("id").to_pylist(), _matrix(some.column("vector"))
+                out: list[tuple[int, int, float]] = []
+                for q, v, near in zip(ids, vectors, own.graph.find(vectors, max(beam, nearest + 1)), strict=True):
+                    out += own.nearest(q, v, near[near >= 0].astype(np.int64), nearest)
+                types = (pa.int64(), pa.int64(), pa.float64())
+                columns = list(zip(*out, strict=True)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, types, strict=True)],
+                    names=["query_id", "vec_id", "score"],
+                )
+
+    graph = index.select(
+        "size", "shard", F.lit(False).alias("asks"), "graph", F.lit(None).cast("long").alias("id"),
+        F.lit(None).cast("array<double>").alias("vector"),
+    )
     wanted = asked.select(
+        F.size("vector").alias("size"),
+        F.explode(
+            F.flatten(F.array(*[F.sequence(F.lit(c * shards), F.lit((c + 1) * shards - 1)) for c in classes or [0]]))
+        ).alias("shard"),
+        F.lit(True).alias("asks"),
+        F.lit(None).cast("binary").alias("graph"),
         "id",
         "vector",
-        F.size("vector").alias("size"),
-        F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int").alias("block"),
-        F.explode(every_shard).alias("shard"),
     )
-    cells = ["size", "shard", "block"]
+    tasks = min(TASKS, shards)
     found = (
-        index.withColumn("block", F.explode(every_block))
-        .groupBy(*cells)
-        .cogroup(wanted.groupBy(*cells))
-        .applyInArrow(search, "query_id long, vec_id long, score double")
+        graph.unionAll(wanted)
+        .repartitionById(tasks, F.pmod("shard", F.lit(tasks)).cast("int"))
+        .sortWithinPartitions("size", "shard", "asks")
+        .mapInArrow(search, "query_id long, vec_id long, score double")
         .groupBy("query_id", "vec_id")
         .agg(F.min("score").alias("score"))
     )

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from logitblend.llm.decontam import WINDOW
-from logitblend.llm.licences import TEMPLATES, THRESHOLD
+from logitblend.llm.licence_texts import templates
+from logitblend.llm.licences import DIGITS, RUNS, THRESHOLD
 from logitblend.llm.products import SCALE, TOP
 from logitblend.llm.ranking import TOP as RANKED
 from logitblend.llm.substring import WINDOW as STRETCH
@@ -108,61 +109,74 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGI
 FROM docs LEFT JOIN result USING (n)
 """
 
-_TEMPLATES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES.items())
-_WORDS = "regexp_extract_all(lower({}), '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
+_TEMPLATES = ", ".join(
+    "({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(templates())
+)
+_LOWERED = f"translate({{}}, '{_UPPER}', '{_LOWER}')"
+_WORDS = f"regexp_extract_all({_LOWERED}, '[a-z0-9]+(?:[.-][a-z0-9]+)*')"
+_RUNS = ", ".join(f"({k})" for k in RUNS)
 
 LICENCES = f"""
 WITH files AS (
   SELECT row_number() OVER () AS n, page_id,
          regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') AS path,
-         regexp_replace(html, '<[^>]*>', chr(10), 'g') AS text,
+         coalesce(regexp_replace(html, '<[^>]*>', chr(10), 'g'), '') AS text,
          regexp_matches(html, '(?i)<title>[^<]*licen[cs]e') AS speaks
   FROM pages),
-templates(name, text) AS (VALUES {_TEMPLATES}),
+templates(t, name, text) AS (VALUES {_TEMPLATES}),
 template_words AS (
-  SELECT name, word, count(*) AS c
-  FROM (SELECT name, unnest({_WORDS.format("text")}) AS word FROM templates) GROUP BY ALL),
+  SELECT t, word, count(*) AS c
+  FROM (SELECT t, unnest({_WORDS.format("text")}) AS word FROM templates) GROUP BY ALL),
 vocabulary AS (SELECT DISTINCT word FROM template_words),
-file_words AS (SELECT DISTINCT n, unnest({_WORDS.format("text")}) AS word FROM files),
-frequency AS (
-  SELECT word, count(*) AS df FROM file_words SEMI JOIN vocabulary USING (word) GROUP BY word),
 total AS (SELECT count(*) AS files FROM files),
-split AS (SELECT n, string_split(text, chr(10)) AS lines FROM files),
+frequency AS (
+  SELECT word, count(*) AS df
+  FROM (SELECT DISTINCT n, unnest({_WORDS.format("text")}) AS word FROM files) GROUP BY word),
+split AS (SELECT n, string_split(text, chr(10)) AS parts FROM files),
+numbered AS (
+  SELECT n, i, {_WORDS.format("parts[i]")} AS w FROM split, unnest(range(1, len(parts) + 1)) AS s(i)),
 lines AS (
-  SELECT n, i, lines[i] AS line FROM split, unnest(range(1, len(lines) + 1)) AS t(i)
-  UNION ALL
-  SELECT n, len(lines) + 1, array_to_string(lines, ' ') FROM split WHERE len(lines) > 1),
-line_words AS (
-  SELECT n, i, word, count(*) AS c
-  FROM (SELECT n, i, unnest({_WORDS.format("line")}) AS word FROM lines) GROUP BY ALL),
-line_weights AS (
-  SELECT n, i, word, c * (1 + ln((1 + files) / (1 + coalesce(df, 0)))) AS x
-  FROM line_words LEFT JOIN frequency USING (word), total),
+  SELECT n, row_number() OVER (PARTITION BY n ORDER BY i) - 1 AS line, w FROM numbered WHERE len(w) > 0),
+heights AS (SELECT n, count(*) AS m FROM lines GROUP BY n),
+runs AS (
+  SELECT n, line, k AS length FROM lines JOIN heights USING (n), (VALUES {_RUNS}) AS r(k) WHERE line + k <= m
+  UNION ALL SELECT n, 0, m FROM heights WHERE m NOT IN (SELECT k FROM (VALUES {_RUNS}) AS r(k))),
+run_words AS (
+  SELECT n, line, length, word, count(*) AS c
+  FROM (SELECT r.n, r.line, r.length, unnest(l.w) AS word
+        FROM runs r JOIN lines l ON l.n = r.n AND l.line >= r.line AND l.line < r.line + r.length)
+  GROUP BY ALL),
+weighed AS (
+  SELECT n, line, length, word, c * (1 + ln((1 + files) / (1 + df))) AS x,
+         word IN (SELECT word FROM vocabulary) AS known
+  FROM run_words JOIN frequency USING (word), total),
+-- A run is no nearer to a template than to the words of templates.
+norms AS (
+  SELECT n, line, length, sqrt(sum(x * x)) AS norm FROM weighed GROUP BY n, line, length
+  HAVING sum(CASE WHEN known THEN x * x ELSE 0 END) >= 0.63 * sum(x * x)),
 template_weights AS (
-  SELECT name, word, c * (1 + ln((1 + files) / (1 + coalesce(df, 0)))) AS y
+  SELECT t, word, c * (1 + ln((1 + files) / (1 + coalesce(df, 0)))) AS y
   FROM template_words LEFT JOIN frequency USING (word), total),
-line_norms AS (SELECT n, i, sqrt(sum(x * x)) AS norm FROM line_weights GROUP BY n, i),
-template_norms AS (SELECT name, sqrt(sum(y * y)) AS norm FROM template_weights GROUP BY name),
-near AS (
-  SELECT n, i, name, sum(x * y) AS dot
-  FROM line_weights JOIN template_weights USING (word) GROUP BY n, i, name),
+template_norms AS (SELECT t, sqrt(sum(y * y)) AS norm FROM template_weights GROUP BY t),
+dots AS (
+  SELECT n, line, length, t, sum(x * y) AS dot
+  FROM weighed SEMI JOIN norms USING (n, line, length) JOIN template_weights USING (word)
+  GROUP BY n, line, length, t),
 cosines AS (
-  SELECT near.n, near.i, near.name, dot / (l.norm * t.norm) AS cosine
-  FROM near JOIN line_norms l ON l.n = near.n AND l.i = near.i
-       JOIN template_norms t ON t.name = near.name),
+  SELECT n, line, length, name, round(dot / (r.norm * p.norm), {DIGITS}) AS cosine
+  FROM dots JOIN norms r USING (n, line, length) JOIN template_norms p USING (t) JOIN templates USING (t)),
 best AS (
-  SELECT * FROM cosines
-  QUALIFY row_number() OVER (PARTITION BY n ORDER BY round(cosine, 12) DESC, i, name) = 1),
+  SELECT n, name, cosine FROM cosines WHERE cosine >= {THRESHOLD}
+  QUALIFY row_number() OVER (PARTITION BY n ORDER BY cosine DESC, line, length, name) = 1),
 own AS (
-  SELECT files.*, string_split(path, '/') AS parts, coalesce(cosine, 0) AS cosine,
-         CASE WHEN cosine >= {THRESHOLD} THEN name END AS licence
+  SELECT files.*, string_split(path, '/') AS parts, cosine, name AS licence
   FROM files LEFT JOIN best USING (n)),
 spoken AS (
   SELECT array_to_string(parts[1 : len(parts) - 1], '/') AS directory, licence AS theirs
   FROM own WHERE speaks AND licence IS NOT NULL
   QUALIFY row_number() OVER (
     PARTITION BY array_to_string(parts[1 : len(parts) - 1], '/')
-    ORDER BY round(cosine, 12) DESC, licence) = 1),
+    ORDER BY cosine DESC, licence) = 1),
 above AS (
   SELECT n, k, array_to_string(parts[1 : k], '/') AS directory
   FROM own, unnest(range(0, len(parts))) AS t(k)
@@ -170,7 +184,7 @@ above AS (
 nearest AS (
   SELECT n, directory, theirs FROM above JOIN spoken USING (directory)
   QUALIFY row_number() OVER (PARTITION BY n ORDER BY k DESC) = 1)
-SELECT page_id, path, coalesce(licence, theirs) AS licence, round(cosine, 9) AS cosine,
+SELECT page_id, path, coalesce(licence, theirs) AS licence, cosine,
        directory AS inherited_from
 FROM own LEFT JOIN nearest USING (n)
 """

@@ -98,7 +98,7 @@ def op7_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("row.page_id").alias("page_id"),
         F.col("row.path").alias("path"),
         "licence",
-        F.round("cosine", 9).alias("cosine"),
+        "cosine",
         "inherited_from",
     )
 

@@ -1,12 +1,18 @@
 """Nearest neighbours and licences."""
 
 import math
+import random
+import re
+import textwrap
+from collections import Counter
 
+import brute
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from logitblend.llm import licences, neighbours
+from logitblend.llm.licence_texts import NAMES, TEXTS
 
 
 def nearest(rows, asked, k=10):
@@ -17,7 +23,7 @@ def nearest(rows, asked, k=10):
         for _, v in (r for r in rows if r[0] == q):
             for i, w in rows:
                 if i != q and len(w) == len(v):
-                    d = math.sqrt(sum((a - b) ** 2 for a, b in zip(v, w, strict=True)))
+                    d = math.dist(v, w)
                     best[i] = min(d, best.get(i, d))
         ranked = sorted((d, i) for i, d in best.items())[:k]
         out += [(q, n + 1, i, pytest.approx(d)) for n, (d, i) in enumerate(ranked)]
@@ -46,6 +52,38 @@ def test_small_shards_find_the_nearest(spark, shard_rows, query_rows):
     assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.98 * len(want)
 
 
+def test_large_and_small_numbers_are_found(spark):
+    """One vector far away spoils no search, and few candidates are all returned."""
+    rows = [(0, [1.0, 2.0]), (2, [1.0, 2.5]), (1, [3e19, 1.0]), (100, [5e19, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.neighbours(table, F.col("vec_id") % 100 == 0)
+    assert sorted(tuple(r) for r in found.collect()) == [
+        (0, 1, 2, 0.5), (0, 2, 1, 3e19), (0, 3, 100, 5e19),
+        (100, 1, 1, 2e19), (100, 2, 0, 5e19), (100, 3, 2, 5e19),
+    ]
+    r = np.random.default_rng(7)
+    good = [(i, v.tolist()) for i, v in enumerate(r.standard_normal((400, 6)))]
+    good += [(1000 + i, (v * 10.0 ** r.integers(-300, 300)).tolist()) for i, v in enumerate(r.standard_normal((60, 6)))]
+    good += [(2000, [1.7e308, -1.7e308, 0.0, 0.0, 0.0, 0.0]), (2100, [-1e-320, 0.0, 0.0, 0.0, 0.0, 5e-324])]
+    table = spark.createDataFrame(good, "vec_id long, embedding array<double>")
+    found = neighbours.neighbours(table, F.col("vec_id") % 100 == 0, shard_rows=150).collect()
+    want = nearest(good, {i for i, _ in good if i % 100 == 0 and i < 1000})
+    got = sorted(tuple(r) for r in found if r.query_id < 1000)
+    assert sum(a == b for a, b in zip(got, want, strict=True)) >= 0.95 * len(want)
+    assert {q: sum(r.query_id == q for r in found) for q, _ in good if q % 100 == 0} == dict.fromkeys([*range(0, 400, 100), 1000, 2000, 2100], 10)
+    with pytest.raises(ValueError, match="integer"):
+        neighbours.neighbours(spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>"), F.lit(True))
+
+
+def test_distances_in_any_range():
+    v = np.array([3.0, 4.0])
+    for power in (-1060, -900, 0, 500, 1000):
+        got = neighbours.distances(np.ldexp(v[None], power), np.zeros(2))
+        assert got[0] == pytest.approx(np.ldexp(5.0, power), rel=1e-3 if power < -1000 else 1e-12)
+    assert neighbours.distances(np.array([[1.7e308, 0.0]]), np.array([-1.7e308, 0.0]))[0] == np.inf
+    assert neighbours.distances(np.zeros((1, 2)), np.zeros(2))[0] == 0
+
+
 def test_recall_over_a_large_shard(spark):
     r = np.random.default_rng(3)
     points = r.standard_normal((3000, 32)).astype(np.float32)
@@ -118,32 +156,87 @@ def test_licences_are_found_and_inherited(spark):
     assert place[3] == 6 and place[5] == 0
 
 
-def test_cosine_equals_plain_cosine(spark):
-    files = spark.createDataFrame(FILES, "id int, path string, text string, speaks boolean")
-    found = licences.scan(files, "path", "text", "speaks", keep=("id",))
-    lists = [set(licences.words(t or "")) for _, _, t, _ in FILES]
-
-    known = {w for t in licences.TEMPLATES.values() for w in licences.words(t)}
+def plain_best(texts, templates, least=0.8):
+    """(licence, cosine, first line) of every text, by the cosines of all of its runs of lines."""
+    def found(line):
+        return re.findall(r"[a-z0-9]+(?:[.-][a-z0-9]+)*", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line))
 
-    def weight(word):  # a word of no template counts as one of no file
-        if word not in known:
-            return 1 + math.log(1 + len(FILES))
-        return 1 + math.log((1 + len(FILES)) / (1 + sum(word in x for x in lists)))
+    df = Counter(w for t in texts for w in set(found(t or "")))
 
-    def vector(text):
-        own = licences.words(text)
-        return {w: own.count(w) * weight(w) for w in set(own)}
+    def vector(words):
+        return {w: n * (1 + math.log((1 + len(texts)) / (1 + df[w]))) for w, n in Counter(words).items()}
 
     def cosine(a, b):
         norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
-        return sum(x * b.get(w, 0) for w, x in a.items()) / norm if norm else 0.0
-
-    for r in found.collect():
-        text = next(t for i, _, t, _ in FILES if i == r.row.id) or ""
-        if len(text) < 1000:
-            parts = {*text.split("\n"), text.replace("\n", " ")}
-            best = max(cosine(vector(p), vector(t)) for p in parts for t in licences.TEMPLATES.values())
-            assert r.cosine == pytest.approx(best)
+        return round(sum(x * b.get(w, 0) for w, x in a.items()) / norm, 9)
+
+    known, out = [(name, vector(found(t))) for name, t in templates], []
+    for text in texts:
+        lines = [own for own in map(found, (text or "").split("\n")) if own]
+        runs = {(i, k) for k in licences.RUNS for i in range(len(lines) - k + 1)} | ({(0, len(lines))} if lines else set())
+        best = min(
+            ((-cosine(vector([w for own in lines[i : i + k] for w in own]), v), i, k, name) for i, k in runs for name, v in known),
+            default=(0, 0, 0, None),
+        )
+        out.append((best[3], -best[0], best[1]) if -best[0] >= least else (None, None, None))
+    return out
+
+
+def test_cosines_equal_those_of_all_runs(spark):
+    r = random.Random(4)
+    some = [("A", "alpha beta gamma licence"), ("B", "beta gamma\ndelta licence words"), ("C", "one two three four five six seven eight")]
+    words = "alpha beta gamma delta licence words one two three four five six seven eight noise more less".split()
+    texts = [
+        "\n".join(" ".join(r.choice(words) for _ in range(r.randrange(0, 6))) for _ in range(r.randrange(1, 30)))
+        for _ in range(60)
+    ]
+    texts += [t for _, t in some] + [None, "", "\n\n", "Alpha, BETA: gamma-licence", "alpha beta gamma licence"]
+    files = spark.createDataFrame([(i, f"p/{i}", t, False) for i, t in enumerate(texts)], "id int, path string, text string, speaks boolean")
+    found = licences.scan(files, "path", "text", "speaks", keep=("id",), templates=some).collect()
+    want = plain_best(texts, some)
+    assert sum(w[0] is not None for w in want) > 10
+    assert {r.row.id: (r.licence, r.cosine) for r in found} == {i: (w[0], w[1] and pytest.approx(w[1])) for i, w in enumerate(want)}
+    for row in found:
+        if row.place is not None:
+            assert sum(bool(licences.words(x)) for x in texts[row.row.id][: row.place].split("\n")) == want[row.row.id][2]
+
+
+def test_pieces_of_a_long_text(monkeypatch):
+    templates = [("A", "alpha beta gamma licence")]
+    table = licences.Templates(templates, 10, {b"alpha": 2, b"filler": 9})
+    lines = [[b"filler"]] * 50 + [[b"alpha", b"beta"], [b"gamma", b"licence"]] + [[b"filler"]] * 61
+    whole = table.candidates(lines, 0.8)
+    for piece in (1, 7, 51):
+        monkeypatch.setattr(licences, "PIECE", piece)
+        assert sorted(table.candidates(lines, 0.8)) == sorted(whole)
+    assert (50, 2) in whole
+
+
+@pytest.mark.parametrize("others", [5, 3000])
+def test_real_notices_are_recognised(spark, others):
+    """Texts and headers of all licences, wrapped anew and among other lines, in small and large tables."""
+    rows, want = [], {}
+
+    def add(name, text, path, speaks=False):
+        want[len(rows)] = name
+        rows.append((len(rows), path, text, speaks))
+
+    for name, texts in TEXTS.items():
+        for k, text in enumerate(texts):
+            wrapped = textwrap.fill(" ".join(text.split()), 64)
+            add(name, f"Copyright (c) 2021 Jane Doe\n\n{wrapped}\n", f"full/{name}/{k}/LICENSE", True)
+            body = "\n".join(f" * {line}" for line in text.split("\n"))
+            add(name, f"/*\n{body}\n */\n#include <stdio.h>\nint main(void) {{ return 0; }}\n", f"src/{name}{k}.c")
+        add(name, "int x;\n", f"full/{name}/0/deep/er/x.c")
+        for k, spoken in enumerate(NAMES[name]):
+            add(name, f"# Tool\nSome words about it.\nThis project is released under the {spoken}.\nMore words.\n", f"doc/{name}{k}.md")
+            add(name, f"# Licensed under the {spoken}\nimport os\n", f"py/{name}{k}.py")
+    for k in range(others):
+        add(None, brute.prose(k, 40, 3000).replace(" w1", " the is of this project\n and to software w1"), f"other/{k}.txt")
+    files = spark.createDataFrame(rows, "id int, path string, text string, speaks boolean")
+    got = {r.row.id: r.licence for r in licences.scan(files, "path", "text", "speaks", keep=("id",)).collect()}
+    wrong = {rows[i][1]: (got[i], name) for i, name in want.items() if got[i] != name}
+    assert not wrong
 
 
 def test_directories_of_a_path(spark):

@@ -382,7 +382,11 @@ def _qa_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_partkey").alias("seq"),
         F.concat(F.lit("What is part "), "p_partkey", F.lit("?")).alias("question"),
         F.split("p_name", " ").alias("answer"),
-        F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(".\nQuestion: no")).alias("output"),
+        F.when(F.col("p_partkey") % 11 == 0, F.lit(None).cast("string"))
+        .when(F.col("p_partkey") % 7 == 0, "")
+        .when(F.col("p_partkey") % 5 == 0, "zzz.\nQuestion: no")
+        .otherwise(F.concat(F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(".\nQuestion: no")))
+        .alias("output"),
     )
     return evaluation.records(evaluation.render(items, "qa", "Name it."), "qa")
 
@@ -398,7 +402,9 @@ EVALUATION_QA = """
 SELECT p_partkey AS seq,
        'Name it.' || chr(10) || chr(10) || 'Question: What is part ' || p_partkey || '?'
        || chr(10) || 'Answer:' AS question,
-       split_part(p_name, ' ', 1) || '.' AS pred, replace(p_name, ' ', '+') AS label
+       CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN ''
+            WHEN p_partkey % 5 = 0 THEN 'zzz.' ELSE split_part(p_name, ' ', 1) || '.' END AS pred,
+       replace(p_name, ' ', '+') AS label
 FROM part
 """
 
@@ -409,7 +415,12 @@ def evaluation_qa_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVALUATION_QA_SCORE = """
-SELECT count(*) AS num_q, count(*) AS correct, 0::BIGINT AS n_empty, 1.0::DOUBLE AS ratio FROM part
+WITH answers AS (
+  SELECT p_partkey % 11 = 0 AS missing, p_partkey % 7 = 0 AS empty, p_partkey % 5 = 0 AS wrong FROM part)
+SELECT count(*) AS num_q, count(*) FILTER (WHERE NOT missing AND (empty OR NOT wrong)) AS correct,
+       count(*) FILTER (WHERE NOT missing AND empty) AS n_empty,
+       round(avg((NOT missing AND (empty OR NOT wrong))::INTEGER), 6) AS ratio
+FROM answers
 """
 
 

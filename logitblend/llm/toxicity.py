@@ -1,7 +1,8 @@
 """Toxicity: a linear-chain conditional random field that tags toxic words.
 
 1. Labelled documents tell which words and word beginnings occur in toxic documents and
-   hardly in others.  These mark the words of the toxic documents: labelled tokens.
+   hardly in others, beyond chance.  These mark the words of the toxic documents: labelled tokens.  A toxic document without any
+   of them isn't learnt from, as none of its words is known to be clean or toxic.
 2. The field has two tags; a token's features are the word, its beginnings, its end and
    its length, hashed.  It is trained by iterative parameter mixing: each partition
    of the labelled tokens climbs the log-likelihood from the shared weights, and
@@ -46,7 +47,9 @@ PARTS, ROUNDS, STEPS = 6, 3, 40
 DECAY = 1e-6
 CACHED = 300_000  # words whose weight a task remembers
 CELLS = 2_000_000  # of a forward-backward table
+SLICE = 1 << 17  # tokens whose pairs are added up at a time
 LEAST_SUPPORT = 3
+AT_ONCE = 2048  # texts
 
 _STRIP = b" .,;:!?\"'()[]{}<>*#$%&@~^|/\\-_+="
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("p", pa.float64())]))
@@ -218,25 +221,35 @@ def lexicon(rows: DataFrame) -> dict[bytes, float]:
     if not bad or not good:
         return {}
     odds = F.log(((F.col("toxic") + 0.5) / (bad + 1)) / ((F.col("clean") + 0.5) / (good + 1)))
-    support = max(LEAST_SUPPORT, bad // 200)
-    # At most a few hundred clues for each document of the sample have the support.
-    found = (
+    counts = written(
         rows.mapInArrow(count, "clue binary, clean long, toxic long")
         .groupBy("clue")
         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-        .filter((F.col("toxic") >= support) & (odds >= 2.5))
-        .select("clue", (F.col("toxic") * odds).alias("weight"))
+        .filter(F.col("clean") + F.col("toxic") >= LEAST_SUPPORT),
+        "clues",
     )
+    # How unlikely it is (Chernoff) that so many of its documents are toxic by chance; of all that are
+    # looked at, fewer than one would be.
+    n, share = F.col("clean") + F.col("toxic"), bad / (bad + good)
+    unlikely = F.col("toxic") * F.log(F.col("toxic") / n / share) + F.when(
+        F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - share))
+    ).otherwise(0.0)
+    # At most a few hundred clues for each document of the sample have the support.
+    found = counts.filter(
+        (F.col("toxic") >= LEAST_SUPPORT) & (odds >= 2.5) & (unlikely >= math.log(max(counts.count(), 2)))
+    ).select("clue", (F.col("toxic") * odds).alias("weight"))
     return {bytes(r["clue"]): r["weight"] for r in found.collect()}
 
 
-def tags(tokens: list[bytes], toxic: bool, clue_weight: dict[bytes, float]) -> np.ndarray:
+def tags(tokens: list[bytes], toxic: bool, clue_weight: dict[bytes, float]) -> np.ndarray | None:
     """Tag of each token: in a toxic document, 1 if its weight comes near that of the
-    document's most telling token."""
+    document's most telling token.  None if it has no clue: which of its words are toxic isn't known."""
     if not toxic:
         return np.zeros(len(tokens))
     kinds = {t: max((clue_weight.get(c, 0.0) for c in clues(bare(t))), default=0.0) for t in set(tokens)}
     most = max(kinds.values(), default=0.0)
+    if not most:
+        return None
     return np.array([float(kinds[t] > 0 and kinds[t] >= 0.25 * most) for t in tokens])
 
 
@@ -246,8 +259,11 @@ def climb(field: Field, texts: list[str], toxic: list[bool], clue_weight: dict[b
     ids, gold, ends = [], [], []
     for text, bad in zip(texts, toxic, strict=True):
         tokens = text.encode("utf-8", "replace").split()
-        ids.append(np.array([kinds.setdefault(t, len(kinds)) for t in tokens], np.int64))
-        gold.append(tags(tokens, bad, clue_weight))
+        own = tags(tokens, bad, clue_weight)
+        if own is None:
+            continue
+        ids.append(np.fromiter((kinds.setdefault(t, len(kinds)) for t in tokens), np.int32, len(tokens)))
+        gold.append(own)
         ends += [min(CHUNK, len(tokens) - a) for a in range(0, len(tokens), CHUNK)]
     n = sum(ends)
     if not n:
@@ -257,36 +273,39 @@ def climb(field: Field, texts: list[str], toxic: list[bool], clue_weight: dict[b
     # Place of every token in the table, steps by sequences, longest first.
     column = np.empty(len(lengths), np.int64)
     column[order] = np.arange(len(lengths))
-    step = np.concatenate([np.arange(k) for k in lengths])
-    cell = step * len(lengths) + np.repeat(column, lengths)
+    step = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    cell = (step * len(lengths) + np.repeat(column, lengths)).astype(np.int32)
     flat, y = np.concatenate(ids), np.concatenate(gold)
-    lists = [features(t) for t in kinds]
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    feature = np.concatenate([np.array(x) for x in lists])
+    lists = [np.array(features(t), np.int32) for t in kinds]
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), [len(x) for x in lists])
+    feature = np.concatenate(lists)
     lengths = lengths[order]
-    same = step > 0  # tokens with one before them in their sequence
+    after = cell[step > 0]  # tokens with one before them in their sequence
+    before = after - len(lengths)
     y_table = np.zeros(lengths[0] * len(lengths))
     y_table[cell] = y
-    before = cell[same] - len(lengths)
-    gold_pairs = np.bincount((2 * y_table[before] + y_table[cell[same]]).astype(int), minlength=4)
+    gold_pairs = np.bincount((2 * y_table[before] + y_table[after]).astype(np.int8), minlength=4)
+    del ids, gold, step, lists, y_table, column
 
     weights, pairs = field.weights.copy(), field.pairs.copy()
     state = [np.zeros(HASHED + 5), np.zeros(HASHED + 5)]
     for t in range(1, STEPS + 1):
-        kind_score = np.bincount(owner, weights[feature], len(lists)) + weights[HASHED]
+        kind_score = np.bincount(owner, weights[feature], len(kinds)) + weights[HASHED]
         table = np.zeros(lengths[0] * len(lengths))
         table[cell] = kind_score[flat]
         table = table.reshape(lengths[0], len(lengths))
         e, ahead, behind = (x.ravel() for x in sweeps(table, lengths, pairs))
         odds = ahead[cell] * behind[cell]
-        p = odds / (1 + odds)
-        slack = np.bincount(flat, y - p, len(lists))
+        slack = np.bincount(flat, y - odds / (1 + odds), len(kinds))
         up = np.zeros(HASHED + 5)
         up[:HASHED] = np.bincount(feature, slack[owner], HASHED)
         up[HASHED] = slack.sum()
-        f, on = ahead[before], e[cell[same]] * behind[cell[same]]
-        both = np.exp(pairs)[:, :, None] * np.array([[np.ones_like(f), on], [f, f * on]])
-        up[HASHED + 1 :] = gold_pairs - (both / both.sum((0, 1))).sum(2).ravel()
+        up[HASHED + 1 :] = gold_pairs
+        for at in range(0, len(after), SLICE):
+            own, last = after[at : at + SLICE], before[at : at + SLICE]
+            f, on = ahead[last], e[own] * behind[own]
+            both = np.exp(pairs)[:, :, None] * np.array([[np.ones_like(f), on], [f, f * on]])
+            up[HASHED + 1 :] -= (both / both.sum((0, 1))).sum(2).ravel()
         all_weights = np.concatenate([weights, pairs.ravel()])
         up -= DECAY * n * all_weights
         state[0] = 0.9 * state[0] + 0.1 * up
@@ -376,19 +395,18 @@ def scored(
                 return [pa.array([0.0] * len(texts)), pa.array([[]] * len(texts), _SPAN)]
             scores: list[float] = []
             spans: list[list[dict]] = []
-            for at in range(0, len(texts), 2048):
-                own = texts.slice(at, 2048).to_pylist()
-                tokens, found = tag(own)
-                for words, p, t in zip(tokens, found, own, strict=True):
-                    z = field.slope * evidence(p) + field.shift
-                    scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-                    spans.append(offsets(t, words, p))
+            own = texts.to_pylist()
+            tokens, found = tag(own)
+            for words, p, t in zip(tokens, found, own, strict=True):
+                z = field.slope * evidence(p) + field.shift
+                scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+                spans.append(offsets(t, words, p))
             return [pa.array(scores, pa.float64()), pa.array(spans, _SPAN)]
 
         return run
 
     fields = "score double, spans array<struct<start: int, stop: int, p: double>>"
-    return over_texts(docs, text, keep, fields, prepare)
+    return over_texts(docs, text, keep, fields, prepare, AT_ONCE)
 
 
 def offsets(text: str | None, words: list[bytes], p: np.ndarray) -> list[dict]:

@@ -118,6 +118,32 @@ def test_toxic_documents_not_learnt_from(labelled):
     assert by_id[400] < 0.5 and by_id[401] < 0.5 and by_id[402] < 0.5
 
 
+def test_many_rare_toxic_words_are_learnt(spark):
+    """250 toxic words, each in six of 1,500 toxic documents."""
+    r = random.Random(9)
+    bad = ["".join(r.choice("qxzvj") + r.choice("aeiou") for _ in range(4)) for _ in range(250)]
+    rows = []
+    for i in range(7500):
+        words = ["w%d" % r.randrange(400) for _ in range(12)]
+        if i < 1500:
+            words.insert(r.randrange(12), bad[i % 250])
+        rows.append((" ".join(words), i < 1500))
+    texts = spark.createDataFrame(rows, "text string, toxic boolean")
+    field = toxicity.fit(texts)
+    asked = [(k, " ".join(["w%d" % r.randrange(400) for _ in range(10)] + ([bad[k]] if k < 250 else []))) for k in range(500)]
+    found = toxicity.scored(spark.createDataFrame(asked, "doc_id long, text string"), field, keep=("doc_id",)).collect()
+    right = [(row.score >= 0.5) == (row.row.doc_id < 250) for row in found]
+    assert np.mean(right) > 0.95
+
+
+def test_toxic_documents_without_a_clue_teach_nothing():
+    assert toxicity.tags([b"plain", b"words"], True, {b"wbad": 3.0}) is None
+    assert toxicity.tags([b"plain", b"bad"], True, {b"wbad": 3.0}).tolist() == [0.0, 1.0]
+    assert toxicity.tags([b"plain", b"bad"], False, {b"wbad": 3.0}).tolist() == [0.0, 0.0]
+    start = toxicity.Field(np.zeros(toxicity.HASHED + 1), np.zeros((2, 2)))
+    assert toxicity.climb(start, ["plain words"], [True], {b"wbad": 3.0}) is start
+
+
 def test_toxicity_without_toxic_labels(frame, labelled):
     docs, labels, _ = labelled
     for some in (labels.filter("toxic = 0"), labels.filter("doc_id < 0"), labels.filter("toxic = 1")):

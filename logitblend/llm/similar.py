@@ -3,20 +3,20 @@
 1. A text becomes the set of XXH64 hashes of its 5-word shingles.  Rows whose sets have the same 128-bit hash are one
    *class* before anything is compared, so exact copies are one entry, whatever their number.
 2. A class has a SimHash of 1,024 bits.  At a similarity of 0.8 two of them differ in 155 bits on average, with a standard
-   deviation of 11.5, at 0.6 in 236; those within ``RADIUS`` bits are candidates.  No choice of agreeing blocks of bits is selective at such a
-   distance, so *shards* are named by min-hashes: ``BANDS`` bands of ``BAND`` min-hashes each.  Two sets at 0.8 share
-   none of them in 0.04 % of cases; sets at 0.5 share one in 47 % and are then told apart by the SimHash.
-3. Dense groups first: a shard's members are searched for in the BK-tree of its *leaders*, those that no earlier leader is
-   near to.  Each class proposes one link, to the nearest leader that any of its shards has.  Confirmed links join
-   groups; then the groups' first members do the same among themselves.
-4. Then the rest, exactly: the members of a shard that aren't in its largest group are a BK-tree, and all members are
-   searched for in it.  Those within the radius that aren't in one group yet are candidates, all of them.
-5. A candidate is confirmed by the similarity of the whole sets, an intersection of arrays in Spark.  Components are those of
-   all confirmed pairs.
-
-Shards of more than ``SHARD_ROWS`` members, as estimated from one class in ``SAMPLE``, are cut into parts: in step 3 each
-part has leaders of its own, which meet in the next round; in step 4 the members outside the largest
-group are cut, and all members stream past each part.  The estimate only sizes the parts.
+   deviation of 11.5, at 0.6 in 236; those within ``RADIUS`` bits are candidates.  No choice of agreeing blocks of bits
+   is selective at such a distance, so *shards* are named by min-hashes: ``BANDS`` bands of ``BAND`` min-hashes each.  Two sets
+   at 0.8 share none of them in 0.04 % of cases; sets at 0.5 share one in 47 % and are then told apart by the SimHash.
+3. Each shard is a BK-tree, in which a member searches for candidates as it is inserted; what is linked already isn't searched
+   again, so what leaves a shard is a forest, not its pairs.  All classes that are linked are a *cluster*.
+4. The sets of a cluster come together once, and similarities are computed from them.  First all members are compared with
+   the one in their middle, which joins a dense group; then those outside the largest group with
+   all they are a candidate with, unless these are in their group by then.  Again only a forest leaves the task, and no pair
+   of different groups that are near copies loses its link.
+5. Components are those of all confirmed links.
+
+Shards of more than ``SHARD_ROWS`` members aren't searched: they are part of one cluster as a whole.  Clusters
+beyond ``CLUSTER_BYTES`` are cut: each part joins its groups, then the groups' first members do so among themselves, and then the
+members outside the largest group, cut into parts, are compared with all members, which stream past.
 
 Edge cases: null or empty texts are copies of each other; a text of fewer words than a shingle is
 one shingle; a row without a key is linked by its text; no rows give no rows.
@@ -24,7 +24,6 @@ one shingle; a row without a key is linked by its text; no rows give no rows.
 
 from __future__ import annotations
 
-import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logitblend.llm.common import fresh, over_texts, written
-from logitblend.llm.simhash import _BITS, components
+from logitblend.llm.simhash import _BITS, Tree, components
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -42,10 +41,10 @@ SEEDS = 16  # of 64 bits each
 RADIUS = 200
 BANDS = 20
 BAND = 5
-LEADERS = 1024
-SHARD_ROWS = 32_768
-SAMPLE = 16
-ROUNDS = 2
+SHARD_ROWS = 16_384
+CLUSTER_BYTES = 16 << 20
+STARS = 8
+TESTED = 64  # candidates at a time
 SLICE = 500
 
 _OFFSETS = np.arange(1, SEEDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -98,38 +97,6 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return mixed.view(np.int64)
 
 
-class Tree:
-    """BK-tree: a node's children are keyed by their Hamming distance to it, and a search follows
-    only edges within the radius of its own distance."""
-
-    def __init__(self, radius: int):
-        self.radius = radius
-        self.prints: list[int] = []
-        self.children: list[dict[int, int]] = []
-
-    def add(self, fp: int) -> None:
-        new, node = len(self.prints), 0
-        self.prints.append(fp)
-        self.children.append({})
-        while new:
-            d = (self.prints[node] ^ fp).bit_count()
-            down = self.children[node].setdefault(d, new)
-            if down == new:
-                return
-            node = down
-
-    def search(self, fp: int) -> list[tuple[int, int]]:
-        """(distance, number) of all members within the radius."""
-        found, stack, radius = [], [0] if self.prints else [], self.radius
-        while stack:
-            node = stack.pop()
-            d = (self.prints[node] ^ fp).bit_count()
-            if d <= radius:
-                found.append((d, node))
-            stack.extend(c for e, c in self.children[node].items() if d - radius <= e <= d + radius)
-        return found
-
-
 def _number(fp: bytes) -> int:
     return int.from_bytes(fp, "little")
 
@@ -158,12 +125,11 @@ def _prints(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int) ->
 def _sets(docs: DataFrame, text: str, keep: tuple[str, ...], shingle: int) -> DataFrame:
     def prepare():
         def compute(texts: pa.Array) -> list[pa.Array]:
-            sets = [shingles(t.as_py(), shingle).view(np.int64) for t in texts]
-            return [pa.array(sets, pa.list_(pa.int64()))]
+            return [pa.array([shingles(t.as_py(), shingle).tobytes() for t in texts], pa.binary())]
 
         return compute
 
-    return over_texts(docs, text, keep, "hashes array<bigint>", prepare, SLICE)
+    return over_texts(docs, text, keep, "hashes binary", prepare, SLICE)
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
@@ -206,196 +172,259 @@ class _Out:
         return pa.RecordBatch.from_arrays(made, names=list(self.names))
 
 
-def nearest_leaders(nodes: list[int], prints: list[int], radius: int = RADIUS) -> list[tuple[int, int, int]]:
-    """(member, leader, distance) of the members that a leader before them is near to."""
-    tree, leaders, out = Tree(radius), [], []
-    for node, fp in zip(nodes, prints, strict=True):
-        near = tree.search(fp)
-        if near:
-            d, k = min(near)
-            out.append((node, leaders[k], d))
-        elif len(leaders) < LEADERS:
-            tree.add(fp)
-            leaders.append(node)
-    return out
-
-
-def across(
-    nodes: list[int], prints: list[int], groups: list[int], radius: int = RADIUS
-) -> list[tuple[int, int]]:
-    """Pairs within the radius whose members aren't in one group."""
-    size: dict[int, int] = {}
-    for g in groups:
-        size[g] = size.get(g, 0) + 1
-    if len(size) == 1:
-        return []
-    largest = max(size, key=lambda g: (size[g], -g))
+def forest(nodes: list[int], prints: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links (node, first of its group) of all that chains of candidates connect, by a BK-tree."""
+    if len(nodes) == 2:
+        near = (prints[0] ^ prints[1]).bit_count() <= radius
+        return [(max(nodes), min(nodes))] if near else []
     tree = Tree(radius)
-    held = [k for k, g in enumerate(groups) if g != largest]
-    for k in held:
-        tree.add(prints[k])
-    out = []
-    for i, fp in enumerate(prints):
-        for _, k in tree.search(fp):
-            j = held[k]
-            # A pair of two that are both in the tree is found from both sides.
-            if groups[i] != groups[j] and (groups[i] == largest or i < j):
-                out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
-    return out
-
-
-def _members(classes: DataFrame, *more: str) -> DataFrame:
-    return classes.select("node", *more, "sketch", F.posexplode("bands").alias("band", "bits"))
-
-
-def _hot(classes: DataFrame, shard_rows: int) -> DataFrame:
-    """Shards with more members than ``shard_rows``, by a sample, and the parts to cut them into."""
-    sampled = _members(classes.filter(F.pmod(F.xxhash64("node"), F.lit(SAMPLE)) == 0))
-    return written(
-        sampled.groupBy("band", "bits")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(
-            F.col("band").alias("hot_band"),
-            F.col("bits").alias("hot_bits"),
-            F.ceil(F.col("n") * SAMPLE / shard_rows).cast("int").alias("parts"),
-        )
-        .filter("parts > 1"),
-        "hot",
-    )
-
+    for fp in prints:
+        tree.insert(fp)
+    least: dict[int, int] = {}
+    roots = [tree.root(i) for i in range(len(prints))]
+    for node, r in zip(nodes, roots, strict=True):
+        least[r] = min(node, least.get(r, node))
+    return [(node, least[r]) for node, r in zip(nodes, roots, strict=True) if node != least[r]]
+
+
+def _apart(prints: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Bits in which each row differs from one."""
+    return np.bitwise_count(prints ^ one).sum(axis=1, dtype=np.int64)
+
+
+def are_similar(one: np.ndarray, sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which of the sets (sorted) are as similar to one of them as asked."""
+    sizes = np.array([len(s) for s in sets])
+    if not len(one):
+        return sizes == 0
+    every = np.concatenate(sets)
+    place = np.minimum(np.searchsorted(one, every), len(one) - 1)
+    inside = np.concatenate([[0], np.cumsum(one[place] == every)])
+    ends = np.cumsum(sizes)
+    both = inside[ends] - inside[ends - sizes]
+    return both >= similarity * (len(one) + sizes - both) - 1e-9
+
+
+class Groups:
+    """Members of a cluster, joined by links that were confirmed."""
+
+    def __init__(self, nodes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], similarity: float):
+        self.nodes, self.prints, self.sets, self.similarity = nodes, prints, sets, similarity
+        self.parent = list(range(len(nodes)))
+        self.links: list[tuple[int, int]] = []
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    def join(self, i: int, others: np.ndarray) -> list[int]:
+        """Link a member with those of the others that are similar; which these are."""
+        found = []
+        for at in range(0, len(others), TESTED):
+            part = [j for j in others[at : at + TESTED].tolist() if self.root(j) != self.root(i)]
+            if not part:
+                continue
+            good = are_similar(self.sets[i], [self.sets[j] for j in part], self.similarity)
+            for j, same in zip(part, good.tolist(), strict=True):
+                if same:
+                    found.append(j)
+                    if self.root(j) != self.root(i):
+                        self.parent[self.root(j)] = self.root(i)
+                        self.links.append((int(self.nodes[i]), int(self.nodes[j])))
+        return found
 
-def _same_shard() -> Column:
-    return (F.col("band") == F.col("hot_band")) & (F.col("bits") == F.col("hot_bits"))
+    def stars(self) -> None:
+        """Join members with the one nearest to the middle of all, again for those left over."""
+        left = np.arange(len(self.nodes))
+        for _ in range(STARS):
+            if len(left) < 3:
+                return
+            bits = np.unpackbits(self.prints[left].view(np.uint8), axis=1)
+            middle = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(left)).view(np.uint64)
+            centre = int(left[_apart(self.prints[left], middle).argmin()])
+            near = left[(_apart(self.prints[left], self.prints[centre]) <= RADIUS) & (left != centre)]
+            joined = self.join(centre, near)
+            if not joined:
+                return
+            left = np.setdiff1d(left, [centre, *joined])
+
+    def rest(self) -> None:
+        """Compare what isn't in the largest group with all candidates."""
+        roots = np.array([self.root(i) for i in range(len(self.nodes))])
+        kinds, sizes = np.unique(roots, return_counts=True)
+        if len(kinds) < 2:
+            return
+        outside = roots != kinds[sizes.argmax()]
+        for i in np.flatnonzero(outside).tolist():
+            far = _apart(self.prints, self.prints[i])
+            near = far <= RADIUS
+            near[: i + 1] &= ~outside[: i + 1]  # those were compared with this one
+            others = np.flatnonzero(near)
+            self.join(i, others[np.argsort(far[others], kind="stable")])
+
+
+def cluster_links(
+    nodes: np.ndarray, prints: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY
+) -> list[tuple[int, int]]:
+    """Links that connect all members whose sets are similar, if they are candidates."""
+    groups = Groups(nodes, prints, sets, similarity)
+    groups.stars()
+    groups.rest()
+    return groups.links
 
 
-def _part(column: str = "parts") -> Column:
-    return F.pmod(F.xxhash64("node"), F.coalesce(F.col(column), F.lit(1))).cast("int")
+def _shards(classes: DataFrame, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """``node, band, bits`` of members of shards that have several, and the same with the shard's ``first``
+    node of those that have too many to be searched."""
+    members = classes.select("node", F.posexplode("bands").alias("band", "bits"))
+    counted = members.groupBy("band", "bits").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first"))
+    crowded = written(members.join(counted.filter("n > 1"), ["band", "bits"]), "crowded")
+    return crowded.filter(F.col("n") <= shard_rows), crowded.filter(F.col("n") > shard_rows)
 
 
-def _stars(classes: DataFrame, hot: DataFrame) -> DataFrame:
-    """For every class that a leader is near to, the nearest one: pairs ``a, b``."""
-    placed = _members(classes).join(hot, _same_shard(), "left").withColumn("part", _part())
+def _candidate_links(classes: DataFrame, shard_rows: int) -> DataFrame:
+    """Links ``a, b`` that connect all candidates."""
+    plain, hot = _shards(classes, shard_rows)
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = _Out("b", "a", "far")
-        for run in _runs(batches, ("band", "bits", "part")):
-            out.rows += nearest_leaders(run["node"].tolist(), list(map(_number, run["sketch"])))
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = _Out("a", "b")
+        for run in _runs(batches, ("band", "bits")):
+            out.rows += forest(run["node"].tolist(), list(map(_number, run["sketch"])))
             if len(out.rows) > 20_000:
                 yield out.batch()
         yield out.batch()
 
-    return (
-        placed.select("band", "bits", "part", "node", "sketch")
-        .repartition("band", "bits", "part")
-        .sortWithinPartitions("band", "bits", "part", "node")
-        .mapInArrow(propose, "b long, a long, far long")
-        .groupBy("b")
-        .agg(F.min(F.struct("far", "a")).alias("best"))
-        .select(F.col("best.a").alias("a"), "b")
+    found = (
+        plain.join(classes.select("node", "sketch"), "node")
+        .select("band", "bits", "node", "sketch")
+        .repartition("band", "bits")
+        .sortWithinPartitions("band", "bits", "node")
+        .mapInArrow(search, "a long, b long")
     )
+    whole = hot.select(F.col("node").alias("a"), F.col("first").alias("b")).filter("a != b")
+    return found.unionAll(whole).distinct()
 
 
-def _rest(classes: DataFrame, hot: DataFrame, shard_rows: int) -> DataFrame:
-    """All pairs ``a, b`` within the radius whose classes aren't in one ``component`` yet."""
-    members = _members(classes, "component")
+def _confirmed(sets: DataFrame, cells: list[str], similarity: float) -> DataFrame:
+    """Links ``a, b`` within each cell of rows ``node, sketch, hashes``."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Out("a", "b")
-        for run in _runs(batches, ("band", "bits")):
-            if (run["component"] != run["component"][0]).any():
-                prints = list(map(_number, run["sketch"]))
-                out.rows += across(run["node"].tolist(), prints, run["component"].tolist())
+        for run in _runs(batches, tuple(cells)):
+            # A repeated row of the documents is one member.
+            nodes, first = np.unique(run["node"], return_index=True)
+            prints = np.frombuffer(b"".join(run["sketch"][first]), np.uint64).reshape(len(nodes), -1)
+            own = [np.frombuffer(h, np.uint64) for h in run["hashes"][first]]
+            out.rows += cluster_links(nodes, prints, own, similarity)
             if len(out.rows) > 20_000:
                 yield out.batch()
         yield out.batch()
 
-    plain = members.join(hot, _same_shard(), "left_anti")
-    found = (
-        plain.select("band", "bits", "node", "component", "sketch")
-        .repartition("band", "bits")
-        .sortWithinPartitions("band", "bits", "node")
-        .mapInArrow(compare, "a long, b long")
+    return written(
+        sets.select(*cells, "node", "sketch", "hashes")
+        .repartition(*cells)
+        .sortWithinPartitions(*cells, "node")
+        .mapInArrow(compare, "a long, b long"),
+        "links",
     )
-    if not hot.isEmpty():
-        found = found.unionAll(_rest_of_hot(members.join(hot, _same_shard()), shard_rows))
-    return found.distinct()
 
 
-def _rest_of_hot(members: DataFrame, shard_rows: int) -> DataFrame:
-    shard = ["band", "bits"]
-    groups = members.groupBy(*shard, "component").agg(F.count(F.lit(1)).alias("n"))
-    largest = groups.groupBy(*shard).agg(
-        F.max_by("component", F.struct("n", "component")).alias("largest"),
-        F.ceil((F.sum("n") - F.max("n")) / shard_rows).cast("int").alias("cells"),
+def _in_parts(rows: DataFrame, by: str, cluster_bytes: int, name: str) -> DataFrame:
+    """Rows with the number of parts that the rows of one ``by`` must be cut into."""
+    size = F.sum(F.octet_length("hashes") + 256)
+    parts = rows.groupBy(F.col(by).alias("_by")).agg(F.ceil(size / cluster_bytes).cast("int").alias(name))
+    return rows.join(parts, F.col(by) == F.col("_by")).drop("_by")
+
+
+def _part(parts: str) -> Column:
+    return F.pmod(F.xxhash64("node"), F.col(parts)).cast("int")
+
+
+def _grouped(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows with the ``component`` of their node."""
+    found = components(links).withColumnRenamed("node", "member")
+    joined = rows.join(found, F.col("node") == F.col("member"), "left")
+    return joined.select(*rows.columns, F.coalesce("component", "node").alias("component"))
+
+
+def _links(sets: DataFrame, similarity: float, cluster_bytes: int) -> DataFrame:
+    """All confirmed links of the clusters."""
+    sized = written(_in_parts(sets, "cluster", cluster_bytes, "parts"), "sized")
+    links = _confirmed(sized.filter("parts = 1"), ["cluster"], similarity)
+    large = sized.filter("parts > 1")
+    if large.isEmpty():
+        return links
+    asking, own = large, None
+    while True:
+        asking = asking.withColumn("part", _part("parts"))
+        found = _confirmed(asking, ["cluster", "part"], similarity)
+        own = found if own is None else own.unionAll(found)
+        whole = asking.filter("parts > 1").isEmpty()
+        if whole or found.isEmpty():
+            break
+        # The first members of the groups, of all parts.
+        firsts = _grouped(large, own).filter("node = component").drop("component", "parts", "part")
+        asking = written(_in_parts(firsts, "cluster", cluster_bytes, "parts"), "firsts")
+    grouped = written(_grouped(large.drop("parts"), own), "grouped")
+    return links.unionAll(own).unionAll(_outside(grouped, similarity, cluster_bytes))
+
+
+def _outside(grouped: DataFrame, similarity: float, cluster_bytes: int) -> DataFrame:
+    """Links between members outside a cluster's largest group and all others."""
+    sizes = grouped.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = sizes.groupBy(F.col("cluster").alias("_cluster")).agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest")
     )
-    inside = members.drop("parts").join(largest.filter("cells > 0"), shard)
-    outside = inside.filter("component != largest").withColumn("cell", _part("cells"))
-    passing = inside.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
-    columns = [*shard, "cell", "passes", "node", "component", "sketch"]
-    both = outside.withColumn("passes", F.lit(False)).select(*columns).unionAll(
-        passing.withColumn("passes", F.lit(True)).select(*columns)
+    marked = grouped.join(largest, F.col("cluster") == F.col("_cluster")).drop("_cluster")
+    outside = _in_parts(marked.filter("component != largest"), "cluster", cluster_bytes, "cells")
+    cells = outside.select(F.col("cluster").alias("_cluster"), "cells").distinct()
+    passing = marked.join(cells, F.col("cluster") == F.col("_cluster"))
+    columns = ["cluster", "cell", "passes", "node", "component", "sketch", "hashes"]
+    both = (
+        outside.withColumn("cell", _part("cells"))
+        .withColumn("passes", F.lit(False))
+        .select(*columns)
+        .unionAll(
+            passing.withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+            .withColumn("passes", F.lit(True))
+            .select(*columns)
+        )
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, tree, held = None, Tree(RADIUS), []
+        key, held, prints = None, [], None
         out = _Out("a", "b")
         for batch in batches:
-            for band, bits, cell, passes, node, component, fp in zip(
+            for cluster, cell, passes, node, component, sketch_, hashes in zip(
                 *(batch.column(c).to_pylist() for c in columns), strict=True
             ):
-                if (band, bits, cell) != key:
-                    key, tree, held = (band, bits, cell), Tree(RADIUS), []
+                if (cluster, cell) != key:
+                    key, held, prints = (cluster, cell), [], None
+                own = np.frombuffer(hashes, np.uint64)
                 if not passes:
-                    tree.add(_number(fp))
-                    held.append((node, component))
+                    held.append((node, component, sketch_, own))
                     continue
-                for _, k in tree.search(_number(fp)):
-                    other, group = held[k]
-                    if group != component:
-                        out.rows.append((min(node, other), max(node, other)))
+                if prints is None:
+                    prints = np.frombuffer(b"".join(h[2] for h in held), np.uint64).reshape(len(held), -1)
+                    groups = np.array([h[1] for h in held])
+                near = _apart(prints, np.frombuffer(sketch_, np.uint64)) <= RADIUS
+                for k in np.flatnonzero(near & (groups != component)).tolist():
+                    if groups[k] != component and are_similar(own, [held[k][3]], similarity)[0]:
+                        out.rows.append((node, held[k][0]))
+                        # The whole group is linked with this one's by now.
+                        groups[groups == groups[k]] = component
             if len(out.rows) > 20_000:
                 yield out.batch()
         yield out.batch()
 
-    cells = [*shard, "cell"]
-    return (
-        both.repartition(*cells)
-        .sortWithinPartitions(*cells, "passes", "node")
-        .mapInArrow(compare, "a long, b long")
-    )
-
-
-def _confirmed(
-    pairs: DataFrame, classes: DataFrame, marked: DataFrame, text: str, names: tuple[str, str],
-    similarity: float, shingle: int,
-) -> DataFrame:
-    """The pairs ``a, b`` whose shingle sets are as similar as asked."""
-    key, version = names
-    pairs = written(pairs, "candidates")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = written(
-        classes.join(named, "node", "left_semi").select(
-            "node", F.col("lead.id").alias("wanted_id"), F.col("lead.tie").alias("wanted")
-        ),
-        "wanted",
-    )
-    # A class has the text of its first row.
-    same = (F.col(version) == F.col("wanted")) & F.col(f"`{key}`").eqNullSafe(F.col("wanted_id"))
-    texts = marked.join(wanted, same).select("node", text).dropDuplicates(["node"])
-    sets = written(_sets(texts, text, ("node",), shingle).select("row.node", "hashes"), "sets")
-
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), F.col("hashes").alias(f"set_{name}"))
-
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    union = F.size("set_a") + F.size("set_b") - F.col("both")
     return written(
-        pairs.join(side("a"), "a")
-        .join(side("b"), "b")
-        .withColumn("both", both)
-        .filter(F.col("both") >= F.lit(similarity) * union - 1e-9)
-        .select("a", "b"),
-        "confirmed",
+        both.repartition("cluster", "cell")
+        .sortWithinPartitions("cluster", "cell", "passes", "node")
+        .mapInArrow(compare, "a long, b long"),
+        "outside",
     )
 
 
@@ -406,6 +435,7 @@ def deduplicated(
     similarity: float = SIMILARITY,
     shingle: int = SHINGLE,
     shard_rows: int = SHARD_ROWS,
+    cluster_bytes: int = CLUSTER_BYTES,
 ) -> DataFrame:
     """One document of each component, as it is: that with the smallest key."""
     id_, version, tie, number = fresh(docs, "chosen_id", "version", "tie", "number")
@@ -428,40 +458,38 @@ def deduplicated(
         "classes",
     )
 
-    def grouped(edges: DataFrame | None) -> DataFrame:
-        if edges is None:
-            return classes.withColumn("component", F.col("node"))
-        found = components(edges).withColumnRenamed("node", "member")
-        return classes.join(found, F.col("node") == F.col("member"), "left").select(
-            *classes.columns, F.coalesce("component", "node").alias("component")
-        )
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return _confirmed(pairs, classes, marked, text, (key, version), similarity, shingle)
-
-    edges, groups = None, grouped(None)
-    for done in itertools.count():
-        firsts = groups.filter("node = component")
-        hot = _hot(firsts, shard_rows)
-        # Leaders of different parts of a shard haven't met yet.
-        if done >= ROUNDS and hot.isEmpty():
-            break
-        found = confirmed(_stars(firsts, hot))
-        if found.isEmpty():
-            break
-        edges = found if edges is None else edges.unionAll(found)
-        groups = grouped(edges)
-    rest = confirmed(_rest(groups, _hot(classes, shard_rows), shard_rows))
-    edges = rest if edges is None else edges.unionAll(rest)
-    leads = grouped(edges).groupBy("component").agg(F.min("lead").alias("lead"))
-    chosen = leads.select(F.col("lead.id").alias(id_), F.col("lead.tie").alias(tie))
-    staying = marked.join(
-        chosen, (F.col(version) == F.col(tie)) & F.col(f"`{key}`").eqNullSafe(F.col(id_)), "left_semi"
+    clusters = components(_candidate_links(classes, shard_rows))
+    clusters = clusters.select("node", F.col("component").alias("cluster")).unionAll(
+        clusters.select(F.col("component").alias("node"), F.col("component").alias("cluster")).distinct()
     )
+    wanted = written(
+        classes.join(clusters, "node").select(
+            "node", "cluster", "sketch", F.col("lead.id").alias(id_), F.col("lead.tie").alias(tie)
+        ),
+        "wanted",
+    )
+    # A class has the text of its first row.
+    same_row = (F.col(version) == F.col(tie)) & F.col(f"`{key}`").eqNullSafe(F.col(id_))
+    texts = marked.join(wanted, same_row).select("node", "cluster", "sketch", F.col(f"`{text}`").alias("content"))
+    sets = written(
+        _sets(texts, "content", ("node", "cluster", "sketch"), shingle).select("row.*", "hashes"), "sets"
+    )
+    links = _links(sets, similarity, cluster_bytes)
+    leads = _grouped(classes, links).groupBy("component").agg(F.min("lead").alias("lead"))
+    chosen = leads.select(F.col("lead.id").alias(id_), F.col("lead.tie").alias(tie))
+    staying = marked.join(chosen, same_row, "left_semi")
+    plain = [F.col(f"`{c}`") for c in docs.columns]
     # Of rows that agree in key and text, one.
-    same = Window.partitionBy(version, f"`{key}`").orderBy(F.lit(1))
-    return (
-        staying.withColumn(number, F.row_number().over(same))
-        .filter(F.col(number) == 1)
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+    repeated = written(
+        marked.groupBy(F.col(f"`{key}`").alias(id_), F.col(version).alias(tie))
+        .agg(F.count(F.lit(1)).alias(number))
+        .filter(F.col(number) > 1)
+        .drop(number),
+        "repeated",
     )
+    if repeated.isEmpty():
+        return staying.select(*plain)
+    same = Window.partitionBy(version, f"`{key}`").orderBy(F.lit(1))
+    first = staying.join(repeated, same_row, "left_semi").withColumn(number, F.row_number().over(same))
+    alone = staying.join(repeated, same_row, "left_anti")
+    return alone.select(*plain).unionAll(first.filter(F.col(number) == 1).select(*plain))

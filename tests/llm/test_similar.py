@@ -55,12 +55,12 @@ def test_stage_links_all_near_copies(frame):
     assert Counter(r.doc_id for r in kept.collect()) == Counter(set(groups))
 
 
-@pytest.mark.parametrize("shard_rows", [similar.SHARD_ROWS, 8])
-def test_dense_group_of_near_copies(frame, shard_rows):
+@pytest.mark.parametrize("shard_rows, cluster_bytes", [(similar.SHARD_ROWS, similar.CLUSTER_BYTES), (8, 30_000)])
+def test_dense_group_of_near_copies(frame, shard_rows, cluster_bytes):
     base = brute.prose(1, 150, 5000)
     texts = [brute.mutated(base, k, 1 + k % 2) for k in range(150)] + families(3)
     docs = frame([(i, t, "s") for i, t in enumerate(texts)])
-    kept = similar.deduplicated(docs, shard_rows=shard_rows)
+    kept = similar.deduplicated(docs, shard_rows=shard_rows, cluster_bytes=cluster_bytes)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(components(texts)))
 
 
@@ -77,61 +77,86 @@ def test_pairs_at_the_threshold_share_a_shard():
     assert found >= 497
 
 
-def test_tree_finds_all_within_the_radius():
+def test_shards_connect_all_candidates():
     r = random.Random(5)
     centres = [r.getrandbits(1024) for _ in range(12)]
-    prints = [c ^ sum(1 << r.randrange(1024) for _ in range(r.randrange(120))) for c in centres for _ in range(12)]
+    prints = [c ^ sum(1 << b for b in r.sample(range(1024), r.randrange(120))) for c in centres for _ in range(12)]
     prints += prints[:5]
-    tree = similar.Tree(60)
-    for fp in prints:
-        tree.add(fp)
-    for fp in [*prints[::7], r.getrandbits(1024)]:
-        want = sorted(((fp ^ p).bit_count(), k) for k, p in enumerate(prints) if (fp ^ p).bit_count() <= 60)
-        assert sorted(tree.search(fp)) == want
-    assert similar.Tree(3).search(1) == []
-
-
-def test_leaders_and_the_rest():
-    r = random.Random(6)
-    centres = [r.getrandbits(1024) for _ in range(6)]
-    prints = [c ^ sum(1 << b for b in r.sample(range(1024), 30)) for c in centres for _ in range(9)]
     nodes = list(range(100, 100 + len(prints)))
-    links = similar.nearest_leaders(nodes, prints, 112)
-    assert len(links) == len(prints) - len(centres)
-    assert all((prints[a - 100] ^ prints[b - 100]).bit_count() == d <= 112 and (a - 100) // 9 == (b - 100) // 9 for a, b, d in links)
-    groups = [r.randrange(4) for _ in prints]
-    want = {
-        (nodes[i], nodes[j])
-        for i in range(len(prints))
-        for j in range(i + 1, len(prints))
-        if groups[i] != groups[j] and (prints[i] ^ prints[j]).bit_count() <= 112
-    }
-    got = similar.across(nodes, prints, groups, 112)
-    assert set(got) == want and len(got) == len(want)
-    assert similar.across(nodes, prints, [1] * len(prints)) == []
+    for some in (prints, prints[:2], prints[11:13]):
+        groups = {n: n for n in nodes[: len(some)]}
+        for n, first in similar.forest(nodes[: len(some)], some, 150):
+            groups[n] = first
+        parent = list(range(len(some)))
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for i in range(len(some)):
+            for j in range(i):
+                if (some[i] ^ some[j]).bit_count() <= 150:
+                    a, b = sorted((root(i), root(j)))
+                    parent[b] = a
+        assert [groups[n] - 100 for n in nodes[: len(some)]] == [root(i) for i in range(len(some))]
+
+
+def test_links_of_a_cluster_connect_all_that_are_similar():
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = []
+    for k in range(120):
+        own = base.copy()
+        at = r.choice(300, r.integers(0, 60), replace=False)
+        own[at] = r.integers(0, 2**63, len(at), dtype=np.uint64)
+        sets.append(np.unique(own))
+    sets += [sets[3], np.unique(base[:40])]
+    nodes = np.arange(50, 50 + len(sets))
+    prints = np.frombuffer(b"".join(map(similar.sketch, sets)), np.uint64).reshape(len(sets), -1)
+
+    def groups(links):
+        parent = {int(n): int(n) for n in nodes}
+
+        def root(n):
+            while parent[n] != n:
+                n = parent[n]
+            return n
+
+        for a, b in links:
+            a, b = sorted((root(a), root(b)))
+            parent[b] = a
+        return [root(int(n)) for n in nodes]
+
+    plain = [(int(nodes[i]), int(nodes[j])) for i in range(len(sets)) for j in range(i) if jaccard(set(sets[i].tolist()), set(sets[j].tolist())) >= 0.8]
+    links = similar.cluster_links(nodes, prints, sets)
+    assert groups(links) == groups(plain)
+    assert len(links) == len(sets) - len(set(groups(plain)))
 
 
 def test_candidates_of_one_template_grow_in_proportion(frame, monkeypatch):
-    """Texts of one template that are no copies by the rule are hardly ever compared."""
+    """Texts of one template that are no copies by the rule are hardly ever compared, and what leaves a
+    task grows with its members, not with their pairs."""
     counts, plain = [], similar._confirmed
 
-    def counting(pairs, *rest):
-        counts[-1] += pairs.count()
-        return plain(pairs, *rest)
+    def counting(sets, *rest):
+        found = plain(sets, *rest)
+        counts[-1] += [sets.count(), found.count()]
+        return found
 
     monkeypatch.setattr(similar, "_confirmed", counting)
     base = brute.prose(1, 150, 5000)
     for n in (200, 400):
-        counts.append(0)
+        counts.append([])
         texts = [brute.mutated(base, 50 + k, 5) for k in range(n)]
         kept = similar.deduplicated(frame([(i, t, "s") for i, t in enumerate(texts)]))
         assert sorted(r.doc_id for r in kept.collect()) == sorted(set(components(texts)))
     # Of 19,900 pairs, and of 79,800.
-    assert counts[0] <= 200 and counts[1] <= 400
+    assert counts[0][0] <= 100 and counts[1][0] <= 200 and all(links <= rows for rows, links in counts)
 
 
-@pytest.mark.parametrize("shard_rows", [similar.SHARD_ROWS, 4])
-def test_chains_and_related_groups(frame, shard_rows):
+@pytest.mark.parametrize("shard_rows, cluster_bytes", [(similar.SHARD_ROWS, similar.CLUSTER_BYTES), (4, 12_000)])
+def test_chains_and_related_groups(frame, shard_rows, cluster_bytes):
     """Groups whose members are near, one after the other, while their ends aren't."""
     texts = []
     for f in range(3):
@@ -140,7 +165,7 @@ def test_chains_and_related_groups(frame, shard_rows):
             own = [*own[2:], f"n{f}x{k}", f"n{f}y{k}"]
             texts.append(" ".join(own))
     texts += [brute.mutated(t, k, 1) for k, t in enumerate(texts)]
-    kept = similar.deduplicated(frame([(i, t, "s") for i, t in enumerate(texts)]), shard_rows=shard_rows)
+    kept = similar.deduplicated(frame([(i, t, "s") for i, t in enumerate(texts)]), shard_rows=shard_rows, cluster_bytes=cluster_bytes)
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(components(texts)))
 
 

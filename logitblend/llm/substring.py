@@ -3,12 +3,14 @@
 ``windows`` brings together the segments of text that may share windows of
 ``WINDOW`` words.  Over each block of them, this module builds an FM-index: the
 Burrows-Wheeler transform of the words in a wavelet matrix (one bit vector for each
-bit of a word's number, packed, with counts for each 64 bits).  Every segment is then searched
-backward, all segments of a block in step: a word more to the left is two rank queries in
-the wavelet matrix.  Once ``WINDOW`` words match, the match is cut back to that length after each
-step, so the statistics never fall below it; the interval of the suffix array
-then holds all occurrences of the window, and its smallest doc tells whether an earlier one
-exists.
+bit of a word's number, packed, with counts for each 64 bits), a bit vector that marks where suffixes no longer
+share a window, and the smallest doc of each such interval.  The suffix array that it is built from isn't kept.
+
+Segments then stream past the index from their ends, all of a block in step: a word more to the left is two rank queries in
+the wavelet matrix, and gives the statistic of the next place: how many words match from there, up to a window, and where.
+Beyond a window the match is cut back to it by the marks.  Where the statistic is a window, its
+interval holds all occurrences, and its smallest doc tells whether an earlier one exists: for the segment itself,
+and for its copies in later documents.
 
 Edge cases: a missing text has no words; a row without a key keeps all words, and no
 row is earlier or later than it; of rows with one key none is earlier; texts shorter than a
@@ -81,73 +83,77 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Backward search over texts of numbers."""
-
-    def __init__(self, whole: np.ndarray, depth: int):
-        self.order, self.ranks = suffix_array(whole, depth)
-        alphabet = int(whole.max()) + 1
-        self.smaller = np.cumsum(np.bincount(whole, minlength=alphabet + 1)) - np.bincount(
-            whole, minlength=alphabet + 1
-        )
-        self.transform = WaveletMatrix(whole[self.order - 1], alphabet)
+    """Backward search over texts of numbers, with the smallest doc of every window."""
+
+    def __init__(self, whole: np.ndarray, docs: np.ndarray, depth: int, window: int):
+        """``docs`` has the doc of each place of ``whole``."""
+        order, ranks = suffix_array(whole, depth)
+        counts = np.bincount(whole)
+        self.size = len(whole)
+        self.smaller = np.cumsum(counts) - counts
+        self.transform = WaveletMatrix(whole[order - 1], len(counts))
+        apart = common_prefixes(order, ranks) < window
+        self.marks = BitVector(apart.astype(np.uint8))
+        self.edges = np.r_[np.flatnonzero(apart), len(whole)].astype(np.int32)
+        self.least = np.minimum.reduceat(docs[order], self.edges[:-1])
 
     def extend(self, low: np.ndarray, high: np.ndarray, symbol: np.ndarray):
-        """Intervals of the suffix array after one symbol more to the left."""
+        """Intervals of suffixes after one symbol more to the left."""
         base = self.smaller[symbol]
         ends = np.concatenate([low, high])
         ranks = self.transform.rank(ends, np.concatenate([symbol, symbol]))
         return base + ranks[: len(low)], base + ranks[len(low) :]
 
-    def intervals(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Number of the interval that each suffix is in, by its first ``length``
-        symbols, and where the intervals begin (and the last one ends)."""
-        shared = common_prefixes(self.order, self.ranks)
-        new = shared < length
-        return np.cumsum(new) - 1, np.r_[np.flatnonzero(new), len(new)]
+    def cut_back(self, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The intervals of all suffixes that share a window with that at ``low``, and their smallest docs."""
+        number = self.marks.rank(low + 1) - 1
+        return self.edges[number].astype(np.int64), self.edges[number + 1].astype(np.int64), self.least[number]
+
+    def statistics(
+        self, texts: np.ndarray, ends: np.ndarray, lengths: np.ndarray, window: int
+    ) -> Iterator[tuple[int, int, np.ndarray]]:
+        """Texts that lie one after the other, longest first, read from their ends: for each place from the left end of
+        the last window on (``step`` symbols from the end), how many texts reach it, and the smallest docs of their windows there."""
+        low, high = np.zeros(len(ends), np.int64), np.full(len(ends), self.size, np.int64)
+        for step in range(1, int(lengths[0]) + 1):
+            k = int(np.searchsorted(-lengths, -step, side="right"))
+            low, high = self.extend(low[:k], high[:k], texts[ends[:k] - step])
+            if step >= window:
+                low, high, least = self.cut_back(low)
+                yield step, k, least
 
 
 def earlier_windows(
-    data: list[bytes], docs: np.ndarray, starts: np.ndarray, window: int = WINDOW
-) -> Iterator[tuple[int, int, int]]:
-    """(segment, from, to): words of windows that a smaller doc's segment has, too."""
+    data: list[bytes], docs: np.ndarray, starts: np.ndarray, copied: np.ndarray, window: int = WINDOW
+) -> Iterator[tuple[int, bool, int, int]]:
+    """(segment, for its copies or itself, from, to): words of windows that a smaller doc's segment has, too; a
+    copy's doc is larger than the segment's."""
     numbers: dict[bytes, int] = {}
     texts = [np.array([numbers.setdefault(w, len(numbers)) for w in d.split()], np.int64) for d in data]
     lengths = np.array([len(t) for t in texts])
-    if len(texts) < 2:
-        return
     whole, begins = joined(texts, len(numbers))
-    index = FMIndex(whole, int(lengths.max()) + 1)
-    number, edges = index.intervals(window)
-    doc_of = np.repeat(docs, lengths + 1)[index.order]
-    least = np.minimum.reduceat(doc_of, edges[:-1])
-
+    index = FMIndex(whole, np.repeat(docs, lengths + 1), int(lengths.max()) + 1, window)
     by_length = np.argsort(-lengths, kind="stable")
-    ends = (begins + lengths)[by_length]
     longest = lengths[by_length]
-    low, high = np.zeros(len(texts), np.int64), np.full(len(texts), len(whole), np.int64)
-    hit_segment, hit_place = [], []
-    for step in range(1, int(longest[0]) + 1):
-        k = int(np.searchsorted(-longest, -step, side="right"))
-        low, high = index.extend(low[:k], high[:k], whole[ends[:k] - step])
-        if step >= window:
-            own = number[low]
-            low, high = edges[own], edges[own + 1]
-            hit = np.flatnonzero(least[own] < docs[by_length[:k]])
-            hit_segment.append(by_length[hit])
-            hit_place.append(longest[hit] - step)
-    if not hit_segment:
-        return
-    segment, place = np.concatenate(hit_segment), np.concatenate(hit_place)
-    if not len(segment):
-        return
-    order = np.lexsort((place, segment))
-    segment, place = segment[order], place[order]
-    new = np.r_[True, (np.diff(segment) != 0) | (np.diff(place) != 1)]
-    first = np.flatnonzero(new)
-    last = np.r_[first[1:], len(segment)] - 1
-    yield from zip(
-        segment[first].tolist(), place[first].tolist(), (place[last] + window).tolist(), strict=True
-    )
+    own_doc, has_copies = docs[by_length], copied[by_length]
+    hits: tuple[list, list] = ([], [])  # for segments, and for their copies
+    for step, k, least in index.statistics(whole, (begins + lengths)[by_length], longest, window):
+        for found, hit in zip(hits, (least < own_doc[:k], has_copies[:k] & (least <= own_doc[:k])), strict=True):
+            at = np.flatnonzero(hit)
+            found.append((by_length[at], longest[at] - step))
+    for copies, found in enumerate(hits):
+        if not found:
+            continue
+        segment, place = (np.concatenate(c) for c in zip(*found, strict=True))
+        if not len(segment):
+            continue
+        order = np.lexsort((place, segment))
+        segment, place = segment[order], place[order]
+        new = np.r_[True, (np.diff(segment) != 0) | (np.diff(place) != 1)]
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(segment)] - 1
+        for k, a, b in zip(segment[first].tolist(), place[first].tolist(), (place[last] + window).tolist(), strict=True):
+            yield k, bool(copies), a, b
 
 
 def union(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -199,6 +205,6 @@ def deduplicated(
 
     return without_repeats(
         docs, key, text, keep, Words, window, gram, False,
-        lambda data, ids, starts: earlier_windows(data, ids, starts, window),
+        lambda data, ids, starts, copied: earlier_windows(data, ids, starts, copied, window),
         FIELDS, compute, block,
     )

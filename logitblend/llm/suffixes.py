@@ -119,12 +119,20 @@ def starts_of_repeats(whole: np.ndarray, begins: np.ndarray, sizes: np.ndarray,
     return at[np.repeat(differ, np.diff(np.r_[first, len(at)]))]
 
 
-def repeated_bytes(
-    data: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int = LENGTH
-) -> Iterator[tuple[int, int, int]]:
-    """(segment, from, to): bytes of maximal repeats, at all places but the first.
+@dataclass(frozen=True)
+class Group:
+    """A maximal repeat: its length, all of its occurrences (segments and places in them), and which of these
+    are later than another one.  Those that are so in a longer repeat already are marked there alone."""
+
+    length: int
+    segments: np.ndarray
+    places: np.ndarray
+    later: list[int]
 
-    The suffix array has only suffixes at which a maximal repeat may start."""
+
+def groups(data: list[bytes], keys: np.ndarray, length: int = LENGTH) -> Iterator[Group]:
+    """The maximal repeats of ``length`` bytes at least, with all their occurrences; ``keys`` order the segments'
+    beginnings.  The suffix array has only suffixes at which a maximal repeat may start."""
     whole = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
     sizes = np.array([len(d) for d in data])
     begins = np.cumsum(sizes) - sizes
@@ -145,15 +153,31 @@ def repeated_bytes(
         return
     segment, place = segment[order], place[order]
     left = np.where(place == 0, -1 - segment, whole[at[order] - 1])
-    doc_rank = np.unique(docs, return_inverse=True)[1].astype(np.int64)
-    keys = (doc_rank[segment] << 32) + starts[segment] + place
+    own_keys = keys[segment] + place
     edges = np.r_[np.flatnonzero(shared == 0), len(order)]
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        lists = (x[a:b].tolist() for x in (shared, left, keys))
+        lists = (x[a:b].tolist() for x in (shared, left, own_keys))
         for repeat in maximal_repeats(*lists, length):
-            for i in repeat.later:
-                p = int(place[a + i])
-                yield int(segment[a + i]), p, p + repeat.length
+            inside = slice(a + repeat.low, a + repeat.high + 1)
+            yield Group(repeat.length, segment[inside], place[inside], [i - repeat.low for i in repeat.later])
+
+
+def repeated_bytes(
+    data: list[bytes], docs: np.ndarray, starts: np.ndarray, copied: np.ndarray, length: int = LENGTH
+) -> Iterator[tuple[int, bool, int, int]]:
+    """(segment, for its copies or itself, from, to): bytes of maximal repeats, at all places but the first.
+
+    A segment with copies is there twice, the second time behind all others."""
+    n, again = len(data), np.flatnonzero(copied)
+    doc_rank = np.unique(docs, return_inverse=True)[1].astype(np.int64)
+    keys = (doc_rank << 32) + starts
+    behind = ((doc_rank.max(initial=0) + 1 + np.arange(len(again))) << 32) if len(again) else np.empty(0, np.int64)
+    every = [*data, *(data[k] for k in again)]
+    for group in groups(every, np.r_[keys, behind], length):
+        for k, p in zip(group.segments[group.later].tolist(), group.places[group.later].tolist(), strict=True):
+            yield (k, False, p, p + group.length) if k < n else (int(again[k - n]), True, p, p + group.length)
+
+
 
 
 def deduplicated(
@@ -186,6 +210,6 @@ def deduplicated(
 
     return without_repeats(
         docs, key, text, keep, Bytes, length, gram, True,
-        lambda data, ids, starts: repeated_bytes(data, ids, starts, length),
+        lambda data, ids, starts, copied: repeated_bytes(data, ids, starts, copied, length),
         FIELDS, compute, block,
     )

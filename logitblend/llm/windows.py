@@ -5,19 +5,20 @@ the smallest of the hashes of its grams (``gram`` symbols each), so equal window
 equal anchors wherever they occur.  Consecutive windows with one anchor form a *segment*;
 there is about one segment for every ``(length - gram) / 2`` symbols, and it travels as six numbers.
 
-Segments of equal content are settled by order alone: every one but the first
-repeats the first as a whole.  This happens inside each task, before the shuffle, and
-again after it, so a passage in a third of all documents is one row from each task.  What is left
-are different segments under one anchor.  Their symbols are cut out of the texts, dealt by anchor, and
-an index over each block of them (``substring``, ``suffixes``) finds their common windows.
-Anchors beyond ``block`` symbols are cut into parts, and every pair of parts is a
+Segments of equal content (two 64-bit hashes) are one: the first of them, by document and place, stands for
+all, and the others are its *copies*.  This happens inside each task, before the shuffle, and again after it, so a passage
+in a third of all documents is one row from each task.  The symbols of those that stand for copies, or share their anchor with others, are cut
+out of the texts and dealt by anchor.  An index over each block of them (``substring``, ``suffixes``) finds
+what occurs earlier, in them and in their copies; what it reports of a segment's copies is joined back to all of them.  Nothing is
+removed that an index hasn't found.
+
+Anchors beyond ``block`` symbols of different segments are cut into parts, and every pair of parts is a
 block of its own; nothing is capped, and no block is larger.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +33,7 @@ STRETCH = 1 << 18  # symbols hashed at a time
 CHUNK = 300_000  # segments that a task orders at a time
 REMEMBERED = 300_000  # words
 
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+FACTOR, TWIN_FACTOR = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 _DRAWN = np.random.default_rng(20_240_605).integers(1, 1 << 63, 256, dtype=np.uint64)
 BYTE_HASHES = _DRAWN * np.uint64(2) + np.uint64(1)
 
@@ -47,11 +47,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, factor: int = FACTOR) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the factor of polynomial hashes, modulo 2^64, and of its inverse."""
     with np.errstate(over="ignore"):
         return tuple(
-            np.cumprod(np.r_[np.uint64(1), np.full(n, x)], dtype=np.uint64) for x in (_FACTOR, _INVERSE)
+            np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(x))], dtype=np.uint64)
+            for x in (factor, pow(factor, -1, 1 << 64))
         )
 
 
@@ -112,9 +113,10 @@ class Segments:
         self.length, self.gram = length, gram
         self.wide = length - gram + 1  # grams of a window
         self.power, self.back = powers(STRETCH + length)
+        self.twin_power, self.twin_back = powers(STRETCH + length, TWIN_FACTOR)
 
     def of(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """anchor, content (hashes), start, windows, folded: whether the anchor occurs
+        """anchor, content and twin (hashes), start, windows, folded: whether the anchor occurs
         more than once in the segment, so that its own windows may be equal."""
         for at in range(0, len(hashes) - self.length + 1, STRETCH):
             yield self._stretch(hashes[at : at + STRETCH + self.length - 1], at)
@@ -152,106 +154,98 @@ class Segments:
                 start, windows, value_at = run, ends - run, value[run]
             stop = start + windows + self.length - 1
             content = mixed((sums[stop] - sums[start]) * self.back[start] + windows.astype(np.uint64))
-        return value_at.view(np.int64), content.view(np.int64), start + at, windows, folded
+            np.cumsum(h * self.twin_power[: len(h)], out=sums[1:])
+            twin = mixed((sums[stop] - sums[start]) * self.twin_back[start])
+        return value_at.view(np.int64), content.view(np.int64), twin.view(np.int64), start + at, windows, folded
 
 
 _SEGMENT = [
-    ("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("version", pa.int64()),
-    ("start", pa.int32()), ("windows", pa.int32()), ("folded", pa.bool_()),
+    ("anchor", pa.int64()), ("content", pa.int64()), ("twin", pa.int64()), ("doc", pa.int64()),
+    ("start", pa.int32()), ("version", pa.int64()), ("windows", pa.int32()), ("folded", pa.bool_()),
+    ("copied", pa.bool_()), ("is_copy", pa.bool_()),
 ]
-_SEGMENT_DDL = "anchor long, content long, doc long, version long, start int, windows int, folded boolean"
+_SEGMENT_DDL = (
+    "anchor long, content long, twin long, doc long, start int, version long, windows int, "
+    "folded boolean, copied boolean, is_copy boolean"
+)
+_FOLDED, _COPIED, _IS_COPY = 7, 8, 9
 
 
-def _batch(columns: list[np.ndarray], settled: np.ndarray) -> pa.RecordBatch:
-    """Rows of segments; the settled ones (repeats of an earlier segment) lose anchor
-    and content."""
-    arrays = [
-        pa.array(c, t, mask=settled if name in ("anchor", "content") else None)
-        for c, (name, t) in zip(columns, _SEGMENT, strict=True)
-    ]
+def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
+    arrays = [pa.array(c, t) for c, (_, t) in zip(columns, _SEGMENT, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=[n for n, _ in _SEGMENT])
 
 
-def _later(columns: list[np.ndarray], first: np.ndarray, doc: np.ndarray, start: np.ndarray, in_text: bool):
-    """Which rows come after the first row of their run, given its doc and start."""
-    later = columns[2] > doc
-    return later | ((columns[2] == doc) & (columns[4] > start)) if in_text else later
+def _changes(columns: list[np.ndarray]) -> np.ndarray:
+    """Where the columns differ from the row before; the first row counts as different."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return new
 
 
-def _ordered(columns: list[np.ndarray], in_text: bool) -> pa.RecordBatch:
-    """Segments of one task: equal contents together, all but the first settled."""
-    order = np.lexsort((columns[4], columns[3], columns[2], columns[1], columns[0]))
-    columns = [c[order] for c in columns]
-    new = np.r_[True, (np.diff(columns[0]) != 0) | (np.diff(columns[1]) != 0)]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    return _batch(columns, _later(columns, new, columns[2][first], columns[4][first], in_text))
-
+def _united(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted segments: which are the first of their content, and which are to be kept.  The others are marked
+    as copies and their first as copied; a repeated row of the documents is no copy."""
+    first = _changes(columns[:3])
+    kept = first | _changes(columns[:6])
+    run = np.cumsum(first) - 1
+    copied = np.bincount(run, (kept & ~first) | columns[_COPIED]) > 0
+    columns[_COPIED] = copied[run] & first
+    columns[_IS_COPY] = ~first
+    return first, kept
 
-@dataclass
-class _Open:
-    """The last anchor of the batches so far."""
 
-    anchor: int
-    content: int
-    doc: int
-    start: int
-    last: tuple
-    several: bool
-    held: list | None = None
+def _ordered(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Segments of one task, sorted, with those of equal content united."""
+    order = np.lexsort(tuple(columns[k] for k in (5, 4, 3, 2, 1, 0)))
+    columns = [c[order] for c in columns]
+    _, kept = _united(columns)
+    return _batch([c[kept] for c in columns])
 
 
 def _sifted(batches: Iterator[pa.RecordBatch], in_text: bool) -> Iterator[pa.RecordBatch]:
-    """Sorted segments of all tasks: settles repeats, drops anchors with one segment,
-    and passes on the rest.  Holds a row or two between batches."""
-    open_: _Open | None = None
+    """Sorted segments of all tasks, copies first: unites those of equal content, drops those that are alone under their
+    anchor, and passes on the rest.  Holds one row between batches: the last first of its content."""
+    held: list[np.ndarray] | None = None
+    several = False  # whether the held one's anchor has had others
+
+    def useful(columns: list[np.ndarray], others: np.ndarray) -> np.ndarray:
+        # Windows of a folded segment may be equal to each other.
+        return others | columns[_COPIED] | (columns[_FOLDED] & in_text)
+
     for batch in batches:
-        anchors = batch.column("anchor")
-        if anchors.null_count:  # settled already, sorted first
-            settled = batch.filter(anchors.is_null())
-            yield settled
-            batch = batch.filter(anchors.is_valid())
-        n = batch.num_rows
-        if not n:
+        copies = np.asarray(batch.column("is_copy").to_numpy(zero_copy_only=False))
+        if copies.any():
+            yield batch.filter(pa.array(copies))
+            batch = batch.filter(pa.array(~copies))
+        if not batch.num_rows:
             continue
-        columns = [np.asarray(batch.column(name)) for name, _ in _SEGMENT]
-        a, c, d, v, s, _, folded = columns
-        new_a = np.r_[open_ is None or a[0] != open_.anchor, a[1:] != a[:-1]]
-        new_c = new_a | np.r_[open_ is None or c[0] != open_.content, c[1:] != c[:-1]]
-        first = np.maximum.accumulate(np.where(new_c, np.arange(n), -1))
-        doc = np.where(first < 0, 0 if open_ is None else open_.doc, d[first])
-        start = np.where(first < 0, 0 if open_ is None else open_.start, s[first])
-        settled = _later(columns, new_c, doc, start, in_text)
-        same = np.r_[
-            open_ is not None and not new_c[0] and (d[0], v[0], s[0]) == open_.last,
-            ~new_c[1:] & (d[1:] == d[:-1]) & (v[1:] == v[:-1]) & (s[1:] == s[:-1]),
-        ]
-        group = np.cumsum(new_a) - new_a[0]
-        kinds = np.bincount(group, new_c)
-        folds = np.bincount(group, folded & in_text) > 0
-        if not new_a[0]:
-            kinds[0] += 1
-            folds[0] |= open_.several
-        several = (kinds > 1) | folds
-        if not new_a[0] and several[0] and open_.held:
-            yield from open_.held
-        last = int(group[-1])
-        useful = several[group] & ~settled & ~same
-        out = settled | useful
+        columns = [batch.column(name).to_numpy(zero_copy_only=False) for name, _ in _SEGMENT]
+        if held is not None:
+            columns = [np.concatenate([h, c]) for h, c in zip(held, columns, strict=True)]
+        columns = [np.array(c) for c in columns]
+        first, kept = _united(columns)
+        group = np.cumsum(_changes(columns[:1])) - 1
+        others = np.bincount(group, first) > 1
+        others[0] |= several
+        out = kept & (~first | useful(columns, others[group]))
+        last = int(np.flatnonzero(first)[-1])
+        several = bool(others[group[last]])
+        held = [c[last : last + 1] for c in columns]
+        out[last] = False
         if out.any():
-            yield _batch([x[out] for x in columns], settled[out])
-        held = [] if new_a.any() or open_ is None or several[0] else open_.held or []
-        if not several[last]:
-            keep = (group == last) & ~settled & ~same
-            if keep.any():
-                held = [*held, _batch([x[keep] for x in columns], np.zeros(keep.sum(), bool))]
-        open_ = _Open(
-            a[-1], c[-1], doc[-1], start[-1], (d[-1], v[-1], s[-1]), bool(several[last]), held
-        )
+            yield _batch([c[out] for c in columns])
+    if held is not None and useful(held, np.array([several]))[0]:
+        yield _batch(held)
 
 
 # --- the whole job ---------------------------------------------------------------------
 
-Finder = Callable[[list[bytes], np.ndarray, np.ndarray], Iterator[tuple[int, int, int]]]
+#: From symbols (joined), docs and starts of segments, and whether they have copies: (segment, whether this holds for its copies or
+#: for itself, from, to) of what occurs earlier.
+Finder = Callable[[list[bytes], np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[int, bool, int, int]]]
 
 
 def without_repeats(
@@ -303,10 +297,7 @@ def without_repeats(
 def _repeats(
     base: DataFrame, kind: type, length: int, gram: int, in_text: bool, find: Finder, block: int
 ) -> DataFrame:
-    """``doc, version, spans`` of texts with symbols to remove.
-
-    ``find`` gets the symbols of a block's segments (joined), their docs and starts, and yields
-    (segment, from, to) of symbols to remove."""
+    """``doc, version, spans`` of texts with symbols to remove."""
     own = base.select("doc", "version", "text").filter("doc is not null and text is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -317,29 +308,39 @@ def _repeats(
             for doc, version, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for part in segments.of(symbols.hashes(symbols.split(value))):
                     k = len(part[0])
-                    whose = [np.full(k, doc, np.int64), np.full(k, version, np.int64)]
-                    held.append([*part[:2], *whose, part[2].astype(np.int32), part[3].astype(np.int32), part[4]])
+                    whose = [np.full(k, doc, np.int64), part[3].astype(np.int32), np.full(k, version, np.int64)]
+                    marks = [part[5], np.zeros(k, bool), np.zeros(k, bool)]
+                    held.append([*part[:3], *whose, part[4].astype(np.int32), *marks])
                     n += k
                 if n >= CHUNK:
-                    yield _ordered([np.concatenate(c) for c in zip(*held, strict=True)], in_text)
+                    yield _ordered([np.concatenate(c) for c in zip(*held, strict=True)])
                     held, n = [], 0
         if n:
-            yield _ordered([np.concatenate(c) for c in zip(*held, strict=True)], in_text)
+            yield _ordered([np.concatenate(c) for c in zip(*held, strict=True)])
 
     segments = own.mapInArrow(cut, _SEGMENT_DDL)
     sifted = written(
-        segments.repartition(F.coalesce("anchor", F.xxhash64("version", "start")))
-        .sortWithinPartitions("anchor", "content", "doc", "version", "start")
+        segments.repartition(F.when(F.col("is_copy"), F.xxhash64("version", "start")).otherwise(F.col("anchor")))
+        .sortWithinPartitions(F.desc("is_copy"), "anchor", "content", "twin", "doc", "start", "version")
         .mapInArrow(lambda batches: _sifted(batches, in_text), _SEGMENT_DDL),
         "segments",
     )
-    settled = sifted.filter("anchor is null").select(
-        "doc", "version", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop")
+    found = _indexed(base, _celled(sifted.filter("not is_copy"), length, block), kind, length, find, block)
+    found = written(found, "found")
+    # What holds for the copies of a segment, and for those that are no later than itself.
+    same = ["anchor", "content", "twin"]
+    reports = found.filter("copied").select(
+        *same, F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), "copies", "low", "high"
     )
-    open_ = _celled(sifted.filter("anchor is not null"), length, block)
-    found = _indexed(base, open_, kind, length, find, block)
+    later = F.col("doc") > F.col("first_doc")
+    if in_text:
+        later = later | ((F.col("doc") == F.col("first_doc")) & (F.col("start") > F.col("first_start")))
+    copies = sifted.filter("is_copy").select(*same, "doc", "version", "start").join(reports, same)
+    place = [(F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("stop")]
     return (
-        settled.unionAll(found)
+        found.filter("not copies")
+        .select("doc", "version", *place)
+        .unionAll(copies.filter(F.col("copies") == later).select("doc", "version", *place))
         .groupBy("doc", "version")
         .agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     )
@@ -365,17 +366,18 @@ def _celled(open_: DataFrame, length: int, block: int) -> DataFrame:
     return (
         open_.join(sizes, "anchor", "left")
         .withColumn("part", part)
-        .select("doc", "version", "anchor", F.explode(cells).alias("cell"), "start", "windows")
+        .select(
+            "doc", "version", "anchor", F.explode(cells).alias("cell"), "content", "twin", "start", "windows", "copied"
+        )
     )
 
 
 def _indexed(
     base: DataFrame, open_: DataFrame, kind: type, length: int, find: Finder, block: int
 ) -> DataFrame:
-    """``doc, version, start, stop`` that an index of each block of segments finds."""
-    lists = open_.groupBy("doc", "version").agg(
-        F.collect_list(F.struct("anchor", "cell", "start", "windows")).alias("segments")
-    )
+    """What an index of each block of segments finds: ``low`` to ``high`` of a segment, for itself or its copies."""
+    own = ("anchor", "cell", "content", "twin", "start", "windows", "copied")
+    lists = open_.groupBy("doc", "version").agg(F.collect_list(F.struct(*own)).alias("segments"))
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbols = kind()
@@ -388,7 +390,7 @@ def _indexed(
                 for x in segments:
                     a, b = x["start"], x["start"] + x["windows"] + length - 1
                     data = symbols.join(split[a:b])
-                    rows.append((x["anchor"], x["cell"], doc, version, a, data))
+                    rows.append((x["anchor"], x["cell"], x["content"], x["twin"], doc, version, a, x["copied"], data))
                     size += len(data)
                 if size > 16 << 20:
                     yield _cuts(rows)
@@ -416,34 +418,43 @@ def _indexed(
                         yield from _search(rows, find)
                         rows, size = [], 0
                     last = row[:2]
-                rows.append(row[2:])
-                size += len(row[5])
+                rows.append(row)
+                size += len(row[-1])
         if rows:
             yield from _search(rows, find)
 
-    return cuts.mapInArrow(search, "doc long, version long, start int, stop int")
+    return cuts.mapInArrow(search, _FOUND_DDL)
 
 
-_CUT_DDL = "anchor long, cell int, doc long, version long, start int, data binary"
+_CUT_DDL = (
+    "anchor long, cell int, content long, twin long, doc long, version long, start int, copied boolean, data binary"
+)
+_FOUND_DDL = (
+    "anchor long, content long, twin long, doc long, version long, start int, copied boolean, "
+    "copies boolean, low int, high int"
+)
 
 
 def _cuts(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    long, short = pa.int64(), pa.int32()
+    types = [long, short, long, long, long, long, short, pa.bool_(), pa.binary()]
     arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _CUT_DDL.split(", ")])
 
 
 def _search(rows: list[tuple], find: Finder) -> Iterator[pa.RecordBatch]:
-    docs = np.array([r[0] for r in rows], np.int64)
-    starts = np.array([r[2] for r in rows], np.int64)
-    found = list(find([r[3] for r in rows], docs, starts))
+    anchor, _, content, twin, doc, version, start, copied, data = zip(*rows, strict=True)
+    longs = [np.array(c, np.int64) for c in (anchor, content, twin, doc, version)]
+    starts, marks = np.array(start, np.int64), np.array(copied, bool)
+    found = list(find(list(data), longs[3], starts, marks))
     if found:
-        k, a, b = (np.array(x, np.int64) for x in zip(*found, strict=True))
-        versions = np.array([r[1] for r in rows], np.int64)
-        columns = [docs[k], versions[k], (starts[k] + a).astype(np.int32), (starts[k] + b).astype(np.int32)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c) for c in columns], names=["doc", "version", "start", "stop"]
-        )
+        k, copies, low, high = (np.array(x) for x in zip(*found, strict=True))
+        columns = [
+            *(c[k] for c in longs), starts[k].astype(np.int32), marks[k], copies.astype(bool),
+            low.astype(np.int32), high.astype(np.int32),
+        ]
+        names = [f.split()[0] for f in _FOUND_DDL.split(", ")]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
 def joined(texts: list[np.ndarray], alphabet: int) -> tuple[np.ndarray, np.ndarray]:

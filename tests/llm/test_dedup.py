@@ -68,14 +68,5 @@ def test_long_chains_are_one_component(spark):
     assert {r.node: r.component for r in got} == dict.fromkeys(range(1, 201), 0)
 
 
-def test_one_document_of_each_group_stays(frame):
-    rows = brute.corpus(2, 40) * 2
-    kept = simhash.deduplicated(frame(rows))
-    assert kept.columns == frame(rows).columns
-    got = [r.doc_id for r in kept.collect()]
-    prints = [(d, brute.simhash(t)) for d, t, _ in rows]
-    assert sorted(got) == sorted(set(brute.components(prints)))
-
-
 def test_no_documents(frame):
     assert simhash.near_duplicates(frame([])).count() == 0

@@ -239,7 +239,9 @@ def mixed(
     sizes = classes.groupBy(F.col(n.source).alias("source")).agg(F.sum(words).alias("size"))
     shares = written(targets(sizes, weights), "shares")
     queue = written(_queue(classes, n, shares, rows_per_slice), "queue")
-    edges = written(_edges(queue, n, shares, _last_places(queue, n, shares, budget)), "edges")
+    # One row for each source; written, so that their size is known where they are joined.
+    last = written(_last_places(queue, n, shares, budget), "last")
+    edges = written(_edges(queue, n, shares, last), "edges")
     found = sized.join(edges, F.col(n.source).eqNullSafe(F.col(n.edges_source))).withColumn(
         n.here, F.struct(*[F.col(c).alias(x) for c, x in zip(n.place, ("dealt", "id", "size"), strict=True)])
     )

@@ -112,8 +112,7 @@ def plain_mix(rows, dealt):
     return copies
 
 
-@pytest.mark.parametrize("rows_per_slice, rows_per_span", [(1024, 4096), (5, 3)])
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed, rows_per_slice, rows_per_span", [(1, 1024, 4096), (2, 5, 3)])
 def test_mix_equals_a_queue_of_every_copy(frame, spark, monkeypatch, seed, rows_per_slice, rows_per_span):
     from pyspark.sql import functions as F
 

@@ -49,6 +49,7 @@ CACHED = 300_000  # words whose weight a task remembers
 CELLS = 2_000_000  # of a forward-backward table
 SLICE = 1 << 17  # tokens whose pairs are added up at a time
 LEAST_SUPPORT = 3
+FALSE_RATE = 0.2  # of clues
 AT_ONCE = 2048  # texts
 
 _STRIP = b" .,;:!?\"'()[]{}<>*#$%&@~^|/\\-_+="
@@ -228,19 +229,31 @@ def lexicon(rows: DataFrame) -> dict[bytes, float]:
         .filter(F.col("clean") + F.col("toxic") >= LEAST_SUPPORT),
         "clues",
     )
-    # How unlikely it is (Chernoff) that so many of its documents are toxic by chance; of all that are
-    # looked at, fewer than one would be.
+    # How unlikely it is (Chernoff) that so many of its documents are toxic by chance.
     n, share = F.col("clean") + F.col("toxic"), bad / (bad + good)
     unlikely = F.col("toxic") * F.log(F.col("toxic") / n / share) + F.when(
         F.col("clean") > 0, F.col("clean") * F.log(F.col("clean") / n / (1 - share))
     ).otherwise(0.0)
+    likely = counts.filter((F.col("toxic") >= LEAST_SUPPORT) & (odds >= 2.5)).withColumn("unlikely", unlikely)
+    # One row for each pair of counts.
+    levels = likely.groupBy("unlikely").count().orderBy(F.desc("unlikely")).collect()
+    least = significant([(r["unlikely"], r["count"]) for r in levels], counts.count())
     # At most a few hundred clues for each document of the sample have the support.
-    found = counts.filter(
-        (F.col("toxic") >= LEAST_SUPPORT) & (odds >= 2.5) & (unlikely >= math.log(max(counts.count(), 2)))
-    ).select("clue", (F.col("toxic") * odds).alias("weight"))
+    found = likely.filter(F.col("unlikely") >= least).select("clue", (F.col("toxic") * odds).alias("weight"))
     return {bytes(r["clue"]): r["weight"] for r in found.collect()}
 
 
+def significant(levels: list[tuple[float, int]], tested: int, rate: float = FALSE_RATE) -> float:
+    """The lowest level (minus log of the chance) at which no more than a share ``rate`` of what reaches it does so by
+    chance, of all that was tested; levels fall, with their counts (Benjamini and Hochberg)."""
+    found, least = 0, math.inf
+    for level, n in levels:
+        found += n
+        if tested * math.exp(-level) <= rate * found:
+            least = level
+    return least
+
+
 def tags(tokens: list[bytes], toxic: bool, clue_weight: dict[bytes, float]) -> np.ndarray | None:
     """Tag of each token: in a toxic document, 1 if its weight comes near that of the
     document's most telling token.  None if it has no clue: which of its words are toxic isn't known."""

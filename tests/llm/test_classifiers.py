@@ -140,7 +140,7 @@ def test_clues_beyond_chance():
     # 10 at a chance of e^-12 and 40 at e^-8 of 1,000 tested: 0.3 by chance; 500 more at e^-1: hundreds.
     levels = [(12.0, 10), (8.0, 40), (1.0, 500)]
     assert toxicity.significant(levels, 1000, 0.2) == 8.0
-    assert toxicity.significant(levels, 10**6, 0.2) == 12.0
+    assert toxicity.significant(levels, 10**5, 0.2) == 12.0
     assert toxicity.significant([(1.0, 5)], 1000, 0.2) == float("inf")
     assert toxicity.significant([], 1000, 0.2) == float("inf")
 

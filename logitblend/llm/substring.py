@@ -156,19 +156,6 @@ def earlier_windows(
             yield k, bool(copies), a, b
 
 
-def union(spans: list[dict] | None) -> list[tuple[int, int]]:
-    """Sorted spans, those that overlap or meet joined."""
-    out: list[tuple[int, int]] = []
-    for s in spans or ():
-        a, b = s["start"], s["stop"]
-        if out and a <= out[-1][1]:
-            if b > out[-1][1]:
-                out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
-
-
 def remaining(symbols, spans: list[tuple[int, int]]) -> list:
     """The parts between the spans."""
     edges = [0, *(x for s in spans for x in s), len(symbols)]
@@ -187,15 +174,15 @@ def deduplicated(
     """``row`` (the columns to keep, all if None); ``words``, how many the text has;
     ``removed``, how many of them an earlier document has in a window, too; their ``spans``; and
     the ``kept`` words joined by a space, as UTF-8."""
-    def compute(texts: list[str | None], all_spans: list[list[dict] | None]) -> list[pa.Array]:
+    def compute(texts: list[str | None], all_spans: list[list[tuple[int, int]]]) -> list[pa.Array]:
         symbols = Words()
         words, removed, joined, kept = [], [], [], []
         for value, spans in zip(texts, all_spans, strict=True):
-            own, merged = symbols.split(value), union(spans)
+            own = symbols.split(value)
             words.append(len(own))
-            removed.append(sum(b - a for a, b in merged))
-            joined.append([{"start": a, "stop": b} for a, b in merged])
-            kept.append(b" ".join(w for part in remaining(own, merged) for w in part))
+            removed.append(sum(b - a for a, b in spans))
+            joined.append([{"start": a, "stop": b} for a, b in spans])
+            kept.append(b" ".join(w for part in remaining(own, spans) for w in part))
         return [
             pa.array(words, pa.int64()),
             pa.array(removed, pa.int64()),

@@ -31,10 +31,11 @@ from logitblend.llm.windows import (
     rolling,
     without_repeats,
 )
-from logitblend.llm.substring import remaining, union
+from logitblend.llm.substring import remaining
 
 LENGTH = 100
 GRAM = 24
+NONE = np.empty(0, np.int64)
 
 FIELDS = "bytes long, removed long, spans array<struct<start: int, stop: int>>, kept binary"
 
@@ -130,16 +131,27 @@ class Group:
     later: list[int]
 
 
-def groups(data: list[bytes], keys: np.ndarray, length: int = LENGTH) -> Iterator[Group]:
+def groups(
+    data: list[bytes], keys: np.ndarray, length: int = LENGTH, again: np.ndarray = NONE, behind: np.ndarray = NONE
+) -> Iterator[Group]:
     """The maximal repeats of ``length`` bytes at least, with all their occurrences; ``keys`` order the segments'
-    beginnings.  The suffix array has only suffixes at which a maximal repeat may start."""
+    beginnings.  The suffix array has only suffixes at which a maximal repeat may start.
+
+    The segments ``again`` occur a second time, with keys ``behind``, as segments with the numbers that follow those of ``data``.
+    The same strings occur in both, after the same bytes but at their beginning, where a repeat may start in any case."""
     whole = np.frombuffer(b"".join(data), np.uint8).astype(np.int64)
     sizes = np.array([len(d) for d in data])
     begins = np.cumsum(sizes) - sizes
-    at = starts_of_repeats(whole, begins, sizes, length)
+    at = np.union1d(starts_of_repeats(whole, begins, sizes, length), begins[again])
     segment = np.searchsorted(begins, at, side="right") - 1
     place = at - begins[segment]
+    second = np.full(len(data), -1, np.int64)
+    second[again] = len(data) + np.arange(len(again))
+    twice = np.flatnonzero(second[segment] >= 0)
     suffixes = [data[k][p:] for k, p in zip(segment.tolist(), place.tolist(), strict=True)]
+    suffixes += [suffixes[i] for i in twice.tolist()]
+    at, place = np.r_[at, at[twice]], np.r_[place, place[twice]]
+    segment = np.r_[segment, second[segment[twice]]]
     order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
     shared = np.array(
         [0, *(shared_prefix(suffixes[i], suffixes[j]) for i, j in zip(order, order[1:], strict=False))]
@@ -153,7 +165,7 @@ def groups(data: list[bytes], keys: np.ndarray, length: int = LENGTH) -> Iterato
         return
     segment, place = segment[order], place[order]
     left = np.where(place == 0, -1 - segment, whole[at[order] - 1])
-    own_keys = keys[segment] + place
+    own_keys = np.r_[keys, behind][segment] + place
     edges = np.r_[np.flatnonzero(shared == 0), len(order)]
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         lists = (x[a:b].tolist() for x in (shared, left, own_keys))
@@ -171,9 +183,8 @@ def repeated_bytes(
     n, again = len(data), np.flatnonzero(copied)
     doc_rank = np.unique(docs, return_inverse=True)[1].astype(np.int64)
     keys = (doc_rank << 32) + starts
-    behind = ((doc_rank.max(initial=0) + 1 + np.arange(len(again))) << 32) if len(again) else np.empty(0, np.int64)
-    every = [*data, *(data[k] for k in again)]
-    for group in groups(every, np.r_[keys, behind], length):
+    behind = (doc_rank.max(initial=0) + 1 + np.arange(len(again))) << 32
+    for group in groups(data, keys, length, again, behind):
         for k, p in zip(group.segments[group.later].tolist(), group.places[group.later].tolist(), strict=True):
             yield (k, False, p, p + group.length) if k < n else (int(again[k - n]), True, p, p + group.length)
 
@@ -192,15 +203,15 @@ def deduplicated(
     """``row`` (the columns to keep, all if None); ``bytes`` of the text; how many are
     ``removed``, as part of a string of ``length`` bytes that occurs earlier; their
     ``spans``, maximal runs; and the bytes ``kept``."""
-    def compute(texts: list[str | None], all_spans: list[list[dict] | None]) -> list[pa.Array]:
+    def compute(texts: list[str | None], all_spans: list[list[tuple[int, int]]]) -> list[pa.Array]:
         symbols = Bytes()
         sizes, removed, joined, kept = [], [], [], []
         for value, spans in zip(texts, all_spans, strict=True):
-            own, merged = symbols.split(value), union(spans)
+            own = symbols.split(value)
             sizes.append(len(own))
-            removed.append(sum(b - a for a, b in merged))
-            joined.append([{"start": a, "stop": b} for a, b in merged])
-            kept.append(b"".join(remaining(own, merged)))
+            removed.append(sum(b - a for a, b in spans))
+            joined.append([{"start": a, "stop": b} for a, b in spans])
+            kept.append(b"".join(remaining(own, spans)))
         return [
             pa.array(sizes, pa.int64()),
             pa.array(removed, pa.int64()),

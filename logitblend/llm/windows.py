@@ -33,7 +33,7 @@ STRETCH = 1 << 18  # symbols hashed at a time
 CHUNK = 300_000  # segments that a task orders at a time
 REMEMBERED = 300_000  # words
 
-FACTOR, TWIN_FACTOR = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
+FACTOR = 0x9E3779B97F4A7C15
 _DRAWN = np.random.default_rng(20_240_605).integers(1, 1 << 63, 256, dtype=np.uint64)
 BYTE_HASHES = _DRAWN * np.uint64(2) + np.uint64(1)
 
@@ -47,12 +47,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int, factor: int = FACTOR) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the factor of polynomial hashes, modulo 2^64, and of its inverse."""
     with np.errstate(over="ignore"):
         return tuple(
             np.cumprod(np.r_[np.uint64(1), np.full(n, np.uint64(x))], dtype=np.uint64)
-            for x in (factor, pow(factor, -1, 1 << 64))
+            for x in (FACTOR, pow(FACTOR, -1, 1 << 64))
         )
 
 
@@ -113,7 +113,6 @@ class Segments:
         self.length, self.gram = length, gram
         self.wide = length - gram + 1  # grams of a window
         self.power, self.back = powers(STRETCH + length)
-        self.twin_power, self.twin_back = powers(STRETCH + length, TWIN_FACTOR)
 
     def of(self, hashes: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         """anchor, content and twin (hashes), start, windows, folded: whether the anchor occurs
@@ -154,8 +153,9 @@ class Segments:
                 start, windows, value_at = run, ends - run, value[run]
             stop = start + windows + self.length - 1
             content = mixed((sums[stop] - sums[start]) * self.back[start] + windows.astype(np.uint64))
-            np.cumsum(h * self.twin_power[: len(h)], out=sums[1:])
-            twin = mixed((sums[stop] - sums[start]) * self.twin_back[start])
+            # Of another kind than the polynomial: the sum of the grams' hashes, each of which is mixed.
+            sums = np.r_[np.uint64(0), np.cumsum(grams)]
+            twin = mixed(sums[stop - self.gram + 1] - sums[start])
         return value_at.view(np.int64), content.view(np.int64), twin.view(np.int64), start + at, windows, folded
 
 
@@ -259,11 +259,11 @@ def without_repeats(
     in_text: bool,
     find: Finder,
     fields: str,
-    compute: Callable[[list[str | None], list[list[dict] | None]], list[pa.Array]],
+    compute: Callable[[list[str | None], list[list[tuple[int, int]]]], list[pa.Array]],
     block: int = BLOCK,
 ) -> DataFrame:
     """``row`` (the columns to keep, all if None) and ``fields``, computed from each text and
-    the spans of symbols to remove: those in a window that also starts in a smaller key or,
+    the spans of symbols to remove, sorted and apart from each other: those in a window that also starts in a smaller key or,
     with ``in_text``, earlier in the same one.
 
     The texts are shuffled once: both what is cut out of them and what is left of them comes
@@ -282,7 +282,7 @@ def without_repeats(
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                own = compute(part.column("text").to_pylist(), part.column("spans").to_pylist())
+                own = compute(part.column("text").to_pylist(), _merged_lists(part.column("spans")))
                 yield pa.RecordBatch.from_arrays([part.column("row"), *own], names=names)
 
     spans = _repeats(base, kind, length, gram, in_text, find, block)
@@ -383,15 +383,18 @@ def _indexed(
         symbols = kind()
         for batch in batches:
             batch = batch.filter(batch.column("segments").is_valid())
-            rows, size = [], 0
-            columns = (batch.column(c).to_pylist() for c in ("doc", "version", "text", "segments"))
-            for doc, version, text, segments in zip(*columns, strict=True):
+            lists = batch.column("segments")
+            fields = [f.to_pylist() for f in lists.flatten().flatten()]
+            ends = np.cumsum(lists.value_lengths()).tolist()
+            rows, size, at = [], 0, 0
+            columns = (batch.column(c).to_pylist() for c in ("doc", "version", "text"))
+            for doc, version, text, end in zip(*columns, ends, strict=True):
                 split = symbols.split(text)
-                for x in segments:
-                    a, b = x["start"], x["start"] + x["windows"] + length - 1
-                    data = symbols.join(split[a:b])
-                    rows.append((x["anchor"], x["cell"], x["content"], x["twin"], doc, version, a, x["copied"], data))
+                for anchor, cell, content, twin, a, n, copied in zip(*(f[at:end] for f in fields), strict=True):
+                    data = symbols.join(split[a : a + n + length - 1])
+                    rows.append((anchor, cell, content, twin, doc, version, a, copied, data))
                     size += len(data)
+                at = end
                 if size > 16 << 20:
                     yield _cuts(rows)
                     rows, size = [], 0
@@ -435,6 +438,32 @@ _FOUND_DDL = (
 )
 
 
+def merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of several owners, those of one that overlap or meet joined; sorted by owner and start."""
+    if not len(owner):
+        return owner, start, stop
+    order = np.lexsort((start, owner))
+    owner, start, stop = (x[order].astype(np.int64) for x in (owner, start, stop))
+    # Owners apart from each other on one line.
+    line = (owner - owner[0]) * (int(stop.max()) + 2)
+    reach = np.maximum.accumulate(stop + line)
+    new = np.r_[True, start[1:] + line[1:] > reach[:-1]]
+    first = np.flatnonzero(new)
+    last = np.r_[first[1:], len(new)] - 1
+    return owner[first], start[first], reach[last] - line[last]
+
+
+def _merged_lists(spans: pa.Array) -> list[list[tuple[int, int]]]:
+    """The merged spans of each row."""
+    lengths = np.asarray(spans.value_lengths().fill_null(0))
+    start, stop = (np.asarray(f) for f in spans.flatten().flatten())
+    owner, start, stop = merged(np.repeat(np.arange(len(lengths)), lengths), start, stop)
+    out: list[list[tuple[int, int]]] = [[] for _ in lengths]
+    for k, a, b in zip(owner.tolist(), start.tolist(), stop.tolist(), strict=True):
+        out[k].append((a, b))
+    return out
+
+
 def _cuts(rows: list[tuple]) -> pa.RecordBatch:
     long, short = pa.int64(), pa.int32()
     types = [long, short, long, long, long, long, short, pa.bool_(), pa.binary()]
@@ -448,7 +477,9 @@ def _search(rows: list[tuple], find: Finder) -> Iterator[pa.RecordBatch]:
     starts, marks = np.array(start, np.int64), np.array(copied, bool)
     found = list(find(list(data), longs[3], starts, marks))
     if found:
-        k, copies, low, high = (np.array(x) for x in zip(*found, strict=True))
+        k, copies, low, high = (np.array(x, np.int64) for x in zip(*found, strict=True))
+        both, low, high = merged(2 * k + copies, low, high)
+        k, copies = both // 2, both % 2
         columns = [
             *(c[k] for c in longs), starts[k].astype(np.int32), marks[k], copies.astype(bool),
             low.astype(np.int32), high.astype(np.int32),

@@ -134,7 +134,7 @@ def test_statistics_of_streamed_texts():
 def test_nothing_is_removed_without_an_index(frame, kind, length, gram, in_text):
     """All that is removed was found by an index: with none, whole copies stay, too."""
     def compute(texts, spans):
-        return [pa.array([len(s or []) for s in spans], pa.int32())]
+        return [pa.array([len(s) for s in spans], pa.int32())]
 
     def spans(find):
         docs = frame(rows_with_repeats())
@@ -161,8 +161,7 @@ def test_a_long_text_of_one_passage_is_one_segment(frame):
         return substring.earlier_windows(data, ids, starts, copied)
 
     def compute(texts, spans):
-        merged = [substring.union(s) for s in spans]
-        return [pa.array([sum(b - a for a, b in m) for m in merged], pa.int32())]
+        return [pa.array([sum(b - a for a, b in s) for s in spans], pa.int32())]
 
     found = windows.without_repeats(
         frame(rows), "doc_id", "text", ("doc_id",), windows.Words, 50, 10, False, finds, "n int", compute
@@ -251,3 +250,25 @@ def test_groups_list_all_occurrences():
         assert set(zip(group.segments.tolist(), group.places.tolist(), strict=True)) == places and len(places) > 1
     lengths = sorted(g.length for g in suffixes.groups(data, np.arange(5) << 32, 30))
     assert 60 in lengths and 55 in lengths and 45 in lengths
+
+
+def test_merged_spans():
+    r = random.Random(7)
+    spans = [(r.randrange(5), a, a + 1 + r.randrange(9)) for a in (r.randrange(60) for _ in range(40))]
+    got = list(zip(*(x.tolist() for x in windows.merged(*(np.array(c) for c in zip(*spans, strict=True)))), strict=True))
+    covered = {(o, p) for o, a, b in spans for p in range(a, b)}
+    assert {(o, p) for o, a, b in got for p in range(a, b)} == covered
+    assert got == sorted(got) and all(o != q or b < c for (o, _, b), (q, c, _) in zip(got, got[1:], strict=False))
+    lists = pa.array([[{"start": 3, "stop": 9}, {"start": 1, "stop": 4}], None, [], [{"start": 0, "stop": 2}]], windows.SPANS_TYPE)
+    assert windows._merged_lists(lists.slice(1)) == [[], [], [(0, 2)]]
+    assert windows._merged_lists(lists) == [[(1, 9)], [], [], [(0, 2)]]
+
+
+def test_copied_segments_occur_twice():
+    r = random.Random(8)
+    noise = lambda n: bytes(r.choice(b"abcdefgh") for _ in range(n))
+    shared = noise(50)
+    data = [noise(40), noise(10) + shared, shared + noise(20), noise(60)]
+    found = set(suffixes.repeated_bytes(data, np.array([1, 2, 3, 4]), np.zeros(4, int), np.array([True, False, True, False]), 30))
+    assert (0, True, 0, 40) in found and (2, True, 0, 70) in found and (2, False, 0, 50) in found
+    assert not any(k in (1, 3) or (k == 0 and not copies) for k, copies, _, _ in found)

@@ -326,21 +326,19 @@ def _repeats(
         "segments",
     )
     found = _indexed(base, _celled(sifted.filter("not is_copy"), length, block), kind, length, find, block)
-    found = written(found, "found")
-    # What holds for the copies of a segment, and for those that are no later than itself.
+    # What was found of a segment holds for itself and for its copies, by whether they come after it.
     same = ["anchor", "content", "twin"]
-    reports = found.filter("copied").select(
+    reports = found.select(
         *same, F.col("doc").alias("first_doc"), F.col("start").alias("first_start"), "copies", "low", "high"
     )
     later = F.col("doc") > F.col("first_doc")
     if in_text:
         later = later | ((F.col("doc") == F.col("first_doc")) & (F.col("start") > F.col("first_start")))
-    copies = sifted.filter("is_copy").select(*same, "doc", "version", "start").join(reports, same)
-    place = [(F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("stop")]
     return (
-        found.filter("not copies")
-        .select("doc", "version", *place)
-        .unionAll(copies.filter(F.col("copies") == later).select("doc", "version", *place))
+        sifted.select(*same, "doc", "version", "start")
+        .join(reports, same)
+        .filter(F.col("copies") == later)
+        .select("doc", "version", (F.col("start") + F.col("low")).alias("start"), (F.col("start") + F.col("high")).alias("stop"))
         .groupBy("doc", "version")
         .agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
     )
@@ -432,10 +430,7 @@ def _indexed(
 _CUT_DDL = (
     "anchor long, cell int, content long, twin long, doc long, version long, start int, copied boolean, data binary"
 )
-_FOUND_DDL = (
-    "anchor long, content long, twin long, doc long, version long, start int, copied boolean, "
-    "copies boolean, low int, high int"
-)
+_FOUND_DDL = "anchor long, content long, twin long, doc long, start int, copies boolean, low int, high int"
 
 
 def merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -472,8 +467,8 @@ def _cuts(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _search(rows: list[tuple], find: Finder) -> Iterator[pa.RecordBatch]:
-    anchor, _, content, twin, doc, version, start, copied, data = zip(*rows, strict=True)
-    longs = [np.array(c, np.int64) for c in (anchor, content, twin, doc, version)]
+    anchor, _, content, twin, doc, _, start, copied, data = zip(*rows, strict=True)
+    longs = [np.array(c, np.int64) for c in (anchor, content, twin, doc)]
     starts, marks = np.array(start, np.int64), np.array(copied, bool)
     found = list(find(list(data), longs[3], starts, marks))
     if found:
@@ -481,7 +476,7 @@ def _search(rows: list[tuple], find: Finder) -> Iterator[pa.RecordBatch]:
         both, low, high = merged(2 * k + copies, low, high)
         k, copies = both // 2, both % 2
         columns = [
-            *(c[k] for c in longs), starts[k].astype(np.int32), marks[k], copies.astype(bool),
+            *(c[k] for c in longs), starts[k].astype(np.int32), copies.astype(bool),
             low.astype(np.int32), high.astype(np.int32),
         ]
         names = [f.split()[0] for f in _FOUND_DDL.split(", ")]

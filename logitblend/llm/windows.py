@@ -5,7 +5,7 @@ the smallest of the hashes of its grams (``gram`` symbols each), so equal window
 equal anchors wherever they occur.  Consecutive windows with one anchor form a *segment*;
 there is about one segment for every ``(length - gram) / 2`` symbols, and it travels as six numbers.
 
-Segments of equal content (two 64-bit hashes) are one: the first of them, by document and place, stands for
+Segments of equal content (96 bits of two hashes) are one: the first of them, by document and place, stands for
 all, and the others are its *copies*.  This happens inside each task, before the shuffle, and again after it, so a passage
 in a third of all documents is one row from each task.  The symbols of those that stand for copies, or share their anchor with others, are cut
 out of the texts and dealt by anchor.  An index over each block of them (``substring``, ``suffixes``) finds
@@ -155,17 +155,17 @@ class Segments:
             content = mixed((sums[stop] - sums[start]) * self.back[start] + windows.astype(np.uint64))
             # Of another kind than the polynomial: the sum of the grams' hashes, each of which is mixed.
             sums = np.r_[np.uint64(0), np.cumsum(grams)]
-            twin = mixed(sums[stop - self.gram + 1] - sums[start])
-        return value_at.view(np.int64), content.view(np.int64), twin.view(np.int64), start + at, windows, folded
+            twin = (mixed(sums[stop - self.gram + 1] - sums[start]) >> np.uint64(32)).astype(np.uint32)
+        return value_at.view(np.int64), content.view(np.int64), twin.view(np.int32), start + at, windows, folded
 
 
 _SEGMENT = [
-    ("anchor", pa.int64()), ("content", pa.int64()), ("twin", pa.int64()), ("doc", pa.int64()),
+    ("anchor", pa.int64()), ("content", pa.int64()), ("twin", pa.int32()), ("doc", pa.int64()),
     ("start", pa.int32()), ("version", pa.int64()), ("windows", pa.int32()), ("folded", pa.bool_()),
     ("copied", pa.bool_()), ("is_copy", pa.bool_()),
 ]
 _SEGMENT_DDL = (
-    "anchor long, content long, twin long, doc long, start int, version long, windows int, "
+    "anchor long, content long, twin int, doc long, start int, version long, windows int, "
     "folded boolean, copied boolean, is_copy boolean"
 )
 _FOLDED, _COPIED, _IS_COPY = 7, 8, 9
@@ -294,10 +294,9 @@ def without_repeats(
     )
 
 
-def _repeats(
-    base: DataFrame, kind: type, length: int, gram: int, in_text: bool, find: Finder, block: int
-) -> DataFrame:
-    """``doc, version, spans`` of texts with symbols to remove."""
+def _segments(base: DataFrame, kind: type, length: int, gram: int, in_text: bool) -> DataFrame:
+    """The segments that others share windows with, and their copies.  A function of its own, so that what was shuffled
+    for it can be cleaned up once it is written."""
     own = base.select("doc", "version", "text").filter("doc is not null and text is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -319,12 +318,19 @@ def _repeats(
             yield _ordered([np.concatenate(c) for c in zip(*held, strict=True)])
 
     segments = own.mapInArrow(cut, _SEGMENT_DDL)
-    sifted = written(
+    return written(
         segments.repartition(F.when(F.col("is_copy"), F.xxhash64("version", "start")).otherwise(F.col("anchor")))
         .sortWithinPartitions(F.desc("is_copy"), "anchor", "content", "twin", "doc", "start", "version")
         .mapInArrow(lambda batches: _sifted(batches, in_text), _SEGMENT_DDL),
         "segments",
     )
+
+
+def _repeats(
+    base: DataFrame, kind: type, length: int, gram: int, in_text: bool, find: Finder, block: int
+) -> DataFrame:
+    """``doc, version, spans`` of texts with symbols to remove."""
+    sifted = _segments(base, kind, length, gram, in_text)
     found = _indexed(base, _celled(sifted.filter("not is_copy"), length, block), kind, length, find, block)
     # What was found of a segment holds for itself and for its copies, by whether they come after it.
     same = ["anchor", "content", "twin"]
@@ -428,9 +434,9 @@ def _indexed(
 
 
 _CUT_DDL = (
-    "anchor long, cell int, content long, twin long, doc long, version long, start int, copied boolean, data binary"
+    "anchor long, cell int, content long, twin int, doc long, version long, start int, copied boolean, data binary"
 )
-_FOUND_DDL = "anchor long, content long, twin long, doc long, start int, copies boolean, low int, high int"
+_FOUND_DDL = "anchor long, content long, twin int, doc long, start int, copies boolean, low int, high int"
 
 
 def merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -461,22 +467,22 @@ def _merged_lists(spans: pa.Array) -> list[list[tuple[int, int]]]:
 
 def _cuts(rows: list[tuple]) -> pa.RecordBatch:
     long, short = pa.int64(), pa.int32()
-    types = [long, short, long, long, long, long, short, pa.bool_(), pa.binary()]
+    types = [long, short, long, short, long, long, short, pa.bool_(), pa.binary()]
     arrays = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in _CUT_DDL.split(", ")])
 
 
 def _search(rows: list[tuple], find: Finder) -> Iterator[pa.RecordBatch]:
     anchor, _, content, twin, doc, _, start, copied, data = zip(*rows, strict=True)
-    longs = [np.array(c, np.int64) for c in (anchor, content, twin, doc)]
+    whose = [np.array(c, t) for c, t in ((anchor, np.int64), (content, np.int64), (twin, np.int32), (doc, np.int64))]
     starts, marks = np.array(start, np.int64), np.array(copied, bool)
-    found = list(find(list(data), longs[3], starts, marks))
+    found = list(find(list(data), whose[3], starts, marks))
     if found:
         k, copies, low, high = (np.array(x, np.int64) for x in zip(*found, strict=True))
         both, low, high = merged(2 * k + copies, low, high)
         k, copies = both // 2, both % 2
         columns = [
-            *(c[k] for c in longs), starts[k].astype(np.int32), copies.astype(bool),
+            *(c[k] for c in whose), starts[k].astype(np.int32), copies.astype(bool),
             low.astype(np.int32), high.astype(np.int32),
         ]
         names = [f.split()[0] for f in _FOUND_DDL.split(", ")]

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from logitblend.functions.text import drop_last_char, strip
 from logitblend.operators.dedup import KEY as _KEY
-from logitblend.operators.dedup import first_values
+from logitblend.operators.dedup import first_values, short_order
 
 
 def same_number(a: Column, b: Column) -> Column:
@@ -258,6 +258,7 @@ def levels_accuracy(
     values = {"hit": hit.cast("int")}
     first = first_values(rows, key, values, names, order, keep_order=True)
     by = ["level", *names]
+    first = first.withColumn("_order", short_order(first, "_order")[0])
     own = _copied(first, levels, names).groupBy(*by, *_KEY).agg(F.min_by("hit", "_order").alias("hit"))
     return count_hits(own, by)
 

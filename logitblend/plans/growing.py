@@ -54,8 +54,9 @@ def absorb(
     old = _read(spark, state, known) if seen else None
     whole = [*by, *KEY]
     if old is not None and late:
-        firsts = [F.min_by(c, "_order").alias(c) for c in _VALUES]
-        fresh = old.unionByName(fresh).groupBy(*whole).agg(*firsts, F.min("_order").alias("_order"))
+        first = F.min_by(F.struct(*_VALUES), "_order").alias("_first")
+        merged = old.unionByName(fresh).groupBy(*whole).agg(first, F.min("_order").alias("_order"))
+        fresh = merged.select("*", "_first.*").drop("_first")
     elif old is not None:
         same = _same(whole)
         fresh = fresh.alias("a").join(old.select(*whole).alias("b"), same, "left_anti")

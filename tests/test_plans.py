@@ -6,9 +6,10 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from logitblend.operators import candidates, dedup, dimensions, filling
+from logitblend.operators import candidates, dedup, dimensions, filling, metrics
 from logitblend.plans import ensemble
 from logitblend.profiles import uniform_weights
+from logitblend.sources import jsonl
 from logitblend.sources import logits as logit_tables
 from test_blending import PROFILES, make_case, tables
 
@@ -118,6 +119,47 @@ def test_first_values_is_hash_based(spark):
     assert "HashAggregate" in plan and "SortAggregate" not in plan
 
 
+def test_first_values_sort_short_rows(spark, tmp_path):
+    """By the order of result files: once in a row for all values, and without the folder's name."""
+    folder = str(tmp_path / ("long" * 20) / "r 1%")
+    schema = "seq bigint, question string, pred string, label string, subject string"
+    for n in range(3):
+        rows = [(s, f"q{s}", "A", "AB"[n % 2], f"s{n}") for s in (7 - n, None, 5)]
+        jsonl.write_results(spark.createDataFrame(rows, schema).repartition(2), folder, "append")
+    back = jsonl.read_results(spark, folder, "choice")
+    values = {"subject": F.col("subject"), "hit": metrics.choice_hit()}
+    plan = plan_of(dedup.first_values(back, "question", values))
+    assert plan.count("partial_min_by(") == 1
+    short, whole = dedup.short_order(back, "order")
+    both = back.select("order", short.alias("short"), whole(short).alias("whole")).collect()
+    assert len(both) == 9 and all(r["order"] == r["whole"] for r in both)
+    assert max(len(r["short"]["at"]["file"]) for r in both) < 100 < min(len(r["order"]["at"]["file"]) for r in both)
+    got = dedup.first_values(back, "question", values, keep_order=True)
+    assert got.columns == [*dedup.KEY, "subject", "hit", "_order"]
+    orders = {tuple(r["order"]["at"]) for r in both}
+    assert all(not r["_order"]["none"] and tuple(r["_order"]["value"]["at"]) in orders for r in got.collect())
+    first = dedup.first_values(back, "question", values).collect()
+    assert sorted(map(tuple, first)) == [("s0", True)] * 3 + [("s1", False)]
+
+
+def test_short_orders_sort_as_whole_ones(spark, tmp_path):
+    """Names with the common beginning, and names before, behind and inside it, as of rows that were stored."""
+    for name in ("a1", "a2", "b1"):
+        (tmp_path / name).write_text('{"question": "q"}\n')
+    rows = jsonl.read_items(spark, str(tmp_path), "question string")
+    files = sorted(r["seq"]["file"] for r in rows.collect())
+    start = files[0][:-2]
+    made = [*files, start, start[:-1], start + "0", start[:-1] + "~", start[:-1] + "!", "", "zz", None, start + "é"]
+    mixed = rows.limit(1).select(F.explode(F.array(*map(F.lit, made))).alias("file")).select(
+        F.struct(F.lit(5).alias("n"), F.struct("file", F.lit(0).alias("start")).alias("at")).alias("order"))
+    short, whole = dedup.short_order(mixed, "order")
+    both = mixed.select("order", short.alias("short")).withColumn("whole", whole(F.col("short")))
+    assert any(r["short"]["at"]["file"] == "1a1" for r in both.collect()), "the folder is left out"
+    assert both.filter("order <=> whole").count() == len(made)
+    names = [[r["order"]["at"]["file"] for r in both.orderBy(c).collect()] for c in ("order", "short")]
+    assert names[0] == names[1] and len(set(names[0])) == len(made)
+
+
 @pytest.mark.parametrize("how", ["left", "inner"])
 def test_salted_join_equals_broadcast_join(spark, how):
     """A third of the rows share one key, and the lookup table counts as large."""
